@@ -49,17 +49,25 @@ def _range_no(value: Column, points: Column) -> Column:
     return F.when(points.isNull(), F.lit(0)).otherwise(found)
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
+def value_counts(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    extra: dict[str, Column] | None = None,
+    weight: Column | None = None,
+) -> DataFrame:
     """One row per (keys, value): `n` equal rows, `below` smaller rows, `total`.
 
-    `extra` adds further sums per value, for example positives for an AUC.
+    `extra` adds further sums per value, for example positives for an AUC. A
+    0/1 `weight` counts only part of the rows (a calibration sample).
     """
     points = _split_points(df, value)
     extra = extra or {}
+    counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
     hist = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in extra.items()])
+        .agg(counted.alias("n"), *[c.alias(name) for name, c in extra.items()])
         .withColumn("_pts", points)
         .withColumn("_b", _range_no(F.col(value).cast("double"), F.col("_pts")))
         .drop("_pts")
