@@ -140,16 +140,16 @@ def _(t):
 
 @query("B10_price_scale_guard", "instrument:i dt:d guarded:f tenfold:f", with_(BARS) + """
 SELECT instrument, dt, CASE WHEN v/(close+1e-12) > 20 THEN v/100 WHEN v/(close+1e-12) < 0.05 THEN v*100 ELSE v END AS guarded,
-  CASE WHEN w/close > 3 THEN w/10 WHEN w/close < 1.0/3 THEN w*10 ELSE w END AS tenfold
+  CASE WHEN w > close*10 THEN w/100 ELSE w END AS tenfold
 FROM (SELECT instrument, dt, close, amount/volume*CASE day(dt) % 3 WHEN 0 THEN 100 WHEN 1 THEN 0.01 ELSE 1 END AS v,
-  amount/volume*CASE day(dt) % 3 WHEN 0 THEN 10 WHEN 1 THEN 0.1 ELSE 1 END AS w FROM bars)""")
+  amount/volume*CASE day(dt) % 3 WHEN 0 THEN 12 WHEN 1 THEN 5 ELSE 1 END AS w FROM bars)""")
 def _(t):
     day = F.day("dt") % 3
     vwap = F.col("amount") / F.col("volume")
     v = vwap * F.when(day == 0, 100.0).when(day == 1, 0.01).otherwise(1.0)
-    w = vwap * F.when(day == 0, 10.0).when(day == 1, 0.1).otherwise(1.0)
+    w = vwap * F.when(day == 0, 12.0).when(day == 1, 5.0).otherwise(1.0)
     return t.bars().select("instrument", "dt", trading.rescale_price(v, F.col("close")).alias("guarded"),
-                           trading.rescale_price_tenfold(w, F.col("close")).alias("tenfold"))
+                           trading.rescale_above_tenfold(w, F.col("close")).alias("tenfold"))
 
 
 _RET = BARS + """, ret AS (SELECT *, close/lag(close) OVER (PARTITION BY instrument ORDER BY dt)-1 AS r FROM bars)"""

@@ -55,10 +55,9 @@ def rescale_price(value: Column, reference: Column) -> Column:
     ).otherwise(value)
 
 
-def rescale_price_tenfold(value: Column, reference: Column, band: float = 3.0) -> Column:
-    """The window-table rule: undo a factor of ten."""
-    share = ratio(value, reference)
-    return F.when(share > band, value / 10.0).when(share < 1.0 / band, value * 10.0).otherwise(value)
+def rescale_above_tenfold(value: Column, reference: Column) -> Column:
+    """The window-table rule: a price above ten times the close is in hundredths."""
+    return F.when((reference > 0) & (value > reference * 10), value / 100.0).otherwise(value)
 
 
 def bin_label(value: Column, low: Column, high: Column) -> Column:

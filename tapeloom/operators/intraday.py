@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import EPS, pair_corr, ratio
-from tapeloom.functions.trading import Costs, rescale_price, round_trip_edge
+from tapeloom.functions.trading import Costs, rescale_above_tenfold, rescale_price, round_trip_edge
 
 KEYS = ["instrument", "dt"]
 
@@ -44,9 +44,6 @@ ROUND_THE_CLOCK = Clock(
     open_minute=60, unit=12,
 )
 
-MINUTE = F.col  # readability below: MINUTE("minute_of_day")
-
-
 def inside(window: tuple[int, int]) -> Column:
     return F.col("minute_of_day").between(*window)
 
@@ -225,9 +222,10 @@ def window_prices(bars: DataFrame, windows: dict[str, tuple[int, int]], rescale:
 
 def execution_windows(bars: DataFrame, open_window=(571, 575), close_window=(885, 890)) -> DataFrame:
     """Open VWAP, close VWAP and last close of each session."""
-    return bars.groupBy(*KEYS).agg(
-        window_vwap(open_window, "last").alias("open_exec"), window_vwap(close_window, "last").alias("close_exec"),
+    out = bars.groupBy(*KEYS).agg(
+        window_vwap(open_window).alias("open_exec"), window_vwap(close_window).alias("close_exec"),
         F.max_by("close", "minute_of_day").alias("mark_close"))
+    return out.withColumns({c: rescale_above_tenfold(F.col(c), F.col("mark_close")) for c in ("open_exec", "close_exec")})
 
 
 def bucket_round_trip_labels(bars: DataFrame, buckets: list[tuple[int, int]], costs: Costs) -> DataFrame:
@@ -302,7 +300,7 @@ def visible_features(
         F.max(v("high")).alias("hi"), F.min(v("low")).alias("lo"), F.sum(v("volume")).alias("vol"),
         F.sum(v("amount")).alias("amt"), F.stddev_pop(v("lr")).alias("sdr"),
         pair_corr(v("lr"), F.col("lr1")).alias("ac"), pair_corr(v("lr"), F.col("lrv")).alias("pv"),
-        F.regr_slope(v("logc") if "logc" in bars.columns else F.when(seen, F.log(F.col("close") + EPS)), F.when(seen, m.cast("double"))).alias("slope"),
+        F.regr_slope(F.when(seen, F.log(F.col("close") + EPS)), F.when(seen, m.cast("double"))).alias("slope"),
         F.avg(F.when(seen & F.col("lr").isNotNull(), (F.col("lr") > 0).cast("double"))).alias("up"),
         F.sum(v("sv")).alias("sv"), F.sum(F.when(seen & (m > cut - 5 * u), F.col("volume"))).alias("v5"),
         F.sum(F.when(seen & (m > cut - 10 * u), F.col("volume"))).alias("v10"),
