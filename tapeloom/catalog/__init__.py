@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tapeloom.catalog import base
 
-_FAMILIES = ("scalars", "windows")
+_FAMILIES = ("scalars", "windows", "joins")
 
 
 def _load():

@@ -70,14 +70,15 @@ def _guard(fn, c, n, m):
     return f"CASE WHEN count({c}) {_rows(n)} >= {m} THEN {fn}({c}) {_rows(n)} END"
 
 
-@query("E3_regime_features", "dt:d ret_5:f ret_10:f ret_20:f vol_5:f vol_20:f breadth_5:f dispersion_20:f amount_20:f2 amount_chg_20:f count_z60:f",
+@query("E3_regime_features", "dt:d log_ret_5:f log_ret_10:f log_ret_20:f vol_5:f vol_20:f breadth_5:f dispersion_20:f amount_20:f2 amount_chg_20:f count_z60:f",
        with_(BARS_W, DAILY, f"""f AS (SELECT *, {_prod(5, 3)}, {_prod(10, 5)}, {_prod(20, 10)},
   {_guard('stddev_samp', 'ret', 5, 3)} AS vol_5, {_guard('stddev_samp', 'ret', 20, 10)} AS vol_20, {_guard('avg', 'breadth', 5, 3)} AS breadth_5,
   {_guard('avg', 'dispersion', 20, 10)} AS dispersion_20, {_guard('avg', 'amount', 20, 10)} AS amount_20,
   (n - {_guard('avg', 'n', 60, 20)})/nullif({_guard('stddev_samp', 'n', 60, 20)}, 0) AS count_z60 FROM daily)""") + """
-SELECT *, amount/lag(amount_20) OVER (ORDER BY dt) - 1 AS amount_chg_20 FROM f""")
+SELECT *, ln(1+ret_5) AS log_ret_5, ln(1+ret_10) AS log_ret_10, ln(1+ret_20) AS log_ret_20, amount/lag(amount_20) OVER (ORDER BY dt) - 1 AS amount_chg_20 FROM f""")
 def _(t):
-    return rolling.regime_features(_daily(t))
+    out = rolling.regime_features(_daily(t))
+    return out.withColumns({f"log_ret_{n}": F.log1p(f"ret_{n}") for n in (5, 10, 20)})
 
 
 @query("E4_rolling_drawdown", "dt:d mdd:f downside_vol:f", with_(BARS_W, DAILY, """

@@ -25,6 +25,18 @@ def candle_features() -> dict[str, Column]:
     }
 
 
+def _sorted_quantile(name: str, n: int, q: float) -> Column:
+    """Linear quantile of a sorted array of n values.
+
+    One shared list per row replaces an exact percentile per frame, which would
+    rebuild a counting map for every row and length.
+    """
+    at = (n - 1) * q
+    low = int(at)
+    a, b = F.element_at(name, low + 1), F.element_at(name, min(low + 2, n))
+    return a + (b - a) * (at - low)
+
+
 def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
     """15 rolling operators per window length; null until the window is full."""
     w = by_instrument()
@@ -34,7 +46,8 @@ def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
         .withColumn("_d", p - F.col("_p1")).withColumn("_lv", F.log(v + 1.0))
         .withColumn("_av", F.abs(ratio(p, F.col("_p1")) - 1.0) * v)
     )
-    out: dict[str, Column] = {}
+    out: dict[str, Column] = {"_hist": F.collect_list("close").over(trailing(w, max(windows)))}
+    tails: dict[str, Column] = {}
     for n in windows:
         f = trailing(w, n)
         full, known = F.col("_n") >= n, F.col("_n") > n
@@ -57,11 +70,14 @@ def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
             "vstd": F.when(full, ratio(F.stddev_samp("volume").over(f), v)),
             "wvma": F.when(known, ratio(F.stddev_samp("_av").over(f), F.avg("_av").over(f))),
             "sumd": F.when(known, ratio(gain, move)),
-            "qtlu": F.when(full, ratio(F.percentile("close", F.lit(0.8)).over(f), p)),
-            "qtld": F.when(full, ratio(F.percentile("close", F.lit(0.2)).over(f), p)),
         }
         out |= {f"{name}{n}": expr for name, expr in each.items()}
-    return base.withColumns(out).drop("_n", "_p1", "_d", "_lv", "_av")
+        tails[f"_s{n}"] = F.when(full, F.sort_array(F.slice("_hist", F.size("_hist") - (n - 1), n)))
+    wide = base.withColumns(out).withColumns(tails)
+    for n in windows:
+        wide = wide.withColumns({f"qtlu{n}": ratio(_sorted_quantile(f"_s{n}", n, 0.8), p),
+                                 f"qtld{n}": ratio(_sorted_quantile(f"_s{n}", n, 0.2), p)})
+    return wide.drop("_n", "_p1", "_d", "_lv", "_av", "_hist", *tails)
 
 
 def daily_proxies(df: DataFrame) -> DataFrame:

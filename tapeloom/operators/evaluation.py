@@ -292,7 +292,8 @@ def threshold_grid(df: DataFrame, score: str, outcome: str, fixed: list[float],
     gates += [F.struct(F.lit(f"quantile_{q:g}").alias("gate"), F.col(f"q{i}").alias("cut")) for i, q in enumerate(qs)]
     table = picks.select(F.array(*gates)).scalar()
     total = rows.agg(F.count(F.lit(1))).scalar()
-    passed = rows.withColumn("g", F.explode(F.filter(table, lambda g: F.col(score) >= g["cut"]))).select("g.*", outcome)
+    gated = rows.withColumn("_t", table)
+    passed = gated.withColumn("g", F.explode(F.filter("_t", lambda g: F.col(score) >= g["cut"]))).select("g.*", outcome)
     stats = passed.groupBy("gate", "cut").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(outcome).alias("mean"), F.avg((F.col(outcome) > 0).cast("double")).alias("hit_ratio"))
     return stats.join(quantiles(passed, ["gate"], outcome, {"q10": 0.1, "median": 0.5, "q90": 0.9}), "gate").withColumn(

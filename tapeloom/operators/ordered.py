@@ -41,7 +41,8 @@ def carry_blocked_targets(targets: DataFrame, blocks: DataFrame, *, retry_sells:
     firsts = targets.groupBy("symbol").agg(F.min("dt").alias("_from"))
     sides = blocks.groupBy("symbol", "dt").agg(F.collect_set("side").alias("sides"))
     all_days = days.groupBy().agg(F.sort_array(F.collect_list("dt")).alias("d")).scalar()
-    grid = firsts.withColumn("dt", F.explode(F.filter(all_days, lambda d: d >= F.col("_from")))).drop("_from")
+    grid = firsts.withColumn("_days", all_days).withColumn(
+        "dt", F.explode(F.filter("_days", lambda d: d >= F.col("_from")))).drop("_from", "_days")
     dense = grid.join(targets.select("symbol", "dt", F.col("shares").cast("double").alias("shares")), ["symbol", "dt"], "left").join(
         sides, ["symbol", "dt"], "left")
     rows = dense.select("symbol", F.struct(

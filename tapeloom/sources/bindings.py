@@ -25,7 +25,8 @@ class Tables:
         if where is not None:
             lines = lines.where(where)
         price = F.col("l_extendedprice") / F.col("l_quantity") * F.lit(scale)
-        seq = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+        # The price breaks ties between repeated (order, line) numbers.
+        seq = F.col("l_orderkey") * 100 + F.col("l_linenumber") + F.col("l_extendedprice") / 1e7
         return (
             lines.select(
                 F.col("l_suppkey").alias("instrument"), dt.alias("dt"), price.alias("p"), seq.alias("seq"),
