@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tapeloom.catalog import base
 
-_FAMILIES = ("scalars", "windows", "joins")
+_FAMILIES = ("scalars", "windows", "joins", "aggregates")
 
 
 def _load():

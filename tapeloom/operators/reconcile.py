@@ -145,8 +145,9 @@ def pit_coverage(listings: DataFrame, observed: DataFrame, cal: DataFrame, bars_
     (session x listing) pairs are made.
     """
     ends = F.coalesce("delisted_dt", F.lit("2099-12-31").cast("date"))
-    ins = listings.groupBy(F.col("listed_dt").alias("d")).agg(F.count(F.lit(1)).alias("x"))
-    outs = listings.groupBy(F.date_add(ends, 1).alias("d")).agg((-F.count(F.lit(1))).alias("x"))
+    valid = listings.where(ends >= F.col("listed_dt"))
+    ins = valid.groupBy(F.col("listed_dt").alias("d")).agg(F.count(F.lit(1)).alias("x"))
+    outs = valid.groupBy(F.date_add(ends, 1).alias("d")).agg((-F.count(F.lit(1))).alias("x"))
     steps = ins.unionByName(outs).groupBy("d").agg(F.sum("x").alias("x"))
     run = steps.withColumn("live", F.sum("x").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))).select("d", "live")
     expected = asof_join(cal.select("dt"), run, [], "dt", "d", ["live"]).select("dt", F.coalesce("live", F.lit(0)).alias("expected"))
