@@ -595,7 +595,7 @@ def _(t):
 
 
 @query("D43_composite_score", "macro_f1:f logloss:f ic_mean:f ic_ir:f monthly_ic_std:f composite:f", with_(BARS_W, KW, f"""
-q AS (SELECT *, 0.2+0.6*(1-exp(-abs(score)))*CAST(score > 0 AS INT) AS p1, 0.2 AS p0 FROM kw), p AS (SELECT *, 1-p1-p0 AS pm, CASE WHEN label < -0.05 THEN 0 WHEN label < 0.05 THEN 1 ELSE 2 END AS cls, p1-p0 AS sg FROM q),
+q AS (SELECT *, 0.15+0.6*(1-exp(-abs(score)))*CAST(score > 0 AS INT) AS p1, 0.15 AS p0 FROM kw), p AS (SELECT *, 1-p1-p0 AS pm, CASE WHEN label < -0.05 THEN 0 WHEN label < 0.05 THEN 1 ELSE 2 END AS cls, p1-p0 AS sg FROM q),
 b AS (SELECT *, CASE WHEN p0 >= pm AND p0 >= p1 THEN 0 WHEN pm >= p1 THEN 1 ELSE 2 END AS pred, CASE cls WHEN 0 THEN p0 WHEN 1 THEN pm ELSE p1 END AS own FROM p),
 k AS (SELECT k, 2.0*count(*) FILTER (WHERE cls = k AND pred = k)/nullif(count(*) FILTER (WHERE cls = k) + count(*) FILTER (WHERE pred = k), 0) AS f1 FROM b, (VALUES (0), (1), (2)) v(k) GROUP BY k),
 r AS (SELECT dt, {_avg_rank('sg', 'dt')} AS x, {_avg_rank('label', 'dt')} AS y, sg, label FROM b),
@@ -604,7 +604,7 @@ z AS (SELECT (SELECT avg(f1) FROM k) AS macro_f1, (SELECT avg(-ln(own)) FROM b)
 SELECT *, 2.5*ic_mean+0.25*ic_ir-0.3*monthly_ic_std+0.2*macro_f1-0.1*logloss AS composite FROM z""")
 def _(t):
     s = scored_w(t).dropna(subset=["score", "label"])
-    s = s.withColumn("p0", F.lit(0.2)).withColumn("p2", 0.2 + 0.6 * (1 - F.exp(-F.abs("score"))) * (F.col("score") > 0).cast("int")).withColumn("p1", 1 - F.col("p2") - F.col("p0"))
+    s = s.withColumn("p0", F.lit(0.15)).withColumn("p2", 0.15 + 0.6 * (1 - F.exp(-F.abs("score"))) * (F.col("score") > 0).cast("int")).withColumn("p1", 1 - F.col("p2") - F.col("p0"))
     cls = F.when(F.col("label") < -0.05, 0).when(F.col("label") < 0.05, 1).otherwise(2)
     return evaluation.classification_report(s.withColumn("cls", cls), "cls", ["p0", "p1", "p2"], raw="label")
 

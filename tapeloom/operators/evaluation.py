@@ -316,8 +316,8 @@ def prediction_profile(df: DataFrame, score: str, label: str, *, share: float =
 def profile_quantiles(daily: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
     """Quantiles of date-level statistics (one row per date): `(field, q, value)`."""
     long = daily.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "field", "value")
-    out = long.groupBy("field").agg(*[F.percentile("value", F.lit(q)).alias(f"{q:g}") for q in qs])
-    return out.unpivot(["field"], [f"{q:g}" for q in qs], "q", "value")
+    found = F.array(*[F.struct(F.lit(f"{q:g}").alias("q"), F.percentile("value", F.lit(q)).alias("value")) for q in qs])
+    return long.groupBy("field").agg(found.alias("f")).select("field", F.inline("f"))
 
 
 def daily_meta_frame(df: DataFrame, score: str, edge: str, top: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
