@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tapeloom.catalog.aggregates import TR, trades
 from tapeloom.catalog.base import BARS, BARS_W, FALLBACK, HELD, PRIMARY, SESS, query, with_
 from tapeloom.catalog.windows import GRP, W, _avg_rank, groups
-from tapeloom.operators import blending, ordered, reconcile, rolling, selection, sessions
+from tapeloom.operators import blending, ordered, reconcile, selection, sessions
+from tapeloom.skew import row_position
 
 X = "x AS (SELECT *, close/open-1 AS a FROM barsw)"
 
@@ -25,7 +26,7 @@ cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dt, g ORDER BY k
 
 
 def ranked_w(t):
-    return selection.top_n(t.bars_w(), ["dt"], "close", "instrument", 10**6)
+    return row_position(t.bars_w(), ["dt"], "close", "instrument", "rank", descending=True)
 
 
 @query("F2_group_capped_top_k", "dt:d instrument:i rank:i pick:i retained:i grp:s", with_(BARS_W, CAP) + """
