@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tapeloom.catalog import base
 
-_FAMILIES = ("scalars", "windows", "joins", "aggregates", "selections", "sources", "streams")
+_FAMILIES = ("scalars", "windows", "joins", "aggregates", "selections", "sources", "streams", "models")
 
 
 def _load():

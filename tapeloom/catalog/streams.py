@@ -62,28 +62,26 @@ g(account, dt, k, open_available, sold, refused, unsettled, total) AS (SELECT ac
 def flows(t):
     e = jobs.read_events(t.spark, t.root).where(F.col("event_type").isin("purchase", "click"))
     log = e.select(F.col("user_id").alias("account"), "ts", F.when(F.col("event_type") == "purchase", "BUY").otherwise("SELL").alias("side"), F.floor("value").cast("double").alias("shares"))
-    return jobs.drain(jobs.session_flows(log), "flows")
+    return jobs.session_flows(log)
 
 
 @query("H4_t1_position_ledger", "account:i dt:d open_available:f sold:f refused:f unsettled:f total:f", LEDGER_SQL)
 def _(t):
-    table = flows(t)
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
-    stream = t.spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    return jobs.drain(jobs.position_ledger(stream), "ledger")
+    stream = flows(t)
+    daily = jobs.follow(t.spark, jobs.drain_to_path(stream, "flows"), stream.schema)
+    return jobs.drain(jobs.position_ledger(daily), "ledger")
 
 
 @query("H4_ledger_batch", "account:i dt:d open_available:f sold:f refused:f unsettled:f total:f", LEDGER_SQL)
 def _(t):
-    return jobs.ledger_batch(flows(t))
+    return jobs.ledger_batch(jobs.drain(flows(t), "flows"))
 
 
 @query("H5_stream_throttle", "instrument:s dt:d second:i price:f forced:b")
 def _(t):
-    table = jobs.drain(jobs.second_ticks(ticks(t)), "seconds")
-    path = table.inputFiles()[0].rsplit("/", 1)[0]
-    stream = t.spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    out = jobs.drain(jobs.throttle(stream, interval=3600, start=6 * 3600, end=20 * 3600, force_from=19 * 3600), "throttle")
+    stream = jobs.second_ticks(ticks(t))
+    seconds = jobs.follow(t.spark, jobs.drain_to_path(stream, "seconds"), stream.schema)
+    out = jobs.drain(jobs.throttle(seconds, interval=3600, start=6 * 3600, end=20 * 3600, force_from=19 * 3600), "throttle")
     return out.withColumn("second", F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
 
 

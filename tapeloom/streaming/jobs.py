@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tapeloom.session import scratch_path
 
 DELAY = "5 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark: SparkSession, root: str, name: str = "events.parquet") -> DataFrame:
@@ -29,12 +30,23 @@ def read_events(spark: SparkSession, root: str, name: str = "events.parquet") ->
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """Run an append-mode stream over all available input into a table, read it back."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(drain_to_path(stream, label))
+
+
+def drain_to_path(stream: DataFrame, label: str) -> str:
+    """As `drain`, returning the folder, for a following job to stream from."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = scratch_path(spark, label)
     job = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
            .outputMode("append").trigger(availableNow=True).start())
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return out
+
+
+def follow(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Stream the finished files of an earlier job's folder."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def minute_bars(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
