@@ -61,3 +61,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash by keys into `spark.sql.shuffle.partitions` tasks, kept as they are.
+
+    Adaptive execution merges small shuffles by size; a window that costs far
+    more CPU than its bytes suggest should keep all its tasks. Windows on the
+    same keys reuse this layout, so it replaces their exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
