@@ -196,10 +196,15 @@ def contract_report(left: DataFrame, right: DataFrame, keys: list[str], equal: l
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The same rows; a repeated key raises when the frame runs."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    bad = F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate key "), F.to_json(F.struct(*keys)))).cast("boolean")).otherwise(F.lit(True))
-    return df.where(bad)
+    """The same rows; a repeated key raises when the frame runs.
+
+    The keys are counted map-side first and only repeated ones are looked up, so
+    the check adds one aggregate and no large join.
+    """
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    text = F.concat(F.lit("duplicate key "), F.to_json(F.struct(*keys)))
+    guard = repeated.agg(F.max(F.raise_error(text).cast("boolean")).alias("g")).scalar()
+    return df.withColumn("_g", guard).where(F.col("_g").isNull()).drop("_g")
 
 
 def drop_conflicts(a: DataFrame, b: DataFrame, keys: list[str], *, primary_wins: bool) -> DataFrame:

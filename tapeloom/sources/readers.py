@@ -53,11 +53,11 @@ def canonical_columns(df: DataFrame, extra: list[str] | None = None) -> DataFram
 def gbk_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files whose header is not valid UTF-8.
 
-    Only header lines (first line of a file) carry words, so lines with a
-    replacement character name the files; one small list of paths comes back.
+    Only header lines carry words, so an invalid line names its file; one small
+    list of paths comes back.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("f"))
-    bad = lines.where(F.col("value").contains("�")).select("f").distinct()
+    bad = lines.where(~F.is_valid_utf8("value")).select("f").distinct()
     return [r["f"] for r in bad.collect()]
 
 
