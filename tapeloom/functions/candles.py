@@ -123,7 +123,7 @@ def daily_proxies(df: DataFrame) -> DataFrame:
     """Five daily proxies of intraday behaviour and nine shape/volume features."""
     w = by_instrument()
     tiny = 1e-8
-    base = df.withColumn("_r", ratio(F.col("close"), F.lag("close").over(w)) - 1.0).withColumn(
+    base = spread_by(df, "instrument").withColumn("_r", ratio(F.col("close"), F.lag("close").over(w)) - 1.0).withColumn(
         "_gap", ratio(F.col("open"), F.lag("close").over(w)) - 1.0).withColumn(
         "_lv", F.log(ratio(F.col("volume"), F.lag("volume").over(w)) + EPS))
     o, h, low, c, v = (F.col(n) for n in ("open", "high", "low", "close", "volume"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.evaluation import daily_ic
 from tapeloom.session import stage
-from tapeloom.skew import GROUP_LIMIT, average_rank, largest_group
+from tapeloom.skew import GROUP_LIMIT, average_rank, check_groups
 
 KEYS = ["dt", "instrument"]
 
@@ -48,7 +48,7 @@ def rank_blend(baseline: DataFrame, candidate: DataFrame, weights: list[float],
     """
     both = baseline.select(*KEYS, F.col("score").alias("a")).join(candidate.select(*KEYS, F.col("score").alias("b")), KEYS)
     frame = stage(both, "blend")
-    limit = 2**62 if largest_group(frame, ["dt"]) <= group_limit else -1
+    limit = check_groups(frame, ["dt"], group_limit)
     out = average_rank(frame, ["dt"], "a", "a_rank", pct=True, group_limit=limit, staged=True)
     out = average_rank(out, ["dt"], "b", "b_rank", pct=True, group_limit=limit, staged=True)
     mix = F.array(*[F.struct(F.lit(float(w)).alias("weight"), ((1.0 - w) * F.col("a_rank") + w * F.col("b_rank")).alias("blend")) for w in weights])
@@ -73,7 +73,7 @@ def weighted_blend(models: list[DataFrame], weights: list[float], group_limit: i
     out = reduce(lambda x, y: x.join(y, KEYS), [m.select(*KEYS, F.col("score").alias(f"s{i}")) for i, m in enumerate(models)])
     mix = reduce(lambda x, y: x + y, [F.col(f"s{i}") * (w / total) for i, w in enumerate(weights)])
     out = stage(out.withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))}), "wblend")
-    limit = 2**62 if largest_group(out, ["dt"]) <= group_limit else -1
+    limit = check_groups(out, ["dt"], group_limit)
     for i in range(len(models)):
         out = average_rank(out, ["dt"], f"_n{i}", f"r{i}", group_limit=limit, staged=True)
     ranks = [F.col(f"r{i}") for i in range(len(models))]

@@ -12,18 +12,13 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import ratio
 from tapeloom.session import stage
-from tapeloom.skew import GROUP_LIMIT, average_rank, largest_group, quantiles, row_position
-
-
-def _limit(frame: DataFrame, keys: list[str], group_limit: int) -> int:
-    """Check the largest group once for several ranks over the same frame."""
-    return 2**62 if largest_group(frame, keys) <= group_limit else -1
+from tapeloom.skew import FITS, GROUP_LIMIT, average_rank, check_groups, quantiles, row_position
 
 
 def rank_pct(df: DataFrame, keys: list[str], value: str, tie: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Average percent rank, descending min rank and first rank."""
     frame = stage(df.where(F.col(value).isNotNull()), "rank")
-    limit = _limit(frame, keys, group_limit)
+    limit = check_groups(frame, keys, group_limit)
     out = average_rank(frame.withColumn("_neg", -F.col(value)), keys, value, "rank_pct", pct=True, group_limit=limit, staged=True)
     out = average_rank(out, keys, "_neg", "_avg", group_limit=limit, staged=True)
     ties = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
@@ -35,14 +30,17 @@ def cross_sectional(df: DataFrame, keys: list[str], rank_cols: list[str], stat_c
                     group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Universe size, percent ranks, distance to medians, mean/median/std, breadth."""
     frame = stage(df, "xs")
-    limit = _limit(frame, keys, group_limit)
+    limit = check_groups(frame, keys, group_limit)
+    medians = list(dict.fromkeys(rank_cols + stat_cols))
     stats = frame.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("universe"),
         F.avg(F.coalesce((F.col(breadth) > 0).cast("double"), F.lit(0.0))).alias("positive_breadth"),
         *[F.avg(c).alias(f"{c}_mean") for c in stat_cols],
-        *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std") for c in stat_cols])
-    for c in dict.fromkeys(rank_cols + stat_cols):
-        stats = stats.join(quantiles(frame, keys, c, {f"{c}_median": 0.5}, group_limit=limit, staged=True), keys, "left")
+        *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std") for c in stat_cols],
+        *([F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in medians] if limit == FITS else []))
+    if limit != FITS:
+        for c in medians:
+            stats = stats.join(quantiles(frame, keys, c, {f"{c}_median": 0.5}, group_limit=limit, staged=True), keys, "left")
     out = frame
     for c in rank_cols:
         out = average_rank(out, keys, c, f"{c}_rank", pct=True, group_limit=limit, staged=True)
@@ -57,7 +55,7 @@ def group_snapshot(df: DataFrame, keys: list[str], means: list[str], sums: list[
     """
     known = ~F.coalesce(F.upper(F.trim("grp")), F.lit("")).isin("", "NAN", "NONE", "UNKNOWN", "OTHER")
     key = F.when(known, F.trim("grp")).otherwise(F.concat(F.lit("__UNKNOWN__"), F.col("instrument").cast("string")))
-    frame = df.withColumn("group_known", known.cast("double")).withColumn("_key", key)
+    frame = stage(df.withColumn("group_known", known.cast("double")).withColumn("_key", key), "groups")
     stats = frame.groupBy(*keys, "_key").agg(
         F.count(F.lit(1)).alias("group_count"),
         F.avg(F.coalesce((F.col(breadth) > 0).cast("double"), F.lit(0.0))).alias("group_breadth"),
@@ -73,9 +71,10 @@ def neutralize(df: DataFrame, value: str, weights: list[float], min_group: int =
     def spread(prefix: str) -> list[Column]:
         return [F.avg(value).alias(f"_{prefix}m"), F.nullif(F.stddev_samp(value), F.lit(0.0)).alias(f"_{prefix}s")]
 
-    by_date = df.groupBy("dt").agg(*spread("d"))
-    by_group = df.groupBy("dt", "grp").agg(*spread("g"), F.count(value).alias("_gn"))
-    out = df.join(by_date, "dt").join(by_group, ["dt", "grp"])
+    frame = stage(df, "neutral")
+    by_date = frame.groupBy("dt").agg(*spread("d"))  # one row per session
+    by_group = frame.groupBy("dt", "grp").agg(*spread("g"), F.count(value).alias("_gn"))
+    out = frame.join(F.broadcast(by_date), "dt").join(by_group, ["dt", "grp"])
     out = out.withColumn("global_z", ratio(F.col(value) - F.col("_dm"), F.col("_ds")))
     own = F.when(F.col("_gn") >= min_group, ratio(F.col(value) - F.col("_gm"), F.col("_gs")))
     out = out.withColumn("group_z", F.coalesce(own, F.col("global_z")))

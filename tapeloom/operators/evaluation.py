@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import EPS, pair_corr, ratio
 from tapeloom.session import stage
-from tapeloom.skew import GROUP_LIMIT, average_rank, largest_group, quantiles, row_position, value_counts
-
-
-def _check(frame: DataFrame, keys: list[str], group_limit: int) -> int:
-    return 2**62 if largest_group(frame, keys) <= group_limit else -1
+from tapeloom.skew import FITS, GROUP_LIMIT, average_rank, check_groups, quantiles, row_position, value_counts
 
 
 def market_breadth(panel: DataFrame, ret: str, eligible: Column | None = None) -> DataFrame:
@@ -78,7 +74,7 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, *, min_name
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     frame = stage(rows, "ic")
-    limit = _check(frame, keys, group_limit)
+    limit = check_groups(frame, keys, group_limit)
     ranked = average_rank(frame, keys, x, "_rx", group_limit=limit, staged=True)
     ranked = average_rank(ranked, keys, y, "_ry", group_limit=limit, staged=True)
     aggs = [F.count(F.lit(1)).alias("n"), pair_corr(F.col("_rx"), F.col("_ry")).alias("ic")]
@@ -114,7 +110,7 @@ def pooled_ic(df: DataFrame, score: str, label: str, *, target: str | None = Non
 def alpha_scorecard(df: DataFrame, score: str, label: str, tops: list[int], group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Coefficient summary, decile means and top-k outcomes as `(metric, value)`."""
     rows = stage(df.select("dt", "instrument", score, label).dropna(), "card")
-    limit = _check(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], group_limit)
     ic = daily_ic(rows, score, label, group_limit=limit).agg(
         F.avg("ic").alias("ic_mean"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"),
         F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"))
@@ -303,7 +299,7 @@ def threshold_grid(df: DataFrame, score: str, outcome: str, fixed: list[float],
 def prediction_profile(df: DataFrame, score: str, label: str, *, share: float = 0.1, min_names: int = 5, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per date: count, moments, range, coefficient and top/bottom spread."""
     rows = stage(df.select("dt", "instrument", score, label).dropna(), "prof")
-    limit = _check(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], group_limit)
     stats = rows.groupBy("dt").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"),
                                    F.min(score).alias("low"), F.max(score).alias("high")).where(F.col("n") >= min_names)
     k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
@@ -323,7 +319,7 @@ def profile_quantiles(daily: DataFrame, columns: list[str], qs: list[float]) ->
 def daily_meta_frame(df: DataFrame, score: str, edge: str, top: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per date: count, level, spread and shape of the scores, edge of the top names."""
     rows = stage(df.select("dt", "instrument", score, edge), "meta")
-    limit = _check(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], group_limit)
     s = F.col(score)
     base = rows.groupBy("dt").agg(
         F.count(F.lit(1)).cast("double").alias("held_count"), F.max(s).alias("score_max"), F.stddev_pop(s).alias("score_std"),
@@ -342,10 +338,11 @@ def daily_meta_frame(df: DataFrame, score: str, edge: str, top: int, group_limit
 def context_aggregate(df: DataFrame, medians: list[str], sums: list[str], means: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per-date medians, sums, means and one std of context columns."""
     rows = stage(df.select("dt", *dict.fromkeys(medians + sums + means)), "ctx")
-    limit = _check(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], group_limit)
     out = rows.groupBy("dt").agg(*[F.sum(c).alias(f"{c}_sum") for c in sums], *[F.avg(c).alias(f"{c}_mean") for c in means],
-                                 F.stddev_samp(means[-1]).alias(f"{means[-1]}_std"))
-    for c in medians:
+                                 F.stddev_samp(means[-1]).alias(f"{means[-1]}_std"),
+                                 *([F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in medians] if limit == FITS else []))
+    for c in medians if limit != FITS else []:
         out = out.join(quantiles(rows, ["dt"], c, {f"{c}_median": 0.5}, group_limit=limit, staged=True), "dt", "left")
     return out
 

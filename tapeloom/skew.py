@@ -28,6 +28,17 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("_n").alias("m")).first()["m"] or 0
 
 
+# Pass these as `group_limit` to reuse one earlier check over several calls.
+FITS, SPREAD = 2**62, -1
+
+
+def check_groups(df: DataFrame, keys: list[str], group_limit: int = GROUP_LIMIT) -> int:
+    """FITS when one window per group is safe, SPREAD when groups must be cut."""
+    if group_limit in (FITS, SPREAD):
+        return group_limit
+    return FITS if largest_group(df, keys) <= group_limit else SPREAD
+
+
 def _split_points(df: DataFrame, value: str) -> Column:
     """Scalar subquery: sorted array of PARTS-1 split points of a column."""
     probs = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
@@ -102,11 +113,12 @@ def average_rank(
 ) -> DataFrame:
     """Average rank of a value in its group (nulls get none), or rank / count."""
     frame = df if staged else stage(df, "rank")
-    if largest_group(frame, keys) <= group_limit:
+    if check_groups(frame, keys, group_limit) == FITS:
         by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        up = by.orderBy(F.col(value).asc_nulls_last())
         known = F.col(value).isNotNull()
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)]), value))
-        rank = F.rank().over(by.orderBy(F.col(value).asc_nulls_last())) + (ties - 1) / 2.0
+        # rank() is the first position of equal values, the running count their last.
+        rank = (F.rank().over(up) + F.count(value).over(up)) / 2.0
         total = F.count(value).over(by)
         return frame.withColumn(out, F.when(known, rank / total if pct else rank))
     ranks = value_counts(frame, keys, value)
@@ -133,7 +145,7 @@ def row_position(
     """
     frame = (df if staged else stage(df, "pos")).where(F.col(value).isNotNull())
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if largest_group(frame, keys) <= group_limit:
+    if check_groups(frame, keys, group_limit) == FITS:
         by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order, F.col(tie).asc())
         return frame.withColumn(out, F.row_number().over(by).cast("long"))
     number = F.col(value).cast("double")
@@ -180,7 +192,7 @@ def quantiles(
     frame = df.where(F.col(value).isNotNull())
     if not staged:
         frame = stage(frame.select(*keys, value), "quant")
-    if largest_group(frame, keys) <= group_limit:
+    if check_groups(frame, keys, group_limit) == FITS:
         aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in wanted.items()]
         return frame.groupBy(*keys).agg(*aggs)
     counts = value_counts(frame, keys, value)
