@@ -573,7 +573,14 @@ def _(t):
     return reconcile.concentration_snapshot(t.bars_w().select("instrument", "dt").join(groups(t), "instrument"))
 
 
-@query("D42_opportunity_ceiling", "which:s round_trips:i cum_pnl:f2 profit_factor:f hit_ratio:f active_dates:i symbols:i")
+@query("D42_opportunity_ceiling", "which:s round_trips:i cum_pnl:f2 profit_factor:f hit_ratio:f active_dates:i symbols:i", "WITH RECURSIVE " + TR + """,
+td AS (SELECT instrument, dt, sum(pnl) AS pnl, sum(turnover) AS turnover FROM tr GROUP BY ALL),
+k AS (SELECT 'selected' AS which, *, row_number() OVER (PARTITION BY dt ORDER BY turnover DESC, instrument) AS rank FROM td
+ UNION ALL SELECT 'ceiling', *, row_number() OVER (PARTITION BY dt ORDER BY pnl DESC, instrument) FROM td WHERE pnl > 0),
+g(which, dt, instrument, rank, pnl, ok, used) AS (SELECT which, dt, instrument, rank, pnl, turnover <= 120000, CASE WHEN turnover <= 120000 THEN turnover ELSE 0 END FROM k WHERE rank = 1
+ UNION ALL SELECT k.which, k.dt, k.instrument, k.rank, k.pnl, g.used+turnover <= 120000, CASE WHEN g.used+turnover <= 120000 THEN g.used+turnover ELSE g.used END FROM k JOIN g ON k.which = g.which AND k.dt = g.dt AND k.rank = g.rank+1 WHERE k.rank <= 5)
+SELECT which, count(*) AS round_trips, sum(pnl) AS cum_pnl, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0)/abs(sum(pnl) FILTER (WHERE pnl < 0)) AS profit_factor, avg(CAST(pnl > 0 AS INT)) AS hit_ratio,
+ count(DISTINCT dt) AS active_dates, count(DISTINCT instrument) AS symbols FROM g WHERE ok GROUP BY which""")
 def _(t):
     from tapeloom.operators import ordered, selection
 

@@ -44,7 +44,11 @@ def _(t):
     return selection.rank_hysteresis(ranked_w(t), enter=10, leave=20)
 
 
-@query("F3_buffered_membership", "profile:s dt:d pos:i instrument:i")
+@query("F3_buffered_membership", "profile:s dt:d pos:i instrument:i", "WITH RECURSIVE " + BARS_W + """,
+rk AS (SELECT dt, dense_rank() OVER (ORDER BY dt) AS d, instrument, row_number() OVER (PARTITION BY dt ORDER BY close DESC, instrument) AS rank FROM barsw), n AS (SELECT dt, d, list(instrument ORDER BY rank) AS all_names, list(instrument ORDER BY rank) FILTER (WHERE rank <= 20) AS near FROM rk WHERE rank <= 30 GROUP BY ALL),
+g(d, dt, picked) AS (SELECT d, dt, all_names[1:10] FROM n WHERE d = 1
+ UNION ALL SELECT n.d, n.dt, list_concat(list_filter(n.near, lambda x: list_contains(g.picked, x)), list_filter(n.all_names, lambda x: NOT (list_contains(g.picked, x) AND list_contains(n.near, x))))[1:10] FROM n JOIN g ON n.d = g.d+1)
+SELECT 'p10' AS profile, dt, generate_subscripts(picked, 1)-1 AS pos, unnest(picked) AS instrument FROM g""")
 def _(t):
     ranked = selection.top_n(t.bars_w().withColumn("profile", F.lit("p10")), ["dt"], "close", "instrument", 30)
     return selection.buffered_membership(ranked, "profile", top_k=10, buffer_k=20)
@@ -117,7 +121,14 @@ def _(t):
     return selection.capital_aware_lots(lots(t), ["dt"], budget=F.lit(2_400_000.0), k=12)
 
 
-@query("F8_capital_aware_lots", "dt:d instrument:i n_names:i shares:f")
+@query("F8_capital_aware_lots", "dt:d instrument:i n_names:i shares:f", "WITH RECURSIVE " + LOT + """,
+c AS (SELECT *, greatest(lot_min, 100)*price AS m FROM lp WHERE rank <= 12 AND price > 0), w AS (SELECT dt, max(i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY m, rank) AS i FROM c) WHERE m*i <= 2400000+1e-9 GROUP BY 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY rank) AS o, 2400000::DOUBLE/n AS ideal FROM c JOIN w USING (dt) WHERE m <= 2400000.0/n+1e-9),
+b AS (SELECT *, floor(ideal/price/100)*100 AS base FROM f WHERE o <= n AND floor(ideal/price/100)*100 >= lot_min),
+q AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY abs(base*price+100*price-ideal)-abs(base*price-ideal), o) AS j, greatest(0, 2400000::DOUBLE-sum(base*price) OVER (PARTITION BY dt)) AS rest FROM b),
+g(dt, instrument, n, base, j, got, rest) AS (SELECT dt, instrument, n, base, j, 100*price <= rest+1e-9, CASE WHEN 100*price <= rest+1e-9 THEN rest-100*price ELSE rest END FROM q WHERE j = 1
+ UNION ALL SELECT q.dt, q.instrument, q.n, q.base, q.j, 100*q.price <= g.rest+1e-9, CASE WHEN 100*q.price <= g.rest+1e-9 THEN g.rest-100*q.price ELSE g.rest END FROM q JOIN g ON q.dt = g.dt AND q.j = g.j+1)
+SELECT dt, instrument, n AS n_names, base + CASE WHEN got THEN 100 ELSE 0 END AS shares FROM g""")
 def _(t):
     return selection.capital_aware_lots(lots(t), ["dt"], budget=F.lit(2_400_000.0), k=12)
 

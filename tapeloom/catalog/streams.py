@@ -77,7 +77,11 @@ def _(t):
     return jobs.ledger_batch(jobs.drain(flows(t), "flows"))
 
 
-@query("H5_stream_throttle", "instrument:s dt:d second:i price:f forced:b")
+@query("H5_stream_throttle", "instrument:s dt:d second:i price:f forced:b", "WITH RECURSIVE " + CLOSED + """,
+s AS (SELECT event_type AS instrument, CAST(m AS DATE) AS dt, extract(hour FROM m)*3600+extract(minute FROM m)*60+CAST(extract(second FROM m) AS BIGINT) AS sec, price FROM (SELECT event_type, date_trunc('second', ts) AS m, min_by(value, event_id) AS price FROM events GROUP BY ALL), w WHERE m + INTERVAL 1 SECOND <= wm),
+z AS (SELECT * FROM s WHERE sec BETWEEN 21600 AND 72000),
+g(instrument, dt, sec) AS (SELECT instrument, dt, min(sec) FROM z GROUP BY 1, 2 UNION ALL SELECT z.instrument, z.dt, min(z.sec) FROM g JOIN z ON z.instrument = g.instrument AND z.dt = g.dt AND z.sec >= g.sec+3600 GROUP BY 1, 2)
+SELECT g.instrument, g.dt, g.sec AS second, price, g.sec >= 68400 AS forced FROM g JOIN z USING (instrument, dt, sec)""")
 def _(t):
     stream = jobs.second_ticks(ticks(t))
     seconds = jobs.follow(t.spark, jobs.drain_to_path(stream, "seconds"), stream.schema)
