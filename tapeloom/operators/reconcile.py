@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.guards import EPS, pair_corr, ratio
 from tapeloom.functions.trading import Costs, invalid_ohlc
 from tapeloom.operators.asof import asof_join
+from tapeloom.session import stage
 
 PRICE_COLUMNS = ["open", "high", "low", "close"]
 BAR_COLUMNS = [*PRICE_COLUMNS, "volume", "amount"]
@@ -284,7 +285,7 @@ def source_quality(primary: DataFrame, fallback: DataFrame, limits: dict[str, fl
         out = df.withColumn("ret", ratio(F.col("close"), F.lag("close").over(w)) - 1.0).withColumn("bad", bad)
         return out.select("instrument", "dt", *[F.col(c).alias(f"{tag}_{c}") for c in [*BAR_COLUMNS, "ret", "bad"]], F.lit(1).alias(f"_{tag}"))
 
-    both = side(primary, "p").join(side(fallback, "f"), ["instrument", "dt"], "full")
+    both = stage(side(primary, "p").join(side(fallback, "f"), ["instrument", "dt"], "full"), "quality")
     common = F.col("_p").isNotNull() & F.col("_f").isNotNull()
     anchors = both.where(common).groupBy("instrument").agg(F.max_by("p_close", "dt").alias("pa"), F.max_by("f_close", "dt").alias("fa"))
     both = both.join(anchors, "instrument", "left")

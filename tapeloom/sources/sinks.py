@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.reconcile import align_source_scale, apply_scale, latest_per_key, merge_sources
+from tapeloom.session import stage
 
 
 def write_versioned(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
@@ -34,8 +35,6 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list
     The touched partitions are read (pruned by their values), merged and written
     to a staged copy first, because a path cannot be overwritten while it is read.
     """
-    from tapeloom.session import stage
-
     touched = incoming.select(partition).distinct()
     old = spark.read.parquet(path).join(touched, partition, "left_semi")
     merged = stage(upsert_rows(old.select(*incoming.columns), incoming, keys).drop("batch_no"), "upsert")
@@ -56,12 +55,13 @@ def materialize_daily(primary: DataFrame, fallback: DataFrame, existing: DataFra
     def clip(df: DataFrame) -> DataFrame:
         return df.where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
-    p, f = clip(primary), clip(fallback)
+    # Both sources and the result are read several times below; each is built once.
+    p, f = stage(clip(primary), "primary"), stage(clip(fallback), "fallback")
     evidence = align_source_scale(p, f, max_error=max_error)
     merged = merge_sources(p, apply_scale(f, evidence), ["instrument", "dt"]).drop("source_no")
     rows = upsert_rows(existing, merged, ["instrument", "dt"]).drop("batch_no")
     touched = merged.select("instrument").distinct()
-    rows = rows.join(touched, "instrument", "left_semi")
+    rows = stage(rows.join(touched, "instrument", "left_semi"), "daily")
     return rows, materialize_evidence(rows, p, f).join(evidence, "instrument")
 
 
