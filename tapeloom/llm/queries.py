@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import packing, tokenfile, tokens
+from tapeloom.llm import decontam, packing, quality, secrets, tokenfile, tokens, urls
 from tapeloom.llm.registry import query, table
 
 
@@ -17,3 +17,26 @@ def best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
 def repair_token_files(spark: SparkSession, root: str) -> DataFrame:
     files = tokenfile.write(table(spark, root, "documents"), tokens.find(tokens.BYTE_BPE), 50_257)
     return tokenfile.read(files)
+
+
+@query("op5_benchmark_decontamination", decontam.SQL)
+def benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = decontam.find(table(spark, root, "documents"), table(spark, root, "benchmark"), 10, columns=["doc_id"])
+    return decontam.report(found)
+
+
+@query("op6_url_vocabulary", urls.SQL)
+def url_vocabulary(spark: SparkSession, root: str) -> DataFrame:
+    return urls.judge(table(spark, root, "pages"))
+
+
+@query("op8_risk_controlled_rules")
+def risk_controlled_rules(spark: SparkSession, root: str) -> DataFrame:
+    judged = quality.judge(table(spark, root, "documents"), table(spark, root, "labels"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *base)
+
+
+@query("op4_recursive_secret_scan")
+def recursive_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.find(table(spark, root, "documents"), "doc_id")
