@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, packing, quality, secrets, tokenfile, tokens, urls
+from tapeloom.llm import chat, decontam, packing, quality, secrets, tokenfile, tokens, urls, warc
 from tapeloom.llm.registry import query, table
 
 
@@ -40,3 +40,14 @@ def risk_controlled_rules(spark: SparkSession, root: str) -> DataFrame:
 @query("op4_recursive_secret_scan")
 def recursive_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return secrets.find(table(spark, root, "documents"), "doc_id")
+
+
+@query("op1_perspective_rotation", chat.SQL)
+def perspective_rotation(spark: SparkSession, root: str) -> DataFrame:
+    return chat.flat_mask(chat.rotate(table(spark, root, "conversations")))
+
+
+@query("op2_warc_chunk_table")
+def warc_chunk_table(spark: SparkSession, root: str) -> DataFrame:
+    archives = warc.write(table(spark, root, "pages"))
+    return warc.digests(warc.read(archives, with_data=False))
