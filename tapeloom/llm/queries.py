@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import chat, decontam, packing, quality, secrets, tokenfile, tokens, urls, warc
+from tapeloom.llm import chat, decontam, packing, quality, secrets, substring, tokenfile, tokens, urls, warc
 from tapeloom.llm.registry import query, table
 
 
@@ -51,3 +51,8 @@ def perspective_rotation(spark: SparkSession, root: str) -> DataFrame:
 def warc_chunk_table(spark: SparkSession, root: str) -> DataFrame:
     archives = warc.write(table(spark, root, "pages"))
     return warc.digests(warc.read(archives, with_data=False))
+
+
+@query("op9_doubling_windows", substring.SQL)
+def doubling_windows(spark: SparkSession, root: str) -> DataFrame:
+    return substring.remove(table(spark, root, "documents"), 13, 7)
