@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import chat, decontam, packing, quality, secrets, substring, tokenfile, tokens, urls, warc
+from tapeloom.llm import chat, decontam, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc
 from tapeloom.llm.registry import query, table
 
 
@@ -56,3 +56,9 @@ def warc_chunk_table(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_doubling_windows", substring.SQL)
 def doubling_windows(spark: SparkSession, root: str) -> DataFrame:
     return substring.remove(table(spark, root, "documents"), 13, 7)
+
+
+@query("op3_minhash_coordinate_join", neardup.SQL)
+def minhash_coordinate_join(spark: SparkSession, root: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, root, "documents"), 4, 80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
