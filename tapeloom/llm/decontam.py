@@ -164,7 +164,7 @@ def without_hits(text: str | None, hits: list) -> str | None:
 def remove(found: DataFrame, most_hit: float = 0.5) -> DataFrame:
     """Documents without the hit words; those with more than `most_hit` of their words hit go.
 
-    Takes all columns of `find`; a cut text gets a new `n_chars`, if there is one.
+    Takes all columns of `find`; `n_chars`, if there is one, follows a cut text.
     """
     names = [c for c in found.columns if c not in ("n_words", "hits", "items")]
     share = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
@@ -176,10 +176,10 @@ def remove(found: DataFrame, most_hit: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
 
     kinds = dict(found.dtypes)
-    cut = left.where(F.size("hits") > 0).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    out = left.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return left.where(F.size("hits") == 0).select(names).unionByName(cut)
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
+    return out
 
 
 SQL = r"""

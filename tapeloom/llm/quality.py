@@ -62,7 +62,8 @@ def counts(text: bytes, cache: T.WordHashes) -> tuple[int, ...]:
 
 def measure(docs: DataFrame, *columns: str) -> DataFrame:
     """The given columns and `COUNTS` of the whole text (null: no words); columns of the same names are replaced."""
-    kept = [c for c in columns if c not in COUNTS]
+    names = [c for c in columns if c not in COUNTS]
+    kept = ["_raw" if c == "text" else c for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = T.WordHashes()
@@ -71,9 +72,11 @@ def measure(docs: DataFrame, *columns: str) -> DataFrame:
             made = [pa.array(c, pa.int64()) for c in np.array(rows, np.int64).reshape(-1, len(COUNTS)).T]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *COUNTS])
 
-    kinds = dict(docs.dtypes)
+    kinds = dict(docs.dtypes) | {"_raw": "binary"}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} long" for c in COUNTS)])
-    return docs.select(*kept, F.col("text").cast("binary").alias("_raw")).mapInArrow(run, schema)
+    given = docs.select(*[c for c in names if c != "text"], F.col("text").cast("binary").alias("_raw"))
+    out = given.mapInArrow(run, schema)
+    return out.select(*[F.col("_raw").cast(kinds["text"]).alias("text") if c == "text" else F.col(c) for c in names], *COUNTS)
 
 
 def _share(part: Column, whole: Column) -> Column:
