@@ -263,8 +263,7 @@ def _(t):
     frame = factor_frame(t)
     names = ["f_ret", "f_vol", "f_range"]
     stability = evaluation.factor_stability(evaluation.factor_segment_stats(frame, names, "label", "seg"), "seg", "train", "valid")
-    kept = evaluation.factor_whitelist(stability, evaluation.factor_correlations(frame, names), threshold=0.9, min_features=2, max_features=3)
-    return t.spark.createDataFrame(list(zip(kept, range(len(kept)))), "factor string, position long")
+    return evaluation.factor_whitelist(stability, evaluation.factor_correlations(frame, names), threshold=0.9, min_features=2, max_features=3)
 
 
 @query("D15_factor_correlations", "a:s b:s corr:f", with_(BARS_W, FF, f"""

@@ -207,11 +207,14 @@ def _(t):
     return blending.blend_gaps(*two(t))
 
 
-@query("G5_weighted_blend", "dt:d instrument:i score:f r0:f r1:f worst_rank:f mean_rank:f", with_(BARS_W, TWO, f"""
+@query("G5_weighted_blend", "dt:d instrument:i score:f r0:f r1:f worst_rank:f mean_rank:f", with_(BARS_W, f"""
+s1 AS (SELECT dt, instrument, close/open-1 AS score FROM barsw), s2 AS (SELECT dt, instrument, high/low-1 AS score FROM barsw),
 j AS (SELECT dt, instrument, s1.score AS a, s2.score AS b, -s1.score AS na, -s2.score AS nb FROM s1 JOIN s2 USING (dt, instrument)), r AS (SELECT *, {_avg_rank('na', 'dt')} AS r0, {_avg_rank('nb', 'dt')} AS r1 FROM j)""") + """
 SELECT dt, instrument, a*0.75+b*0.25 AS score, r0, r1, greatest(r0, r1) AS worst_rank, (r0+r1)/2 AS mean_rank FROM r""")
 def _(t):
-    return blending.weighted_blend(list(two(t)), [3, 1])
+    b = t.bars_w()
+    moves = [b.select("dt", "instrument", (F.col(x) / F.col(y) - 1).alias("score")) for x, y in (("close", "open"), ("high", "low"))]
+    return blending.weighted_blend(moves, [3, 1])
 
 
 @query("G6_assemble_layers", "layer:s fold:i rows:i", with_(BARS) + """

@@ -64,13 +64,38 @@ def blend_gaps(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
         "candidate_only", b.join(a, KEYS, "left_anti").agg(F.count(F.lit(1))).scalar())
 
 
+def equal_keys(tables: list[DataFrame], same: list[str] | None = None) -> DataFrame:
+    """One row per (dt, instrument) with every table's row as `t0`, `t1`, ...
+
+    Blends are defined on tables with the same keys, each once: a repeated key,
+    one that a table lacks, or a `same` column (fold, label, edge) that differs
+    raises an error.
+    """
+    marked = [m.select(*KEYS, F.lit(i).alias("_i"), F.struct(*[c for c in m.columns if c not in KEYS]).alias("_row")) for i, m in enumerate(tables)]
+    shape = [m.select("_row").schema["_row"].dataType for m in marked]
+    wide = [m.select(*KEYS, "_i", *[(F.col("_row") if i == j else F.lit(None).cast(kind)).alias(f"t{j}") for j, kind in enumerate(shape)])
+            for i, m in enumerate(marked)]
+    out = reduce(DataFrame.unionByName, wide).groupBy(*KEYS).agg(
+        *[F.count_if(F.col("_i") == i).alias(f"_n{i}") for i in range(len(tables))], *[F.any_value(f"t{i}", True).alias(f"t{i}") for i in range(len(tables))])
+    once = reduce(lambda x, y: x & y, [F.col(f"_n{i}") == 1 for i in range(len(tables))])
+    alike = [F.col("t0")[c].eqNullSafe(F.col(f"t{i}")[c]) for c in same or [] for i in range(1, len(tables))]
+    key = F.concat_ws(" ", *[F.col(k).cast("string") for k in KEYS])
+    checked = F.when(~once, F.raise_error(F.concat(F.lit("key not exactly once in every table: "), key)).cast("boolean"))
+    if alike:
+        checked = checked.when(~reduce(lambda x, y: x & y, alike), F.raise_error(F.concat(F.lit(f"tables differ in {', '.join(same)}: "), key)).cast("boolean"))
+    return out.where(checked.otherwise(F.lit(True))).select(*KEYS, *[f"t{i}" for i in range(len(tables))])
+
+
 def weighted_blend(models: list[DataFrame], weights: list[float], group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Weighted score of n tables with equal keys, and rank consensus per date.
 
-    Each table: dt, instrument, score. Ranks count from the best score.
+    Each table: dt, instrument, score, and any of fold, label and edge, which
+    must then agree (see `equal_keys`). Ranks count from the best score.
     """
     total = float(sum(weights))
-    out = reduce(lambda x, y: x.join(y, KEYS), [m.select(*KEYS, F.col("score").alias(f"s{i}")) for i, m in enumerate(models)])
+    same = [c for c in ("fold", "label", "edge") if all(c in m.columns for m in models)]
+    joined = equal_keys([m.select(*KEYS, "score", *same) for m in models], same)
+    out = joined.select(*KEYS, *[F.col("t0")[c].alias(c) for c in same], *[F.col(f"t{i}")["score"].alias(f"s{i}") for i in range(len(models))])
     mix = reduce(lambda x, y: x + y, [F.col(f"s{i}") * (w / total) for i, w in enumerate(weights)])
     out = stage(out.withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))}), "wblend")
     limit = check_groups(out, ["dt"], group_limit)

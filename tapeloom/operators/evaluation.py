@@ -173,29 +173,38 @@ def factor_correlations(df: DataFrame, factors: list[str], group_limit: int = GR
     return one.select(F.inline(rows))
 
 
-def factor_whitelist(stability: DataFrame, correlations: DataFrame, *, threshold: float, min_features: int, max_features: int) -> list[str]:
-    """Greedy pick by stability, skipping factors too close to a kept one.
-
-    Both inputs have at most a few hundred rows (factors and their pairs), so
-    the walk happens on the driver.
+def factor_whitelist(stability: DataFrame, correlations: DataFrame, *, threshold: float, min_features: int, max_features: int) -> DataFrame:
+    """Chosen factors in order: `(factor, position)`.
+
+    Factors stand in an array from the most stable one down, each with the set of
+    factors it is too close to. One fold takes a factor unless its set meets the
+    chosen ones or `max_features` are chosen; it goes over the sound factors, or
+    over the first `min_features` of all if fewer are sound. A second fold over
+    all factors fills up to `min_features`. The array has one entry per factor,
+    a number fixed by the schema.
     """
-    rows = stability.orderBy(F.col("stability").desc(), "factor").select("factor", "same_sign", "stable_ic", "mean_shift", "t_null_ratio").collect()
-    close = {}
-    for r in correlations.collect():
-        close[r["a"], r["b"]] = close[r["b"], r["a"]] = r["corr"] or 0.0
-    good = [r["factor"] for r in rows if r["same_sign"] and r["stable_ic"] > 0 and (r["mean_shift"] or 99) < 3 and r["t_null_ratio"] < 0.25]
-    if len(good) < min_features:
-        good = [r["factor"] for r in rows][:max(min_features, len(good))]
-    kept: list[str] = []
-    for name in good[: max_features * 3]:
-        if len(kept) < max_features and all(close.get((name, k), 0.0) <= threshold for k in kept):
-            kept.append(name)
-    for r in rows:
-        if len(kept) >= min_features:
-            break
-        if r["factor"] not in kept:
-            kept.append(r["factor"])
-    return kept
+    close = correlations.where(F.col("corr") > threshold)
+    both = close.select(F.col("a").alias("factor"), F.col("b").alias("other")).unionByName(
+        close.select(F.col("b").alias("factor"), F.col("a").alias("other")))
+    barred = both.groupBy("factor").agg(F.collect_set("other").alias("barred"))
+    none = F.expr("cast(array() as array<string>)")
+    shift = F.coalesce(F.nullif("mean_shift", F.lit(0.0)), F.lit(99.0))
+    sound = F.coalesce(F.col("same_sign") & (F.col("stable_ic") > 0) & (shift < 3) & (F.col("t_null_ratio") < 0.25), F.lit(False))
+    entry = F.struct(F.coalesce(-F.col("stability"), F.lit(float("inf"))).alias("order"), "factor", sound.alias("sound"), F.coalesce("barred", none).alias("barred"))
+    ranked = stability.join(barred, "factor", "left").groupBy().agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    fit = F.filter("ranked", lambda f: f["sound"])
+    walk = F.when(F.size(fit) >= min_features, fit).otherwise(F.slice("ranked", 1, min_features))
+
+    def unlike(chosen: Column, f: Column) -> Column:
+        free = (F.size(chosen) < max_features) & ~F.arrays_overlap(chosen, f["barred"])
+        return F.when(free, F.concat(chosen, F.array(f["factor"]))).otherwise(chosen)
+
+    def fill(chosen: Column, f: Column) -> Column:
+        wanted = (F.size(chosen) < min_features) & ~F.array_contains(chosen, f["factor"])
+        return F.when(wanted, F.concat(chosen, F.array(f["factor"]))).otherwise(chosen)
+
+    chosen = ranked.withColumn("chosen", F.aggregate(walk, none, unlike))
+    return chosen.select(F.posexplode(F.aggregate("ranked", F.col("chosen"), fill)).alias("position", "factor"))
 
 
 def factor_overlap(factors: DataFrame) -> DataFrame:

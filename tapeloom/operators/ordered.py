@@ -70,8 +70,9 @@ def carry_blocked_targets(targets: DataFrame, blocks: DataFrame, *, retry_sells:
 def budgeted_accept(candidates: DataFrame, *, keys: list[str], order: list[str], cost: str, limit: Column, id_col: str, max_items: int) -> DataFrame:
     """Accept in order while the budget lasts; a later smaller item may still fit.
 
-    `candidates` are already the top-n of each group (`rank` <= max_items), which
-    bounds the array one group builds.
+    Only candidates with `rank` <= max_items can be accepted, which bounds the
+    array one group builds; those behind come back as not accepted, without a
+    running sum.
     """
     rows = candidates.where(F.col("rank") <= max_items).select(
         *keys, F.struct(*order, F.col(id_col).alias("_id"), F.col(cost).cast("double").alias("_c"), limit.cast("double").alias("_lim")).alias("r"))
@@ -86,4 +87,5 @@ def budgeted_accept(candidates: DataFrame, *, keys: list[str], order: list[str],
             r["_id"].alias("_id"), fits.alias("accepted"), used.alias("used"))).alias("out"))
 
     out = seq.select(*keys, F.inline(F.aggregate("rs", start, step, lambda s: s["out"])))
-    return candidates.join(out.withColumnRenamed("_id", id_col), [*keys, id_col])
+    joined = candidates.join(out.withColumnRenamed("_id", id_col), [*keys, id_col], "left")
+    return joined.withColumn("accepted", F.coalesce("accepted", F.lit(False)))

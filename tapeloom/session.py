@@ -33,13 +33,15 @@ def build_session(app: str = "tapeloom", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's `spark.checkpoint.dir`.
 
-    Only where the cluster names none (local tests) a temporary folder is made
-    and remembered in the session.
+    Where the cluster names none, only a session in local mode gets a temporary
+    folder, remembered in the session; on a cluster the executors would each
+    write to a disk of their own, so that is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("tapeloom.scratch.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tapeloom.scratch.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("tapeloom.scratch.dir", root)
     return root.rstrip("/")
