@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.evaluation import daily_ic
-from tapeloom.session import stage
-from tapeloom.skew import GROUP_LIMIT, average_rank, check_groups
+from tapeloom.skew import PER_RANGE, average_rank, check_groups
 
 KEYS = ["dt", "instrument"]
 
@@ -41,16 +40,15 @@ def symbol_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.withColumn("part", F.lit(n)) for n, s in sets.items()])
 
 
-def rank_blend(baseline: DataFrame, candidate: DataFrame, weights: list[float], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def rank_blend(baseline: DataFrame, candidate: DataFrame, weights: list[float], per_range: int = PER_RANGE) -> DataFrame:
     """Per-date percent ranks of two scores and their mixes, long by weight.
 
     Input: dt, instrument, score on both sides.
     """
     both = baseline.select(*KEYS, F.col("score").alias("a")).join(candidate.select(*KEYS, F.col("score").alias("b")), KEYS)
-    frame = stage(both, "blend")
-    limit = check_groups(frame, ["dt"], group_limit)
-    out = average_rank(frame, ["dt"], "a", "a_rank", pct=True, group_limit=limit, staged=True)
-    out = average_rank(out, ["dt"], "b", "b_rank", pct=True, group_limit=limit, staged=True)
+    limit = check_groups(both, ["dt"], per_range)
+    out = average_rank(both, ["dt"], "a", "a_rank", pct=True, per_range=limit)
+    out = average_rank(out, ["dt"], "b", "b_rank", pct=True, per_range=limit)
     mix = F.array(*[F.struct(F.lit(float(w)).alias("weight"), ((1.0 - w) * F.col("a_rank") + w * F.col("b_rank")).alias("blend")) for w in weights])
     return out.select(*KEYS, "a_rank", "b_rank", F.inline(mix))
 
@@ -86,7 +84,7 @@ def equal_keys(tables: list[DataFrame], same: list[str] | None = None) -> DataFr
     return out.where(checked.otherwise(F.lit(True))).select(*KEYS, *[f"t{i}" for i in range(len(tables))])
 
 
-def weighted_blend(models: list[DataFrame], weights: list[float], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def weighted_blend(models: list[DataFrame], weights: list[float], per_range: int = PER_RANGE) -> DataFrame:
     """Weighted score of n tables with equal keys, and rank consensus per date.
 
     Each table: dt, instrument, score, and any of fold, label and edge, which
@@ -97,10 +95,10 @@ def weighted_blend(models: list[DataFrame], weights: list[float], group_limit: i
     joined = equal_keys([m.select(*KEYS, "score", *same) for m in models], same)
     out = joined.select(*KEYS, *[F.col("t0")[c].alias(c) for c in same], *[F.col(f"t{i}")["score"].alias(f"s{i}") for i in range(len(models))])
     mix = reduce(lambda x, y: x + y, [F.col(f"s{i}") * (w / total) for i, w in enumerate(weights)])
-    out = stage(out.withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))}), "wblend")
-    limit = check_groups(out, ["dt"], group_limit)
+    out = out.withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))})
+    limit = check_groups(out, ["dt"], per_range)
     for i in range(len(models)):
-        out = average_rank(out, ["dt"], f"_n{i}", f"r{i}", group_limit=limit, staged=True)
+        out = average_rank(out, ["dt"], f"_n{i}", f"r{i}", per_range=limit)
     ranks = [F.col(f"r{i}") for i in range(len(models))]
     return out.withColumn("worst_rank", F.greatest(*ranks)).withColumn(
         "mean_rank", reduce(lambda x, y: x + y, ranks) / len(models)).drop(*[f"_n{i}" for i in range(len(models))])

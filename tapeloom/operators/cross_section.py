@@ -12,25 +12,25 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import ratio
 from tapeloom.session import stage
-from tapeloom.skew import FITS, GROUP_LIMIT, average_rank, check_groups, quantiles, row_position
+from tapeloom.skew import FITS, PER_RANGE, average_rank, check_groups, quantiles, row_position
 
 
-def rank_pct(df: DataFrame, keys: list[str], value: str, tie: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def rank_pct(df: DataFrame, keys: list[str], value: str, tie: str, per_range: int = PER_RANGE) -> DataFrame:
     """Average percent rank, descending min rank and first rank."""
     frame = stage(df.where(F.col(value).isNotNull()), "rank")
-    limit = check_groups(frame, keys, group_limit)
-    out = average_rank(frame.withColumn("_neg", -F.col(value)), keys, value, "rank_pct", pct=True, group_limit=limit, staged=True)
-    out = average_rank(out, keys, "_neg", "_avg", group_limit=limit, staged=True)
+    limit = check_groups(frame, keys, per_range)
+    out = average_rank(frame.withColumn("_neg", -F.col(value)), keys, value, "rank_pct", pct=True, per_range=limit, staged=True)
+    out = average_rank(out, keys, "_neg", "_avg", per_range=limit, staged=True)
     ties = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
     out = out.join(ties, [*keys, value]).withColumn("rank_min_desc", (F.col("_avg") - (F.col("_t") - 1) / 2.0).cast("long"))
-    return row_position(out.drop("_neg", "_avg", "_t"), keys, value, tie, "rank_first", group_limit=limit, staged=True)
+    return row_position(out.drop("_neg", "_avg", "_t"), keys, value, tie, "rank_first", per_range=limit, staged=True)
 
 
 def cross_sectional(df: DataFrame, keys: list[str], rank_cols: list[str], stat_cols: list[str], breadth: str,
-                    group_limit: int = GROUP_LIMIT) -> DataFrame:
+                    per_range: int = PER_RANGE) -> DataFrame:
     """Universe size, percent ranks, distance to medians, mean/median/std, breadth."""
     frame = stage(df, "xs")
-    limit = check_groups(frame, keys, group_limit)
+    limit = check_groups(frame, keys, per_range)
     medians = list(dict.fromkeys(rank_cols + stat_cols))
     stats = frame.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("universe"),
@@ -40,10 +40,10 @@ def cross_sectional(df: DataFrame, keys: list[str], rank_cols: list[str], stat_c
         *([F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in medians] if limit == FITS else []))
     if limit != FITS:
         for c in medians:
-            stats = stats.join(quantiles(frame, keys, c, {f"{c}_median": 0.5}, group_limit=limit, staged=True), keys, "left")
+            stats = stats.join(quantiles(frame, keys, c, {f"{c}_median": 0.5}, per_range=limit, staged=True), keys, "left")
     out = frame
     for c in rank_cols:
-        out = average_rank(out, keys, c, f"{c}_rank", pct=True, group_limit=limit, staged=True)
+        out = average_rank(out, keys, c, f"{c}_rank", pct=True, per_range=limit, staged=True)
     out = out.join(stats, keys)
     return out.withColumns({f"{c}_rel": F.col(c) - F.col(f"{c}_median") for c in rank_cols})
 
@@ -87,13 +87,13 @@ def broadcast_date_fields(df: DataFrame, daily: DataFrame) -> DataFrame:
     return df.join(F.broadcast(daily), "dt", "left")
 
 
-def fit_robust_scale(df: DataFrame, features: list[str], start: str, end: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def fit_robust_scale(df: DataFrame, features: list[str], start: str, end: str, per_range: int = PER_RANGE) -> DataFrame:
     """Median and MAD per feature over a fit range: `feature, median, mad`."""
     day = F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     long = stage(df.where(day).select("dt", *features).unpivot(["dt"], features, "feature", "value").drop("dt"), "fit")
-    med = quantiles(long, ["feature"], "value", {"median": 0.5}, group_limit=group_limit, staged=True)
+    med = quantiles(long, ["feature"], "value", {"median": 0.5}, per_range=per_range, staged=True)
     dev = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("dev"))
-    return med.join(quantiles(dev, ["feature"], "dev", {"mad": 0.5}, group_limit=group_limit), "feature")
+    return med.join(quantiles(dev, ["feature"], "dev", {"mad": 0.5}, per_range=per_range), "feature")
 
 
 def apply_robust_scale(df: DataFrame, fitted: DataFrame, features: list[str], clip: float = 3.0) -> DataFrame:

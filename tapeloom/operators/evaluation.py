@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import EPS, pair_corr, ratio
 from tapeloom.session import stage
-from tapeloom.skew import FITS, GROUP_LIMIT, average_rank, check_groups, quantiles, row_position, value_counts
+from tapeloom.skew import FITS, PER_RANGE, average_rank, check_groups, quantiles, row_position, value_counts
 
 
 def market_breadth(panel: DataFrame, ret: str, eligible: Column | None = None) -> DataFrame:
@@ -58,25 +58,24 @@ def bucket_of_rank(rank: Column, n: Column, k: int) -> Column:
     return F.greatest(F.lit(0), F.ceil((rank - 1) * k / F.nullif(n - 1, F.lit(0))) - 1)
 
 
-def quantile_buckets(df: DataFrame, signal: str, tie: str, outcomes: list[str], k: int = 5, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def quantile_buckets(df: DataFrame, signal: str, tie: str, outcomes: list[str], k: int = 5, per_range: int = PER_RANGE) -> DataFrame:
     """Mean outcome per signal bucket over the whole sample."""
     rows = stage(df.select(signal, tie, *outcomes).dropna(subset=[signal, *outcomes]), "qb")
     n = rows.count()
-    ranked = row_position(rows, [], signal, tie, "_r", group_limit=group_limit, staged=True)
+    ranked = row_position(rows, [], signal, tie, "_r", per_range=per_range, staged=True)
     return ranked.withColumn("bucket", F.coalesce(bucket_of_rank(F.col("_r"), F.lit(n), k), F.lit(0))).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(signal).alias("signal_mean"), *[F.avg(o).alias(f"{o}_mean") for o in outcomes])
 
 
 def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, *, min_names: int = 3, min_distinct: int = 2,
-                     group_limit: int = GROUP_LIMIT) -> DataFrame:
+                     per_range: int = PER_RANGE) -> DataFrame:
     """Spearman per group over rows with both values: average ranks, then Pearson."""
     rows = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
-    frame = stage(rows, "ic")
-    limit = check_groups(frame, keys, group_limit)
-    ranked = average_rank(frame, keys, x, "_rx", group_limit=limit, staged=True)
-    ranked = average_rank(ranked, keys, y, "_ry", group_limit=limit, staged=True)
+    limit = check_groups(rows, keys, per_range)
+    ranked = average_rank(rows, keys, x, "_rx", per_range=limit)
+    ranked = average_rank(ranked, keys, y, "_ry", per_range=limit)
     aggs = [F.count(F.lit(1)).alias("n"), pair_corr(F.col("_rx"), F.col("_ry")).alias("ic")]
     if min_distinct > 2:
         aggs += [F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy")]
@@ -86,10 +85,10 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, *, min_name
     return out.drop("_all")
 
 
-def daily_ic(df: DataFrame, score: str, label: str, *, min_names: int = 3, min_distinct: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def daily_ic(df: DataFrame, score: str, label: str, *, min_names: int = 3, min_distinct: int = 2, per_range: int = PER_RANGE) -> DataFrame:
     """Rank correlation of score and label per date (undefined dates dropped)."""
     return rank_correlation(df, ["dt"], score, label, min_names=min_names, min_distinct=min_distinct,
-                            group_limit=group_limit).where("ic is not null")
+                            per_range=per_range).where("ic is not null")
 
 
 def mature(ic: DataFrame, label_cal: DataFrame) -> DataFrame:
@@ -107,20 +106,20 @@ def pooled_ic(df: DataFrame, score: str, label: str, *, target: str | None = Non
         "monthly_ic_std", monthly.agg(F.stddev_samp("ic")).scalar())
 
 
-def alpha_scorecard(df: DataFrame, score: str, label: str, tops: list[int], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def alpha_scorecard(df: DataFrame, score: str, label: str, tops: list[int], per_range: int = PER_RANGE) -> DataFrame:
     """Coefficient summary, decile means and top-k outcomes as `(metric, value)`."""
     rows = stage(df.select("dt", "instrument", score, label).dropna(), "card")
-    limit = check_groups(rows, ["dt"], group_limit)
-    ic = daily_ic(rows, score, label, group_limit=limit).agg(
+    limit = check_groups(rows, ["dt"], per_range)
+    ic = daily_ic(rows, score, label, per_range=limit).agg(
         F.avg("ic").alias("ic_mean"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"),
         F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"))
-    up = row_position(rows, ["dt"], score, "instrument", "_r", group_limit=limit, staged=True)
+    up = row_position(rows, ["dt"], score, "instrument", "_r", per_range=limit, staged=True)
     sizes = rows.groupBy("dt").agg(F.count(F.lit(1)).alias("_n"))
     up = up.join(F.broadcast(sizes), "dt").withColumn("_d", F.least(F.lit(9), F.greatest(F.lit(0), F.ceil(F.col("_r") * 10 / F.col("_n")) - 1)))
     dec = up.groupBy().agg(F.avg(F.when(F.col("_d") == 0, F.col(label))).alias("bottom_decile"),
                            F.avg(F.when(F.col("_d") == 9, F.col(label))).alias("top_decile"))
     dec = dec.withColumn("decile_spread", F.col("top_decile") - F.col("bottom_decile"))
-    down = row_position(rows, ["dt"], score, "instrument", "_k", descending=True, group_limit=limit, staged=True)
+    down = row_position(rows, ["dt"], score, "instrument", "_k", descending=True, per_range=limit, staged=True)
     per_day = down.where(F.col("_k") <= max(tops)).groupBy("dt").agg(
         *[F.avg(F.when(F.col("_k") <= k, F.col(label))).alias(f"t{k}") for k in tops])
     top = per_day.agg(*[e for k in tops for e in (
@@ -131,14 +130,14 @@ def alpha_scorecard(df: DataFrame, score: str, label: str, tops: list[int], grou
 
 
 def factor_segment_stats(df: DataFrame, factors: list[str], label: str, segment: str, *, min_names: int = 20,
-                         group_limit: int = GROUP_LIMIT) -> DataFrame:
+                         per_range: int = PER_RANGE) -> DataFrame:
     """Per factor and segment: coefficient stats, pooled coefficient, moments, nulls."""
     long = stage(df.select("dt", segment, label, *factors).unpivot(["dt", segment, label], factors, "factor", "value"), "seg")
     keys = ["factor", segment]
-    daily = rank_correlation(long, [*keys, "dt"], "value", label, min_names=min_names, group_limit=group_limit).where("ic is not null")
+    daily = rank_correlation(long, [*keys, "dt"], "value", label, min_names=min_names, per_range=per_range).where("ic is not null")
     ic = daily.groupBy(*keys).agg(
         F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"))
-    pooled = rank_correlation(long, keys, "value", label, min_names=20, group_limit=group_limit).select(*keys, F.col("ic").alias("pooled_ic"))
+    pooled = rank_correlation(long, keys, "value", label, min_names=20, per_range=per_range).select(*keys, F.col("ic").alias("pooled_ic"))
     moments = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                       F.avg(F.col("value").isNull().cast("double")).alias("null_ratio"))
     out = moments.join(ic, keys, "left").join(pooled, keys, "left")
@@ -157,7 +156,7 @@ def factor_stability(stats: DataFrame, segment: str, train, valid) -> DataFrame:
         "stability", F.col("stable_ic") * F.sqrt(share) / (1.0 + F.coalesce("mean_shift", F.lit(10.0))))
 
 
-def factor_correlations(df: DataFrame, factors: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def factor_correlations(df: DataFrame, factors: list[str], per_range: int = PER_RANGE) -> DataFrame:
     """Absolute rank correlation of every factor pair (a < b) over all rows.
 
     Ranks are made per factor in long form, then every pair is one term of a
@@ -165,7 +164,7 @@ def factor_correlations(df: DataFrame, factors: list[str], group_limit: int = GR
     """
     base = df.select("instrument", "dt", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in factors])
     long = stage(base.unpivot(["instrument", "dt"], factors, "factor", "value"), "fc")
-    ranked = average_rank(long, ["factor"], "value", "r", group_limit=group_limit, staged=True)
+    ranked = average_rank(long, ["factor"], "value", "r", per_range=per_range, staged=True)
     wide = ranked.groupBy("instrument", "dt").pivot("factor", factors).agg(F.first("r"))
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
     one = wide.agg(*[F.abs(pair_corr(F.col(a), F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
@@ -305,16 +304,16 @@ def threshold_grid(df: DataFrame, score: str, outcome: str, fixed: list[float],
         "coverage", F.col("rows") / total)
 
 
-def prediction_profile(df: DataFrame, score: str, label: str, *, share: float = 0.1, min_names: int = 5, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def prediction_profile(df: DataFrame, score: str, label: str, *, share: float = 0.1, min_names: int = 5, per_range: int = PER_RANGE) -> DataFrame:
     """Per date: count, moments, range, coefficient and top/bottom spread."""
     rows = stage(df.select("dt", "instrument", score, label).dropna(), "prof")
-    limit = check_groups(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], per_range)
     stats = rows.groupBy("dt").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"),
                                    F.min(score).alias("low"), F.max(score).alias("high")).where(F.col("n") >= min_names)
     k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
-    pos = row_position(rows, ["dt"], score, "instrument", "_r", group_limit=limit, staged=True).join(F.broadcast(stats.select("dt", "n")), "dt")
+    pos = row_position(rows, ["dt"], score, "instrument", "_r", per_range=limit, staged=True).join(F.broadcast(stats.select("dt", "n")), "dt")
     spread = pos.groupBy("dt").agg((F.avg(F.when(F.col("_r") > F.col("n") - k, F.col(label))) - F.avg(F.when(F.col("_r") <= k, F.col(label)))).alias("spread"))
-    ic = daily_ic(rows, score, label, min_names=min_names, group_limit=limit).select("dt", "ic")
+    ic = daily_ic(rows, score, label, min_names=min_names, per_range=limit).select("dt", "ic")
     return stats.join(spread, "dt").join(ic, "dt", "left")
 
 
@@ -325,15 +324,15 @@ def profile_quantiles(daily: DataFrame, columns: list[str], qs: list[float]) ->
     return long.groupBy("field").agg(found.alias("f")).select("field", F.inline("f"))
 
 
-def daily_meta_frame(df: DataFrame, score: str, edge: str, top: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def daily_meta_frame(df: DataFrame, score: str, edge: str, top: int, per_range: int = PER_RANGE) -> DataFrame:
     """Per date: count, level, spread and shape of the scores, edge of the top names."""
     rows = stage(df.select("dt", "instrument", score, edge), "meta")
-    limit = check_groups(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], per_range)
     s = F.col(score)
     base = rows.groupBy("dt").agg(
         F.count(F.lit(1)).cast("double").alias("held_count"), F.max(s).alias("score_max"), F.stddev_pop(s).alias("score_std"),
         F.avg(F.coalesce((s >= 0.5).cast("double"), F.lit(0.0))).alias("share_above_half"))
-    q = quantiles(rows, ["dt"], score, {"score_median": 0.5, "score_q75": 0.75, "score_q90": 0.9}, group_limit=limit, staged=True)
+    q = quantiles(rows, ["dt"], score, {"score_median": 0.5, "score_q75": 0.75, "score_q90": 0.9}, per_range=limit, staged=True)
     order = Window.partitionBy("dt").orderBy(s.desc(), "instrument")
     best = rows.where(s.isNotNull()).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top)
     tops = best.groupBy("dt").agg(F.avg(s).alias("top_mean"), F.max(F.when(F.col("_k") == 1, s)).alias("_1"),
@@ -344,15 +343,15 @@ def daily_meta_frame(df: DataFrame, score: str, edge: str, top: int, group_limit
         "positive": (F.coalesce("realized_edge", F.lit(0.0)) > 0).cast("double")}).drop("_1", "_2")
 
 
-def context_aggregate(df: DataFrame, medians: list[str], sums: list[str], means: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def context_aggregate(df: DataFrame, medians: list[str], sums: list[str], means: list[str], per_range: int = PER_RANGE) -> DataFrame:
     """Per-date medians, sums, means and one std of context columns."""
     rows = stage(df.select("dt", *dict.fromkeys(medians + sums + means)), "ctx")
-    limit = check_groups(rows, ["dt"], group_limit)
+    limit = check_groups(rows, ["dt"], per_range)
     out = rows.groupBy("dt").agg(*[F.sum(c).alias(f"{c}_sum") for c in sums], *[F.avg(c).alias(f"{c}_mean") for c in means],
                                  F.stddev_samp(means[-1]).alias(f"{means[-1]}_std"),
                                  *([F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in medians] if limit == FITS else []))
     for c in medians if limit != FITS else []:
-        out = out.join(quantiles(rows, ["dt"], c, {f"{c}_median": 0.5}, group_limit=limit, staged=True), "dt", "left")
+        out = out.join(quantiles(rows, ["dt"], c, {f"{c}_median": 0.5}, per_range=limit, staged=True), "dt", "left")
     return out
 
 

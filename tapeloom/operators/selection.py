@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.symbols import min_lot
 from tapeloom.session import stage
-from tapeloom.skew import GROUP_LIMIT, row_position
+from tapeloom.skew import PER_RANGE, row_position
 
 
 def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int) -> DataFrame:
@@ -101,14 +101,14 @@ def one_sided_candidates(df: DataFrame, *, n: int, at_least: float | None = None
 
 
 def prefix_until_share(df: DataFrame, keys: list[str], value: str, tie: str, share: float, max_rows: int | None = None,
-                       group_limit: int = GROUP_LIMIT) -> DataFrame:
+                       per_range: int = PER_RANGE) -> DataFrame:
     """Largest first until the running sum reaches a share of the group's total.
 
     The first row always counts. Positions are exact for groups of any size; the
     running sum then runs per block of positions plus the sums of earlier blocks.
     """
     block = 100_000
-    frame = row_position(stage(df, "prefix"), keys, value, tie, "pos", descending=True, group_limit=group_limit, staged=True)
+    frame = row_position(stage(df, "prefix"), keys, value, tie, "pos", descending=True, per_range=per_range, staged=True)
     frame = frame.withColumn("_b", F.floor((F.col("pos") - 1) / block))
     sums = frame.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

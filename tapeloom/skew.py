@@ -1,12 +1,13 @@
 """Ranks, positions and exact quantiles inside groups of any size.
 
-A group (a date, a class, the whole table) may hold a third of all rows. Each
-function first checks the largest group. Up to `group_limit` rows it uses one
-plain window. Beyond it, the group is cut into value ranges at the global
-`percentile_approx` points: a group with a share f of the rows is spread over
-about f * PARTS ranges, equal values are counted before the shuffle, and range
-offsets (at most 2 * PARTS per group) turn local counts into exact global ones.
-The split points only steer the load, so results are exact either way.
+A group (a date, a class, the whole table) may hold a third of all rows. The
+rows are cut into value ranges of about `per_range` rows: the number of ranges
+follows the row count, and a single range is one plain window per group. Range
+points are values of the column itself, compared in its own order (numbers of
+any width, text, dates), taken once from a hash sample and then fixed in the
+plan. They only steer the load: equal values are counted before the shuffle,
+copies of one value are cut again by the tie column, and range offsets turn
+local counts into exact global ones.
 """
 
 from __future__ import annotations
@@ -16,48 +17,48 @@ from pyspark.sql import functions as F
 
 from tapeloom.session import stage
 
-PARTS = 256
-GROUP_LIMIT = 2_000_000
+PER_RANGE = 1_000_000
+SAMPLE = 8  # sampled values per range
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest group (one small aggregate, one row back)."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n").alias("m")).first()["m"] or 0
+class Ranges(int):
+    """Number of ranges that the rows of a frame need; pass it on to spare later calls the count."""
 
 
-# Pass these as `group_limit` to reuse one earlier check over several calls.
-FITS, SPREAD = 2**62, -1
+FITS = Ranges(1)
 
 
-def check_groups(df: DataFrame, keys: list[str], group_limit: int = GROUP_LIMIT) -> int:
-    """FITS when one window per group is safe, SPREAD when groups must be cut."""
-    if group_limit in (FITS, SPREAD):
-        return group_limit
-    return FITS if largest_group(df, keys) <= group_limit else SPREAD
+def check_groups(df: DataFrame, keys: list[str], per_range: int = PER_RANGE) -> Ranges:
+    """Ranges needed: 1 if the largest group has at most `per_range` rows, else by the whole row count."""
+    if isinstance(per_range, Ranges):
+        return per_range
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m"), F.sum("_n").alias("s")).first()
+    return FITS if (sizes["m"] or 0) <= per_range else Ranges(-(-sizes["s"] // max(1, per_range)))
 
 
-def _split_points(df: DataFrame, value: str) -> Column:
-    """Scalar subquery: sorted array of PARTS-1 split points of a column."""
-    probs = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
-    points = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(20_000))
-    return df.agg(points.alias("_pts")).scalar()
+def _points(df: DataFrame, columns: list[str], ranges: int) -> list[Column]:
+    """Per column an array of up to `ranges - 1` ascending values, fixed in the plan."""
+    rows = df.count()
+    every = max(1, rows // (SAMPLE * ranges))
+    picked = df.select(*columns).where(F.pmod(F.xxhash64(*columns), F.lit(every)) == 0).distinct().collect()
+    out = []
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        values = sorted({r[c] for r in picked if r[c] is not None and r[c] == r[c]})
+        chosen = sorted({values[k * len(values) // ranges] for k in range(1, ranges)}) if values else []
+        out.append(F.array(*[F.lit(v).cast(kind) for v in chosen]).cast(f"array<{kind}>"))
+    return out
 
 
-def _range_no(value: Column, points: Column) -> Column:
-    """Number of split points below the value, by binary search."""
-    steps, width = [], PARTS // 2
-    while width:
-        steps.append(width)
-        width //= 2
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.element_at(points, at + step) < value, at + step).otherwise(at),
-    )
-    return F.when(points.isNull(), F.lit(0)).otherwise(found)
+def _range_no(value: Column, points: Column, ranges: int) -> Column:
+    """Number of points below the value, by binary search."""
+    steps = [1 << k for k in reversed(range(ranges.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(points)) & (F.try_element_at(points, at + step) < value), at + step).otherwise(at))
+
+
+def _by(keys: list[str], *more: str):
+    return Window.partitionBy(*(keys or [F.lit(0)]), *more)
 
 
 def value_counts(
@@ -66,36 +67,34 @@ def value_counts(
     value: str,
     extra: dict[str, Column] | None = None,
     weight: Column | None = None,
+    per_range: int = PER_RANGE,
 ) -> DataFrame:
     """One row per (keys, value): `n` equal rows, `below` smaller rows, `total`.
 
     `extra` adds further sums per value, for example positives for an AUC. A
     0/1 `weight` counts only part of the rows (a calibration sample).
     """
-    points = _split_points(df, value)
-    extra = extra or {}
     counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    hist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(counted.alias("n"), *[c.alias(name) for name, c in extra.items()])
-        .withColumn("_pts", points)
-        .withColumn("_b", _range_no(F.col(value).cast("double"), F.col("_pts")))
-        .drop("_pts")
-    )
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
+    known = df.where(F.col(value).isNotNull())
+    hist = known.groupBy(*keys, value).agg(counted.alias("n"), *[c.alias(name) for name, c in (extra or {}).items()])
+    ranges = check_groups(known, keys, per_range)
+    if ranges == FITS:
+        before = _by(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(_by(keys)))
+    points, = _points(known, [value], ranges)
+    hist = hist.withColumn("_b", _range_no(F.col(value), points, ranges))
+    before = _by(keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
         hist.groupBy(*keys, "_b")
         .agg(F.sum("n").alias("_m"))
         .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-        .withColumn("total", F.sum("_m").over(per_key))
+        .withColumn("total", F.sum("_m").over(_by(keys)))
         .drop("_m")
     )
-    local = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = _by(keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         hist.withColumn("_loc", F.coalesce(F.sum("n").over(local), F.lit(0)))
-        .join(ranges, [*keys, "_b"])
+        .join(offsets, [*keys, "_b"])
         .withColumn("below", F.col("_off") + F.col("_loc"))
         .drop("_b", "_off", "_loc")
     )
@@ -108,20 +107,24 @@ def average_rank(
     out: str,
     *,
     pct: bool = False,
-    group_limit: int = GROUP_LIMIT,
+    per_range: int = PER_RANGE,
     staged: bool = False,
 ) -> DataFrame:
-    """Average rank of a value in its group (nulls get none), or rank / count."""
-    frame = df if staged else stage(df, "rank")
-    if check_groups(frame, keys, group_limit) == FITS:
-        by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        up = by.orderBy(F.col(value).asc_nulls_last())
+    """Average rank of a value in its group (nulls get none), or rank / count.
+
+    A frame that needs several ranges is read twice and therefore written first,
+    unless the caller has done so (`staged`).
+    """
+    ranges = check_groups(df, keys, per_range)
+    if ranges == FITS:
+        up = _by(keys).orderBy(F.col(value).asc_nulls_last())
         known = F.col(value).isNotNull()
         # rank() is the first position of equal values, the running count their last.
         rank = (F.rank().over(up) + F.count(value).over(up)) / 2.0
-        total = F.count(value).over(by)
-        return frame.withColumn(out, F.when(known, rank / total if pct else rank))
-    ranks = value_counts(frame, keys, value)
+        total = F.count(value).over(_by(keys))
+        return df.withColumn(out, F.when(known, rank / total if pct else rank))
+    frame = df if staged else stage(df, "rank")
+    ranks = value_counts(frame, keys, value, per_range=ranges)
     rank = F.col("below") + (F.col("n") + 1) / 2.0
     ranks = ranks.select(*keys, value, (rank / F.col("total") if pct else rank).alias(out))
     return frame.join(ranks, [*keys, value], "left")
@@ -135,45 +138,37 @@ def row_position(
     out: str,
     *,
     descending: bool = False,
-    group_limit: int = GROUP_LIMIT,
+    per_range: int = PER_RANGE,
     staged: bool = False,
 ) -> DataFrame:
     """1-based position by (value, tie ascending) in the group, exact and unique.
 
-    Rows with a null value are dropped. Large groups are cut at the split points
-    of the value; copies of one split value are cut again by the tie column.
+    Rows with a null value are dropped. Ranges lie between the points of the
+    value; copies of one point are cut again by the tie column, null first.
     """
-    frame = (df if staged else stage(df, "pos")).where(F.col(value).isNotNull())
+    known = df.where(F.col(value).isNotNull())
+    ranges = check_groups(known, keys, per_range)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if check_groups(frame, keys, group_limit) == FITS:
-        by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order, F.col(tie).asc())
-        return frame.withColumn(out, F.row_number().over(by).cast("long"))
-    number = F.col(value).cast("double")
-    cut = (
-        frame.withColumn("_pv", _split_points(frame, value))
-        .withColumn("_pt", _split_points(frame, tie))
-        .withColumn("_b", _range_no(number, F.col("_pv")))
-        .withColumn("_eq", F.coalesce(F.try_element_at("_pv", F.col("_b") + 1) == number, F.lit(False)))
-        .withColumn("_t", F.when(F.col("_eq"), _range_no(F.col(tie).cast("double"), F.col("_pt"))).otherwise(0))
-        .withColumn("_b", F.col("_b") * 2 + F.col("_eq").cast("int"))
-        .drop("_pv", "_pt", "_eq")
-    )
+    if ranges == FITS:
+        return known.withColumn(out, F.row_number().over(_by(keys).orderBy(order, F.col(tie).asc())).cast("long"))
+    frame = known if staged else stage(known, "pos")
+    points, ties = _points(frame, [value, tie], ranges) if value != tie else _points(frame, [value], ranges) * 2
+    cut = frame.withColumn("_b", _range_no(F.col(value), points, ranges))
+    equal = F.coalesce(F.try_element_at(points, F.col("_b") + 1) == F.col(value), F.lit(False))
+    cut = cut.withColumn("_t", F.when(equal & F.col(tie).isNotNull(), 1 + _range_no(F.col(tie), ties, ranges)).otherwise(0)).withColumn(
+        "_b", F.col("_b") * 2 + equal.cast("int"))
     first = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(first, F.col("_t").asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranges = (
+    before = _by(keys).orderBy(first, F.col("_t").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
         cut.groupBy(*keys, "_b", "_t")
         .agg(F.count(F.lit(1)).alias("_m"))
         .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0)))
         .drop("_m")
     )
-    local = Window.partitionBy(*keys, "_b", "_t").orderBy(order, F.col(tie).asc())
+    local = _by(keys, "_b", "_t").orderBy(order, F.col(tie).asc())
     return (
         cut.withColumn("_loc", F.row_number().over(local))
-        .join(ranges, [*keys, "_b", "_t"])
+        .join(offsets, [*keys, "_b", "_t"])
         .withColumn(out, (F.col("_off") + F.col("_loc")).cast("long"))
         .drop("_b", "_t", "_off", "_loc")
     )
@@ -185,17 +180,17 @@ def quantiles(
     value: str,
     wanted: dict[str, float],
     *,
-    group_limit: int = GROUP_LIMIT,
+    per_range: int = PER_RANGE,
     staged: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per name."""
     frame = df.where(F.col(value).isNotNull())
-    if not staged:
-        frame = stage(frame.select(*keys, value), "quant")
-    if check_groups(frame, keys, group_limit) == FITS:
+    ranges = check_groups(frame, keys, per_range)
+    if ranges == FITS:
         aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in wanted.items()]
         return frame.groupBy(*keys).agg(*aggs)
-    counts = value_counts(frame, keys, value)
+    frame = frame if staged else stage(frame.select(*keys, value), "quant")
+    counts = value_counts(frame, keys, value, per_range=ranges)
     aggs = []
     for name, q in wanted.items():
         at = (F.col("total") - 1) * F.lit(float(q))
