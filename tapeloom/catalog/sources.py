@@ -30,9 +30,15 @@ def _(t):
     dirty = text.withColumn("close", F.when(F.day(F.col("dt").cast("date")) == 11, "n/a").otherwise(F.col("close"))).withColumn(
         "dt", F.when(F.day(F.col("dt").cast("date")) == 13, "bad").otherwise(F.col("dt")))
     later = b.where(F.month("dt") == 5).withColumn("close", F.col("close") * 2).select(*[F.col(c).cast("string").alias(c) for c in ZH])
-    _csv(dirty.withColumnsRenamed(ZH), f"{root}/b0", "GBK")
-    _csv(later.withColumnsRenamed(ZH), f"{root}/b1", "GBK")
-    return readers.read_bars(t.spark, [root], encoding="GBK").withColumnRenamed("date", "dt")
+    # Three layouts: GBK words, the same in UTF-8 with other dates, and English names in another order.
+    odd = F.col("instrument").cast("int") % 3
+    _csv(dirty.where(odd == 0).withColumnsRenamed(ZH), f"{root}/b0", "GBK")
+    slashed = dirty.withColumn("dt", F.coalesce(F.date_format(F.col("dt").try_cast("date"), "yyyy/M/d"), F.col("dt")))
+    _csv(slashed.where(odd == 1).withColumnsRenamed(ZH), f"{root}/b1")
+    digits = dirty.withColumn("dt", F.coalesce(F.date_format(F.col("dt").try_cast("date"), "yyyyMMdd"), F.col("dt")))
+    _csv(digits.where(odd == 2).select("instrument", F.col("dt").alias("date"), "low", "high", "close", "open", "amount", F.col("volume").alias("vol")), f"{root}/b2")
+    _csv(later.withColumnsRenamed(ZH), f"{root}/c", "GBK")
+    return readers.read_bars(t.spark, [root]).withColumnRenamed("date", "dt")
 
 
 @query("A2_read_bar_panel", "instrument:i dt:d close:f amount:f2", with_(BARS) + "SELECT instrument, dt, close, amount FROM bars WHERE dt BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'")
@@ -50,6 +56,15 @@ def _(t):
     return readers.read_minute_bars(t.spark, [root])
 
 
+@query("A3_zip_minute_bars", "instrument:s dt:d minute_of_day:i close:f volume:f factor:f", with_(MINUTES) + "SELECT instrument, dt, minute_of_day, close, volume, 1.0 AS factor FROM minutes")
+def _(t):
+    root = scratch_path(t.spark, "zips")
+    ts = F.col("dt").cast("timestamp") + F.make_dt_interval(mins=F.col("minute_of_day"))
+    fields = {"时间": F.date_format(ts, "yyyy/M/d H:mm:ss"), "代码": F.col("instrument"), **{ZH[c]: F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume", "amount")}}
+    sinks.write_zip_csv(t.minutes().select(*[c.alias(n) for n, c in fields.items()]), root, "代码")
+    return readers.read_zip_minute_bars(t.spark, root)
+
+
 @query("A4_source_pruning", "year:i rows:i", with_(BARS) + "SELECT year(dt) AS year, count(*) AS rows FROM bars WHERE year(dt) BETWEEN 1995 AND 1996 GROUP BY 1")
 def _(t):
     root = scratch_path(t.spark, "pruned")

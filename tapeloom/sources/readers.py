@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 from tapeloom.functions.symbols import normalize_symbol
 from tapeloom.operators.reconcile import latest_per_key
 
-# Accepted header spellings per canonical column.
+# Accepted header spellings per canonical column, and the canonical columns themselves.
 SYNONYMS = {
     "date": ["date", "datetime", "trade_date", "日期", "时间", "交易日期"],
     "instrument": ["instrument", "symbol", "代码", "股票代码"],
@@ -50,15 +53,25 @@ def canonical_columns(df: DataFrame, extra: list[str] | None = None) -> DataFram
     return df.select(*cols, *(extra or []))
 
 
-def gbk_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files whose header is not valid UTF-8.
+def file_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str]]:
+    """(file, first line, charset) of every file that has a line.
 
-    Only header lines carry words, so an invalid line names its file; one small
-    list of paths comes back.
+    The first line of a file is that with the least row number of its first
+    block, found by a grouped minimum that combines before the shuffle. The
+    charset follows from that line alone: UTF-8 if it is valid, else GBK.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("f"))
-    bad = lines.where(~F.is_valid_utf8("value")).select("f").distinct()
-    return [r["f"] for r in bad.collect()]
+    first = (
+        spark.read.option("recursiveFileLookup", "true").text(paths)
+        .select(F.col("value"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        .where("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("head"))
+        .select("f", F.is_valid_utf8("head").alias("utf"), F.col("head").cast("binary").alias("head")).collect())
+    kinds = {True: "UTF-8", False: "GBK"}
+    return sorted((unquote(r["f"]), bytes(r["head"]).decode(kinds[r["utf"]]).lstrip("\ufeff"), kinds[r["utf"]]) for r in first)
+
+
+def gbk_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files whose header is not valid UTF-8."""
+    return [f for f, _, charset in file_headers(spark, paths) if charset == "GBK"]
 
 
 def _load_order() -> Column:
@@ -72,34 +85,78 @@ def allow_charset(spark: SparkSession, encoding: str) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def read_csv_text(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    allow_charset(spark, encoding)
-    return spark.read.option("header", "true").option("encoding", encoding).option("recursiveFileLookup", "true").csv(paths)
+def read_csv_text(spark: SparkSession, paths: list[str], encoding: str | None = None) -> list[DataFrame]:
+    """The files as text columns, one frame per different header and charset.
+
+    Each file is read under its own header, so files may order, name and omit
+    columns differently. `encoding` overrides the charset found per file. Adds
+    the load order `_o` and the path `_f`. The number of frames is that of the
+    layouts in use; without files there are none.
+    """
+    layouts: dict[tuple[str, str], list[str]] = {}
+    for path, head, charset in file_headers(spark, paths):
+        layouts.setdefault((head, encoding or charset), []).append(path)
+    frames = []
+    for (head, charset), files in layouts.items():
+        allow_charset(spark, charset)
+        names = next(csv.reader([head]))
+        schema = T.StructType([T.StructField(n if n not in names[:k] else f"{n}#{k}", T.StringType()) for k, n in enumerate(names)])
+        raw = spark.read.schema(schema).option("header", "true").option("encoding", charset).csv(files)
+        frames.append(raw.select("*", _load_order().alias("_o"), F.col("_metadata.file_path").alias("_f")))
+    return frames
+
+
+# Accepted spellings besides ISO dates; a stamp may carry a time of day.
+STAMPS = ("yyyyMMdd", "yyyy/M/d", "yyyyMMddHHmmss", "yyyyMMdd HH:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss")
+
+
+def parse_stamp(text: Column) -> Column:
+    """Timestamp from ISO or one of `STAMPS`, else null.
 
+    Eight digits are a date: the ISO reading of such a string as a year is not
+    asked for.
+    """
+    plain = F.trim(text)
+    iso = F.when(~plain.rlike(r"^\d+$"), F.try_to_timestamp(plain))
+    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(p)) for p in STAMPS])
+
+
+def _bar_rows(spark: SparkSession, paths: list[str], encoding: str | None, instrument_from_path: str | None, minute: bool) -> DataFrame:
+    frames = [canonical_columns(f, ["_o", "_f"]) for f in read_csv_text(spark, paths, encoding)]
+    if not frames:
+        raise ValueError(f"no file with a header under {paths}")
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    if instrument_from_path:
+        out = out.withColumn("instrument", F.regexp_extract("_f", instrument_from_path, 1))
+    stamp = parse_stamp(F.col("date"))
+    return out.withColumn("_text", F.col("date")).withColumn("date", stamp if minute else stamp.cast("date"))
 
-def read_bars(spark: SparkSession, paths: list[str], *, encoding: str = "UTF-8", instrument_from_path: str | None = None,
+
+def read_bars(spark: SparkSession, paths: list[str], *, encoding: str | None = None, instrument_from_path: str | None = None,
               minute: bool = False) -> DataFrame:
     """Bars from CSV: rename, coerce, drop bad dates, keep the last row per key.
 
     `instrument_from_path` is a pattern whose first group is the instrument, for
-    layouts with one file per symbol.
+    layouts with one file per symbol. `dropped_rows` counts what bad dates cost.
     """
-    raw = read_csv_text(spark, paths, encoding).select("*", _load_order().alias("_o"), F.col("_metadata.file_path").alias("_f"))
-    out = canonical_columns(raw, ["_o", "_f"])
-    if instrument_from_path:
-        out = out.withColumn("instrument", F.regexp_extract("_f", instrument_from_path, 1))
-    stamp = F.try_to_timestamp("date")
-    out = out.withColumn("date", stamp if minute else stamp.cast("date")).where("date is not null").drop("_f")
+    out = _bar_rows(spark, paths, encoding, instrument_from_path, minute).where("date is not null").drop("_f", "_text")
     return latest_per_key(out, ["instrument", "date"], F.col("_o")).drop("_o")
 
 
+def dropped_rows(spark: SparkSession, paths: list[str], *, encoding: str | None = None) -> DataFrame:
+    """Per file its rows, those without a usable date, and one such text."""
+    bad = F.col("date").isNull()
+    return _bar_rows(spark, paths, encoding, None, True).groupBy(F.col("_f").alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("dropped"), F.max(F.when(bad, F.col("_text"))).alias("example"))
+
+
 def read_bar_panel(spark: SparkSession, paths: list[str], start: str, end: str, instrument_from_path: str) -> DataFrame:
     """One long panel of per-symbol files inside [start, end]."""
     bars = read_bars(spark, paths, instrument_from_path=instrument_from_path)
     return bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).withColumnRenamed("date", "dt")
 
 
-def read_minute_bars(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", instrument_from_path: str | None = None) -> DataFrame:
+def read_minute_bars(spark: SparkSession, paths: list[str], encoding: str | None = None, instrument_from_path: str | None = None) -> DataFrame:
     """Minute bars with session date, minute of day and factor 1."""
     bars = read_bars(spark, paths, encoding=encoding, instrument_from_path=instrument_from_path, minute=True)
     return add_minute_columns(bars)
@@ -138,10 +195,10 @@ def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_zip_minute_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Minute bars from CSV members of ZIP files (one task per ZIP)."""
+    """Minute bars from CSV members of ZIP files; each is read where it lies, in one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = files.repartition("path").mapInPandas(_zip_rows, _ZIP_SCHEMA)
-    out = rows.select(F.try_to_timestamp("date").alias("date"), "instrument", *[F.col(c).try_cast("double").alias(c) for c in BAR_NUMBERS],
+    rows = files.mapInPandas(_zip_rows, _ZIP_SCHEMA)
+    out = rows.select(parse_stamp(F.col("date")).alias("date"), "instrument", *[F.col(c).try_cast("double").alias(c) for c in BAR_NUMBERS],
                       F.struct("member", "ordinal").alias("_o")).where("date is not null")
     return add_minute_columns(latest_per_key(out, ["instrument", "date"], F.col("_o")).drop("_o"))
 

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import ExitStack
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +26,40 @@ def write_versioned(df: DataFrame, root: str, version: str, partition_by: list[s
     return path
 
 
+def write_zip_csv(df: DataFrame, folder: str, member: str) -> int:
+    """Text columns as ZIP files of CSV members, one ZIP per task, one member per value of a column.
+
+    Rows are sorted by the member column inside each task and streamed, so a
+    task holds one batch. Returns the number of files.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        path, now, handle, archive = f"{root}/{uuid.uuid4().hex}.zip", None, None, None
+        with ExitStack() as open_files:
+            for batch in batches:
+                if batch.num_rows and archive is None:
+                    stream = open_files.enter_context(system.open_output_stream(path, compression=None))
+                    archive = open_files.enter_context(zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED))
+                for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    key = row[names.index(member)]
+                    if handle is None or key != now:
+                        if handle is not None:
+                            handle.close()
+                        handle, now = io.TextIOWrapper(archive.open(f"{key}.csv", "w", force_zip64=True), "utf-8", newline=""), key
+                        rows = csv.writer(handle)
+                        rows.writerow(names)
+                    rows.writerow(row)
+            if handle is not None:
+                handle.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([int(archive is not None)], pa.int64())})
+
+    sorted_rows = df.repartition(member).sortWithinPartitions(member)
+    return sorted_rows.mapInArrow(run, "files long").agg(F.sum("files")).first()[0]
+
+
 def upsert_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Existing and incoming rows, the incoming one wins on an equal key."""
     both = existing.withColumn("batch_no", F.lit(0)).unionByName(incoming.withColumn("batch_no", F.lit(1)))

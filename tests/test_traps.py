@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import guards, symbols, trading
-from tapeloom.operators import asof, blending, folds, intraday, reconcile, rolling, sessions
+from tapeloom.operators import asof, blending, evaluation, folds, intraday, reconcile, rolling, sessions
 from tapeloom.sources import readers, sinks
 
 
@@ -88,6 +88,46 @@ def test_gbk_files_are_found_and_read(spark, tmp_path):
         assert len(rows) == 1 and rows[0]["close"] is None and rows[0]["volume"] == 10.0
 
 
+def test_every_file_is_read_under_its_own_header(spark, tmp_path):
+    zh = "日期,代码,开盘,收盘,最高,最低,成交量,成交额\n2024-01-02,a,1,2,3,0.5,10,20\n"
+    (tmp_path / "a.csv").write_bytes(zh.encode("gbk"))
+    (tmp_path / "b.csv").write_text("\ufeff" + zh.replace(",a,", ",b,").replace("2024-01-02", "2024/1/3"), encoding="utf-8")
+    (tmp_path / "c d.csv").write_text("date,instrument,open,high,low,close,amount,volume,limit_up\n20240104,c,1,3,0.5,2,20,10,9\nnever,c,1,1,1,1,1,1,1\n20240105 ,c,1,3,0.5,x,20,10,\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = {(r["instrument"], str(r["date"])): r for r in readers.read_bars(spark, [str(tmp_path)]).collect()}
+    assert sorted(rows) == [("a", "2024-01-02"), ("b", "2024-01-03"), ("c", "2024-01-04"), ("c", "2024-01-05")]
+    for key, r in rows.items():
+        assert (r["open"], r["high"], r["low"], r["volume"], r["amount"]) == (1, 3, 0.5, 10, 20), key
+        assert r["close"] == (None if key[1] == "2024-01-05" else 2) and r["limit_up"] == (9 if key[1] == "2024-01-04" else None)
+    lost = {r["file"].rsplit("/", 1)[1]: (r["rows"], r["dropped"], r["example"]) for r in readers.dropped_rows(spark, [str(tmp_path)]).collect()}
+    assert lost == {"a.csv": (1, 0, None), "b.csv": (1, 0, None), "c%20d.csv": (3, 1, "never")}
+
+
+def test_blends_need_equal_keys(spark):
+    days = [(dt.date(2024, 1, d), i, float(k), 0) for k, (d, i) in enumerate([(1, "a"), (1, "b"), (2, "a")])]
+    one = spark.createDataFrame(days, "dt date, instrument string, score double, fold int")
+    good = {(r["dt"].day, r["instrument"]): r["score"] for r in blending.weighted_blend([one, one], [1, 1]).collect()}
+    assert good == {(1, "a"): 0.0, (1, "b"): 1.0, (2, "a"): 2.0}
+    for other in (one.limit(2), one.unionByName(one.limit(1)), one.withColumn("instrument", F.upper("instrument"))):
+        with pytest.raises(Exception, match="not exactly once"):
+            blending.weighted_blend([one, other], [1, 1]).collect()
+    with pytest.raises(Exception, match="differ in fold"):
+        blending.weighted_blend([one, one.withColumn("fold", F.lit(1))], [1, 1]).collect()
+
+
+def test_whitelist_walks_from_the_most_stable(spark):
+    rows = [("a", True, 0.5, 0.1, 0.0, 0.9), ("b", True, 0.4, 0.1, 0.0, 0.8), ("c", True, 0.3, 0.1, 0.0, 0.7), ("d", False, 0.0, 0.1, 0.0, 0.6), ("e", True, 0.2, None, 0.0, 0.5)]
+    stats = spark.createDataFrame(rows, "factor string, same_sign boolean, stable_ic double, mean_shift double, t_null_ratio double, stability double")
+    pairs = spark.createDataFrame([("a", "b", 0.95), ("a", "c", 0.2), ("b", "c", None)], "a string, b string, corr double")
+
+    def pick(**limits):
+        return [r["factor"] for r in evaluation.factor_whitelist(stats, pairs, threshold=0.9, **limits).orderBy("position").collect()]
+
+    assert pick(min_features=1, max_features=5) == ["a", "c"]
+    assert pick(min_features=3, max_features=5) == ["a", "c", "b"]
+    assert pick(min_features=4, max_features=1) == ["a", "b", "c", "d"]
+
+
 def test_zip_minute_bars(spark, tmp_path):
     head = "时间,代码,开盘,最高,最低,收盘,成交量,成交额\n"
     with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
