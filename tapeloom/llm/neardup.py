@@ -197,7 +197,8 @@ def _collisions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def candidates(reps: DataFrame, list_block: int = 2048) -> DataFrame:
     """Links (a, b) whose components are the candidate groups."""
     posted = stage(postings(reps), "postings")
-    lists = posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Sizes are written first: a join with an aggregate of its own key could not split a long list.
+    lists = stage(posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     members = posted.join(lists, "value")
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,8 @@ def classes(sets: list[np.ndarray], similarity: int) -> np.ndarray:
 
 def confirmed(docs: DataFrame, groups: DataFrame, size: int, similarity: int, block_shingles: int = 1_000_000) -> DataFrame:
     """Links (a, b) over full sets. `groups`: rep, key, n_shingles, group."""
-    totals = groups.groupBy("group").agg(F.sum("n_shingles").alias("n"))
+    groups = stage(groups, "groups")
+    totals = stage(groups.groupBy("group").agg(F.sum("n_shingles").alias("n")), "totals")
     rows = _blocked(groups.join(totals, "group"), F.ceil(F.col("n") / block_shingles)).select("group", "pair", "rep", "key")
     texts = docs.join(rows, (docs["doc_id"] == rows["rep"]) & (docs["key"] == rows["key"])).select("group", "pair", "rep", rows["key"], "text")
 
