@@ -53,7 +53,8 @@ def with_originals(pages: DataFrame, least: int) -> DataFrame:
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     keys = rows.select("page_id", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha")).where(F.col("size") >= least)
-    groups = keys.groupBy("size", "sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first: a join with an aggregate of its own key could not split a payload that very many pages share.
+    groups = stage(keys.groupBy("size", "sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1"), "payloads")
     found = keys.join(groups, ["size", "sha"]).where("page_id <> original").groupBy("page_id", "size", "sha").agg(F.max("original").alias("original"))
     tagged = rows.withColumn("size", F.octet_length("payload")).withColumn("sha", F.sha1("payload"))
     return tagged.join(found, ["page_id", "size", "sha"], "left").select("page_id", "url", "payload", "original")
