@@ -273,12 +273,12 @@ def _(t):
 
 
 @query("D16_factor_overlap", "fold:i size:i shared:i jaccard:f common_so_far:i", """
-WITH f AS (SELECT DISTINCT year(l_shipdate)-1991 AS fold, l_suppkey AS factor FROM lineitem WHERE l_quantity > 49), s AS (SELECT fold, count(*) AS size FROM f GROUP BY 1),
+WITH f AS (SELECT DISTINCT year(l_shipdate)-1991 AS fold, CAST(l_suppkey*51 + l_quantity AS BIGINT) AS factor FROM lineitem), s AS (SELECT fold, count(*) AS size FROM f GROUP BY 1),
 sh AS (SELECT b.fold, count(*) AS shared FROM f a JOIN f b ON a.factor = b.factor AND b.fold = a.fold+1 GROUP BY 1),
 c AS (SELECT fold, count(*) AS common FROM (SELECT fold, row_number() OVER (PARTITION BY factor ORDER BY fold) AS r FROM f) WHERE r = fold - (SELECT min(fold) FROM f) + 1 GROUP BY 1)
 SELECT fold, size, coalesce(shared, 0) AS shared, coalesce(shared, 0)/(size + lag(size) OVER (ORDER BY fold) - coalesce(shared, 0)) AS jaccard, coalesce(common, 0) AS common_so_far FROM s LEFT JOIN sh USING (fold) LEFT JOIN c USING (fold)""")
 def _(t):
-    f = t.raw("lineitem").where("l_quantity > 49").select((F.year("l_shipdate") - 1991).alias("fold"), F.col("l_suppkey").alias("factor")).distinct()
+    f = t.raw("lineitem").select((F.year("l_shipdate") - 1991).alias("fold"), (F.col("l_suppkey") * 51 + F.col("l_quantity")).cast("long").alias("factor")).distinct()
     return evaluation.factor_overlap(f)
 
 

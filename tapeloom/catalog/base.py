@@ -76,8 +76,8 @@ def query(name: str, spec: str, sql: str | None = None):
 def _bars_sql(dt: str, where: str = "", scale: str = "1.0") -> str:
     price = f"l_extendedprice/l_quantity*{scale}"
     return f"""SELECT l_suppkey AS instrument, {dt} AS dt,
-      min_by({price}, l_orderkey*100+l_linenumber+l_extendedprice/1e7::DOUBLE) AS open, max({price}) AS high, min({price}) AS low,
-      max_by({price}, l_orderkey*100+l_linenumber+l_extendedprice/1e7::DOUBLE) AS close, sum(l_quantity) AS volume,
+      min_by({price}, (l_orderkey, l_linenumber, l_extendedprice)) AS open, max({price}) AS high, min({price}) AS low,
+      max_by({price}, (l_orderkey, l_linenumber, l_extendedprice)) AS close, sum(l_quantity) AS volume,
       sum(l_extendedprice) AS amount
       FROM lineitem {where} GROUP BY ALL"""
 

@@ -26,97 +26,60 @@ def candle_features() -> dict[str, Column]:
     }
 
 
-def _once(value: Column, use) -> Column:
-    """Evaluate an array expression one time and derive a value from it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _sorted_quantile(sorted_values: Column, n: int, q: float) -> Column:
-    """Linear quantile of a sorted array of n values."""
-    at = (n - 1) * q
-    low = int(at)
-    a, b = F.element_at(sorted_values, low + 1), F.element_at(sorted_values, min(low + 2, n))
-    return a + (b - a) * (at - low)
-
-
-def _tails_of(n: int):
-    """Upper and lower fifth of a sorted array of n values."""
-    return lambda x: F.struct(_sorted_quantile(x, n, 0.8).alias("u"), _sorted_quantile(x, n, 0.2).alias("d"))
+def _quantile(ordered: Column, q: float) -> Column:
+    """Linear quantile of a sorted array of known values; null if there are none."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a, b = F.try_element_at(ordered, low + 1), F.try_element_at(ordered, F.least(low + 2, F.size(ordered)))
+    return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
 
 
 def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
-    """15 rolling operators per window length; null until the window is full.
-
-    Spark rebuilds a sliding frame for every row, which costs rows x length. Here
-    sums run once from the start of the instrument (constant work per row) and a
-    window's sum is the running sum minus the one `n` rows back. Order statistics
-    read one list of the longest window per row. Prices and volumes are shifted
-    by the instrument's first value, which changes no result and keeps the
-    running sums small.
+    """15 rolling operators per window length; null until the window has all its rows.
+
+    Each is a built-in aggregate over the last n rows, computed from these rows
+    alone, so neither the level of earlier prices nor a flat stretch leaks in. A
+    null inside a full window is left out: means, deviations, extremes and
+    quantiles are those of the known values, pairs need both. Without spread,
+    `rsqr` and `corr` are null. All frames share one sort per instrument.
     """
     w = by_instrument()
-    start = w.rowsBetween(Window.unboundedPreceding, 0)
     p, v = F.col("close"), F.col("volume")
-    base = (
-        spread_by(df, "instrument").withColumn("_n", F.row_number().over(w)).withColumn("_p1", F.lag("close").over(w))
-        .withColumn("_p", p - F.first("close").over(start)).withColumn("_v", v - F.first("volume").over(start))
-    )
-    move = p - F.col("_p1")
-    log_v, weighted = F.log(v + 1.0), F.abs(ratio(p, F.col("_p1")) - 1.0) * v
-    terms = {
-        "p": F.col("_p"), "pp": F.col("_p") * F.col("_p"), "kp": F.col("_n") * F.col("_p"), "v": F.col("_v"), "vv": F.col("_v") * F.col("_v"),
-        "l": log_v, "ll": log_v * log_v, "pl": F.col("_p") * log_v, "a": F.abs(move),
-        "u": (move > 0).cast("double") - (move < 0).cast("double"), "w": weighted, "ww": weighted * weighted,
-    }
-    longest = trailing(w, max(windows))
-    run = base.withColumn("_run", F.struct(*[F.sum(F.coalesce(t, F.lit(0.0))).over(start).alias(c) for c, t in terms.items()]))
-    framed = run.withColumns({f"_back{n}": F.lag("_run", n).over(w) for n in windows} | {f"_p{n}": F.lag("close", n).over(w) for n in windows})
-    # The lists come last and shrink to numbers at once, so no window buffers them.
-    listed = framed.withColumns({f"_all_{c}": F.collect_list(c).over(longest) for c in ("close", "high", "low")})
-    picks: dict[str, Column] = {}
-    for n in windows:
-        full = F.col("_n") >= n
-        tail = {c: F.slice(f"_all_{c}", F.size(f"_all_{c}") - (n - 1), n) for c in ("close", "high", "low")}
-        picks |= {
-            f"_q{n}": F.when(full, _once(F.sort_array(tail["close"]), _tails_of(n))),
-            f"_h{n}": F.when(full, _once(tail["high"], lambda x: F.struct(F.array_max(x).alias("v"), F.array_position(x, F.array_max(x)).alias("i")))),
-            f"_l{n}": F.when(full, _once(tail["low"], lambda x: F.struct(F.array_min(x).alias("v"), F.array_position(x, F.array_min(x)).alias("i")))),
-        }
-    framed = listed.withColumns(picks).drop("_all_close", "_all_high", "_all_low")
+    before = F.lag("close").over(w)
+    base = spread_by(df, "instrument").withColumns({"_n": F.row_number().over(w), "_d": p - before, "_m": F.abs(ratio(p, before) - 1.0) * v, "_l": F.log(v + 1.0)})
+    d, move, k = F.col("_d"), F.col("_m"), F.col("_n").cast("double")
+    sign = (d > 0).cast("double") - (d < 0).cast("double")
     out: dict[str, Column] = {}
     for n in windows:
-        now, back = F.col("_run"), F.col(f"_back{n}")
-        s = {c: now[c] - F.coalesce(back[c], F.lit(0.0)) for c in terms}
+        f = trailing(w, n)
         full, known = F.col("_n") >= n, F.col("_n") > n
-        high, low = F.col(f"_h{n}"), F.col(f"_l{n}")
 
-        def spread(a: str, aa: str) -> Column:
-            """Sum of squared deviations; rounding noise of the running sum counts as none."""
-            dev = s[aa] - s[a] * s[a] / n
-            return F.when(dev > 1e-14 * now[aa], dev).otherwise(0.0)
+        def last(agg: Column) -> Column:
+            return agg.over(f)
 
-        ss_p, ss_v, ss_l, ss_w = spread("p", "pp"), spread("v", "vv"), spread("l", "ll"), spread("w", "ww")
-        k_sum, ss_k = F.col("_n") * n - n * (n - 1) / 2.0, n * (n * n - 1) / 12.0
-        cov_k, cov_l = s["kp"] - k_sum * s["p"] / n, s["pl"] - s["p"] * s["l"] / n
+        low, high = last(F.min("low")), last(F.max("high"))
+        # The first of equal extremes counts.
+        top, bottom = (last(F.max(F.struct(x.alias("x"), (-F.col("_n")).alias("at"))))["at"] for x in (F.col("high"), -F.col("low")))
+        prices = F.sort_array(last(F.collect_list("close")))
         each = {
-            "roc": F.when(known, ratio(F.col(f"_p{n}"), p)),
-            "ma": F.when(full, ratio(p + (s["p"] / n - F.col("_p")), p)),
-            "std": F.when(full, ratio(F.sqrt(ss_p / (n - 1)), p)),
-            "beta": F.when(full, ratio(cov_k / ss_k, p)),
-            "rsqr": F.when(full, ratio(cov_k * cov_k, ss_p * ss_k)),
-            "rsv": F.when(full, ratio(p - low["v"], high["v"] - low["v"] + EPS)),
-            "imxd": F.when(full, (high["i"] - low["i"]) / float(n)),
-            "corr": F.when(full & (ss_p > 0) & (ss_l > 0), ratio(cov_l, F.sqrt(ss_p * ss_l))),
-            "cntd": F.when(known, s["u"] / n),
-            "vma": F.when(full, ratio(v + (s["v"] / n - F.col("_v")), v)),
-            "vstd": F.when(full, ratio(F.sqrt(ss_v / (n - 1)), v)),
-            "wvma": F.when(known, ratio(F.sqrt(ss_w / (n - 1)), s["w"] / n)),
-            "sumd": F.when(known, ratio(p - F.col(f"_p{n}"), s["a"])),
-            "qtlu": ratio(F.col(f"_q{n}")["u"], p),
-            "qtld": ratio(F.col(f"_q{n}")["d"], p),
+            "roc": F.when(known, ratio(F.lag("close", n).over(w), p)),
+            "ma": F.when(full, ratio(last(F.avg("close")), p)),
+            "std": F.when(full, ratio(last(F.stddev_samp("close")), p)),
+            "beta": F.when(full, ratio(last(F.regr_slope(p, k)), p)),
+            "rsqr": F.when(full & (last(F.stddev_pop("close")) > EPS), last(F.regr_r2(p, k))),
+            "rsv": F.when(full, ratio(p - low, high - low + EPS)),
+            "imxd": F.when(full, (bottom - top) / float(n)),
+            "corr": F.when(full, pair_corr(p, F.col("_l"), over=f)),
+            "cntd": F.when(known, last(F.avg(sign))),
+            "vma": F.when(full, ratio(last(F.avg("volume")), v)),
+            "vstd": F.when(full, ratio(last(F.stddev_samp("volume")), v)),
+            "wvma": F.when(known, ratio(last(F.stddev_samp(move)), last(F.avg(move)))),
+            "sumd": F.when(known, ratio(last(F.sum(d)), last(F.sum(F.abs(d))))),
+            "qtlu": F.when(full, ratio(_quantile(prices, 0.8), p)),
+            "qtld": F.when(full, ratio(_quantile(prices, 0.2), p)),
         }
         out |= {f"{name}{n}": expr for name, expr in each.items()}
-    return framed.withColumns(out).select(*df.columns, *out)
+    return base.withColumns(out).select(*df.columns, *out)
 
 
 def daily_proxies(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ class Tables:
             lines = lines.where(where)
         price = F.col("l_extendedprice") / F.col("l_quantity") * F.lit(scale)
         # The price breaks ties between repeated (order, line) numbers.
-        seq = F.col("l_orderkey") * 100 + F.col("l_linenumber") + F.col("l_extendedprice") / 1e7
+        seq = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
         return (
             lines.select(
                 F.col("l_suppkey").alias("instrument"), dt.alias("dt"), price.alias("p"), seq.alias("seq"),
