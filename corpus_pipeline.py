@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows are cut out; mostly contaminated documents go."""
-    return decontam.remove(decontam.find(docs, table(spark, sf_dir, "benchmark"))).select(docs.columns)
+    return decontam.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,16 +80,28 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _scan(docs: DataFrame, windows: WindowSet, kept: list[str], text: str) -> DataFrame:
-    """Adds what one block of windows hits to `hits` and `items`."""
+def without_hits(raw: bytes | None, hits: list[dict[str, int]]) -> bytes | None:
+    """The text without its hit words and what stands between them."""
+    if not raw or not hits:
+        return raw
+    words, out, at = [m.span() for m in _WORD.finditer(raw.translate(T.ALNUM))], [], 0
+    for span in hits:
+        out.append(raw[at : words[span["first"]][0]])
+        at = words[span["last"] - 1][1]
+    return b"".join([*out, raw[at:]])
+
+
+def _scan(docs: DataFrame, windows: WindowSet, kept: list[str], most_hit: float | None = None) -> DataFrame:
+    """Adds what one block of windows hits to `hits` and `items`, or cuts it out if `most_hit` is given."""
     shared_windows = docs.sparkSession.sparkContext.broadcast(windows)
     fresh = "hits" not in docs.columns
-    own = [c for c in kept if c != "n_words"]
+    own = [c for c in kept if c not in ("n_words", "hits", "items")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, cache = shared_windows.value, T.WordHashes()
-        for batch in T.slices(batches, text):
-            texts = [(t or b"").translate(T.ALNUM).split() for t in batch.column(text).to_pylist()]
+        for batch in T.slices(batches, "text"):
+            raw = batch.column("text").to_pylist()
+            texts = [(t or b"").translate(T.ALNUM).split() for t in raw]
             words = [w for t in texts for w in t]
             ends = np.cumsum([len(t) for t in texts])
             spans: dict[int, list] = defaultdict(list)
@@ -107,18 +119,43 @@ def _scan(docs: DataFrame, windows: WindowSet, kept: list[str], text: str) -> Da
                     spans[row] += [(x["first"], x["last"]) for x in old]
                     items[row].update(ids)
             every = range(batch.num_rows)
+            hits = [_merged(spans[k]) if k in spans else [] for k in every]
+            if most_hit is not None:
+                share = [sum(h["last"] - h["first"] for h in hits[k]) <= most_hit * len(texts[k]) for k in every]
+                cut = pa.array([without_hits(raw[k], hits[k]) for k in every], pa.binary())
+                whole = pa.RecordBatch.from_arrays([cut if c == "text" else batch.column(c) for c in own], own)
+                yield whole.filter(pa.array(share, pa.bool_()))
+                continue
             made = [
                 pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([_merged(spans[k]) if k in spans else [] for k in every], _SPANS),
+                pa.array(hits, _SPANS),
                 pa.array([sorted(items[k], key=lambda x: (x is None, x)) if k in items else [] for k in every], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *made], [*own, "n_words", "hits", "items"])
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in own)
+    if most_hit is not None:
+        return docs.mapInArrow(run, schema.removesuffix(", "))
     return docs.mapInArrow(run, f"{schema}n_words long, hits array<struct<first:int,last:int>>, items array<long>")
 
 
+def _scanned(docs: DataFrame, items: DataFrame, size: int, wanted: list[str], block_windows: int, most_hit: float | None) -> DataFrame:
+    """One scan per block of windows; every scan but the last is written, so that one set is in memory at a time."""
+    windows = stage(item_windows(items, size), "windows")
+    blocks = max(1, -(-windows.count() // block_windows))
+    docs = T.small_batches(docs.select(*[F.col(c) for c in wanted if c != "text"], F.col("text").cast("binary").alias("text")))
+    all_columns = docs.columns
+    for k in range(blocks):
+        own = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).select("item_id", "width", "words")
+        block = WindowSet([(r.item_id, r.width, bytes(r.words)) for r in own.collect()])
+        if k < blocks - 1:
+            docs = stage(_scan(docs, block, all_columns), "scan")
+        else:
+            docs = _scan(docs, block, wanted, most_hit)
+    return docs.withColumn("text", F.col("text").cast("string")) if "text" in wanted else docs
+
+
 def find(docs: DataFrame, items: DataFrame, size: int = 10, *, columns: list[str] | None = None, block_windows: int = 100_000) -> DataFrame:
     """The asked columns (all by default) with n_words, `hits` and `items`.
 
@@ -128,15 +165,19 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, *, columns: list[str
     benchmark hits nothing; repeated rows are judged one by one.
     """
     wanted = [c for c in (columns or docs.columns) if c not in ("n_words", "hits", "items")]
-    windows = stage(item_windows(items, size), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
-    docs = docs.select(*[F.col(c) for c in wanted if c != "text"], F.col("text").cast("binary").alias("text"))
-    for k in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).select("item_id", "width", "words")
-        keep = wanted if k == blocks - 1 else docs.columns
-        docs = _scan(docs, WindowSet([(r.item_id, r.width, bytes(r.words)) for r in own.collect()]), [c for c in keep if c not in ("hits", "items")], "text")
-        docs = stage(docs, "scan") if k < blocks - 1 else docs
-    return docs.withColumn("text", F.col("text").cast("string")) if "text" in wanted else docs
+    return _scanned(docs, items, size, wanted, block_windows, None)
+
+
+def remove(docs: DataFrame, items: DataFrame, size: int = 10, *, most_hit: float = 0.5, block_windows: int = 100_000) -> DataFrame:
+    """The documents without their hit words; those with more than `most_hit` of their words hit go.
+
+    Has the columns of `docs`, which must not be called n_words, hits or items;
+    `n_chars`, if there is one, follows the new text.
+    """
+    out = _scanned(docs, items, size, docs.columns, block_windows, most_hit)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(docs.columns)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -149,39 +190,6 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def without_hits(text: str | None, hits: list) -> str | None:
-    """The text without its hit words and what stands between them."""
-    if not text or not len(hits):
-        return text
-    raw = text.encode()
-    words, out, at = [m.span() for m in _WORD.finditer(raw.translate(T.ALNUM))], [], 0
-    for span in hits:
-        out.append(raw[at : words[span["first"]][0]])
-        at = words[span["last"] - 1][1]
-    return b"".join([*out, raw[at:]]).decode()
-
-
-def remove(found: DataFrame, most_hit: float = 0.5) -> DataFrame:
-    """Documents without the hit words; those with more than `most_hit` of their words hit go.
-
-    Takes all columns of `find`; `n_chars`, if there is one, follows a cut text.
-    """
-    names = [c for c in found.columns if c not in ("n_words", "hits", "items")]
-    share = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
-    left = found.where(share <= most_hit * F.col("n_words"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([without_hits(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
-
-    kinds = dict(found.dtypes)
-    out = left.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
-    return out
-
-
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),

@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     """
     if similarity < 80:
         raise ValueError("the match threshold is made for a similarity of 80 or more")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    given = T.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     rows = stage(described(given, size), "described")
     known = rows.where("doc_id is not null and set_digest is not null")
     reps = stage(known.groupBy("set_digest").agg(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import tokens
-from tapeloom.llm.text import slices
+from tapeloom.llm.text import slices, small_batches
 from tapeloom.session import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, keep_ids: bool = False)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return small_batches(given).mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
 
 class Lengths:

@@ -75,7 +75,7 @@ def measure(docs: DataFrame, *columns: str) -> DataFrame:
     kinds = dict(docs.dtypes) | {"_raw": "binary"}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} long" for c in COUNTS)])
     given = docs.select(*[c for c in names if c != "text"], F.col("text").cast("binary").alias("_raw"))
-    out = given.mapInArrow(run, schema)
+    out = T.small_batches(given).mapInArrow(run, schema)
     return out.select(*[F.col("_raw").cast(kinds["text"]).alias("text") if c == "text" else F.col(c) for c in names], *COUNTS)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.text import slices
+from tapeloom.llm.text import slices, small_batches
 
 # The kinds in their order, each pattern, the group with the secret and its least length.
 KINDS = ("assign", "access", "hex")
@@ -199,7 +199,7 @@ def find(docs: DataFrame, *columns: str) -> DataFrame:
     types = dict(docs.dtypes)
     schema = "".join(f"`{c}` {types[c]}, " for c in kept)
     given = docs.select(*kept, F.col("text").cast("binary").alias("_raw"))
-    return given.mapInArrow(run, schema + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_oversize long")
+    return small_batches(given).mapInArrow(run, schema + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_oversize long")
 
 
 def masked(text: str | None, spans: str, mark: str = "[secret]") -> str | None:
@@ -229,7 +229,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {'binary' if c == 'text' else kinds[c]}" for c in names)
-    out = docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema).withColumn("text", F.col("text").cast("string"))
+    out = small_batches(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema).withColumn("text", F.col("text").cast("string"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
     return out

@@ -228,7 +228,7 @@ def with_places(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key and text as bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    return T.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
 
 
 def remove(docs: DataFrame, size: int = 13, seed: int = 7, with_text: bool = False) -> DataFrame:

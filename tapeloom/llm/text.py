@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 _U = np.uint64
 _LEFT, _RIGHT, _STIR = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
@@ -27,7 +28,7 @@ ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <
 class WordHashes(dict):
     """Hashes of words met before, emptied when it holds `limit` of them (memory stays bounded)."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -70,6 +71,18 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return hashes
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, after its session hands rows to Python in batches of about 8 MB.
+
+    Spark's default of 64 MB is held several times per task, on both sides. A
+    size that the session has set itself stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "64m", "64MB"):
+        conf.set(name, "8m")
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `limit` bytes of one binary column, one row at least."""
     for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shared, tokens
-from tapeloom.llm.text import slices
+from tapeloom.llm.text import slices, small_batches
 from tapeloom.session import scratch_path, stage
 
 MAGIC = 0x31305247_52494150
@@ -172,7 +172,7 @@ def write(docs: DataFrame, vocabulary: str, terminals: int, *, shard_ids: int =
             yield flush()
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ordered = given.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(given).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(run, MANIFEST), "token-files")
 
 

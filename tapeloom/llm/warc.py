@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shared
-from tapeloom.llm.text import slices
+from tapeloom.llm.text import slices, small_batches
 from tapeloom.session import scratch_path, stage
 
 # Fixed values of the format.
@@ -76,7 +76,7 @@ def write(pages: DataFrame, *, least: int = 0, archive_bytes: int = 64 << 20, pi
             number += 1
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([records], pa.int64()), "payload_bytes": pa.array([held], pa.int64())})
 
-    return stage(with_originals(pages, least).mapInArrow(run, MANIFEST), "archives")
+    return stage(small_batches(with_originals(pages, least)).mapInArrow(run, MANIFEST), "archives")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -61,8 +61,8 @@ def test_decontamination_against_brute_force(spark, docs_of, block):
         words, hit, names = brute_hits((texts + texts[:3])[r.doc_id], items, 6)
         listed = ",".join(sorted(map(str, names)))
         assert tuple(r)[1:] == (len(words), len(hit), len(names), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)), r
-    left = decontam.remove(found)
-    assert left.columns == docs_of([]).columns
+    left = decontam.remove(docs_of(texts + texts[:3]), bench, 6, block_windows=block)
+    assert left.columns == docs_of([]).columns and left.dtypes == docs_of([]).dtypes
     got = {r.doc_id: r.text for r in left.collect()}
     for k, text in enumerate(texts):
         words, hit, _ = brute_hits(text, items, 6)
