@@ -39,7 +39,9 @@ def pit_group_join(df: DataFrame, intervals: DataFrame, *, on: str = "dt", group
     spans = intervals.select("instrument", start.alias("_s"), end.alias("_e"), F.col(group).alias("_g"))
     spans = spans.groupBy("instrument", "_s").agg(F.max(F.struct("_e", "_g")).alias("m")).select(
         "instrument", "_s", "m._e", "m._g")
-    out = asof_join(df, spans, ["instrument"], on, "_s", ["_s", "_e", "_g"])
+    # One row per instrument and date is settled; the rows themselves meet it in a plain join.
+    days = df.select("instrument", on).distinct()
+    out = asof_join(days, spans, ["instrument"], on, "_s", ["_s", "_e", "_g"])
     by_start = Window.partitionBy("instrument").orderBy("_s")
     outlasting = spans.withColumn("_next", F.lead("_s").over(by_start)).where("_e >= _next")
     open_rows = out.where(F.col("_e") < F.col(on)).select("instrument", F.col(on).alias("_d")).distinct()
@@ -50,7 +52,8 @@ def pit_group_join(df: DataFrame, intervals: DataFrame, *, on: str = "dt", group
     )
     direct = F.when(F.col("_e") >= F.col(on), F.col("_g"))
     out = out.join(older, ["instrument", on], "left")
-    return out.withColumn(group, F.coalesce(direct, "_og", F.lit(UNKNOWN))).drop("_s", "_e", "_g", "_og")
+    settled = out.select("instrument", on, F.coalesce(direct, "_og", F.lit(UNKNOWN)).alias("_found"))
+    return df.join(settled, ["instrument", on], "left").withColumn(group, F.coalesce("_found", F.lit(UNKNOWN))).drop("_found")
 
 
 def snapshot_asof(snapshots: DataFrame, dates: DataFrame, *, snap: str = "snap_dt") -> DataFrame:

@@ -21,9 +21,9 @@ BAR_COLUMNS = [*PRICE_COLUMNS, "volume", "amount"]
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One row per key, the one highest in `order` (combined map-side)."""
+    """One row per key, the one highest in `order` (combined map-side); equal ones by a hash of the row."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("_r")).select(*keys, "_r.*")
 
 
 def merge_sources(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
@@ -282,12 +282,15 @@ def source_quality(primary: DataFrame, fallback: DataFrame, limits: dict[str, fl
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         bad = invalid_ohlc(*[F.col(c) for c in PRICE_COLUMNS])
+        df = latest_per_key(df, ["instrument", "dt"], F.col("seq") if "seq" in df.columns else F.lit(0))
         out = df.withColumn("ret", ratio(F.col("close"), F.lag("close").over(w)) - 1.0).withColumn("bad", bad)
         return out.select("instrument", "dt", *[F.col(c).alias(f"{tag}_{c}") for c in [*BAR_COLUMNS, "ret", "bad"]], F.lit(1).alias(f"_{tag}"))
 
     both = stage(side(primary, "p").join(side(fallback, "f"), ["instrument", "dt"], "full"), "quality")
     common = F.col("_p").isNotNull() & F.col("_f").isNotNull()
-    anchors = both.where(common).groupBy("instrument").agg(F.max_by("p_close", "dt").alias("pa"), F.max_by("f_close", "dt").alias("fa"))
+    # The last known close of each side.
+    anchors = both.where(common).groupBy("instrument").agg(*[
+        F.max_by(f"{t}_close", F.when(F.col(f"{t}_close").isNotNull(), F.col("dt"))).alias(f"{t}a") for t in ("p", "f")])
     both = both.join(anchors, "instrument", "left")
     diff = F.when(common, F.abs(F.col("p_ret") - F.col("f_ret")))
     errors = F.array(*[F.when(common, ratio(F.abs(F.col(f"p_{c}") / F.col("pa") - F.col(f"f_{c}") / F.col("fa")), F.nullif(F.abs(F.col(f"f_{c}") / F.col("fa")), F.lit(0.0))))

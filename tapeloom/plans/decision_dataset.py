@@ -24,7 +24,7 @@ def decision_dataset(
     """
     seen = bars.join(held.select("instrument", "dt"), ["instrument", "dt"], "left_semi")
     rows = intraday.visible_features(seen, decisions, held, clock, window_end, buybacks)
-    rows = rows.drop("mark_price").join(held.drop("mark_price"), ["instrument", "dt"]).join(held.select("instrument", "dt", "mark_price"), ["instrument", "dt"])
+    rows = rows.drop("mark_price").join(held, ["instrument", "dt"])
     names = list(buybacks)
     edges = {f"edge_{n}": round_trip_edge(F.col("decision_price"), F.col(f"buyback_{n}"), costs) for n in names}
     rows = rows.withColumns(edges)

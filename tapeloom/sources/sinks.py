@@ -100,7 +100,8 @@ def materialize_daily(primary: DataFrame, fallback: DataFrame, existing: DataFra
 
     # Both sources and the result are read several times below; each is built once.
     p, f = stage(clip(primary), "primary"), stage(clip(fallback), "fallback")
-    evidence = align_source_scale(p, f, max_error=max_error)
+    # One small row per instrument, used for the rescaling and for the report.
+    evidence = stage(align_source_scale(p, f, max_error=max_error), "evidence")
     merged = merge_sources(p, apply_scale(f, evidence), ["instrument", "dt"]).drop("source_no")
     rows = upsert_rows(existing, merged, ["instrument", "dt"]).drop("batch_no")
     touched = merged.select("instrument").distinct()
