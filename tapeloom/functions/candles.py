@@ -46,40 +46,32 @@ def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
     w = by_instrument()
     p, v = F.col("close"), F.col("volume")
     before = F.lag("close").over(w)
-    base = spread_by(df, "instrument").withColumns({"_n": F.row_number().over(w), "_d": p - before, "_m": F.abs(ratio(p, before) - 1.0) * v, "_l": F.log(v + 1.0)})
+    base = spread_by(df, "instrument").withColumns({"_n": F.row_number().over(w), "_d": p - before, "_m": F.abs(ratio(p, before) - 1.0) * v, "_l": F.when(p.isNotNull(), F.log(v + 1.0)), "_pl": F.when(v.isNotNull(), p)})
     d, move, k = F.col("_d"), F.col("_m"), F.col("_n").cast("double")
     sign = (d > 0).cast("double") - (d < 0).cast("double")
+    # The first of equal extremes counts, hence the negated position.
+    sums = {
+        "ma": F.avg("close"), "sd": F.stddev_samp("close"), "slope": F.regr_slope(p, k), "r2": F.regr_r2(p, k), "cov": F.covar_pop("_pl", "_l"),
+        "psd": F.stddev_pop("_pl"), "lsd": F.stddev_pop("_l"), "top": F.max(F.struct(F.col("high").alias("x"), (-F.col("_n")).alias("at"))),
+        "low": F.max(F.struct((-F.col("low")).alias("x"), (-F.col("_n")).alias("at"))), "sign": F.avg(sign), "vma": F.avg("volume"),
+        "vsd": F.stddev_samp("volume"), "msd": F.stddev_samp(move), "mma": F.avg(move), "sum": F.sum(d), "path": F.sum(F.abs(d)), "all": F.collect_list("close"),
+    }
+    framed = base.withColumns({f"_{name}{n}": agg.over(trailing(w, n)) for n in windows for name, agg in sums.items()} | {f"_back{n}": F.lag("close", n).over(w) for n in windows})
+    framed = framed.withColumns({f"_all{n}": F.sort_array(f"_all{n}") for n in windows})
     out: dict[str, Column] = {}
     for n in windows:
-        f = trailing(w, n)
-        full, known = F.col("_n") >= n, F.col("_n") > n
-
-        def last(agg: Column) -> Column:
-            return agg.over(f)
-
-        low, high = last(F.min("low")), last(F.max("high"))
-        # The first of equal extremes counts.
-        top, bottom = (last(F.max(F.struct(x.alias("x"), (-F.col("_n")).alias("at"))))["at"] for x in (F.col("high"), -F.col("low")))
-        prices = F.sort_array(last(F.collect_list("close")))
+        of = {name: F.col(f"_{name}{n}") for name in [*sums, "back"]}
+        high, low, spread = of["top"]["x"], -of["low"]["x"], of["sd"] > EPS
         each = {
-            "roc": F.when(known, ratio(F.lag("close", n).over(w), p)),
-            "ma": F.when(full, ratio(last(F.avg("close")), p)),
-            "std": F.when(full, ratio(last(F.stddev_samp("close")), p)),
-            "beta": F.when(full, ratio(last(F.regr_slope(p, k)), p)),
-            "rsqr": F.when(full & (last(F.stddev_pop("close")) > EPS), last(F.regr_r2(p, k))),
-            "rsv": F.when(full, ratio(p - low, high - low + EPS)),
-            "imxd": F.when(full, (bottom - top) / float(n)),
-            "corr": F.when(full, pair_corr(p, F.col("_l"), over=f)),
-            "cntd": F.when(known, last(F.avg(sign))),
-            "vma": F.when(full, ratio(last(F.avg("volume")), v)),
-            "vstd": F.when(full, ratio(last(F.stddev_samp("volume")), v)),
-            "wvma": F.when(known, ratio(last(F.stddev_samp(move)), last(F.avg(move)))),
-            "sumd": F.when(known, ratio(last(F.sum(d)), last(F.sum(F.abs(d))))),
-            "qtlu": F.when(full, ratio(_quantile(prices, 0.8), p)),
-            "qtld": F.when(full, ratio(_quantile(prices, 0.2), p)),
+            "ma": ratio(of["ma"], p), "std": ratio(of["sd"], p), "beta": ratio(of["slope"], p), "rsqr": F.when(spread, of["r2"]),
+            "rsv": ratio(p - low, high - low + EPS), "imxd": (of["low"]["at"] - of["top"]["at"]) / float(n),
+            "corr": F.when((of["psd"] > EPS) & (of["lsd"] > EPS), ratio(of["cov"], of["psd"] * of["lsd"])), "vma": ratio(of["vma"], v), "vstd": ratio(of["vsd"], v),
+            "qtlu": ratio(_quantile(of["all"], 0.8), p), "qtld": ratio(_quantile(of["all"], 0.2), p),
         }
-        out |= {f"{name}{n}": expr for name, expr in each.items()}
-    return base.withColumns(out).select(*df.columns, *out)
+        # These need the row before the window's first one.
+        changes = {"roc": ratio(of["back"], p), "cntd": of["sign"], "wvma": ratio(of["msd"], of["mma"]), "sumd": ratio(of["sum"], of["path"])}
+        out |= {f"{name}{n}": F.when(F.col("_n") >= n, x) for name, x in each.items()} | {f"{name}{n}": F.when(F.col("_n") > n, x) for name, x in changes.items()}
+    return framed.withColumns(out).select(*df.columns, *out)
 
 
 def daily_proxies(df: DataFrame) -> DataFrame:

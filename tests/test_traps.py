@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.functions import guards, symbols, trading
+from tapeloom.functions import candles, guards, symbols, trading
 from tapeloom.operators import asof, blending, evaluation, folds, intraday, reconcile, rolling, sessions
 from tapeloom.sources import readers, sinks
 
@@ -172,6 +172,27 @@ def test_causality_of_windows(spark):
                                                  slope=0.1, low=0.1, high=0.9, q_low=0.2, q_high=0.8), base)
 
 
+def test_rolling_values_after_a_jump_and_with_nulls(spark):
+    import numpy as np
+
+    first = dt.date(2024, 1, 1)
+    close = [10.0 + 0.01 * k for k in range(5)] + [2000.0 + 0.001 * (k % 7) for k in range(40)]
+    rows = [(n, first + dt.timedelta(days=k), None if n == "holes" and k in (20, 21) else c, c, c, 5.0 + k % 3, c) for n in ("whole", "holes") for k, c in enumerate(close)]
+    rows += [("flat", first + dt.timedelta(days=k), 3.0, 3.0, 3.0, 4.0, 3.0) for k in range(30)]
+    df = spark.createDataFrame(rows, "instrument string, dt date, close double, high double, low double, volume double, open double")
+    got = {(r["instrument"], (r["dt"] - first).days): r for r in candles.rolling_features(df, [5, 10]).collect()}
+    for k in range(16, 45):
+        part = np.array(close[k - 4 : k + 1])
+        r = got["whole", k]
+        assert r["std5"] == pytest.approx(part.std(ddof=1) / close[k], rel=1e-6)
+        assert r["rsqr5"] == pytest.approx(np.corrcoef(part, np.arange(5))[0, 1] ** 2, rel=1e-4)
+    known = np.array([close[18], close[19], close[22]])
+    assert got["holes", 22]["ma5"] == pytest.approx(known.mean() / close[22], rel=1e-12)
+    assert got["holes", 22]["qtlu5"] == pytest.approx(np.quantile(known, 0.8) / close[22], rel=1e-12)
+    assert got["flat", 20]["std5"] == 0.0 and got["flat", 20]["rsqr5"] is None and got["flat", 20]["corr5"] is None
+    assert got["flat", 3]["ma5"] is None and got["flat", 4]["roc5"] is None and got["flat", 5]["roc5"] == 1.0
+
+
 def test_health_uses_only_available_coefficients(spark):
     days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(30)]
     ic = spark.createDataFrame([(d, d + dt.timedelta(days=6), 0.5 if i < 20 else -9.0) for i, d in enumerate(days)], "signal_dt date, available_dt date, ic double")
