@@ -160,7 +160,7 @@ def _(t):
 
 @query("G2_append_strictly_later", "part:i first_dt:d last_dt:d sessions:i strictly_later:b next_session:b missing_sessions:i", with_(SESS, """
 p AS (SELECT year(dt) AS part, dt FROM (SELECT CASE WHEN l_shipdate >= TIMESTAMP '1996-11-01' AND l_shipdate < TIMESTAMP '1997-02-01' THEN CAST(l_shipdate AS DATE) - 365 ELSE CAST(l_shipdate AS DATE) END AS dt FROM lineitem)), g AS (SELECT part, min(dt) AS first_dt, max(dt) AS last_dt, count(DISTINCT dt) AS sessions FROM p GROUP BY 1),
-j AS (SELECT g.*, a.session_no AS x, b.session_no AS y FROM g JOIN sess a ON a.dt = first_dt JOIN sess b ON b.dt = last_dt)""") + """
+j AS (SELECT g.*, a.session_no AS x, b.session_no AS y FROM g LEFT JOIN sess a ON a.dt = first_dt LEFT JOIN sess b ON b.dt = last_dt)""") + """
 SELECT *, coalesce(first_dt > lag(last_dt) OVER (ORDER BY part), true) AS strictly_later, coalesce(x = lag(y) OVER (ORDER BY part)+1, true) AS next_session, y-x+1-sessions AS missing_sessions FROM j""")
 def _(t):
     day = F.col("l_shipdate").cast("date")
