@@ -2,8 +2,8 @@
 
 Each text is the first layer of a worklist. In a layer, encoded parts are found
 (percent escapes, \\u escapes, base64, and gzip or zlib inside base64), decoded
-and put on the list unless the same layer was met before in this text, which
-also ends cycles; the list runs until it is empty. Every layer is scanned by the
+and put on the list unless the same layer was met before at the same place of
+this text, which also ends cycles; the list runs until it is empty. Every layer is scanned by the
 same patterns. A secret of an inner layer gets the span, in the whole text, of
 the encoded part that holds it: each layer maps its characters to the text.
 
@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,6 +140,11 @@ def _inner(text: str, most: int) -> Iterator[tuple[str | None, list[tuple[int, i
             yield inner, m.span()
 
 
+def _key(layer: str, spans: list[tuple[int, int]] | tuple[int, int]) -> tuple[bytes, bytes]:
+    """One layer at one place: digests of its text and of its spans in the whole text."""
+    return hashlib.sha256(layer.encode(errors="surrogatepass")).digest(), hashlib.sha256(np.array(spans, np.int64).tobytes()).digest()
+
+
 def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
     """(base spans, all spans, number of compressed parts over `most` bytes) of one text.
 
@@ -149,7 +155,7 @@ def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
     if not ("%" in text or "\\u" in text or _BASE64.search(text)):
         return base, base, 0
     found, bombs = {*base}, 0
-    seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
+    seen: set[tuple[bytes, bytes]] = set()
     work: list[tuple[str, list | tuple | None]] = [(text, None)]
     while work:
         layer, spans = work.pop()
@@ -157,14 +163,14 @@ def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
             if inner is None:
                 bombs += 1
                 continue
-            key = hashlib.sha256(inner.encode(errors="surrogatepass")).digest()
-            if key in seen:
-                continue
-            seen.add(key)
             if isinstance(spans, tuple):
                 own = spans
             elif spans is not None:
                 own = (spans[own[0]][0], spans[own[1] - 1][1]) if isinstance(own, tuple) else [(spans[a][0], spans[b - 1][1]) for a, b in own]
+            key = _key(inner, own)
+            if key in seen:
+                continue
+            seen.add(key)
             for start, end, kind in base_spans(inner):
                 found.add((*own, kind) if isinstance(own, tuple) else (own[start][0], own[end - 1][1], kind))
             work.append((inner, own))

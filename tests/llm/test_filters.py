@@ -191,6 +191,15 @@ def test_cycles_end_and_bombs_are_counted():
     assert secrets.scan(f"{bomb} {later}", most=1 << 20)[1:] == ([(len(bomb) + 1, len(bomb) + 1 + len(later.rstrip('=')) + later.count('='), 0)], 1)
 
 
+def test_every_copy_of_an_encoded_secret_is_found():
+    one, two = WRAPS["base64"](PLAIN), WRAPS["gzip"](PLAIN)
+    nested = WRAPS["base64"](WRAPS["base64"](PLAIN))
+    text = f"k1: {one} k2: {two} k3: {one} k4: {nested} k5: {quote(PLAIN, safe='').replace('p', '%70')} k6: {nested}"
+    found = {(a, b) for a, b, _ in secrets.scan(text)[1]}
+    parts = [m.span() for part in (one, two, nested) for m in re.finditer(rf"(?<!\S){re.escape(part)}", text)]
+    assert len(parts) == 5 and {*parts} <= found and len(found) == 6
+
+
 def test_secret_table_and_masks(docs_of):
     texts = [None, "", "x " * 50_000 + PLAIN, PLAIN, PLAIN, f"AKIA{'Q' * 20} {'0f' * 20}", "token: ab"]
     docs = docs_of(texts)
