@@ -7,6 +7,9 @@ this text, which also ends cycles; the list runs until it is empty. Every layer
 same patterns. A secret of an inner layer gets the span, in the whole text, of
 the encoded part that holds it: each layer maps its characters to the text.
 
+A base64 part may follow a path, a prefix or anything else that reads as base64,
+and may be wrapped into lines.
+
 A percent or \\u layer is the part with its escapes undone, mapped character by
 character, so a secret that lies half inside keeps its own bounds. A base64
 layer maps all its characters to the encoded part.
@@ -15,7 +18,6 @@ layer maps all its characters to the encoded part.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -37,7 +39,14 @@ _SIGN = re.compile(r"[:=]")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# A run of base64 digits may go on after line breaks with blanks around them.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+# In decoded bytes: starts of gzip and zlib streams, stretches of UTF-8 and of ASCII as UTF-16, byte order marks.
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]", re.S)
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}")
+_CUTS = "/+_-"
+_MARKS = (b"\xff\xfe", b"\xfe\xff")
 
 Span = tuple[int, int, int]  # start, end, number of the kind
 
@@ -93,54 +102,145 @@ def _unicode(m: re.Match) -> Iterator[tuple[str, int, int]]:
         k += size
 
 
-def _inflated(raw: bytes, most: int) -> bytes | None:
-    """Content of a gzip or zlib stream; None if it is none or holds more than `most` bytes."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
+_ESCAPES = (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode))
+
+
+def _inflated(raw: bytes, most: int) -> tuple[bytes, int, bool]:
+    """Content of the gzip or zlib stream at the start, the bytes read, and whether it holds more than `most`."""
+    stream = zlib.decompressobj(47)
     try:
-        stream = zlib.decompressobj(47)
         out = stream.decompress(raw, most + 1)
     except zlib.error:
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out
+        return b"", 0, False
+    return out, len(raw) - len(stream.unused_data), len(out) > most
 
 
 def _plain(raw: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 with few control characters."""
+    """Bytes as text, if they are UTF-8 or UTF-16 with few control characters."""
+    code = "utf-16" if raw[:2] in _MARKS else "utf-8" if raw.count(0) * 3 < len(raw) else "utf-16-le" if raw[1:2] == b"\0" else "utf-16-be"
     try:
-        text = raw.decode()
+        text = raw.decode(code)
     except UnicodeDecodeError:
         return None
     odd = sum(c < " " and c not in "\t\n\r" for c in text)
     return text if text and 10 * odd <= len(text) else None
 
 
-def _inner(text: str, most: int) -> Iterator[tuple[str | None, list[tuple[int, int]] | tuple[int, int]]]:
-    """The layers inside one layer: their text (None if oversize), and spans per character or one for all."""
-    for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode)):
-        if mark in text and (found := _escapes(text, pattern, decode)):
-            yield found
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        try:
-            while (unpacked := _inflated(raw, most)) is not None:
-                raw = unpacked
-        except OverflowError:
-            yield None, m.span()
-            continue
-        if (inner := _plain(raw)) is not None:
-            yield inner, m.span()
+def _raw(body: str) -> bytes:
+    """Bytes of base64 digits of either alphabet, as far as they give whole ones."""
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+class _Parts:
+    """What the base64 parts of one text hold, at any depth; each layer is read once.
 
+    Only the kinds inside a part matter, as all of them get the part's span. So
+    the layers are a graph by digest, and a part holds the kinds of all layers
+    that can be reached from its own: cycles end and no copy is lost.
+    """
 
-def _key(layer: str, spans: list[tuple[int, int]] | tuple[int, int]) -> tuple[bytes, bytes]:
+    def __init__(self, most: int):
+        self.most, self.bombs = most, 0
+        self.nodes: dict[bytes, tuple[set[int], set[bytes]]] = {}
+        self.work: list[tuple[bytes, bytes | str]] = []
+        self.runs: dict[bytes, list[tuple[int, int, bytes, int, bytes]]] = {}
+        self.reached: dict[bytes, set[int]] = {}
+
+    def node(self, layer: bytes | str) -> bytes:
+        """The key of a layer, either text or a compressed stream, which is put on the list if it is new."""
+        key = hashlib.sha256(layer.encode(errors="surrogatepass") if isinstance(layer, str) else b"\0packed" + layer).digest()
+        if key not in self.nodes:
+            self.nodes[key] = (set(), set())
+            self.work.append((key, layer))
+        return key
+
+    def kinds(self, key: bytes) -> set[int]:
+        """All kinds in the layer and below."""
+        if key not in self.reached:
+            while self.work:
+                self.read(*self.work.pop())
+            met, todo, out = {key}, [key], set()
+            while todo:
+                own, below = self.nodes[todo.pop()]
+                out |= own
+                todo += below - met
+                met |= below
+            self.reached[key] = out
+        return self.reached[key]
+
+    def read(self, key: bytes, layer: bytes | str) -> None:
+        kinds, below = self.nodes[key]
+        if isinstance(layer, bytes):
+            raw, _, over = _inflated(layer, self.most)
+            self.bombs += over
+            if not over:
+                below |= {k for _, _, k in self.inside(raw, 1)}
+            return
+        kinds |= {s[2] for s in base_spans(layer)}
+        for mark, pattern, decode in _ESCAPES:
+            if mark in layer and (found := _escapes(layer, pattern, decode)):
+                below.add(self.node(found[0]))
+        for m in _BASE64.finditer(layer):
+            below |= {part[2] for part in self.run(m[0])}
+
+    def inside(self, raw: bytes, step: int = 3) -> Iterator[tuple[int, int, bytes]]:
+        """Start, end and layer of what bytes hold: compressed streams that start at a whole group, and stretches of text."""
+        past = 0
+        for m in _PACKED.finditer(raw):
+            if m.start() >= past and (m.start() % 3 == 0 if step == 3 else m.start() == 0):
+                out, size, _ = _inflated(raw[m.start() :], 64)
+                if out:
+                    past = m.start() + (_inflated(raw[m.start() :], self.most)[1] or size)
+                    yield m.start(), past, self.node(raw[m.start() : past])
+        for m in _TEXT.finditer(raw):
+            yield *m.span(), self.node(m[0].decode("latin-1"))
+        if b"\0" in raw:
+            for m in _WIDE.finditer(raw):
+                start = m.start() - 2 if raw[max(0, m.start() - 2) : m.start()] in _MARKS else m.start()
+                yield start, m.end(), self.node(m[0].replace(b"\0", b"").decode())
+
+    def run(self, run: str) -> list[tuple[int, int, bytes, int, bytes]]:
+        """Start, end and layer of the encoded parts of a run of base64 digits and line breaks.
+
+        A part may start at any digit and end before the run does. All starts
+        at one distance modulo 4 give the same bytes, so four alignments, both
+        alphabets as one, hold every part. Digits before a part can happen to
+        look like text, too, so a later start, after a separator, and the layer
+        from there come with each part.
+        """
+        key = hashlib.sha256(run.encode()).digest()
+        if key in self.runs:
+            return self.runs[key]
+        lines = list(re.finditer(r"[^\s]+", run))
+        chars = "".join(m[0] for m in lines)
+        at = np.concatenate([np.arange(*m.span()) for m in lines])
+        out = set()
+        if len(lines) > 1:
+            out = {(m.start() + a, m.start() + b, k, m.start() + c, d) for m in lines if len(m[0]) >= 16 for a, b, k, c, d in self.run(m[0])}
+        body = chars.rstrip("=")
+        for skip in range(4):
+            raw = _raw(body[skip:])
+            if skip == 0 and (text := _plain(raw)) is not None:
+                layer = self.node(text)
+                out.add((0, len(run), layer, 0, layer))
+                continue
+            for first, last, layer in self.inside(raw):
+                start, end = skip + first * 8 // 6, skip + -(-last * 8 // 6)
+                end = len(chars) if end >= len(body) else end
+                later, other = start, layer
+                if start and body[start - 1] not in _CUTS:
+                    near = (k + 1 for k in range(start, min(start + 12, end - 16)) if body[k] in _CUTS and (k + 1 - skip) % 4 == 0)
+                    if later := next(near, 0):
+                        other = self.node(raw[(later - skip) * 6 // 8 : last].decode("latin-1"))
+                    else:
+                        later = start
+                out.add((int(at[start]), int(at[end - 1]) + 1, layer, int(at[later]), other))
+        self.runs[key] = sorted(out)
+        return self.runs[key]
+
+
+def _key(layer: str, spans: list[tuple[int, int]]) -> tuple[bytes, bytes]:
     """One layer at one place: digests of its text and of its spans in the whole text."""
     return hashlib.sha256(layer.encode(errors="surrogatepass")).digest(), hashlib.sha256(np.array(spans, np.int64).tobytes()).digest()
 
@@ -154,27 +254,28 @@ def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
     base = base_spans(text)
     if not ("%" in text or "\\u" in text or _BASE64.search(text)):
         return base, base, 0
-    found, bombs = {*base}, 0
+    found, parts = {*base}, _Parts(most)
     seen: set[tuple[bytes, bytes]] = set()
-    work: list[tuple[str, list | tuple | None]] = [(text, None)]
+    work: list[tuple[str, list | None]] = [(text, None)]
     while work:
         layer, spans = work.pop()
-        for inner, own in _inner(layer, most):
-            if inner is None:
-                bombs += 1
-                continue
-            if isinstance(spans, tuple):
-                own = spans
-            elif spans is not None:
-                own = (spans[own[0]][0], spans[own[1] - 1][1]) if isinstance(own, tuple) else [(spans[a][0], spans[b - 1][1]) for a, b in own]
-            key = _key(inner, own)
-            if key in seen:
+        for m in _BASE64.finditer(layer):
+            for start, end, key, later, other in parts.run(m[0]):
+                kinds = parts.kinds(key)
+                start, end = (later if kinds <= parts.kinds(other) else start) + m.start(), end + m.start()
+                where = (start, end) if spans is None else (spans[start][0], spans[end - 1][1])
+                found |= {(*where, kind) for kind in kinds}
+        for mark, pattern, decode in _ESCAPES:
+            if not (mark in layer and (inner := _escapes(layer, pattern, decode))):
                 continue
-            seen.add(key)
-            for start, end, kind in base_spans(inner):
-                found.add((*own, kind) if isinstance(own, tuple) else (own[start][0], own[end - 1][1], kind))
-            work.append((inner, own))
-    return base, sorted(found), bombs
+            below, own = inner
+            if spans is not None:
+                own = [(spans[a][0], spans[b - 1][1]) for a, b in own]
+            if (key := _key(below, own)) not in seen:
+                seen.add(key)
+                found |= {(own[start][0], own[end - 1][1], kind) for start, end, kind in base_spans(below)}
+                work.append((below, own))
+    return base, sorted(found), parts.bombs
 
 
 def _listed(spans: list[Span]) -> str:

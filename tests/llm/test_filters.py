@@ -200,6 +200,36 @@ def test_every_copy_of_an_encoded_secret_is_found():
     assert len(parts) == 5 and {*parts} <= found and len(found) == 6
 
 
+def wrapped(raw: bytes, width: int = 76) -> str:
+    flat = base64.b64encode(raw).decode()
+    return "\n".join(flat[k : k + width] for k in range(0, len(flat), width))
+
+
+NOISE = random.Random(5).randbytes(600).hex(" ").encode()
+
+
+@pytest.mark.parametrize("prefix", ["https://h.example/cb/", "x/", "sk_", "sk-", "a+", "Basic", "v1/ab/cde_", "=", ""])
+@pytest.mark.parametrize("raw", [PLAIN.encode(), gzip.compress(PLAIN.encode()), zlib.compress(PLAIN.encode()), PLAIN.encode("utf-16"), PLAIN.encode("utf-16-le"), PLAIN.encode("utf-16-be")])
+def test_encoded_parts_are_found_after_a_prefix(prefix, raw):
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        for end in ("", "/more_path-x", "\nnext"):
+            part = encode(raw).decode() if not end else encode(raw).decode().rstrip("=")
+            text = f"see {prefix}{part}{end} after"
+            spans = [(a, b) for a, b, kind in secrets.scan(text)[1] if kind == 0]
+            at = text.index(part)
+            assert any(at - 6 <= a <= at + 4 and b >= at + 4 * 16 // 3 for a, b in spans), (text, spans)
+            if prefix in ("https://h.example/cb/", "x/", "sk_", "=", "") and not end and raw == PLAIN.encode():
+                assert spans == [(at, at + len(part))]
+
+
+@pytest.mark.parametrize("raw", [NOISE + b" " + PLAIN.encode(), gzip.compress(NOISE + PLAIN.encode()), b"x" * 48 + PLAIN.encode(), (NOISE.decode() + PLAIN).encode("utf-16")])
+def test_wrapped_base64_is_one_part(raw):
+    for brk in ("\n", "\r\n", "\n    "):
+        part = wrapped(raw).replace("\n", brk)
+        text = f"key: {part}\n-- after"
+        assert (5, 5 + len(part), 0) in secrets.scan(text)[1]
+
+
 def test_secret_table_and_masks(docs_of):
     texts = [None, "", "x " * 50_000 + PLAIN, PLAIN, PLAIN, f"AKIA{'Q' * 20} {'0f' * 20}", "token: ab"]
     docs = docs_of(texts)
