@@ -21,7 +21,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,26 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 # In decoded bytes: starts of gzip and zlib streams, stretches of UTF-8 and of ASCII as UTF-16, byte order marks.
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]", re.S)
-_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
-_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}")
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}+")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}+|(?:\0[\t\n\r\x20-\x7e]){12,}+")
 _CUTS = "/+_-"
 _MARKS = (b"\xff\xfe", b"\xfe\xff")
 
+BROKEN = len(KINDS)  # a kind of its own: what cannot be read
+_PIECE = 1 << 20
+# Bytes that neither a secret, an escape nor base64 has, and blanks inside prose.
+_BREAK = re.compile(
+    rb"[,;()<>{}|!?#*&$@~^`\[\]\x01-\x08\x0b\x0c\x0e-\x1f\x7f-\xff]|\0(?=\0)"
+    rb"|(?<=[A-Za-z0-9.,])\x20(?=[A-Za-z0-9])|(?<=[A-Za-z0-9.,]\0)\x20\0(?=[A-Za-z0-9])"
+)
+# Any number of blanks may stand before and after the sign of an assignment.
+_BLANKS = re.compile(rb"(\x20\0?)\1{255,}")
+_ZEROS = re.compile(rb"\0{3,}")
+_ASCII = bytes(b if 32 <= b < 127 or b in b"\t\n\r" else 0 for b in range(256))
+_OTHER = re.compile(rb"[^A-Za-z0-9+/_-]")
+
 Span = tuple[int, int, int]  # start, end, number of the kind
+Source = Callable[[], Iterable[bytes]]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -62,20 +76,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _escapes(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
-    """The text with its escapes undone and, per character, what it came from; None if nothing decodes."""
+def _escapes(text: str, pattern: re.Pattern, decode, places: bool = True) -> tuple[str, list[tuple[int, int]]] | None:
+    """The text with its escapes undone and, per character if asked for, what it came from; None if nothing decodes."""
     parts, spans, at, changed = [], [], 0, False
     for m in pattern.finditer(text):
         for chars, start, end in decode(m):
             parts.append(text[at:start])
-            spans += [(k, k + 1) for k in range(at, start)]
             parts.append(chars)
-            spans += [(start, end)] * len(chars)
+            if places:
+                spans += [(k, k + 1) for k in range(at, start)]
+                spans += [(start, end)] * len(chars)
             at, changed = end, True
     if not changed:
         return None
     parts.append(text[at:])
-    spans += [(k, k + 1) for k in range(at, len(text))]
+    if places:
+        spans += [(k, k + 1) for k in range(at, len(text))]
     return "".join(parts), spans
 
 
@@ -105,14 +121,88 @@ def _unicode(m: re.Match) -> Iterator[tuple[str, int, int]]:
 _ESCAPES = (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode))
 
 
-def _inflated(raw: bytes, most: int) -> tuple[bytes, int, bool]:
-    """Content of the gzip or zlib stream at the start, the bytes read, and whether it holds more than `most`."""
-    stream = zlib.decompressobj(47)
-    try:
-        out = stream.decompress(raw, most + 1)
-    except zlib.error:
-        return b"", 0, False
-    return out, len(raw) - len(stream.unused_data), len(out) > most
+class _Inflated:
+    """Content of a gzip or zlib stream and of all members after it, in pieces of at most 1 MB.
+
+    After the pieces, `read` is the number of bytes that belong to it, `ended`
+    whether the last member came to its end, `failed` whether bytes came that are
+    none of such a stream, and `broken` whether a stream could not be read for them.
+    """
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.read, self.got, self.ended, self.broken, self.failed = chunks, 0, 0, False, False, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        stream, past, gzip = zlib.decompressobj(47), 0, None
+        for chunk in self.chunks:
+            gzip = chunk[:1] == b"\x1f" if gzip is None else gzip
+            for first in range(0, len(chunk), 1 << 16):
+                data = chunk[first : first + (1 << 16)]
+                past += len(data)
+                more = True
+                while more:
+                    before = stream.copy()
+                    try:
+                        out = stream.decompress(data, _PIECE)
+                    except zlib.error:
+                        # What lies before the fault is still content.
+                        for k in range(len(data)):
+                            try:
+                                out = before.decompress(data[k : k + 1])
+                            except zlib.error:
+                                break
+                            self.got += len(out)
+                            yield out
+                        # After a whole member, other bytes are no part of it. Wrong starts break soon.
+                        self.failed, self.broken = True, not self.ended and (gzip or self.got > 4096)
+                        return
+                    if out:
+                        self.got += len(out)
+                        self.ended = False
+                        yield out
+                    if stream.eof:
+                        data, self.ended = stream.unused_data, True
+                        self.read = past - len(data)
+                        stream, more = zlib.decompressobj(47), len(data) > 0
+                    else:
+                        data = stream.unconsumed_tail
+                        more = len(data) > 0 or len(out) == _PIECE
+        if not self.ended:
+            self.read = past
+
+
+def _joined(run: str) -> tuple[str, np.ndarray]:
+    """The digits of a run without its line breaks, and the place of each."""
+    lines = list(re.finditer(r"\S+", run))
+    return "".join(m[0] for m in lines), np.concatenate([np.arange(*m.span(), dtype=np.int32) for m in lines])
+
+
+def _digits(source: Source, start: int) -> Iterator[bytes]:
+    """Bytes of the base64 digits from a place in a content on, over line breaks, in pieces."""
+    held = b""
+    for piece in source():
+        skip = min(start, len(piece))
+        start -= skip
+        part = piece[skip:].translate(None, b" \t\r\n\0")
+        end = _OTHER.search(part)
+        held += part[: end.start()] if end else part
+        whole = len(held) - (len(held) % 4 if not end else 0)
+        yield _raw(held[:whole].decode())
+        held = held[whole:]
+        if end:
+            return
+    yield _raw(held.decode())
+
+
+def _safe(data: bytes, whole: bool) -> int:
+    """The last place, near the end or anywhere, where neither a secret nor an encoded part can reach over; 0 if there is none."""
+    for first in (max(0, len(data) - (1 << 16)), 0)[: 1 + whole]:
+        last = 0
+        for m in _BREAK.finditer(data, first):
+            last = m.end()
+        if last:
+            return last
+    return 0
 
 
 def _plain(raw: bytes) -> str | None:
@@ -141,11 +231,12 @@ class _Parts:
     """
 
     def __init__(self, most: int):
-        self.most, self.bombs = most, 0
+        self.most, self.bombs, self.held = most, 0, 0
         self.nodes: dict[bytes, tuple[set[int], set[bytes]]] = {}
         self.work: list[tuple[bytes, bytes | str]] = []
         self.runs: dict[bytes, list[tuple[int, int, bytes, int, bytes]]] = {}
         self.reached: dict[bytes, set[int]] = {}
+        self.long: set[bytes] = set()
 
     def node(self, layer: bytes | str) -> bytes:
         """The key of a layer, either text or a compressed stream, which is put on the list if it is new."""
@@ -153,13 +244,13 @@ class _Parts:
         if key not in self.nodes:
             self.nodes[key] = (set(), set())
             self.work.append((key, layer))
+            self.held += len(layer)
         return key
 
     def kinds(self, key: bytes) -> set[int]:
         """All kinds in the layer and below."""
         if key not in self.reached:
-            while self.work:
-                self.read(*self.work.pop())
+            self.read_all()
             met, todo, out = {key}, [key], set()
             while todo:
                 own, below = self.nodes[todo.pop()]
@@ -169,30 +260,115 @@ class _Parts:
             self.reached[key] = out
         return self.reached[key]
 
+    def read_all(self) -> None:
+        while self.work:
+            key, layer = self.work.pop()
+            self.held -= len(layer)
+            self.read(key, layer)
+
     def read(self, key: bytes, layer: bytes | str) -> None:
         kinds, below = self.nodes[key]
         if isinstance(layer, bytes):
-            raw, _, over = _inflated(layer, self.most)
-            self.bombs += over
-            if not over:
-                below |= {k for _, _, k in self.inside(raw, 1)}
+            self.stream(lambda: _Inflated([layer]), kinds, below)
             return
         kinds |= {s[2] for s in base_spans(layer)}
         for mark, pattern, decode in _ESCAPES:
-            if mark in layer and (found := _escapes(layer, pattern, decode)):
+            if mark in layer and (found := _escapes(layer, pattern, decode, False)):
                 below.add(self.node(found[0]))
         for m in _BASE64.finditer(layer):
             below |= {part[2] for part in self.run(m[0])}
 
-    def inside(self, raw: bytes, step: int = 3) -> Iterator[tuple[int, int, bytes]]:
-        """Start, end and layer of what bytes hold: compressed streams that start at a whole group, and stretches of text."""
+    def stream(self, source: Source, kinds: set[int], below: set[bytes]) -> None:
+        """Reads a content of any size, which can be had again and again, with bounded memory.
+
+        It is cut where nothing can reach over. Where no such place comes, as in
+        one endless run, pieces overlap, and compressed streams that reach over
+        the end of a piece are read by themselves, from their first digit on.
+        """
+        piece = min(4 * _PIECE, self.most)
+        data, total, fresh = b"", 0, True
+        content = source()
+        for chunk in content:
+            self.bombs += total <= self.most < total + len(chunk)
+            total += len(chunk)
+            data += chunk
+            if fresh and total > 2:
+                fresh = False
+                if _PACKED.match(data):
+                    self.packed(source, kinds, below)
+            if len(data) < piece:
+                continue
+            if cut := _safe(data, len(data) > 2 * piece):
+                self.text(data[:cut], below)
+                data = data[cut:]
+            elif len(data) > 2 * piece and len(data := _BLANKS.sub(rb"\1", data)) > 2 * piece:
+                for start in self.open(data):
+                    self.stream(lambda first=total - len(data) + start: _Inflated(_digits(source, first)), kinds, below)
+                self.text(data, below)
+                data = data[-piece // 16 :]
+        self.text(data, below)
+        if content.broken:
+            kinds.add(BROKEN)
+
+    def packed(self, source: Source, kinds: set[int], below: set[bytes]) -> None:
+        """A content that is a compressed stream itself: a layer, or if it is long, read from its source once."""
+        chunks, size, digest = [], 0, hashlib.sha256()
+        for chunk in source():
+            size += len(chunk)
+            digest.update(chunk)
+            chunks = [*chunks, chunk] if size <= self.most else []
+        if size <= self.most:
+            below.add(self.node(b"".join(chunks)))
+        elif digest.digest() not in self.long:
+            self.long.add(digest.digest())
+            self.stream(lambda: _Inflated(source()), kinds, below)
+
+    def open(self, data: bytes) -> Iterator[int]:
+        """Places of the first digits of compressed streams that do not end in the data."""
+        for wide, pattern in ((1, _TEXT), (2, _WIDE)):
+            for t in pattern.finditer(data):
+                if t.end() < len(data) - wide:
+                    continue
+                for m in _BASE64.finditer(t[0].replace(b"\0", b"").decode("latin-1")):
+                    chars, at = _joined(m[0])
+                    for skip in range(4):
+                        raw = _raw(chars.rstrip("=")[skip:])
+                        for p in _PACKED.finditer(raw):
+                            if p.start() % 3 == 0:
+                                part = _Inflated([raw[p.start() :]])
+                                for _ in part:
+                                    pass
+                                if part.got and not part.ended and not part.failed:
+                                    yield t.start() + wide * (m.start() + int(at[skip + p.start() * 8 // 6]))
+
+    def text(self, data: bytes, below: set[bytes]) -> None:
+        """Puts the texts of a piece on the list as one layer, and reads the list when it holds much."""
+        texts = [data.translate(_ASCII)]
+        if b"\0" in data:
+            data = _ZEROS.sub(b"\0\0", data)
+            texts += [m[0].replace(b"\0", b"") for m in _WIDE.finditer(data)]
+        if found := _ZEROS.sub(b"\0\0", b"\0".join(texts)).strip(b"\0"):
+            below.add(self.node(found.decode()))
+        if self.held > 4 * _PIECE:
+            self.read_all()
+
+    def streams(self, raws: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+        """Alignment, start, end and layer of the compressed streams that start at a whole group; none inside another that ends."""
         past = 0
-        for m in _PACKED.finditer(raw):
-            if m.start() >= past and (m.start() % 3 == 0 if step == 3 else m.start() == 0):
-                out, size, _ = _inflated(raw[m.start() :], 64)
-                if out:
-                    past = m.start() + (_inflated(raw[m.start() :], self.most)[1] or size)
-                    yield m.start(), past, self.node(raw[m.start() : past])
+        starts = ((skip + m.start() * 8 // 6, skip, m.start()) for skip, raw in enumerate(raws) for m in _PACKED.finditer(raw) if m.start() % 3 == 0)
+        for place, skip, first in sorted(starts):
+            if place < past:
+                continue
+            part = _Inflated([raws[skip][first:]])
+            for _ in part:
+                pass
+            if part.got or part.broken:
+                last = first + part.read if part.ended else len(raws[skip])
+                past = skip + last * 8 // 6 if part.ended else past
+                yield skip, first, last, self.node(raws[skip][first:last])
+
+    def stretches(self, raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+        """Start, end and layer of the stretches of text in bytes."""
         for m in _TEXT.finditer(raw):
             yield *m.span(), self.node(m[0].decode("latin-1"))
         if b"\0" in raw:
@@ -212,30 +388,25 @@ class _Parts:
         key = hashlib.sha256(run.encode()).digest()
         if key in self.runs:
             return self.runs[key]
-        lines = list(re.finditer(r"[^\s]+", run))
-        chars = "".join(m[0] for m in lines)
-        at = np.concatenate([np.arange(*m.span()) for m in lines])
-        out = set()
+        lines, (chars, at), out = list(re.finditer(r"\S+", run)), _joined(run), set()
         if len(lines) > 1:
             out = {(m.start() + a, m.start() + b, k, m.start() + c, d) for m in lines if len(m[0]) >= 16 for a, b, k, c, d in self.run(m[0])}
         body = chars.rstrip("=")
-        for skip in range(4):
-            raw = _raw(body[skip:])
-            if skip == 0 and (text := _plain(raw)) is not None:
-                layer = self.node(text)
-                out.add((0, len(run), layer, 0, layer))
-                continue
-            for first, last, layer in self.inside(raw):
-                start, end = skip + first * 8 // 6, skip + -(-last * 8 // 6)
-                end = len(chars) if end >= len(body) else end
-                later, other = start, layer
-                if start and body[start - 1] not in _CUTS:
-                    near = (k + 1 for k in range(start, min(start + 12, end - 16)) if body[k] in _CUTS and (k + 1 - skip) % 4 == 0)
-                    if later := next(near, 0):
-                        other = self.node(raw[(later - skip) * 6 // 8 : last].decode("latin-1"))
-                    else:
-                        later = start
-                out.add((int(at[start]), int(at[end - 1]) + 1, layer, int(at[later]), other))
+        raws = [_raw(body[skip:]) for skip in range(4)]
+        if (text := _plain(raws[0])) is not None:
+            layer = self.node(text)
+            out.add((0, len(run), layer, 0, layer))
+            raws[0] = b""
+        parts = [*self.streams(raws), *((skip, *part) for skip, raw in enumerate(raws) for part in self.stretches(raw))]
+        for skip, first, last, layer in parts:
+            start, end = skip + first * 8 // 6, skip + -(-last * 8 // 6)
+            end = len(chars) if end >= len(body) else end
+            later, other = start, layer
+            if start and body[start - 1] not in _CUTS:
+                near = (k + 1 for k in range(start, min(start + 12, end - 16)) if body[k] in _CUTS and (k + 1 - skip) % 4 == 0)
+                if found := next(near, 0):
+                    later, other = found, self.node(raws[skip][(found - skip) * 6 // 8 : last].decode("latin-1"))
+            out.add((int(at[start]), int(at[end - 1]) + 1, layer, int(at[later]), other))
         self.runs[key] = sorted(out)
         return self.runs[key]
 
@@ -248,12 +419,16 @@ def _key(layer: str, spans: list[tuple[int, int]]) -> tuple[bytes, bytes]:
 def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
     """(base spans, all spans, number of compressed parts over `most` bytes) of one text.
 
-    A part that unpacks to more than `most` bytes is counted, not unpacked: it is
-    an attack on memory, and its document can be handled apart.
+    A part that unpacks to more than `most` bytes is counted, and read like the others.
     """
+    return _scan(text, most)[:3]
+
+
+def _scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int, list[Span]]:
+    """What `scan` gives, and the spans of compressed parts that are broken, so that not all of them could be read."""
     base = base_spans(text)
     if not ("%" in text or "\\u" in text or _BASE64.search(text)):
-        return base, base, 0
+        return base, base, 0, []
     found, parts = {*base}, _Parts(most)
     seen: set[tuple[bytes, bytes]] = set()
     work: list[tuple[str, list | None]] = [(text, None)]
@@ -275,11 +450,11 @@ def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
                 seen.add(key)
                 found |= {(own[start][0], own[end - 1][1], kind) for start, end, kind in base_spans(below)}
                 work.append((below, own))
-    return base, sorted(found), parts.bombs
+    return base, sorted(s for s in found if s[2] != BROKEN), parts.bombs, sorted(s for s in found if s[2] == BROKEN)
 
 
 def _listed(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
+    return ",".join(f"{(*KINDS, 'broken')[kind]}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
 
 def find(docs: DataFrame, *columns: str) -> DataFrame:
@@ -322,7 +497,7 @@ def masked(text: str | None, spans: str, mark: str = "[secret]") -> str | None:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """All documents, secrets replaced; `n_chars`, if there is one, follows a changed text."""
+    """All documents, secrets and broken compressed parts replaced; `n_chars`, if there is one, follows a changed text."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +505,8 @@ def mask(docs: DataFrame) -> DataFrame:
             made = []
             for raw in batch.column("text").to_pylist():
                 text = (raw or b"").decode()
-                spans = scan(text)[1]
+                _, spans, _, broken = _scan(text)
+                spans += broken
                 made.append(masked(text, _listed(spans)).encode() if spans else raw)
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()) if c == "text" else batch.column(c) for c in names], names)
 

@@ -230,6 +230,40 @@ def test_wrapped_base64_is_one_part(raw):
         assert (5, 5 + len(part), 0) in secrets.scan(text)[1]
 
 
+BULK = b"ab, \n" * 40_000
+TIGHT = base64.b64encode(random.Random(6).randbytes(120_000))
+
+
+@pytest.mark.parametrize("most", [1 << 14, 64 << 20])
+@pytest.mark.parametrize("content", [
+    BULK + PLAIN.encode() + BULK, BULK + wrapped(PLAIN.encode() * 9).encode(), gzip.compress(BULK + PLAIN.encode()), TIGHT + b" " + PLAIN.encode(),
+    TIGHT + WRAPS["base64"](PLAIN).encode(), b" ".join([BULK, base64.b64encode(gzip.compress(random.Random(7).randbytes(90_000) + b" " + PLAIN.encode()))]),
+    (BULK.decode() + PLAIN + BULK.decode()).encode("utf-16"), b"0" * 90_000 + b"password" + b" " * 90_000 + b"=" + b" " * 9 + b"abcdef99",
+])
+def test_contents_of_any_size_are_read(monkeypatch, content, most):
+    if most < 1 << 20:
+        monkeypatch.setattr(secrets, "_PIECE", most // 4)
+    for packed in (gzip.compress(content), zlib.compress(content), gzip.compress(content[:40]) + gzip.compress(content[40:]) + gzip.compress(b" last")):
+        part = base64.b64encode(packed).decode()
+        assert (4, 4 + len(part), 0) in secrets.scan(f"see {part} after", most=most)[1]
+
+
+def test_broken_streams_are_masked_and_circles_end(docs_of):
+    good = gzip.compress(random.Random(8).randbytes(9000) + PLAIN.encode())
+    bad = base64.b64encode(good[:5000] + b"\xff" * 40 + good[5040:]).decode()
+    early = base64.b64encode(gzip.compress(PLAIN.encode() + random.Random(8).randbytes(90_000))[:-50_000] + b"\xff" * 90_000).decode()
+    out = sorted(secrets.mask(docs_of([f"a {bad} b", f"a {early} b", "a plain text"])).collect())
+    assert [r.text for r in out] == ["a [secret] b", "a [secret] b", "a plain text"]
+    assert (2, 2 + len(early), 0) in secrets.scan(f"a {early} b")[1]
+    parts = secrets._Parts(1 << 20)
+    circle = b"\x1f\x8b\x08 a stream that holds itself"
+    real, secrets._Inflated = secrets._Inflated, type("Circle", (secrets._Inflated,), {"__iter__": lambda self: iter([circle])})
+    try:
+        assert parts.kinds(parts.node(circle)) == set()
+    finally:
+        secrets._Inflated = real
+
+
 def test_secret_table_and_masks(docs_of):
     texts = [None, "", "x " * 50_000 + PLAIN, PLAIN, PLAIN, f"AKIA{'Q' * 20} {'0f' * 20}", "token: ab"]
     docs = docs_of(texts)
