@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import chat, decontam, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc
+from tapeloom.llm import chat, decontam, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc, whitening
 from tapeloom.llm.registry import query, table
 
 
@@ -62,3 +62,8 @@ def doubling_windows(spark: SparkSession, root: str) -> DataFrame:
 def minhash_coordinate_join(spark: SparkSession, root: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, root, "documents"), 4, 80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op11_block_matrix_whitening")
+def block_matrix_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"), 32)
