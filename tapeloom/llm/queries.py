@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import chat, decontam, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc, whitening
+from tapeloom.llm import alignment, chat, decontam, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc, whitening
 from tapeloom.llm.registry import query, table
 
 
@@ -67,3 +67,8 @@ def minhash_coordinate_join(spark: SparkSession, root: str) -> DataFrame:
 @query("op11_block_matrix_whitening")
 def block_matrix_whitening(spark: SparkSession, root: str) -> DataFrame:
     return whitening.whiten(table(spark, root, "embeddings"), 32)
+
+
+@query("op12_byte_end_alignment")
+def byte_end_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.compare(table(spark, root, "documents"), tokens.find(tokens.BYTE_BPE), tokens.find(alignment.PIECE_BPE))
