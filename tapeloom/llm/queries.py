@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import alignment, chat, decontam, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc, whitening
+from tapeloom.llm import alignment, chat, decontam, mixing, neardup, packing, quality, secrets, substring, tokenfile, tokens, urls, warc, whitening
 from tapeloom.llm.registry import query, table
 
 
@@ -72,3 +72,8 @@ def block_matrix_whitening(spark: SparkSession, root: str) -> DataFrame:
 @query("op12_byte_end_alignment")
 def byte_end_alignment(spark: SparkSession, root: str) -> DataFrame:
     return alignment.compare(table(spark, root, "documents"), tokens.find(tokens.BYTE_BPE), tokens.find(alignment.PIECE_BPE))
+
+
+@query("op13_context_mixing_score")
+def context_mixing_score(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.score(table(spark, root, "documents"))
