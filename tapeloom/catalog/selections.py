@@ -45,12 +45,15 @@ def _(t):
 
 
 @query("F3_buffered_membership", "profile:s dt:d pos:i instrument:i", "WITH RECURSIVE " + BARS_W + """,
-rk AS (SELECT dt, dense_rank() OVER (ORDER BY dt) AS d, instrument, row_number() OVER (PARTITION BY dt ORDER BY close DESC, instrument) AS rank FROM barsw), n AS (SELECT dt, d, list(instrument ORDER BY rank) AS all_names, list(instrument ORDER BY rank) FILTER (WHERE rank <= 20) AS near FROM rk WHERE rank <= 30 GROUP BY ALL),
-g(d, dt, picked) AS (SELECT d, dt, all_names[1:10] FROM n WHERE d = 1
- UNION ALL SELECT n.d, n.dt, list_concat(list_filter(n.near, lambda x: list_contains(g.picked, x)), list_filter(n.all_names, lambda x: NOT (list_contains(g.picked, x) AND list_contains(n.near, x))))[1:10] FROM n JOIN g ON n.d = g.d+1)
-SELECT 'p10' AS profile, dt, generate_subscripts(picked, 1)-1 AS pos, unnest(picked) AS instrument FROM g""")
-def _(t):
-    ranked = selection.top_n(t.bars_w().withColumn("profile", F.lit("p10")), ["dt"], "close", "instrument", 30)
+pools AS (SELECT 'p' || instrument % 4 AS profile, * FROM barsw),
+rk AS (SELECT profile, dt, instrument, row_number() OVER (PARTITION BY profile, dt ORDER BY close DESC, instrument) AS rank FROM pools),
+n AS (SELECT profile, dt, row_number() OVER (PARTITION BY profile ORDER BY dt) AS d, list(instrument ORDER BY rank) AS all_names, coalesce(list(instrument ORDER BY rank) FILTER (WHERE rank <= 20), []) AS near FROM rk WHERE rank <= 30 GROUP BY profile, dt),
+g(profile, d, dt, picked) AS (SELECT profile, d, dt, all_names[1:10] FROM n WHERE d = 1
+ UNION ALL SELECT n.profile, n.d, n.dt, list_concat(list_filter(n.near, lambda x: list_contains(g.picked, x)), list_filter(n.all_names, lambda x: NOT (list_contains(g.picked, x) AND list_contains(n.near, x))))[1:10] FROM n JOIN g ON n.profile = g.profile AND n.d = g.d+1)
+SELECT profile, dt, generate_subscripts(picked, 1)-1 AS pos, unnest(picked) AS instrument FROM g""")
+def _(t):
+    pools = t.bars_w().withColumn("profile", F.concat(F.lit("p"), F.col("instrument") % 4))
+    ranked = selection.top_n(pools, ["profile", "dt"], "close", "instrument", 30)
     return selection.buffered_membership(ranked, "profile", top_k=10, buffer_k=20)
 
 

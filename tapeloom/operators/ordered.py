@@ -1,8 +1,7 @@
 """Ordered folds: results that depend on their own earlier output.
 
-Each fold runs over a sorted array. The arrays are bounded: targets are unique
-per (symbol, date), so one symbol holds at most a calendar; budgets run over the
-top-n candidates of a date.
+Each walks the sorted rows of a key in one pass (`streamed.fold_columns`), with a
+state of constant size, so a long history costs no more per row than a short one.
 """
 
 from __future__ import annotations
@@ -10,23 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators.streamed import fold_columns
+
 
 def effective_targets(targets: DataFrame, minimum: Column) -> DataFrame:
     """A raise below the minimum order keeps the previous effective shares.
 
     Input: symbol, dt, shares (unique per symbol and date).
     """
-    rows = targets.select("symbol", F.struct("dt", F.col("shares").cast("double").alias("shares"), minimum.cast("double").alias("lot")).alias("r"))
-    seq = rows.groupBy("symbol").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    empty = F.expr("cast(array() as array<struct<dt:date,shares:double,effective:double>>)")
+    rows = targets.select("symbol", "dt", F.col("shares").cast("double").alias("shares"), minimum.cast("double").alias("_lot"))
 
-    def step(acc: Column, r: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["effective"], F.lit(0.0))
-        small = (r["shares"] > prev) & (r["shares"] - prev < r["lot"])
-        now = F.struct(r["dt"].alias("dt"), r["shares"].alias("shares"), F.when(small, prev).otherwise(r["shares"]).alias("effective"))
-        return F.array_append(acc, now)
+    def step(before: float, shares: float, lot: float) -> tuple[float, tuple]:
+        now = before if shares > before and shares - before < lot else shares
+        return now, (now,)
 
-    return seq.select("symbol", F.inline(F.aggregate("rs", empty, step)))
+    return fold_columns(rows, ["symbol"], ["dt"], ["shares", "_lot"], "effective double", float, step).drop("_lot")
 
 
 def carry_blocked_targets(targets: DataFrame, blocks: DataFrame, *, retry_sells: bool = False) -> DataFrame:
@@ -45,47 +42,37 @@ def carry_blocked_targets(targets: DataFrame, blocks: DataFrame, *, retry_sells:
         "dt", F.explode(F.filter("_days", lambda d: d >= F.col("_from")))).drop("_from", "_days")
     dense = grid.join(targets.select("symbol", "dt", F.col("shares").cast("double").alias("shares")), ["symbol", "dt"], "left").join(
         sides, ["symbol", "dt"], "left")
-    rows = dense.select("symbol", F.struct(
-        "dt", F.coalesce("shares", F.lit(0.0)).alias("shares"),
-        F.coalesce("sides", F.expr("cast(array() as array<string>)")).alias("sides")).alias("r"))
-    seq = rows.groupBy("symbol").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    empty = F.expr("cast(array() as array<struct<dt:date,side:string,current:double,desired:double,final:double,reason:string>>)")
-
-    def step(acc: Column, r: Column) -> Column:
-        cur = F.coalesce(F.try_element_at(acc, F.lit(-1))["final"], F.lit(0.0))
-        want = r["shares"]
-        side = F.when(want > cur, "BUY").when(want < cur, "SELL").otherwise("HOLD")
-        stopped = F.array_contains(r["sides"], side)
-        retry = stopped & (side == "SELL") & F.lit(retry_sells)
-        final = F.when(stopped & ~retry, cur).otherwise(want)
-        reason = F.when(retry, "retry_blocked_sell").when(stopped, F.concat(F.lit("blocked_"), F.lower(side))).otherwise("target")
-        return F.array_append(acc, F.struct(
-            r["dt"].alias("dt"), side.alias("side"), cur.alias("current"), want.alias("desired"),
-            F.greatest(final, F.lit(0.0)).alias("final"), reason.alias("reason")))
-
-    out = seq.select("symbol", F.inline(F.aggregate("rs", empty, step)))
-    return out.where("final > 0 or current > 0")
+    rows = dense.select(
+        "symbol", "dt", F.coalesce("shares", F.lit(0.0)).alias("desired"),
+        *[F.coalesce(F.array_contains("sides", F.lit(s)), F.lit(False)).alias(f"_no_{s}") for s in ("BUY", "SELL")])
+
+    def step(current: float, want: float, no_buy: bool, no_sell: bool) -> tuple[float, tuple]:
+        side = "BUY" if want > current else "SELL" if want < current else "HOLD"
+        stopped = no_buy if side == "BUY" else no_sell and side == "SELL"
+        retry = stopped and retry_sells and side == "SELL"
+        final = max(current if stopped and not retry else want, 0.0)
+        reason = "retry_blocked_sell" if retry else f"blocked_{side.lower()}" if stopped else "target"
+        return final, (side, current, final, reason)
+
+    added = "side string, current double, final double, reason string"
+    out = fold_columns(rows, ["symbol"], ["dt"], ["desired", "_no_BUY", "_no_SELL"], added, float, step)
+    return out.where("final > 0 or current > 0").select("symbol", "dt", "side", "current", "desired", "final", "reason")
 
 
 def budgeted_accept(candidates: DataFrame, *, keys: list[str], order: list[str], cost: str, limit: Column, id_col: str, max_items: int) -> DataFrame:
     """Accept in order while the budget lasts; a later smaller item may still fit.
 
-    Only candidates with `rank` <= max_items can be accepted, which bounds the
-    array one group builds; those behind come back as not accepted, without a
-    running sum.
+    Only candidates with `rank` <= max_items can be accepted; those behind come
+    back as not accepted, without a running sum.
     """
-    rows = candidates.where(F.col("rank") <= max_items).select(
-        *keys, F.struct(*order, F.col(id_col).alias("_id"), F.col(cost).cast("double").alias("_c"), limit.cast("double").alias("_lim")).alias("r"))
-    seq = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    id_type = candidates.schema[id_col].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("used"), F.expr(f"cast(array() as array<struct<_id:{id_type},accepted:boolean,used:double>>)").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        fits = s["used"] + r["_c"] <= r["_lim"]
-        used = F.when(fits, s["used"] + r["_c"]).otherwise(s["used"])
-        return F.struct(used.alias("used"), F.array_append(s["out"], F.struct(
-            r["_id"].alias("_id"), fits.alias("accepted"), used.alias("used"))).alias("out"))
-
-    out = seq.select(*keys, F.inline(F.aggregate("rs", start, step, lambda s: s["out"])))
-    joined = candidates.join(out.withColumnRenamed("_id", id_col), [*keys, id_col], "left")
-    return joined.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    rows = candidates.withColumns({"_cost": F.col(cost).cast("double"), "_limit": limit.cast("double"), "_near": F.col("rank") <= max_items})
+
+    def step(used: float, price: float | None, most: float | None, near: bool | None) -> tuple[float, tuple]:
+        if not near:
+            return used, (False, None)
+        fits = price is not None and most is not None and used + price <= most
+        used = used + price if fits else used
+        return used, (fits, used)
+
+    added = "accepted boolean, used double"
+    return fold_columns(rows, keys, [*order, id_col], ["_cost", "_limit", "_near"], added, float, step).drop("_cost", "_limit", "_near")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.symbols import min_lot
+from tapeloom.operators.streamed import fold_columns
 from tapeloom.session import stage
 from tapeloom.skew import PER_RANGE, row_position
 
@@ -51,24 +52,21 @@ def rank_hysteresis(ranked: DataFrame, *, enter: int, leave: int) -> DataFrame:
 def buffered_membership(ranked: DataFrame, profile: str, *, top_k: int, buffer_k: int) -> DataFrame:
     """Exact size-k membership over the dates, each using the previous result.
 
-    Only ranks <= buffer_k + top_k can ever be picked, so a profile's history is
-    bounded by dates x that many names; it folds over one array per date.
+    Only ranks <= buffer_k + top_k can ever be picked: a date is one short array,
+    and each profile's dates are walked in order with the last picks as state.
     """
     near = ranked.where(F.col("rank") <= buffer_k + top_k)
-    per_date = near.groupBy(profile, "dt").agg(F.sort_array(F.collect_list(F.struct("rank", "instrument"))).alias("names"))
-    seq = per_date.groupBy(profile).agg(F.sort_array(F.collect_list(F.struct("dt", "names"))).alias("days"))
+    days = near.groupBy(profile, "dt").agg(F.sort_array(F.collect_list(F.struct("rank", "instrument"))).alias("_names"))
     kind = ranked.schema["instrument"].dataType.simpleString()
-    empty = F.expr(f"cast(array() as array<struct<dt:date,picked:array<{kind}>>>)")
 
-    def step(acc: Column, day: Column) -> Column:
-        none = F.expr(f"cast(array() as array<{kind}>)")
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["picked"], none)
-        kept = F.transform(F.filter(day["names"], lambda r: (r["rank"] <= buffer_k) & F.array_contains(before, r["instrument"])), lambda r: r["instrument"])
-        fresh = F.transform(F.filter(day["names"], lambda r: ~F.array_contains(kept, r["instrument"])), lambda r: r["instrument"])
-        picked = F.slice(F.concat(kept, fresh), 1, top_k)
-        return F.array_append(acc, F.struct(day["dt"].alias("dt"), picked.alias("picked")))
+    def step(before: list, names: list[dict]) -> tuple[list, tuple]:
+        held = {*before}
+        kept = [r["instrument"] for r in names if r["rank"] <= buffer_k and r["instrument"] in held]
+        picked = (kept + [r["instrument"] for r in names if r["instrument"] not in {*kept}])[:top_k]
+        return picked, (picked,)
 
-    return seq.select(profile, F.inline(F.aggregate("days", empty, step))).select(profile, "dt", F.posexplode("picked").alias("pos", "instrument"))
+    out = fold_columns(days, [profile], ["dt"], ["_names"], f"picked array<{kind}>", list, step)
+    return out.select(profile, "dt", F.posexplode("picked").alias("pos", "instrument"))
 
 
 def two_sided_candidates(df: DataFrame, *, buy_at: float, sell_at: float, buy_n: int, sell_n: int, total: int,
