@@ -5,7 +5,7 @@ share, found by intersecting two end-to-index dictionaries, cut both lists into
 groups, and every id of a group is linked with every id opposite.
 
 Neither tokenizer joins a letter or sign with a blank behind it, so a text is cut
-there, and each distinct part is encoded and aligned once per worker. Rows are
+there, and each distinct part of a pack is encoded and aligned once. Rows are
 taken in packs of some MB of text. A pack lists its distinct id pairs, and in how
 many of its documents each is linked; these lists are summed by pair over the
 corpus, and every pack gets back the totals of its own pairs. A pair thus moves
@@ -15,11 +15,12 @@ once per pack, however often it occurs, and no table of pairs is held whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm import tokens
 from tapeloom.llm.text import slices, small_batches
 from tapeloom.session import stage
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 PIECE_BPE = "piece_bpe_32k.model"
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -58,9 +60,6 @@ def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[Slice]:
 
 def links(ids_a: Sequence[int], ids_b: Sequence[int]) -> Iterator[tuple[int, int]]:
     """(pair, times) for all links of one group; a pair is the A id times 2^32 plus the B id."""
-    if len(ids_a) == len(ids_b) == 1:
-        yield ids_a[0] << 32 | ids_b[0], 1
-        return
     count_b = Counter(ids_b).items()
     for a, times in Counter(ids_a).items():
         for b, n in count_b:
@@ -68,13 +67,14 @@ def links(ids_a: Sequence[int], ids_b: Sequence[int]) -> Iterator[tuple[int, int
 
 
 class Vocabulary:
-    """Ids and token lengths in bytes, from both tokenizers, of one part of a text."""
+    """Ids of both tokenizers for parts of texts, and the bytes that each id stands for."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.a = tokens.Encoder(path_a, 1)
-        self.a.tokenizer.encode_special_tokens = True
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any(_CROSSING.search(p) for p in pieces):
@@ -84,80 +84,123 @@ class Vocabulary:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         other = {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in {*plain})}
         table = {chr(b): b for b in plain} | other
-        names = self.a.tokenizer.get_vocab(with_added_tokens=True)
+        names = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(names.values()) + 1)
         for name, k in names.items():
             self.bytes_a[k] = bytes(table[c] for c in name) if all(c in table for c in name) else name.encode()
+        self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.text_a, self.text_b = ([str(k) for k in range(len(own))] for own in (self.bytes_a, self.bytes_b))
         self.mark = len(self.b.encode("a"))
 
-    def of(self, part: str) -> tuple[list[int], list[int]] | None:
-        """Both id lists; None if either does not stand for the part's bytes."""
-        ids_a = np.frombuffer(self.a.encode(part), "<u4").tolist()
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both id lists of each part."""
+        ids_a = [e.ids for e in self.a.encode_batch(parts, add_special_tokens=False)]
         # The leading "a" takes the blank that B puts before a text; a part begins at a place where B cuts.
-        ids_b = self.b.encode("a" + part)[self.mark :]
+        return ids_a, [ids[self.mark :] for ids in self.b.encode(["a" + p for p in parts], num_threads=1)]
+
+    def faithful(self, part: str, a: list[int], b: list[int]) -> bool:
         want = part.encode()
-        if b"".join([self.bytes_a[k] for k in ids_a]) != want or b"".join([self.bytes_b[k] for k in ids_b]) != want:
-            return None
-        return ids_a, ids_b
+        return b"".join([self.bytes_a[k] for k in a]) == want == b"".join([self.bytes_b[k] for k in b])
+
+
+#: (groups as text, ids of A, of B, groups, links, pairs, times) of a part; None if its ids do not stand for its bytes.
+Entry = tuple[str, int, int, int, int, bytes, bytes] | None
+
+
+def entries(vocabulary: Vocabulary, parts: list[str], wide: int = 4096) -> list[Entry]:
+    """Parts encoded and aligned together: their bytes are one line, on which both tokenizers end wherever a part does."""
+    every_a, every_b = vocabulary.encode(parts)
+    sound = [vocabulary.faithful(*x) for x in zip(parts, every_a, every_b, strict=True)]
+    every_a, every_b = ([ids for ids, fine in zip(own, sound, strict=True) if fine] for own in (every_a, every_b))
+    if not every_a:
+        return [None] * len(parts)
+    flat_a, flat_b = (list(chain.from_iterable(own)) for own in (every_a, every_b))
+    n_a, n_b = (np.array([len(ids) for ids in own], np.int64) for own in (every_a, every_b))
+    ends_a, ends_b = np.cumsum(vocabulary.size_a[flat_a]), np.cumsum(vocabulary.size_b[flat_b])
+    found = np.array(align(ends_a.tolist(), ends_b.tolist()), np.int64)
+    of = np.searchsorted(np.cumsum(n_a), found[:, 0], "right")
+    size_a, size_b = found[:, 1] - found[:, 0], found[:, 3] - found[:, 2]
+    # Small groups are spread into their links at once; in large ones, equal ids are counted first.
+    small = np.flatnonzero(size_a * size_b <= wide)
+    first, other, times = found[small, 0], found[small, 2], size_b[small]
+    link = _spread(np.zeros_like(small), size_a[small] * times)
+    each = np.repeat(times, size_a[small] * times)
+    ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+    pairs = ids_a[np.repeat(first, size_a[small] * times) + link // each] << 32 | ids_b[np.repeat(other, size_a[small] * times) + link % each]
+    part, count = np.repeat(of[small], size_a[small] * times), np.ones(len(pairs), np.int64)
+    for k in np.flatnonzero(size_a * size_b > wide).tolist():
+        a0, a1, b0, b1 = found[k].tolist()
+        more = np.array(list(links(flat_a[a0:a1], flat_b[b0:b1])), np.int64)
+        pairs, part, count = np.append(pairs, more[:, 0]), np.append(part, np.full(len(more), of[k])), np.append(count, more[:, 1])
+    order = np.argsort(part, kind="stable")
+    pairs, count = pairs[order].tobytes(), count[order].tobytes()
+    at = (8 * np.searchsorted(part[order], np.arange(len(n_a) + 1))).tolist()
+    n_groups = np.bincount(of, minlength=len(n_a))
+    n_links = np.bincount(of, size_a * size_b, len(n_a)).astype(np.int64)
+    text_a, text_b = [vocabulary.text_a[k] for k in flat_a], [vocabulary.text_b[k] for k in flat_b]
+    shown = [text_a[a] + "|" + text_b[b] if c - a == 1 == d - b else ",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d]) for a, c, b, d in found.tolist()]
+    made, last, out = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True), 0, []
+    for k, (a, b, g, n) in enumerate(made):
+        out.append((";".join(shown[last : last + g]), a, b, g, n, pairs[at[k] : at[k + 1]], count[at[k] : at[k + 1]]))
+        last += g
+    rest = iter(out)
+    return [next(rest) if fine else None for fine in sound]
 
 
 class Parts(dict):
-    """Distinct parts met before: (groups as text, ids of A, of B, groups, links, pairs, times); `limit` at most."""
+    """Entries of the parts that packs met again and again, `limit` at most."""
 
     _open: dict[tuple[str, str], Parts] = {}
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 60_000):
         super().__init__()
         self.vocabulary, self.limit = vocabulary, limit
 
     @classmethod
     def of(cls, path_a: str, path_b: str) -> Parts:
-        """One per worker process, so that later tasks find the parts of earlier ones."""
+        """One per worker process, so that later packs find the parts of earlier ones."""
         if (path_a, path_b) not in cls._open:
             cls._open[path_a, path_b] = cls(Vocabulary(path_a, path_b))
         return cls._open[path_a, path_b]
 
-    def __missing__(self, part: str) -> tuple | None:
-        if len(self) >= self.limit:
+    def keep(self, parts: list[tuple[str, Entry]]) -> None:
+        if len(self) + len(parts) > self.limit:
             self.clear()
-        made = self.vocabulary.of(part)
-        if made is not None:
-            a, b = made
-            sizes = self.vocabulary.bytes_a, self.vocabulary.bytes_b
-            found = align(list(accumulate(len(sizes[0][k]) for k in a)), list(accumulate(len(sizes[1][k]) for k in b)))
-            text, pairs, times, n = [], [], [], 0
-            for a0, a1, b0, b1 in found:
-                text.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-                n += (a1 - a0) * (b1 - b0)
-                for pair, each in links(a[a0:a1], b[b0:b1]):
-                    pairs.append(pair)
-                    times.append(each)
-            made = (";".join(text), len(a), len(b), len(found), n, np.array(pairs, np.int64).tobytes(), np.array(times, np.int64).tobytes())
-        self[part] = made
-        return made
-
-
-class _Pack(dict):
+        self.update(parts[: self.limit])
+
+
+class _Pack:
     """Documents of one pack, each a list of the numbers of its parts."""
 
     def __init__(self, parts: Parts):
-        super().__init__()
-        self.parts, self.entries, self.docs, self.size = parts, [], [], 0
-
-    def __missing__(self, part: str) -> int:
-        entry = self.parts[part]
-        number = self[part] = -1 if entry is None else len(self.entries)
-        if entry is not None:
-            self.entries.append(entry)
-        return number
+        self.parts, self.number, self.entries, self.docs, self.size = parts, {}, [], [], 0
+
+    def learn(self, found: Iterable[str], batch: int = 20_000) -> None:
+        """Gives each part that is new to the pack a number, -1 to those without ids."""
+        new = [p for p in dict.fromkeys(found) if p not in self.number]
+        unknown = [p for p in new if p not in self.parts]
+        made = {}
+        for at in range(0, len(unknown), batch):
+            own = unknown[at : at + batch]
+            made |= zip(own, entries(self.parts.vocabulary, own), strict=True)
+        for part in new:
+            entry = made[part] if part in made else self.parts[part]
+            self.number[part] = -1 if entry is None else len(self.entries)
+            if entry is not None:
+                self.entries.append(entry)
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Numbers of the parts of blank + text; none if the text is empty or its ids do not stand for its bytes."""
         if not text:
             return np.zeros(0, np.int32)
         text = " " + text
-        found = _PART.findall(text) if len(text) < _LONG_TEXT else (m[0] for m in _PART.finditer(text))
-        numbers = np.fromiter(map(self.__getitem__, found), np.int32)
+        if len(text) < _LONG_TEXT:
+            found = _PART.findall(text)
+            self.learn(found)
+            numbers = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+        else:
+            self.learn(m[0] for m in _PART.finditer(text))
+            numbers = np.fromiter((self.number[m[0]] for m in _PART.finditer(text)), np.int32)
         return numbers if numbers.min() >= 0 else numbers[:0]
 
     def digest(self, numbers: np.ndarray) -> str:
@@ -169,16 +212,21 @@ class _Pack(dict):
             mark = ";"
         return made.hexdigest()
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        numbers = self.numbers(text)
-        self.docs.append((doc_id, numbers, self.digest(numbers)))
-        self.size += len(text or "")
+    def add(self, docs: list[tuple[int | None, str]]) -> None:
+        # The parts of many short texts are encoded together.
+        self.learn(p for _, text in docs if 0 < len(text) < _LONG_TEXT for p in _PART.findall(" " + text))
+        for doc_id, text in docs:
+            numbers = self.numbers(text)
+            self.docs.append((doc_id, numbers, self.digest(numbers)))
+            self.size += len(text)
 
     def rows(self, pack: int) -> pa.RecordBatch:
         """One row per document, and one for the pack: its distinct pairs, in how many documents each is, and the parts' links."""
         sizes = np.array([len(n) for _, n, _ in self.docs], np.int64)
         every = np.concatenate([n for _, n, _ in self.docs]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
+        often = np.bincount(every, minlength=len(self.entries)) > 2
+        self.parts.keep([(p, self.entries[k]) for p, k in self.number.items() if k >= 0 and often[k]])
         facts = np.array([e[1:5] for e in self.entries], np.int64).reshape(-1, 4)
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(facts[every], axis=0)])
         own = sums[starts[1:]] - sums[starts[:-1]]
@@ -218,18 +266,18 @@ def _spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(firsts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def packs(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 16 << 20) -> DataFrame:
-    """The documents aligned, in packs of about `pack_chars` characters (one document at least), and one row per pack."""
+def packs(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 8 << 20) -> DataFrame:
+    """The documents aligned, in packs of about `pack_chars` bytes (one document at least), and one row per pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, first, done = Parts.of(path_a, path_b), TaskContext.get().partitionId() << 32, 0
         pack = _Pack(parts)
-        for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pack.add(doc_id, (text or b"").decode())
-                if pack.size >= pack_chars:
-                    yield pack.rows(first + done)
-                    pack, done = _Pack(parts), done + 1
+        for batch in slices(batches, "text", min(pack_chars, 2 << 20)):
+            texts = ((text or b"").decode() for text in batch.column("text").to_pylist())
+            pack.add(list(zip(batch.column("doc_id").to_pylist(), texts, strict=True)))
+            if pack.size >= pack_chars:
+                yield pack.rows(first + done)
+                pack, done = _Pack(parts), done + 1
         if pack.docs:
             yield pack.rows(first + done)
 
@@ -284,7 +332,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     return out.append_column("groups_sha256", docs.column("groups_sha256"))
 
 
-def compare(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 16 << 20) -> DataFrame:
+def compare(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 8 << 20) -> DataFrame:
     """Per document: ids of A and B, groups, links, best links, the sum of the links' counts and a digest of the groups.
 
     Every row counts as a document, also one that is repeated or has no doc_id.
@@ -308,7 +356,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             made = []
             for text in batch.column("text").to_pylist():
                 pack = _Pack(parts)
-                made.append(";".join(pack.entries[k][0] for k in pack.numbers((text or b"").decode())))
+                made.append(";".join(pack.entries[k][0] for k in pack.numbers((text or b"").decode()).tolist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "groups"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
