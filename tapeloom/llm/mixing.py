@@ -2,7 +2,7 @@
 
 A text is the stream of its lower-cased words, a blank after each, and an end
 mark. Every byte is sent as the bits of a prefix code, and each bit is predicted
-by several contexts: the last 1, 2, 3 or 5 bytes of the word so far, known by
+by several contexts: the last 2, 3 or 5 bytes of the word so far, known by
 their 64-bit hashes, with counts from all training texts; and what this text has
 shown in the longest of them. A logistic mixer adds up their log-odds. Its weights
 are chosen by a gate (how many contexts were seen, first byte of a word or not)
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm import text as T
 from tapeloom.session import stage
 
-ORDERS = (1, 2, 3, 5)
+ORDERS = (2, 3, 5)
 LANE = 4096  # bytes after which weights and memories start anew, and words after which the last gate does
 END, GAP, WORD = 10, 32, 256  # the end mark's byte, the byte after a word, and what stands for a byte in the rows of whole words
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
@@ -45,10 +45,10 @@ _PACKS = "pack long, doc_id long, held_out boolean, n_tokens long, ids binary, w
 
 # The mixer: inputs are the contexts, the text's own memory and a constant.
 _INPUTS = len(ORDERS) + 2
-_FIRST = np.array([0.15, 0.2, 0.3, 0.45, 0.3, 0.0], np.float32)
+_FIRST = np.array([0.2, 0.35, 0.55, 0.3, 0.0], np.float32)
 _RATE, _STEP, _GATES = np.float32(0.005), np.float32(0.02), 2 * (len(ORDERS) + 1)
 _LIMIT, _PRIOR = 8.0, 0.4
-_MEMORY = 1 << 11
+_MEMORY, _NODE = 1 << 11, 619  # slots of a text's own memory; what a tree node adds to a context's slot
 _BUCKETS = 33
 _LANES = 3000
 _SHARES, _MOVE = (0.5, 0.4, 0.1), 0.02  # the last gate at first, of training words, bits and the text so far; how fast it moves
@@ -109,7 +109,7 @@ class Lexicon:
         self.first = np.cumsum(self.size) - self.size
         at = spread(begin + 1, self.size)
         start = np.repeat(begin, self.size)
-        self.byte = x[at].astype(np.int64)
+        self.byte = x[at].astype(np.int32)
         self.initial = at == start + 1
         self.word_key = T.mixed(T.WordHashes().of([b"\n", *words]) ^ _U(0xA5A5A5A5A5A5A5A5))
         # Per order: the number of the (context, byte) pair of each byte, and the pairs' contexts and bytes.
@@ -123,13 +123,13 @@ class Lexicon:
             number, kinds = pd.factorize(paired(hashed[fresh], self.byte[fresh]))
             sample = np.zeros(len(kinds), np.int64)
             sample[number[::-1]] = fresh[::-1]
-            own = self.pair[-1].copy() if self.pair else np.zeros(len(at), np.int64)
+            own = self.pair[-1].copy() if self.pair else np.zeros(len(at), np.int32)
             own[fresh] = number + done
             self.pair.append(own)
             self.key.append(hashed[sample])
             self.value.append(self.byte[sample])
             done, last = done + len(kinds), order
-        self.context = hashed  # of the highest order
+        self.slot = (hashed >> _U(53)).astype(np.int32)  # of the longest context
         self.key, self.value = np.concatenate(self.key), np.concatenate(self.value)
 
     def counts(self, seen: np.ndarray) -> np.ndarray:
@@ -234,9 +234,9 @@ def log_odds(code: Code, lexicon: Lexicon, key: np.ndarray, value: np.ndarray, n
     """For each bit of each pair of the lexicon: log-odds of a one in its context, and whether it was seen there; the pairs' first bits."""
     size = code.length[value]
     way = spread(code.first[value], size)
-    at, times = paired(np.repeat(key, size), code.node[way]), np.repeat(n, size).astype(np.float64)
+    at = paired(np.repeat(key, size), code.node[way])
     order = np.argsort(at)
-    at, times, ones = at[order], times[order], code.bit[way][order]
+    at, times, ones = at[order], np.repeat(n, size)[order].astype(np.float64), code.bit[way[order]]
     edge = np.flatnonzero(np.diff(at, prepend=at[:1] ^ _U(1))) if len(at) else np.zeros(0, np.int64)
     total = np.add.reduceat(times, edge) if len(at) else times
     one = np.add.reduceat(times * ones, edge) if len(at) else times
@@ -249,7 +249,7 @@ def log_odds(code: Code, lexicon: Lexicon, key: np.ndarray, value: np.ndarray, n
     hit = kinds[place] == wanted if len(kinds) else np.zeros(len(wanted), bool)
     odds = np.zeros(len(wanted), np.float32)
     odds[hit] = np.log((one[place[hit]] + _PRIOR) / (total[place[hit]] - one[place[hit]] + _PRIOR))
-    return np.clip(odds, -_LIMIT, _LIMIT), hit, np.cumsum(size) - size
+    return np.clip(odds, -_LIMIT, _LIMIT), hit, (np.cumsum(size) - size).astype(np.int32)
 
 
 class Mixer:
@@ -261,28 +261,33 @@ class Mixer:
         middles = (np.arange(_BUCKETS) - _BUCKETS // 2) / 2
         self.map = np.tile((1 / (1 + np.exp(-middles))).astype(np.float32), lanes)
 
-    def bits(self, inputs: np.ndarray, gate: np.ndarray, slot: np.ndarray, bit: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Probability of each given bit; lane k owns `size[k]` bits from `first[k]` on."""
+    def bits(self, inputs: np.ndarray, gate: np.ndarray, slot: np.ndarray, bit: np.ndarray, order: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Probability of each given bit: first the first bits of all lanes in `order`, then the second bits of those that have them, and so on."""
         out = np.empty(len(bit), np.float32)
-        order = np.argsort(-size, kind="stable")
-        first, active = first[order], np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
         gates, slots, maps = order * _GATES, order * _MEMORY, order * _BUCKETS + _BUCKETS // 2
-        for t, n in enumerate(active.tolist()):
-            at = first[:n] + t
-            x, y = inputs[at], bit[at]
-            own, where = slots[:n] + slot[at], gates[:n] + gate[at]
-            memory, weights = self.memory[own], self.weights[where]
+        at = 0
+        for n in active.tolist():
+            own = slice(at, at + n)
+            at += n
+            x, y = inputs[own], bit[own]
+            place, where = slots[:n] + slot[own], gates[:n] + gate[own]
+            memory, weights = self.memory.take(place), self.weights.take(where, axis=0)
             x[:, -2] = memory
             odds = np.einsum("lk,lk->l", weights, x)
             np.clip(odds, -8, 8, out=odds)
             p = 1 / (1 + np.exp(-odds))
-            self.weights[where] = weights + (_RATE * (y - p))[:, None] * x
-            self.memory[own] = memory * np.float32(0.75) + (2 * y - 1)
-            bucket = maps[:n] + np.rint(odds * 2).astype(np.int64)
-            mapped = self.map[bucket]
+            x *= (_RATE * (y - p))[:, None]
+            weights += x
+            self.weights[where] = weights
+            memory *= np.float32(0.75)
+            memory += 2 * y - 1
+            self.memory[place] = memory
+            bucket = maps[:n] + np.rint(odds + odds).astype(np.int32)
+            mapped = self.map.take(bucket)
             self.map[bucket] = mapped + _STEP * (y - mapped)
-            p = np.float32(0.75) * p + np.float32(0.25) * mapped
-            out[at] = np.where(y > 0, p, 1 - p)
+            p *= np.float32(0.75)
+            p += np.float32(0.25) * mapped
+            out[own] = np.where(y > 0, p, 1 - p)
         return out
 
 
@@ -297,19 +302,28 @@ def byte_scores(lexicon: Lexicon, code: Code, odds: np.ndarray, hit: np.ndarray,
             place = spread(begin[lanes] + offset, n)
             own = streams[place]
             size = code.length[lexicon.byte[own]]
-            way = spread(code.first[lexicon.byte[own]], size)
-            inputs, gate = np.empty((len(way), _INPUTS), np.float32), np.zeros(len(way), np.int64)
+            edge = np.concatenate([[0], np.cumsum(size)])
+            # The bits lane after lane: their byte, and which of its bits; then all first bits, all second ones, ...
+            byte = np.repeat(np.arange(len(own), dtype=np.int32), size)
+            nth = (np.arange(len(byte)) - np.repeat(edge[:-1], size)).astype(np.int32)
+            first = edge[np.concatenate([[0], np.cumsum(n)])]
+            per_lane = np.diff(first)
+            order = np.argsort(-per_lane, kind="stable")
+            active = np.searchsorted(-per_lane[order], -np.arange(int(per_lane.max(initial=0))), "left")
+            turn = first[order][spread(np.zeros_like(active), active)] + np.repeat(np.arange(len(active)), active)
+            byte, nth = byte[turn], nth[turn]
+            here = own[byte]
+            way = code.first.astype(np.int32)[lexicon.byte[own]][byte] + nth
+            inputs, gate = np.empty((len(way), _INPUTS), np.float32), lexicon.initial[here] * np.int32(len(ORDERS) + 1)
             for k, pair in enumerate(lexicon.pair):
-                at = spread(firsts[pair[own]], size)
-                inputs[:, k] = odds[at]
-                gate += hit[at]
+                at = firsts[pair[own]][byte] + nth
+                inputs[:, k] = odds.take(at)
+                gate += hit.take(at)
             inputs[:, -1] = 0.3
-            gate += np.repeat(lexicon.initial[own], size) * (len(ORDERS) + 1)
-            slot = (paired(np.repeat(lexicon.context[own], size), code.node[way]) >> _U(64 - _MEMORY.bit_length() + 1)).astype(np.int64)
-            starts = np.cumsum(size) - size
-            edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
-            p = mixer.bits(inputs, gate, slot, code.bit[way], edge[:-1], np.diff(edge))
-            score[place] = np.add.reduceat(np.log(p.astype(np.float64)), starts)
+            slot = (lexicon.slot[here] + code.node.astype(np.int32)[way] * np.int32(_NODE)) & np.int32(_MEMORY - 1)
+            p = np.empty(len(turn), np.float32)
+            p[turn] = mixer.bits(inputs, gate, slot, code.bit[way], order.astype(np.int32), active)
+            score[place] = np.add.reduceat(np.log(p), edge[:-1], dtype=np.float64)
     return score
 
 
@@ -343,6 +357,19 @@ def blended(bits: np.ndarray, share: np.ndarray, begin: np.ndarray, end: np.ndar
     return out
 
 
+def _chunks(ids: list[bytes], lexicon: Lexicon, most: int = 8 << 20) -> Iterator[list[bytes]]:
+    """The texts in groups of about `most` bytes."""
+    own, held = [], 0
+    for x in ids:
+        own.append(x)
+        held += int(lexicon.size[np.frombuffer(zlib.decompress(x), np.int32)].sum())
+        if held >= most:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
+
+
 def _finish(code: Code, tokens: int, kinds: int):
     """Scores of the documents of one pack, from what is known of its words and contexts."""
 
@@ -365,8 +392,8 @@ def _finish(code: Code, tokens: int, kinds: int):
         odds, hit, firsts = log_odds(code, lexicon, key[~whole], value[~whole], n[~whole])
         out: dict[str, list] = {"n_known": [], "base_score": [], "score": [], "n_bytes": []}
         ids = docs.column("ids").to_pylist()
-        for at in range(0, len(ids), 4096):
-            words = [np.frombuffer(zlib.decompress(x), np.int32) for x in ids[at : at + 4096]]
+        for some in _chunks(ids, lexicon):
+            words = [np.frombuffer(zlib.decompress(x), np.int32) for x in some]
             sizes = np.array([int(lexicon.size[w].sum()) for w in words], np.int64)
             flat = np.concatenate(words)
             streams = spread(lexicon.first[flat], lexicon.size[flat]).astype(np.int32)
@@ -390,7 +417,7 @@ def _finish(code: Code, tokens: int, kinds: int):
     return run
 
 
-def score(docs: DataFrame, pack_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
     """Per document the token counts, the unigram base score, the model's log10 probability and its bits per byte.
 
     Every row is a document, also a repeated one; a null text is empty and has the

@@ -22,7 +22,7 @@ def slot_of(context, node, known={}):  # noqa: B006
         h = np.zeros(1, np.uint64)
         for b in reversed(context):
             h = mixing.T.mixed(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b + 1))
-        known[context, node] = int(mixing.paired(h, np.array([node]))[0]) * mixing._MEMORY >> 64
+        known[context, node] = (int(h[0]) * mixing._MEMORY // 2**64 + node * 619) % mixing._MEMORY
     return known[context, node]
 
 
