@@ -2,21 +2,21 @@
 
 A text is the stream of its lower-cased words, a blank after each, and an end
 mark. Every byte is sent as the bits of a prefix code, and each bit is predicted
-by several contexts: the last 2, 3 or 5 bytes of the word so far, known by
-their 64-bit hashes, with counts from all training texts; and what this text has
-shown in the longest of them. A logistic mixer adds up their log-odds. Its weights
-are chosen by a gate (how many contexts were seen, first byte of a word or not)
-and learn from every bit; an adaptive map then corrects the result. A word's bits
-give its probability, which a last gate, one per text and moved by every word,
-blends with the word's share of the training words and of the text so far. Each
-text learns for itself, anew every `LANE` bytes or words, so its score depends on
-the training counts and on its own words, not on how rows are dealt.
+by several contexts: the last 2, 3 or 5 bytes of the word so far, known by their
+64-bit hashes, with counts from all training texts. A logistic mixer adds up their
+log-odds. Its weights are chosen by a gate (how many contexts were seen, first byte
+of a word or not) and learn after every byte from the errors of its bits; an
+adaptive map then corrects the result. A word's bits give its probability, which a
+last gate, one per text and moved by every word, blends with the word's share of
+the training words and of the text so far. Each text learns for itself, anew every
+`LANE` bytes or words, so its score depends on the training counts and on its own
+words, not on how rows are dealt.
 
 Rows are taken in packs of some MB. A pack lists its distinct words and (context,
 byte) pairs with their training counts; these are summed over the corpus, and every
 pack gets back what is known of its own contexts. The counts grow with the corpus
 and are never held whole; a context moves once per pack. Inside a pack all texts
-advance together, one bit of each at a time.
+advance together, one byte of each at a time.
 """
 
 from __future__ import annotations
@@ -43,14 +43,13 @@ RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "n_bytes long, bits_per_byte double")
 _PACKS = "pack long, doc_id long, held_out boolean, n_tokens long, ids binary, words binary, seen binary, histogram array<long>"
 
-# The mixer: inputs are the contexts, the text's own memory and a constant.
-_INPUTS = len(ORDERS) + 2
-_FIRST = np.array([0.2, 0.35, 0.55, 0.3, 0.0], np.float32)
+# The mixer: its inputs are the contexts, in steps of 1 / 15.875, and a constant.
+_FIRST = np.array([0.2, 0.35, 0.55, 0.0], np.float32)
 _RATE, _STEP, _GATES = np.float32(0.005), np.float32(0.02), 2 * (len(ORDERS) + 1)
-_LIMIT, _PRIOR = 8.0, 0.4
-_MEMORY, _NODE = 1 << 11, 619  # slots of a text's own memory; what a tree node adds to a context's slot
+_LIMIT, _PRIOR, _SCALE, _CONSTANT = 8.0, 0.4, 15.875, 0.3
 _BUCKETS = 33
 _LANES = 3000
+_WINDOW = 128
 _SHARES, _MOVE = (0.5, 0.4, 0.1), 0.02  # the last gate at first, of training words, bits and the text so far; how fast it moves
 _WINDOW = 192
 _U = np.uint64
@@ -113,24 +112,22 @@ class Lexicon:
         self.initial = at == start + 1
         self.word_key = T.mixed(T.WordHashes().of([b"\n", *words]) ^ _U(0xA5A5A5A5A5A5A5A5))
         # Per order: the number of the (context, byte) pair of each byte, and the pairs' contexts and bytes.
-        hashed, depth, last = np.zeros(len(at), _U), at - start, 0
-        self.pair, self.key, self.value, done = [], [], [], 0
+        # Bytes count from 1; those before the word are 0. Six of them and their places fit 64 bits.
+        depth, line = at - start, x.astype(np.int64) + 1
+        packed, back = line[at], 0
+        self.pair, keys, values, done, last = [], [], [], 0, 0
         for order in ORDERS:
-            for k in range(last, order):
-                back = np.maximum(at - 1 - k, 0)
-                hashed = np.where(k < depth, T.mixed(hashed * _U(0xC2B2AE3D27D4EB4F) + x[back].astype(_U) + _U(1)), hashed)
+            for back in range(last + 1, order + 1):
+                packed |= np.where(back <= depth, line[at - np.minimum(back, depth)], 0) << 9 * back
             fresh = np.flatnonzero(depth > last)
-            number, kinds = pd.factorize(paired(hashed[fresh], self.byte[fresh]))
-            sample = np.zeros(len(kinds), np.int64)
-            sample[number[::-1]] = fresh[::-1]
+            number, kinds = pd.factorize(packed[fresh])
             own = self.pair[-1].copy() if self.pair else np.zeros(len(at), np.int32)
             own[fresh] = number + done
             self.pair.append(own)
-            self.key.append(hashed[sample])
-            self.value.append(self.byte[sample])
+            keys.append(T.mixed(T.mixed((kinds >> 9).astype(_U) + _U(1))))
+            values.append((kinds & 511) - 1)
             done, last = done + len(kinds), order
-        self.slot = (hashed >> _U(53)).astype(np.int32)  # of the longest context
-        self.key, self.value = np.concatenate(self.key), np.concatenate(self.value)
+        self.key, self.value = np.concatenate(keys), np.concatenate(values)
 
     def counts(self, seen: np.ndarray) -> np.ndarray:
         """Of each pair, how often it is in the words, each taken `seen` times."""
@@ -252,78 +249,73 @@ def log_odds(code: Code, lexicon: Lexicon, key: np.ndarray, value: np.ndarray, n
     return np.clip(odds, -_LIMIT, _LIMIT), hit, (np.cumsum(size) - size).astype(np.int32)
 
 
+class Bits:
+    """All bits of the bytes of a lexicon, four small numbers each: the contexts' log-odds and the bit."""
+
+    def __init__(self, lexicon: Lexicon, code: Code, odds: np.ndarray, hit: np.ndarray, firsts: np.ndarray):
+        self.size = code.length[lexicon.byte].astype(np.int32)
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.gate = lexicon.initial * np.int32(len(ORDERS) + 1)
+        made = np.empty((int(self.size.sum()), 4), np.int8)
+        steps = np.rint(odds * _SCALE).astype(np.int8)
+        for k, pair in enumerate(lexicon.pair):
+            made[:, k] = steps[spread(firsts[pair], self.size)]
+            self.gate += hit[firsts[pair]]
+        made[:, 3] = code.bit[spread(code.first[lexicon.byte], self.size)]
+        self.packed = made.view(np.uint32).ravel()
+
+
 class Mixer:
-    """Weights, memories and correction maps of a group of lanes that advance together."""
+    """Weights and correction maps of a group of lanes that advance together."""
 
     def __init__(self, lanes: int):
         self.weights = np.tile(_FIRST, (lanes * _GATES, 1))
-        self.memory = np.zeros(lanes * _MEMORY, np.float32)
         middles = (np.arange(_BUCKETS) - _BUCKETS // 2) / 2
         self.map = np.tile((1 / (1 + np.exp(-middles))).astype(np.float32), lanes)
-
-    def bits(self, inputs: np.ndarray, gate: np.ndarray, slot: np.ndarray, bit: np.ndarray, order: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Probability of each given bit: first the first bits of all lanes in `order`, then the second bits of those that have them, and so on."""
-        out = np.empty(len(bit), np.float32)
-        gates, slots, maps = order * _GATES, order * _MEMORY, order * _BUCKETS + _BUCKETS // 2
-        at = 0
-        for n in active.tolist():
-            own = slice(at, at + n)
-            at += n
-            x, y = inputs[own], bit[own]
-            place, where = slots[:n] + slot[own], gates[:n] + gate[own]
-            memory, weights = self.memory.take(place), self.weights.take(where, axis=0)
-            x[:, -2] = memory
-            odds = np.einsum("lk,lk->l", weights, x)
-            np.clip(odds, -8, 8, out=odds)
-            p = 1 / (1 + np.exp(-odds))
-            x *= (_RATE * (y - p))[:, None]
-            weights += x
-            self.weights[where] = weights
-            memory *= np.float32(0.75)
-            memory += 2 * y - 1
-            self.memory[place] = memory
-            bucket = maps[:n] + np.rint(odds + odds).astype(np.int32)
-            mapped = self.map.take(bucket)
-            self.map[bucket] = mapped + _STEP * (y - mapped)
-            p *= np.float32(0.75)
-            p += np.float32(0.25) * mapped
-            out[own] = np.where(y > 0, p, 1 - p)
-        return out
-
-
-def byte_scores(lexicon: Lexicon, code: Code, odds: np.ndarray, hit: np.ndarray, firsts: np.ndarray, streams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self.gates, self.maps = np.arange(lanes) * _GATES, np.arange(lanes, dtype=np.int32) * _BUCKETS + _BUCKETS // 2
+
+    def byte(self, inputs: np.ndarray, bit: np.ndarray, gate: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probability of each bit of one byte of the first `len(size)` lanes; learns afterwards."""
+        where = self.gates[: len(size)] + gate
+        weights = self.weights.take(where, axis=0)
+        odds = np.einsum("lk,lk->l", inputs, weights.repeat(size, axis=0))
+        np.clip(odds, -8, 8, out=odds)
+        p = 1 / (1 + np.exp(-odds))
+        inputs *= (_RATE * (bit - p))[:, None]
+        weights += np.add.reduceat(inputs, first, axis=0)
+        self.weights[where] = weights
+        # Where two bits of a byte meet one place of the map, the later one counts.
+        place = self.maps[: len(size)].repeat(size) + np.rint(odds + odds).astype(np.int32)
+        mapped = self.map.take(place)
+        self.map[place] = mapped + _STEP * (bit - mapped)
+        p *= np.float32(0.75)
+        p += np.float32(0.25) * mapped
+        return np.where(bit > 0, p, 1 - p)
+
+
+def byte_scores(bits: Bits, streams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Log of the probability of each byte of the streams, which lanes from begin up to end cover; bytes are numbers of the lexicon's bytes."""
     score, order = np.zeros(len(streams)), np.argsort(begin - end, kind="stable")
     for group in range(0, len(order), _LANES):
         lanes = order[group : group + _LANES]
-        mixer = Mixer(len(lanes))
-        for offset in range(0, int((end - begin)[lanes].max(initial=0)), _WINDOW):
-            n = np.clip(end[lanes] - begin[lanes] - offset, 0, _WINDOW)
-            place = spread(begin[lanes] + offset, n)
+        mixer, left = Mixer(len(lanes)), (end - begin)[lanes]
+        for offset in range(0, int(left[0]), _WINDOW):
+            # The first bytes of all lanes, then the second bytes of those that have them, and so on.
+            active = np.searchsorted(-left, -np.arange(offset, min(offset + _WINDOW, int(left[0]))), "left")
+            place = begin[lanes][spread(np.zeros_like(active), active)] + np.repeat(np.arange(len(active)) + offset, active)
             own = streams[place]
-            size = code.length[lexicon.byte[own]]
-            edge = np.concatenate([[0], np.cumsum(size)])
-            # The bits lane after lane: their byte, and which of its bits; then all first bits, all second ones, ...
-            byte = np.repeat(np.arange(len(own), dtype=np.int32), size)
-            nth = (np.arange(len(byte)) - np.repeat(edge[:-1], size)).astype(np.int32)
-            first = edge[np.concatenate([[0], np.cumsum(n)])]
-            per_lane = np.diff(first)
-            order = np.argsort(-per_lane, kind="stable")
-            active = np.searchsorted(-per_lane[order], -np.arange(int(per_lane.max(initial=0))), "left")
-            turn = first[order][spread(np.zeros_like(active), active)] + np.repeat(np.arange(len(active)), active)
-            byte, nth = byte[turn], nth[turn]
-            here = own[byte]
-            way = code.first.astype(np.int32)[lexicon.byte[own]][byte] + nth
-            inputs, gate = np.empty((len(way), _INPUTS), np.float32), lexicon.initial[here] * np.int32(len(ORDERS) + 1)
-            for k, pair in enumerate(lexicon.pair):
-                at = firsts[pair[own]][byte] + nth
-                inputs[:, k] = odds.take(at)
-                gate += hit.take(at)
-            inputs[:, -1] = 0.3
-            slot = (lexicon.slot[here] + code.node.astype(np.int32)[way] * np.int32(_NODE)) & np.int32(_MEMORY - 1)
-            p = np.empty(len(turn), np.float32)
-            p[turn] = mixer.bits(inputs, gate, slot, code.bit[way], order.astype(np.int32), active)
-            score[place] = np.add.reduceat(np.log(p), edge[:-1], dtype=np.float64)
+            size, gate = bits.size[own], bits.gate[own]
+            first = np.cumsum(size) - size
+            inputs = bits.packed[spread(bits.first[own], size)].view(np.int8).reshape(-1, 4).astype(np.float32)
+            bit = inputs[:, 3].copy()
+            inputs *= np.float32(1 / _SCALE)
+            inputs[:, 3] = _CONSTANT
+            p, edge, at = np.empty(len(bit), np.float32), [*first.tolist(), len(bit)], 0
+            for n in active.tolist():
+                a, b = edge[at], edge[at + n]
+                p[a:b] = mixer.byte(inputs[a:b], bit[a:b], gate[at : at + n], size[at : at + n], first[at : at + n] - a)
+                at += n
+            score[place] = np.add.reduceat(np.log(p), first, dtype=np.float64)
     return score
 
 
@@ -346,13 +338,17 @@ def blended(bits: np.ndarray, share: np.ndarray, begin: np.ndarray, end: np.ndar
     first, size = begin[order], (end - begin)[order]
     gate = np.tile(np.array(_SHARES), (len(order), 1))
     active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
+    with np.errstate(divide="ignore"):
+        logs = np.stack([np.log(share), bits, np.log(before)], 1)
     for t, n in enumerate(active.tolist()):
         at = first[:n] + t
-        # Relative to the bits' own probability, which may be too small for a double.
-        least = np.maximum(bits[at], -650.0)
-        parts = gate[:n] * np.stack([share[at] * np.exp(-least), np.exp(bits[at] - least), before[at] / max(t, 1) * np.exp(-least)], 1)
+        own = logs[at]
+        own[:, 2] -= np.log(max(t, 1))
+        # Relative to the largest, as a long word's probability is too small for a double.
+        most = own.max(axis=1)
+        parts = gate[:n] * np.exp(own - most[:, None])
         total = parts.sum(1)
-        out[at] = np.log(total) + least
+        out[at] = np.log(total) + most
         gate[:n] += _MOVE * (parts / total[:, None] - gate[:n])
     return out
 
@@ -389,7 +385,7 @@ def _finish(code: Code, tokens: int, kinds: int):
         place[place == len(word_key)] = 0
         seen = np.where(word_key[place] == lexicon.word_key, word_n[place], 0) if len(word_key) else np.zeros(len(lexicon.size), np.int64)
         base, share = np.log10((seen + 1) / (tokens + kinds + 1)), seen / max(tokens, 1)
-        odds, hit, firsts = log_odds(code, lexicon, key[~whole], value[~whole], n[~whole])
+        bits_of = Bits(lexicon, code, *log_odds(code, lexicon, key[~whole], value[~whole], n[~whole]))
         out: dict[str, list] = {"n_known": [], "base_score": [], "score": [], "n_bytes": []}
         ids = docs.column("ids").to_pylist()
         for some in _chunks(ids, lexicon):
@@ -398,7 +394,7 @@ def _finish(code: Code, tokens: int, kinds: int):
             flat = np.concatenate(words)
             streams = spread(lexicon.first[flat], lexicon.size[flat]).astype(np.int32)
             begin, end, _ = cut(sizes)
-            every = byte_scores(lexicon, code, odds, hit, firsts, streams, begin, end)
+            every = byte_scores(bits_of, streams, begin, end)
             bits = np.add.reduceat(every, np.cumsum(lexicon.size[flat]) - lexicon.size[flat])
             begin, end, doc = cut(np.array([len(w) for w in words]))
             each = blended(bits, share[flat], begin, end, earlier(np.repeat(np.arange(len(begin)), end - begin), flat))

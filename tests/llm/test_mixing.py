@@ -16,16 +16,6 @@ def words_of(text):
     return WORD.findall(bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())) + [b"\n"]
 
 
-def slot_of(context, node, known={}):  # noqa: B006
-    """Which memory slot a context and node share with others."""
-    if (context, node) not in known:
-        h = np.zeros(1, np.uint64)
-        for b in reversed(context):
-            h = mixing.T.mixed(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b + 1))
-        known[context, node] = (int(h[0]) * mixing._MEMORY // 2**64 + node * 619) % mixing._MEMORY
-    return known[context, node]
-
-
 def brute(docs):
     """The model bit after bit and word after word, from dictionaries; rows of (n_tokens, n_known, base, score)."""
     train = [words_of(t) for d, t in docs if zlib.crc32(str(d).encode() if d is not None else b"") % 7 != 2]
@@ -60,29 +50,27 @@ def brute(docs):
             bits = 0.0
             for i, b in enumerate(sent(w)):
                 if at % mixing.LANE == 0:
-                    weights = defaultdict(lambda: [float(x) for x in mixing._FIRST])
-                    memory, fixed = defaultdict(float), {}
+                    weights, fixed = defaultdict(lambda: [float(x) for x in mixing._FIRST]), {}
                 at += 1
                 contexts = [(b" " + w)[max(0, i + 1 - o) : i + 1] for o in mixing.ORDERS]
+                own = weights[sum((context, way[b][0][0]) in counts for context in contexts), i == 0]
+                change, moved = [0.0] * 4, {}
                 for node, bit in way[b]:
-                    x, hits = [], 0
+                    x = []
                     for context in contexts:
                         zero, one = counts[context, node] if (context, node) in counts else (0, 0)
-                        hits += zero + one > 0
-                        x.append(max(-8.0, min(8.0, math.log((one + 0.4) / (zero + 0.4)))))
-                    own = slot_of(contexts[-1], node)
-                    x += [memory[own], 0.3]
-                    ws_ = weights[hits, i == 0]
-                    odds = max(-8.0, min(8.0, sum(a * b for a, b in zip(x, ws_, strict=True))))
+                        x.append(round(max(-8.0, min(8.0, math.log((one + 0.4) / (zero + 0.4)))) * 15.875) / 15.875)
+                    x.append(0.3)
+                    odds = max(-8.0, min(8.0, sum(a * b for a, b in zip(x, own, strict=True))))
                     p = 1 / (1 + math.exp(-odds))
-                    for j in range(len(x)):
-                        ws_[j] += float(mixing._RATE) * (bit - p) * x[j]
-                    memory[own] = memory[own] * 0.75 + 2 * bit - 1
+                    change = [c + float(mixing._RATE) * (bit - p) * v for c, v in zip(change, x, strict=True)]
                     bucket = round(odds * 2)
                     mapped = fixed.get(bucket, 1 / (1 + math.exp(-bucket / 2)))
-                    fixed[bucket] = mapped + float(mixing._STEP) * (bit - mapped)
+                    moved[bucket] = mapped + float(mixing._STEP) * (bit - mapped)
                     p = 0.75 * p + 0.25 * mapped
                     bits += math.log(p if bit else 1 - p)
+                own[:] = [a + c for a, c in zip(own, change, strict=True)]
+                fixed |= moved
             place = k % mixing.LANE
             parts = [gate[0] * seen[w] / max(n, 1), gate[1] * math.exp(bits), gate[2] * before[w] / max(place, 1)]
             whole = sum(parts)
