@@ -55,6 +55,21 @@ def _(t):
     return asof.pit_group_join(rows, iv)
 
 
+@query("C4_overlapping_intervals", "o_orderkey:i instrument:i dt:d grp:s", """WITH
+iv AS (SELECT o_custkey AS instrument, 'g' || o_orderkey % 97 AS g, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey * 7919 % 1500 AS INT) AS e FROM orders),
+one AS (SELECT instrument, s, max(e) AS e, max_by(g, (e, g)) AS g FROM iv GROUP BY 1, 2),
+r AS (SELECT o_orderkey, o_custkey AS instrument, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INT) AS dt FROM orders),
+m AS (SELECT r.o_orderkey, max_by(g, s) AS g FROM r JOIN one ON r.instrument = one.instrument AND dt BETWEEN s AND e GROUP BY 1)
+SELECT o_orderkey, instrument, dt, coalesce(g, '__UNKNOWN__') AS grp FROM r LEFT JOIN m USING (o_orderkey)""")
+def _(t):
+    # Every order opens an interval of up to four years, so that a customer's intervals overlap many times.
+    o = t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("instrument"), F.col("o_orderdate").cast("date").alias("day"))
+    key = F.col("o_orderkey")
+    iv = o.select("instrument", F.concat(F.lit("g"), key % 97).alias("grp"), F.col("day").alias("start_dt"), F.date_add("day", (key * 7919 % 1500).cast("int")).alias("end_dt"))
+    rows = o.select("o_orderkey", "instrument", F.date_add("day", (key % 400).cast("int")).alias("dt"))
+    return asof.pit_group_join(rows, iv)
+
+
 SNAP = """snap AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS snap_dt, l_suppkey AS instrument, sum(l_quantity) AS shares FROM lineitem GROUP BY ALL)"""
 
 
