@@ -4,23 +4,25 @@ Both id lists of a text are given cumulative byte ends. The ends that both lists
 share, found by intersecting two end-to-index dictionaries, cut both lists into
 groups, and every id of a group is linked with every id opposite.
 
-Neither tokenizer joins a letter or sign with a blank behind it, so a text is cut
-there, and each distinct part of a pack is encoded and aligned once. Rows are
-taken in packs of some MB of text. A pack lists its distinct id pairs, and in how
-many of its documents each is linked; these lists are summed by pair over the
-corpus, and every pack gets back the totals of its own pairs. A pair thus moves
-once per pack, however often it occurs, and no table of pairs is held whole.
+Neither tokenizer joins a letter or sign with a blank behind it, nor a letter with a
+comma or stop, so a text is cut there, and each distinct part of a pack is encoded
+and aligned once. Rows are taken in packs of some MB of text. A pack lists its
+distinct id pairs, and in how many of its documents each is linked; these lists are
+summed by pair over the corpus, and every pack gets back the totals of its own
+pairs. A pair thus moves once per pack, however often it occurs, and no table of
+pairs is held whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +34,17 @@ from pyspark.sql import functions as F
 from tapeloom.llm.text import slices, small_batches
 from tapeloom.session import stage
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 PIECE_BPE = "piece_bpe_32k.model"
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SOLID = "!-~À-ÖØ-öø-ÿ"
-# One part: any first character, then all up to a blank or line break that follows a solid character.
-_PART = re.compile(rf"(?s:.)(?:[^ \n]+|(?<![{_SOLID}])[ \n])*+")
-_CROSSING = re.compile(rf"[{_SOLID}][▁\n]")
+# One part: any first character, then all up to a blank or line break behind a solid character, or a stop behind a letter.
+_PART = re.compile(rf"(?s:.)(?:[^ \n.,;:!?]+|(?<![{_SOLID}])[ \n]|(?<![{_LETTER}])[.,;:!?])*+")
+_CROSSING = re.compile(rf"[{_SOLID}][▁\n]|[{_LETTER}][.,;:!?]")
+# Fixed value: how the byte-level vocabulary cuts a text before merging.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONG_TEXT = 1 << 20
 
 Slice = tuple[int, int, int, int]
@@ -71,10 +74,10 @@ class Vocabulary:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        vocabulary = json.loads(Path(path_a).read_text())
+        names, special = vocabulary["model"]["vocab"], {t["content"] for t in vocabulary["added_tokens"]}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any(_CROSSING.search(p) for p in pieces):
@@ -84,17 +87,22 @@ class Vocabulary:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         other = {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in {*plain})}
         table = {chr(b): b for b in plain} | other
-        names = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(names.values()) + 1)
         for name, k in names.items():
-            self.bytes_a[k] = bytes(table[c] for c in name) if all(c in table for c in name) else name.encode()
+            self.bytes_a[k] = name.encode() if name in special else bytes(table[c] for c in name)
+        # Its ids are in the order of its merges, so they are the ranks of the same byte-pair encoding.
+        ranks = {self.bytes_a[k]: k for name, k in names.items() if name not in special}
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in vocabulary["model"]["merges"]]
+        if any(names[a] >= names[b] for a, b in pairwise(made)):
+            raise ValueError("the ids of the first vocabulary are not in the order of its merges")
+        self.a = tiktoken.Encoding("bytes", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         self.text_a, self.text_b = ([str(k) for k in range(len(own))] for own in (self.bytes_a, self.bytes_b))
         self.mark = len(self.b.encode("a"))
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Both id lists of each part."""
-        ids_a = [e.ids for e in self.a.encode_batch(parts, add_special_tokens=False)]
+        ids_a = [*map(self.a.encode_ordinary, parts)]
         # The leading "a" takes the blank that B puts before a text; a part begins at a place where B cuts.
         return ids_a, [ids[self.mark :] for ids in self.b.encode(["a" + p for p in parts], num_threads=1)]
 
@@ -103,120 +111,98 @@ class Vocabulary:
         return b"".join([self.bytes_a[k] for k in a]) == want == b"".join([self.bytes_b[k] for k in b])
 
 
-#: (groups as text, ids of A, of B, groups, links, pairs, times) of a part; None if its ids do not stand for its bytes.
-Entry = tuple[str, int, int, int, int, bytes, bytes] | None
-
+def entries(vocabulary: Vocabulary, parts: list[str], wide: int = 4096) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts encoded and aligned together: their bytes are one line, on which both tokenizers end wherever a part does.
 
-def entries(vocabulary: Vocabulary, parts: list[str], wide: int = 4096) -> list[Entry]:
-    """Parts encoded and aligned together: their bytes are one line, on which both tokenizers end wherever a part does."""
+    Which parts' ids stand for their bytes; and of these parts their groups as text,
+    (ids of A, of B, groups, links), how many pairs each has, the pairs and how
+    often each is linked.
+    """
     every_a, every_b = vocabulary.encode(parts)
-    sound = [vocabulary.faithful(*x) for x in zip(parts, every_a, every_b, strict=True)]
-    every_a, every_b = ([ids for ids, fine in zip(own, sound, strict=True) if fine] for own in (every_a, every_b))
-    if not every_a:
-        return [None] * len(parts)
+    sound = np.array([vocabulary.faithful(*x) for x in zip(parts, every_a, every_b, strict=True)], bool)
+    if not sound.all():
+        every_a, every_b = ([ids for ids, fine in zip(own, sound, strict=True) if fine] for own in (every_a, every_b))
+    n_a, n_b = (np.array([*map(len, own)], np.int64) for own in (every_a, every_b))
     flat_a, flat_b = (list(chain.from_iterable(own)) for own in (every_a, every_b))
-    n_a, n_b = (np.array([len(ids) for ids in own], np.int64) for own in (every_a, every_b))
-    ends_a, ends_b = np.cumsum(vocabulary.size_a[flat_a]), np.cumsum(vocabulary.size_b[flat_b])
-    found = np.array(align(ends_a.tolist(), ends_b.tolist()), np.int64)
-    of = np.searchsorted(np.cumsum(n_a), found[:, 0], "right")
-    size_a, size_b = found[:, 1] - found[:, 0], found[:, 3] - found[:, 2]
-    # Small groups are spread into their links at once; in large ones, equal ids are counted first.
-    small = np.flatnonzero(size_a * size_b <= wide)
-    first, other, times = found[small, 0], found[small, 2], size_b[small]
-    link = _spread(np.zeros_like(small), size_a[small] * times)
-    each = np.repeat(times, size_a[small] * times)
     ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
-    pairs = ids_a[np.repeat(first, size_a[small] * times) + link // each] << 32 | ids_b[np.repeat(other, size_a[small] * times) + link % each]
-    part, count = np.repeat(of[small], size_a[small] * times), np.ones(len(pairs), np.int64)
-    for k in np.flatnonzero(size_a * size_b > wide).tolist():
-        a0, a1, b0, b1 = found[k].tolist()
-        more = np.array(list(links(flat_a[a0:a1], flat_b[b0:b1])), np.int64)
-        pairs, part, count = np.append(pairs, more[:, 0]), np.append(part, np.full(len(more), of[k])), np.append(count, more[:, 1])
-    order = np.argsort(part, kind="stable")
-    pairs, count = pairs[order].tobytes(), count[order].tobytes()
-    at = (8 * np.searchsorted(part[order], np.arange(len(n_a) + 1))).tolist()
+    found = align(np.cumsum(vocabulary.size_a[ids_a]).tolist(), np.cumsum(vocabulary.size_b[ids_b]).tolist())
+    place = np.array(found, np.int64).reshape(-1, 4)
+    of = np.searchsorted(np.cumsum(n_a), place[:, 0], "right")
+    size_a, size_b = place[:, 1] - place[:, 0], place[:, 3] - place[:, 2]
+    # Small groups are spread into their links at once; in large ones, equal ids are counted first.
+    small = size_a * size_b <= wide
+    first, other, times = place[small, 0], place[small, 2], size_b[small]
+    sizes = size_a[small] * times
+    link, each = _spread(np.zeros_like(sizes), sizes), np.repeat(times, sizes)
+    pairs = ids_a[np.repeat(first, sizes) + link // each] << 32 | ids_b[np.repeat(other, sizes) + link % each]
+    part, count = np.repeat(of[small], sizes), np.ones(len(pairs), np.int64)
+    if not small.all():
+        for k in np.flatnonzero(~small).tolist():
+            a0, a1, b0, b1 = found[k]
+            more = np.array(list(links(flat_a[a0:a1], flat_b[b0:b1])), np.int64)
+            pairs, part, count = np.append(pairs, more[:, 0]), np.append(part, np.full(len(more), of[k])), np.append(count, more[:, 1])
+        order = np.argsort(part, kind="stable")
+        pairs, part, count = pairs[order], part[order], count[order]
     n_groups = np.bincount(of, minlength=len(n_a))
     n_links = np.bincount(of, size_a * size_b, len(n_a)).astype(np.int64)
-    text_a, text_b = [vocabulary.text_a[k] for k in flat_a], [vocabulary.text_b[k] for k in flat_b]
-    shown = [text_a[a] + "|" + text_b[b] if c - a == 1 == d - b else ",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d]) for a, c, b, d in found.tolist()]
-    made, last, out = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True), 0, []
-    for k, (a, b, g, n) in enumerate(made):
-        out.append((";".join(shown[last : last + g]), a, b, g, n, pairs[at[k] : at[k + 1]], count[at[k] : at[k + 1]]))
-        last += g
-    rest = iter(out)
-    return [next(rest) if fine else None for fine in sound]
-
-
-class Parts(dict):
-    """Entries of the parts that packs met again and again, `limit` at most."""
-
-    _open: dict[tuple[str, str], Parts] = {}
-
-    def __init__(self, vocabulary: Vocabulary, limit: int = 60_000):
-        super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
-
-    @classmethod
-    def of(cls, path_a: str, path_b: str) -> Parts:
-        """One per worker process, so that later packs find the parts of earlier ones."""
-        if (path_a, path_b) not in cls._open:
-            cls._open[path_a, path_b] = cls(Vocabulary(path_a, path_b))
-        return cls._open[path_a, path_b]
-
-    def keep(self, parts: list[tuple[str, Entry]]) -> None:
-        if len(self) + len(parts) > self.limit:
-            self.clear()
-        self.update(parts[: self.limit])
+    text_a, text_b = [*map(vocabulary.text_a.__getitem__, flat_a)], [*map(vocabulary.text_b.__getitem__, flat_b)]
+    shown = [text_a[a] + "|" + text_b[b] if c - a == 1 == d - b else ",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d]) for a, c, b, d in found]
+    last = np.cumsum(n_groups).tolist()
+    texts = [";".join(shown[a:b]) for a, b in zip([0, *last], last, strict=False)]
+    return sound, texts, np.stack([n_a, n_b, n_groups, n_links], 1), np.bincount(part, minlength=len(n_a)), pairs, count
 
 
 class _Pack:
     """Documents of one pack, each a list of the numbers of its parts."""
 
-    def __init__(self, parts: Parts):
-        self.parts, self.number, self.entries, self.docs, self.size = parts, {}, [], [], 0
+    _open: dict[tuple[str, str], Vocabulary] = {}
+
+    def __init__(self, path_a: str, path_b: str):
+        # One vocabulary per worker process.
+        if (path_a, path_b) not in self._open:
+            self._open[path_a, path_b] = Vocabulary(path_a, path_b)
+        self.vocabulary, self.number, self.texts, self.made = self._open[path_a, path_b], {}, [], []
+        self.docs, self.size = [], 0
 
     def learn(self, found: Iterable[str], batch: int = 20_000) -> None:
         """Gives each part that is new to the pack a number, -1 to those without ids."""
         new = [p for p in dict.fromkeys(found) if p not in self.number]
-        unknown = [p for p in new if p not in self.parts]
-        made = {}
-        for at in range(0, len(unknown), batch):
-            own = unknown[at : at + batch]
-            made |= zip(own, entries(self.parts.vocabulary, own), strict=True)
-        for part in new:
-            entry = made[part] if part in made else self.parts[part]
-            self.number[part] = -1 if entry is None else len(self.entries)
-            if entry is not None:
-                self.entries.append(entry)
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """Numbers of the parts of blank + text; none if the text is empty or its ids do not stand for its bytes."""
-        if not text:
-            return np.zeros(0, np.int32)
-        text = " " + text
-        if len(text) < _LONG_TEXT:
-            found = _PART.findall(text)
-            self.learn(found)
-            numbers = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
-        else:
-            self.learn(m[0] for m in _PART.finditer(text))
-            numbers = np.fromiter((self.number[m[0]] for m in _PART.finditer(text)), np.int32)
-        return numbers if numbers.min() >= 0 else numbers[:0]
+        for at in range(0, len(new), batch):
+            own = new[at : at + batch]
+            sound, texts, *arrays = entries(self.vocabulary, own)
+            numbers = np.where(sound, np.cumsum(sound) - 1 + len(self.texts), -1)
+            self.number.update(zip(own, numbers.tolist(), strict=True))
+            self.texts += texts
+            self.made.append(arrays)
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the parts of blank + text; none for a text that is empty or whose ids do not stand for its bytes."""
+        cut = [_PART.findall(" " + t) if 0 < len(t) < _LONG_TEXT else [] for t in texts]
+        self.learn(chain.from_iterable(cut))
+        out = []
+        for text, found in zip(texts, cut, strict=True):
+            if len(text) < _LONG_TEXT:
+                own = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+            else:
+                self.learn(m[0] for m in _PART.finditer(" " + text))
+                own = np.fromiter((self.number[m[0]] for m in _PART.finditer(" " + text)), np.int32)
+            out.append(own if own.min(initial=0) >= 0 else own[:0])
+        return out
+
+    def shown(self, numbers: np.ndarray) -> str:
+        return ";".join([self.texts[k] for k in numbers.tolist()])
 
     def digest(self, numbers: np.ndarray) -> str:
         if not len(numbers):
             return ""
         made, mark = hashlib.sha256(), ""
         for at in range(0, len(numbers), 100_000):
-            made.update((mark + ";".join([self.entries[k][0] for k in numbers[at : at + 100_000].tolist()])).encode())
+            made.update((mark + self.shown(numbers[at : at + 100_000])).encode())
             mark = ";"
         return made.hexdigest()
 
     def add(self, docs: list[tuple[int | None, str]]) -> None:
-        # The parts of many short texts are encoded together.
-        self.learn(p for _, text in docs if 0 < len(text) < _LONG_TEXT for p in _PART.findall(" " + text))
-        for doc_id, text in docs:
-            numbers = self.numbers(text)
+        for (doc_id, text), numbers in zip(docs, self.numbers([t for _, t in docs]), strict=True):
             self.docs.append((doc_id, numbers, self.digest(numbers)))
             self.size += len(text)
 
@@ -225,20 +211,15 @@ class _Pack:
         sizes = np.array([len(n) for _, n, _ in self.docs], np.int64)
         every = np.concatenate([n for _, n, _ in self.docs]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        often = np.bincount(every, minlength=len(self.entries)) > 2
-        self.parts.keep([(p, self.entries[k]) for p, k in self.number.items() if k >= 0 and often[k]])
-        facts = np.array([e[1:5] for e in self.entries], np.int64).reshape(-1, 4)
+        facts, each, flat, times = (np.concatenate(x) for x in zip(*self.made, strict=True)) if self.made else (np.zeros((0, 4), np.int64), *[np.zeros(0, np.int64)] * 3)
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(facts[every], axis=0)])
         own = sums[starts[1:]] - sums[starts[:-1]]
-        each = np.array([len(e[5]) // 8 for e in self.entries], np.int64)
-        flat = np.frombuffer(b"".join(e[5] for e in self.entries), np.int64)
-        times = np.frombuffer(b"".join(e[6] for e in self.entries), np.int64)
         pairs, place = np.unique(flat, return_inverse=True)
         # Distinct (document, part), then distinct (document, pair).
-        held = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(each)) + every)
+        held = _distinct(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(each)) + every)
         doc, part = held // max(1, len(each)), held % max(1, len(each))
         where = _spread(np.cumsum(each)[part] - each[part], each[part]) if len(part) else part
-        seen = np.unique(np.repeat(doc, each[part]) * max(1, len(pairs)) + place[where]) % max(1, len(pairs))
+        seen = _distinct(np.repeat(doc, each[part]) * max(1, len(pairs)) + place[where]) % max(1, len(pairs))
         tally = np.bincount(seen, minlength=len(pairs))
         blobs = [zlib.compress(n.tobytes(), 1) for _, n, _ in self.docs]
         shared = [x.astype(k).tobytes() for x, k in ((pairs, np.int64), (tally, np.int64))]
@@ -266,18 +247,23 @@ def _spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(firsts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def packs(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 8 << 20) -> DataFrame:
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct numbers, none below 0, in order."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=-1))]
+
+
+def packs(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 12 << 20) -> DataFrame:
     """The documents aligned, in packs of about `pack_chars` bytes (one document at least), and one row per pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, first, done = Parts.of(path_a, path_b), TaskContext.get().partitionId() << 32, 0
-        pack = _Pack(parts)
+        first, done, pack = TaskContext.get().partitionId() << 32, 0, _Pack(path_a, path_b)
         for batch in slices(batches, "text", min(pack_chars, 2 << 20)):
             texts = ((text or b"").decode() for text in batch.column("text").to_pylist())
             pack.add(list(zip(batch.column("doc_id").to_pylist(), texts, strict=True)))
             if pack.size >= pack_chars:
                 yield pack.rows(first + done)
-                pack, done = _Pack(parts), done + 1
+                pack, done = _Pack(path_a, path_b), done + 1
         if pack.docs:
             yield pack.rows(first + done)
 
@@ -332,7 +318,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     return out.append_column("groups_sha256", docs.column("groups_sha256"))
 
 
-def compare(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 8 << 20) -> DataFrame:
+def compare(docs: DataFrame, path_a: str, path_b: str, pack_chars: int = 12 << 20) -> DataFrame:
     """Per document: ids of A and B, groups, links, best links, the sum of the links' counts and a digest of the groups.
 
     Every row counts as a document, also one that is repeated or has no doc_id.
@@ -351,12 +337,9 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """`doc_id` and the groups themselves, as `a1,a2|b1;a3|b2`; empty for a text without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts.of(path_a, path_b)
         for batch in slices(batches, "text"):
-            made = []
-            for text in batch.column("text").to_pylist():
-                pack = _Pack(parts)
-                made.append(";".join(pack.entries[k][0] for k in pack.numbers((text or b"").decode()).tolist()))
+            pack = _Pack(path_a, path_b)
+            made = [pack.shown(n) for n in pack.numbers([(text or b"").decode() for text in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "groups"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -58,8 +58,8 @@ def shown(found):
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.sampled_from(list("ab eTh.\n\t\r  ,é́\x85ß中!-_ſ'llD<|>▁　\x1c0")), max_size=40))
 def test_parts_give_the_groups_of_the_whole(plain, text):
-    pack = alignment._Pack(alignment.Parts.of(A, B))
-    assert ";".join(pack.entries[k][0] for k in pack.numbers(text)) == shown(plain(text))
+    pack = alignment._Pack(A, B)
+    assert pack.shown(pack.numbers([text])[0]) == shown(plain(text))
 
 
 def test_documents_against_brute_force(spark, docs_of, plain):
