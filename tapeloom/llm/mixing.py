@@ -13,10 +13,12 @@ the training words and of the text so far. Each text learns for itself, anew eve
 words, not on how rows are dealt.
 
 Rows are taken in packs of some MB. A pack lists its distinct words and (context,
-byte) pairs with their training counts; these are summed over the corpus, and every
-pack gets back what is known of its own contexts. The counts grow with the corpus
-and are never held whole; a context moves once per pack. Inside a pack all texts
-advance together, one byte of each at a time.
+byte) pairs with their training counts, in the order of their hashes. These lists
+are cut into ranges of hashes, as many as their length asks for; a range's lists are
+summed over the corpus, and every pack gets back what is known of its own contexts.
+Ranges that are still long, as of a context that every pack has, are summed in parts
+first. The counts grow with the corpus and are never held whole. Inside a pack all
+texts advance together, one byte of each at a time.
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ LANE = 4096  # bytes after which weights and memories start anew, and words afte
 END, GAP, WORD = 10, 32, 256  # the end mark's byte, the byte after a word, and what stands for a byte in the rows of whole words
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
           "n_bytes long, bits_per_byte double")
-_PACKS = "pack long, doc_id long, held_out boolean, n_tokens long, ids binary, words binary, seen binary, histogram array<long>"
+_PACKS = ("pack long, doc_id long, held_out boolean, n_tokens long, ids binary, words binary, histogram array<long>, "
+          "keys binary, values binary, counts binary")
+_LISTS = "bucket long, salt long, keys binary, values binary, counts binary"
+RANGE = 1_000_000  # rows of a range of hashes that are summed together
 
 # The mixer: its inputs are the contexts, in steps of 1 / 15.875, and a constant.
 _FIRST = np.array([0.2, 0.35, 0.55, 0.0], np.float32)
@@ -139,6 +144,22 @@ class Lexicon:
             last = order
         return out.astype(np.int64)
 
+    def listed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, bytes and counts of all pairs and words, in the order of the keys and bytes."""
+        key = np.concatenate([self.word_key, self.key])
+        value = np.concatenate([np.full(len(seen), WORD), self.value])
+        order = np.lexsort((value, key))
+        return key[order], value[order], np.concatenate([seen, self.counts(seen)])[order]
+
+
+def _lists(key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return key.tobytes(), zlib.compress(value.astype(np.uint16).tobytes(), 1), zlib.compress(n.astype(np.int64).tobytes(), 1)
+
+
+def _read(keys: bytes, values: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    value = np.frombuffer(zlib.decompress(values), np.uint16).astype(np.int64)
+    return np.frombuffer(keys, _U), value, np.frombuffer(zlib.decompress(counts), np.int64)
+
 
 class _Pack(dict):
     """Words of one pack and its documents as lists of word numbers; the end mark is number 0."""
@@ -167,6 +188,8 @@ class _Pack(dict):
         histogram = np.bincount(chars, np.repeat(seen[1:], size), 256).astype(np.int64)
         histogram[GAP] += seen[1:].sum()
         histogram[END] += seen[0]
+        lexicon = Lexicon(words)
+        listed = _lists(*lexicon.listed(seen.astype(np.int64)))
         columns = {
             "pack": pa.array([pack] * (n + 1), pa.int64()),
             "doc_id": pa.array([*(d for d, _, _ in self.docs), None], pa.int64()),
@@ -174,8 +197,8 @@ class _Pack(dict):
             "n_tokens": pa.array([*(len(i) for _, _, i in self.docs), None], pa.int64()),
             "ids": pa.array([*(zlib.compress(i.tobytes(), 1) for _, _, i in self.docs), None], pa.binary()),
             "words": pa.array([*[None] * n, zlib.compress(b"\n".join(words), 1)], pa.binary()),
-            "seen": pa.array([*[None] * n, seen.astype(np.int64).tobytes()], pa.binary()),
             "histogram": pa.array([*[None] * n, histogram.tolist()], pa.list_(pa.int64())),
+            **{c: pa.array([*[None] * n, x], pa.binary()) for c, x in zip(("keys", "values", "counts"), listed, strict=True)},
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -203,28 +226,83 @@ def _lexicon(words: bytes) -> Lexicon:
     return Lexicon(plain.split(b"\n") if plain else [])
 
 
-def asked(made: DataFrame) -> DataFrame:
-    """(pack, key, value, n, first): every pair of a pack with its training count there; `first` marks one row per key."""
+def asked(made: DataFrame, buckets: int) -> DataFrame:
+    """(pack, bucket, size, keys, values, counts): each pack's lists, cut into equal ranges of hashes."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, words, seen in zip(*(batch.column(c).to_pylist() for c in ("pack", "words", "seen")), strict=True):
-                lexicon, seen = _lexicon(words), np.frombuffer(seen, np.int64)
-                key = np.concatenate([lexicon.word_key, lexicon.key]).view(np.int64)
-                value = np.concatenate([np.full(len(seen), WORD), lexicon.value]).astype(np.int16)
-                n = np.concatenate([seen, lexicon.counts(seen)])
-                first = ~pd.Series(key).duplicated().to_numpy()
-                for at in range(0, len(key), 200_000):
-                    own = slice(at, at + 200_000)
-                    columns = [pa.array(np.full(len(key[own]), pack)), *(pa.array(x[own]) for x in (key, value, n, first))]
-                    yield pa.RecordBatch.from_arrays(columns, ["pack", "key", "value", "n", "first"])
-
-    return made.where("words IS NOT NULL").select("pack", "words", "seen").mapInArrow(run, "pack long, key long, value short, n long, first boolean")
+            for row in batch.to_pylist():
+                key, value, n = _read(row["keys"], row["values"], row["counts"])
+                cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+                own = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                for at in range(0, len(own), 100):
+                    some = own[at : at + 100]
+                    lists = [_lists(key[a:b], value[a:b], n[a:b]) for _, a, b in some]
+                    columns = [pa.array([row["pack"]] * len(some), pa.int64()), pa.array([k for k, _, _ in some], pa.int64()), pa.array([b - a for _, a, b in some], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.binary()) for x in zip(*lists, strict=True))], ["pack", "bucket", "size", "keys", "values", "counts"])
+
+    rows = made.where("words IS NOT NULL").select("pack", "keys", "values", "counts")
+    return rows.mapInArrow(run, "pack long, bucket long, size long, keys binary, values binary, counts binary")
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The lists of a group as one, without the pairs that no training text has."""
+    key, value, n = (np.concatenate(x) for x in zip(*map(_read, *(table.column(c).to_pylist() for c in ("keys", "values", "counts"))), strict=True))
+    order = np.lexsort((value, key))
+    key, value, n = key[order], value[order], n[order]
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])[: len(key)])
+    total = np.add.reduceat(n, edge) if len(edge) else n
+    edge, total = edge[total > 0], total[total > 0]
+    lists = _lists(key[edge], value[edge], total)
+    columns = [table.column("bucket")[:1], table.column("salt")[:1], *(pa.array([x], pa.binary()) for x in lists)]
+    return pa.Table.from_arrays(columns, [c.split()[0] for c in _LISTS.split(", ")])
+
+
+def _answered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each pack of a range: how many training pairs each of its keys has, and those pairs' bytes and counts."""
+    names = ("keys", "values", "counts")
+    known, value, n = _read(*(right.column(c)[0].as_py() for c in names)) if right.num_rows else (np.zeros(0, _U), *[np.zeros(0, np.int64)] * 2)
+    out = []
+    for row in left.select(["keys"]).to_pylist():
+        key = np.frombuffer(row["keys"], _U)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        low, high = np.searchsorted(known, key), np.searchsorted(known, key, "right")
+        take = spread(low, high - low)
+        out.append(((high - low).astype(np.uint16), value[take], n[take]))
+    sizes = [zlib.compress(a.tobytes(), 1) for a, _, _ in out]
+    lists = [_lists(np.zeros(0, _U), b, c)[1:] for _, b, c in out]
+    columns = [left.column("pack"), left.column("bucket"), pa.array(sizes, pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*lists, strict=True))]
+    return pa.Table.from_arrays(columns, ["pack", "bucket", "sizes", "values", "counts"])
+
+
+def knowledge(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training lists by range of hashes, each pack's answers from them)."""
+    size = made.where("words IS NOT NULL").agg(F.coalesce(F.sum(F.length("keys") / 8), F.lit(0))).first()[0]
+    rows = asked(made, max(1, int(size) // RANGE))
+    parts = rows.groupBy("bucket").agg(F.ceil(F.sum("size") / (2 * RANGE)).alias("parts"))
+    salted = rows.join(parts, "bucket").withColumn("salt", F.pmod(F.hash("pack"), F.col("parts").cast("int")).cast("long"))
+    first = salted.groupBy("bucket", "salt").applyInArrow(_summed, _LISTS)
+    total = stage(first.groupBy("bucket").applyInArrow(_summed, _LISTS), "lm-counts")
+    copies = total.join(parts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    asking = salted.select("pack", "bucket", "salt", "keys")
+    answers = asking.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(
+        _answered, "pack long, bucket long, sizes binary, values binary, counts binary")
+    return total, answers
+
+
+def training_size(total: DataFrame) -> tuple[int, int]:
+    """Training tokens and distinct ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for values, counts in zip(batch.column("values").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                _, value, n = _read(b"", values, counts)
+                own = n[value == WORD]
+                yield pa.RecordBatch.from_arrays([pa.array([int(own.sum())]), pa.array([len(own)])], ["n", "kinds"])
 
-def known(rows: DataFrame) -> DataFrame:
-    """(key, value, n): training counts of all pairs that occur in training, over the whole corpus."""
-    return rows.where("n > 0").groupBy("key", "value").agg(F.sum("n").alias("n"))
+    found = total.select("values", "counts").mapInArrow(run, "n long, kinds long").agg(F.sum("n"), F.sum("kinds")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def log_odds(code: Code, lexicon: Lexicon, key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,12 +450,13 @@ def _finish(code: Code, tokens: int, kinds: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lexicon = _lexicon(left.filter(pc.is_valid(left.column("words"))).column("words")[0].as_py())
         docs = left.filter(pc.is_valid(left.column("ids")))
-        key = np.asarray(right.column("key")).view(_U)
-        lists = right.column("known").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        rows = lists.flatten()
-        value, n = (np.asarray(rows.field(k)).astype(np.int64) for k in (0, 1))
-        key = np.repeat(key, np.asarray(pc.list_value_length(lists)).astype(np.int64))
+        key = np.unique(np.concatenate([lexicon.word_key, lexicon.key]))
+        rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        sizes = np.concatenate([np.frombuffer(zlib.decompress(r["sizes"]), np.uint16) for r in rows]).astype(np.int64)
+        if len(sizes) != len(key):
+            raise ValueError("a pack has lost answers")
+        _, value, n = (np.concatenate(x) for x in zip(*(_read(b"", r["values"], r["counts"]) for r in rows), strict=True))
+        key = np.repeat(key, sizes)
         whole = value == WORD
         order = np.argsort(key[whole])
         word_key, word_n = key[whole][order], n[whole][order]
@@ -429,11 +508,7 @@ def score(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
     histogram = np.zeros(256, np.int64)
     for r in counts:
         histogram[r["byte"]] = r["n"]
-    rows = asked(made)
-    facts = stage(known(rows), "lm-counts")
-    total = facts.where(F.col("value") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("kinds")).first()
-    lists = facts.groupBy("key").agg(F.collect_list(F.struct("value", "n")).alias("known"))
-    answers = rows.where("first").select("pack", "key").join(lists, "key")
+    total, answers = knowledge(made)
     own = made.select("pack", "doc_id", "held_out", "n_tokens", "ids", "words")
-    run = _finish(Code(histogram), int(total["n"]), int(total["kinds"]))
+    run = _finish(Code(histogram), *training_size(total))
     return own.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, RESULT)

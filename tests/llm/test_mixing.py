@@ -117,6 +117,15 @@ def test_probabilities_of_all_bytes_add_up_to_one():
     assert len({tuple(zip(code.node[f : f + n], code.bit[f : f + n], strict=True)) for f, n in zip(code.first, code.length, strict=True)}) == 256
 
 
+def test_small_ranges_and_parts_give_the_same_scores(docs_of, texts, monkeypatch):
+    def scores():
+        return {r.doc_id: (r.score, r.base_score, r.n_known) for r in mixing.score(docs_of(texts).repartition(3), 1).collect()}
+
+    whole = scores()
+    monkeypatch.setattr(mixing, "RANGE", 40)
+    assert scores() == whole
+
+
 def test_edges(docs_of):
     assert mixing.score(docs_of([])).count() == 0
     held = next(k for k in range(100) if mixing.held_out(k))
