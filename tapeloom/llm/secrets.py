@@ -21,7 +21,10 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SIGN = re.compile(r"[:=]")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
 # A run of base64 digits may go on after line breaks with blanks around them.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 # In decoded bytes: starts of gzip and zlib streams, stretches of UTF-8 and of ASCII as UTF-16, byte order marks.
@@ -76,49 +79,112 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _escapes(text: str, pattern: re.Pattern, decode, places: bool = True) -> tuple[str, list[tuple[int, int]]] | None:
-    """The text with its escapes undone and, per character if asked for, what it came from; None if nothing decodes."""
-    parts, spans, at, changed = [], [], 0, False
-    for m in pattern.finditer(text):
-        for chars, start, end in decode(m):
-            parts.append(text[at:start])
-            parts.append(chars)
-            if places:
-                spans += [(k, k + 1) for k in range(at, start)]
-                spans += [(start, end)] * len(chars)
-            at, changed = end, True
-    if not changed:
-        return None
-    parts.append(text[at:])
-    if places:
-        spans += [(k, k + 1) for k in range(at, len(text))]
-    return "".join(parts), spans
+class _Places:
+    """Where the characters of a layer come from in the whole text.
+
+    Only decoded characters are listed, with what they came from; those between
+    follow the listed one before them, one by one. Memory grows with the escapes,
+    not with the text.
+    """
+
+    def __init__(self) -> None:
+        self.at, self.start, self.end = array("q"), array("q"), array("q")
+
+    def add(self, at: int, start: int, end: int) -> None:
+        self.at.append(at)
+        self.start.append(start)
+        self.end.append(end)
+
+    def of(self, k: int) -> tuple[int, int]:
+        """Start and end, in the whole text, of what character k came from."""
+        n = bisect_right(self.at, k) - 1
+        if n < 0:
+            return k, k + 1
+        if self.at[n] == k:
+            return self.start[n], self.end[n]
+        place = self.end[n] + k - self.at[n] - 1
+        return place, place + 1
 
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return self.of(start)[0], self.of(end - 1)[1]
 
-def _percent(m: re.Match) -> Iterator[tuple[str, int, int]]:
-    """Characters of a run of %XX; bytes that are no UTF-8 stay as they are."""
-    raw, at, k = bytes.fromhex(m[0].replace("%", "")), m.start(), 0
-    while k < len(raw):
-        size = 1 if raw[k] < 0x80 else 2 if raw[k] < 0xE0 else 3 if raw[k] < 0xF0 else 4
-        try:
-            yield raw[k : k + size].decode(), at + 3 * k, at + 3 * (k + size)
-            k += size
-        except UnicodeDecodeError:
-            k += 1
+    def copy(self, other: _Places, first: int, last: int, shift: int) -> None:
+        """Takes over the listed characters from first up to last of another layer, moved."""
+        for n in range(bisect_left(other.at, first), bisect_left(other.at, last)):
+            self.add(other.at[n] + shift, other.start[n], other.end[n])
 
+    def digest(self) -> bytes:
+        return hashlib.sha256(self.at.tobytes() + self.start.tobytes() + self.end.tobytes()).digest()
 
-def _unicode(m: re.Match) -> Iterator[tuple[str, int, int]]:
-    """Characters of a run of \\uXXXX; a lone surrogate stays as it is."""
-    units, at, k = [int(x, 16) for x in m[0].split("\\u")[1:]], m.start(), 0
-    while k < len(units):
-        size = 2 if 0xD800 <= units[k] < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1] < 0xE000 else 1
-        if size == 2 or not 0xD800 <= units[k] < 0xE000:
-            char = chr(units[k]) if size == 1 else chr(0x10000 + ((units[k] - 0xD800) << 10) + units[k + 1] - 0xDC00)
-            yield char, at + 6 * k, at + 6 * (k + size)
-        k += size
+
+_HEX2, _HEX4 = re.compile(r"[0-9A-Fa-f]{2}"), re.compile(r"u([0-9A-Fa-f]{4})")
+
+
+def _unit(text: str, at: int) -> tuple[bool, int, int]:
+    """(percent or not, value, end) of the escape at a place, undone as long as what it gives begins a further one.
+
+    A percent sign that is itself escaped, any number of times, is so read in one
+    step over its characters, not in one copy of the text per level.
+    """
+    percent = text[at] == "%"
+    value, end = (int(text[at + 1 : at + 3], 16), at + 3) if percent else (int(text[at + 2 : at + 6], 16), at + 6)
+    while True:
+        if value == 0x25 and (m := _HEX2.match(text, end)):
+            percent, value, end = True, int(m[0], 16), m.end()
+        elif value == 0x5C and (m := _HEX4.match(text, end)):
+            percent, value, end = False, int(m[1], 16), m.end()
+        else:
+            return percent, value, end
+
+
+def _undone(text: str, pattern: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    """Characters of the escapes that a pattern begins, each with its place; what is no character stays as it is."""
+    at = 0
+    while m := pattern.search(text, at):
+        units, at = [], m.start()
+        while at == m.start() or pattern.match(text, at):
+            percent, value, end = _unit(text, at)
+            units.append((percent, value, at, end))
+            at = end
+        k = 0
+        while k < len(units):
+            percent, value, start, end = units[k]
+            size, char = 1, None
+            if percent:
+                size = 1 if value < 0x80 else 2 if value < 0xE0 else 3 if value < 0xF0 else 4
+                own = units[k : k + size]
+                if all(p for p, *_ in own):
+                    with suppress(UnicodeDecodeError):
+                        char = bytes(v for _, v, *_ in own).decode()
+            elif not 0xD800 <= value < 0xE000:
+                char = chr(value)
+            elif value < 0xDC00 and k + 1 < len(units) and not units[k + 1][0] and 0xDC00 <= units[k + 1][1] < 0xE000:
+                size, char = 2, chr(0x10000 + ((value - 0xD800) << 10) + units[k + 1][1] - 0xDC00)
+            if char is None:
+                k += 1
+            else:
+                yield char, start, units[k + size - 1][3]
+                k += size
+
+
+def _escapes(text: str, pattern: re.Pattern, outer: _Places | None = None) -> tuple[str, _Places] | None:
+    """The text with its escapes undone, and the places of its characters in the whole text; None if nothing decodes."""
+    parts, places, at, size, outer = [], _Places(), 0, 0, outer or _Places()
+    for char, start, end in _undone(text, pattern):
+        parts += (text[at:start], char)
+        places.copy(outer, at, start, size - at)
+        size += start - at
+        places.add(size, *outer.span(start, end))
+        size += 1
+        at = end
+    if not parts:
+        return None
+    parts.append(text[at:])
+    places.copy(outer, at, len(text), size - at)
+    return "".join(parts), places
 
 
-_ESCAPES = (("%", _PERCENT, _percent), ("\\u", _UNICODE, _unicode))
+_ESCAPES = (("%", _PERCENT), ("\\u", _UNICODE))
 
 
 class _Inflated:
@@ -272,8 +338,8 @@ class _Parts:
             self.stream(lambda: _Inflated([layer]), kinds, below)
             return
         kinds |= {s[2] for s in base_spans(layer)}
-        for mark, pattern, decode in _ESCAPES:
-            if mark in layer and (found := _escapes(layer, pattern, decode, False)):
+        for mark, pattern in _ESCAPES:
+            if mark in layer and (found := _escapes(layer, pattern)):
                 below.add(self.node(found[0]))
         for m in _BASE64.finditer(layer):
             below |= {part[2] for part in self.run(m[0])}
@@ -411,9 +477,9 @@ class _Parts:
         return self.runs[key]
 
 
-def _key(layer: str, spans: list[tuple[int, int]]) -> tuple[bytes, bytes]:
-    """One layer at one place: digests of its text and of its spans in the whole text."""
-    return hashlib.sha256(layer.encode(errors="surrogatepass")).digest(), hashlib.sha256(np.array(spans, np.int64).tobytes()).digest()
+def _key(layer: str, places: _Places) -> tuple[bytes, bytes]:
+    """One layer at one place: digests of its text and of where it comes from."""
+    return hashlib.sha256(layer.encode(errors="surrogatepass")).digest(), places.digest()
 
 
 def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
@@ -431,25 +497,22 @@ def _scan(text: str, most: int = 64 << 20) -> tuple[list[Span], list[Span], int,
         return base, base, 0, []
     found, parts = {*base}, _Parts(most)
     seen: set[tuple[bytes, bytes]] = set()
-    work: list[tuple[str, list | None]] = [(text, None)]
+    work: list[tuple[str, _Places]] = [(text, _Places())]
     while work:
-        layer, spans = work.pop()
+        layer, places = work.pop()
         for m in _BASE64.finditer(layer):
             for start, end, key, later, other in parts.run(m[0]):
                 kinds = parts.kinds(key)
                 start, end = (later if kinds <= parts.kinds(other) else start) + m.start(), end + m.start()
-                where = (start, end) if spans is None else (spans[start][0], spans[end - 1][1])
+                where = places.span(start, end)
                 found |= {(*where, kind) for kind in kinds}
-        for mark, pattern, decode in _ESCAPES:
-            if not (mark in layer and (inner := _escapes(layer, pattern, decode))):
+        for mark, pattern in _ESCAPES:
+            if not (mark in layer and (inner := _escapes(layer, pattern, places))):
                 continue
-            below, own = inner
-            if spans is not None:
-                own = [(spans[a][0], spans[b - 1][1]) for a, b in own]
-            if (key := _key(below, own)) not in seen:
+            if (key := _key(*inner)) not in seen:
                 seen.add(key)
-                found |= {(own[start][0], own[end - 1][1], kind) for start, end, kind in base_spans(below)}
-                work.append((below, own))
+                found |= {(*inner[1].span(start, end), kind) for start, end, kind in base_spans(inner[0])}
+                work.append(inner)
     return base, sorted(s for s in found if s[2] != BROKEN), parts.bombs, sorted(s for s in found if s[2] == BROKEN)
 
 
