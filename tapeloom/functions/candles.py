@@ -1,14 +1,18 @@
-"""Candle shapes, rolling features and daily proxies as named Column builders.
+"""Candle shapes, rolling features and daily proxies.
 
-All windows are per instrument over one row per session, built from one window
-spec so Spark sorts each instrument once for every feature and length.
+All windows are per instrument over one row per session. Short ones are Column
+builders over one window spec; those of any length are put together from blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tapeloom.functions import blocks
 from tapeloom.functions.guards import EPS, by_instrument, guarded, pair_corr, ratio, trailing
 from tapeloom.session import spread_by
 
@@ -26,52 +30,72 @@ def candle_features() -> dict[str, Column]:
     }
 
 
-def _quantile(ordered: Column, q: float) -> Column:
-    """Linear quantile of a sorted array of known values; null if there are none."""
-    at = (F.size(ordered) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.try_element_at(ordered, low + 1), F.try_element_at(ordered, F.least(low + 2, F.size(ordered)))
-    return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
+OPERATORS = ("ma", "std", "beta", "rsqr", "rsv", "imxd", "corr", "vma", "vstd", "qtlu", "qtld", "roc", "cntd", "wvma", "sumd")
+
+
+def _rolled(bars: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """The operators of one instrument's rows over windows of n rows."""
+    p, v, high, low = (bars[c] for c in ("close", "volume", "high", "low"))
+    w, rows = blocks.Windows(len(p), n), np.arange(len(p), dtype=float)
+    before = blocks.lagged(p, 1)
+    d = p - before
+    with np.errstate(invalid="ignore", divide="ignore"):
+        logs = np.log(v + 1.0)
+    move = np.abs(blocks.divided(p, before) - 1.0) * v
+    mean, sd = w.mean_and_deviation(p)
+    v_mean, v_sd = w.mean_and_deviation(v)
+    m_mean, m_sd = w.mean_and_deviation(move)
+    _, kk, pp, kp = w.comoments(rows, p)
+    pairs, aa, bb, ab = w.comoments(p, logs)
+    (top, top_at), (bottom, bottom_at) = w.top(high), w.top(-low)
+    bottom = -bottom
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = np.sqrt(aa / pairs), np.sqrt(bb / pairs)
+        out = {
+            "ma": blocks.divided(mean, p), "std": blocks.divided(sd, p), "beta": blocks.divided(blocks.divided(kp, kk), p),
+            "rsqr": np.where(sd > EPS, blocks.divided(kp * kp, kk * pp), np.nan), "rsv": blocks.divided(p - bottom, top - bottom + EPS),
+            "imxd": (top_at - bottom_at) / n, "corr": np.where((spread[0] > EPS) & (spread[1] > EPS), blocks.divided(ab / pairs, spread[0] * spread[1]), np.nan),
+            "vma": blocks.divided(v_mean, v), "vstd": blocks.divided(v_sd, v),
+            "qtlu": blocks.divided(w.quantile(p, 0.8), p), "qtld": blocks.divided(w.quantile(p, 0.2), p),
+        }
+        # These need the row before the window's first one.
+        changes = {
+            "roc": blocks.divided(blocks.lagged(p, n), p), "cntd": blocks.divided(w.sum(np.sign(d)), w.count(d)),
+            "wvma": blocks.divided(m_sd, m_mean), "sumd": blocks.divided(w.sum(d), w.sum(np.abs(d))),
+        }
+    for need, part in ((n - 1, out), (n, changes)):
+        for x in part.values():
+            x[:need] = np.nan
+    return out | changes
 
 
 def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
     """15 rolling operators per window length; null until the window has all its rows.
 
-    Each is a built-in aggregate over the last n rows, computed from these rows
-    alone, so neither the level of earlier prices nor a flat stretch leaks in. A
-    null inside a full window is left out: means, deviations, extremes and
-    quantiles are those of the known values, pairs need both. Without spread,
-    `rsqr` and `corr` are null. All frames share one sort per instrument.
+    One instrument's rows, a calendar at most, are one task's arrays; each window
+    is put together from two partial aggregates (`blocks`), so the work per row does
+    not depend on the length, and neither the level of earlier prices nor a flat
+    stretch leaks in. A null inside a full window is left out: means, deviations,
+    extremes and quantiles are those of the known values, pairs need both. Without
+    spread, `rsqr` and `corr` are null. Of equal extremes the first counts.
     """
-    w = by_instrument()
-    p, v = F.col("close"), F.col("volume")
-    before = F.lag("close").over(w)
-    base = spread_by(df, "instrument").withColumns({"_n": F.row_number().over(w), "_d": p - before, "_m": F.abs(ratio(p, before) - 1.0) * v, "_l": F.when(p.isNotNull(), F.log(v + 1.0)), "_pl": F.when(v.isNotNull(), p)})
-    d, move, k = F.col("_d"), F.col("_m"), F.col("_n").cast("double")
-    sign = (d > 0).cast("double") - (d < 0).cast("double")
-    # The first of equal extremes counts, hence the negated position.
-    sums = {
-        "ma": F.avg("close"), "sd": F.stddev_samp("close"), "slope": F.regr_slope(p, k), "r2": F.regr_r2(p, k), "cov": F.covar_pop("_pl", "_l"),
-        "psd": F.stddev_pop("_pl"), "lsd": F.stddev_pop("_l"), "top": F.max(F.struct(F.col("high").alias("x"), (-F.col("_n")).alias("at"))),
-        "low": F.max(F.struct((-F.col("low")).alias("x"), (-F.col("_n")).alias("at"))), "sign": F.avg(sign), "vma": F.avg("volume"),
-        "vsd": F.stddev_samp("volume"), "msd": F.stddev_samp(move), "mma": F.avg(move), "sum": F.sum(d), "path": F.sum(F.abs(d)), "all": F.collect_list("close"),
-    }
-    framed = base.withColumns({f"_{name}{n}": agg.over(trailing(w, n)) for n in windows for name, agg in sums.items()} | {f"_back{n}": F.lag("close", n).over(w) for n in windows})
-    framed = framed.withColumns({f"_all{n}": F.sort_array(f"_all{n}") for n in windows})
-    out: dict[str, Column] = {}
-    for n in windows:
-        of = {name: F.col(f"_{name}{n}") for name in [*sums, "back"]}
-        high, low, spread = of["top"]["x"], -of["low"]["x"], of["sd"] > EPS
-        each = {
-            "ma": ratio(of["ma"], p), "std": ratio(of["sd"], p), "beta": ratio(of["slope"], p), "rsqr": F.when(spread, of["r2"]),
-            "rsv": ratio(p - low, high - low + EPS), "imxd": (of["low"]["at"] - of["top"]["at"]) / float(n),
-            "corr": F.when((of["psd"] > EPS) & (of["lsd"] > EPS), ratio(of["cov"], of["psd"] * of["lsd"])), "vma": ratio(of["vma"], v), "vstd": ratio(of["vsd"], v),
-            "qtlu": ratio(_quantile(of["all"], 0.8), p), "qtld": ratio(_quantile(of["all"], 0.2), p),
-        }
-        # These need the row before the window's first one.
-        changes = {"roc": ratio(of["back"], p), "cntd": of["sign"], "wvma": ratio(of["msd"], of["mma"]), "sumd": ratio(of["sum"], of["path"])}
-        out |= {f"{name}{n}": F.when(F.col("_n") >= n, x) for name, x in each.items()} | {f"{name}{n}": F.when(F.col("_n") > n, x) for name, x in changes.items()}
-    return framed.withColumns(out).select(*df.columns, *out)
+    names = [f"{o}{n}" for n in windows for o in OPERATORS]
+    used = ("close", "volume", "high", "low")
+    kept = [c for c in df.columns if c not in names]
+    schema = StructType([*(df.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in names)])
+    given = df.select(*kept, *[F.col(c).cast("double").alias(f"_{c}") for c in used])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("dt")
+        bars = {c: table.column(f"_{c}").to_numpy().astype(float) for c in used}
+        out = table.select(kept)
+        for n in windows:
+            made = _rolled(bars, n)
+            for o in OPERATORS:
+                out = out.append_column(f"{o}{n}", pa.array(made[o], pa.float64(), from_pandas=True))
+        return out
+
+    return given.groupBy("instrument").applyInArrow(run, schema)
 
 
 def daily_proxies(df: DataFrame) -> DataFrame:
