@@ -92,9 +92,11 @@ class Code:
 
 
 def spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for each run of the given size."""
+    """first, first + 1, ... for each run of the given size; all numbers fit 31 bits."""
     ends = np.cumsum(sizes)
-    return np.repeat(firsts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat((firsts - ends + sizes).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def paired(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -305,17 +307,24 @@ def training_size(total: DataFrame) -> tuple[int, int]:
     return found[0] or 0, found[1] or 0
 
 
+def _added(at: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct numbers, in order, and the sums of their values."""
+    order = np.argsort(at)
+    at = at[order]
+    edge = np.flatnonzero(np.diff(at, prepend=at[:1] ^ _U(1)))
+    return at[edge], *(np.add.reduceat(v[order], edge, dtype=np.float64) for v in values)
+
+
 def log_odds(code: Code, lexicon: Lexicon, key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each bit of each pair of the lexicon: log-odds of a one in its context, and whether it was seen there; the pairs' first bits."""
-    size = code.length[value]
-    way = spread(code.first[value], size)
-    at = paired(np.repeat(key, size), code.node[way])
-    order = np.argsort(at)
-    at, times, ones = at[order], np.repeat(n, size)[order].astype(np.float64), code.bit[way[order]]
-    edge = np.flatnonzero(np.diff(at, prepend=at[:1] ^ _U(1))) if len(at) else np.zeros(0, np.int64)
-    total = np.add.reduceat(times, edge) if len(at) else times
-    one = np.add.reduceat(times * ones, edge) if len(at) else times
-    kinds = at[edge]
+    found = []
+    for first in range(0, len(key), 200_000):
+        # Pairs of one context may lie on both sides of a cut; their nodes are added up below.
+        own = slice(first, first + 200_000)
+        size = code.length[value[own]]
+        way = spread(code.first[value[own]], size)
+        found.append(_added(paired(np.repeat(key[own], size), code.node[way]), np.repeat(n[own], size), np.repeat(n[own], size) * code.bit[way]))
+    kinds, total, one = _added(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, _U), *[np.zeros(0)] * 2)
     size = code.length[lexicon.value]
     way = spread(code.first[lexicon.value], size)
     wanted = paired(np.repeat(lexicon.key, size), code.node[way])
@@ -336,10 +345,15 @@ class Bits:
         self.gate = lexicon.initial * np.int32(len(ORDERS) + 1)
         made = np.empty((int(self.size.sum()), 4), np.int8)
         steps = np.rint(odds * _SCALE).astype(np.int8)
-        for k, pair in enumerate(lexicon.pair):
-            made[:, k] = steps[spread(firsts[pair], self.size)]
+        for a in range(0, len(self.size), 300_000):
+            own = slice(a, a + 300_000)
+            size = self.size[own]
+            to = slice(int(self.first[a]), int(self.first[a]) + int(size.sum()))
+            for k, pair in enumerate(lexicon.pair):
+                made[to, k] = steps[spread(firsts[pair[own]], size)]
+            made[to, 3] = code.bit[spread(code.first[lexicon.byte[own]], size)]
+        for pair in lexicon.pair:
             self.gate += hit[firsts[pair]]
-        made[:, 3] = code.bit[spread(code.first[lexicon.byte], self.size)]
         self.packed = made.view(np.uint32).ravel()
 
 
@@ -431,7 +445,7 @@ def blended(bits: np.ndarray, share: np.ndarray, begin: np.ndarray, end: np.ndar
     return out
 
 
-def _chunks(ids: list[bytes], lexicon: Lexicon, most: int = 8 << 20) -> Iterator[list[bytes]]:
+def _chunks(ids: list[bytes], lexicon: Lexicon, most: int = 4 << 20) -> Iterator[list[bytes]]:
     """The texts in groups of about `most` bytes."""
     own, held = [], 0
     for x in ids:
@@ -457,6 +471,7 @@ def _finish(code: Code, tokens: int, kinds: int):
             raise ValueError("a pack has lost answers")
         _, value, n = (np.concatenate(x) for x in zip(*(_read(b"", r["values"], r["counts"]) for r in rows), strict=True))
         key = np.repeat(key, sizes)
+        del rows, left, right
         whole = value == WORD
         order = np.argsort(key[whole])
         word_key, word_n = key[whole][order], n[whole][order]
@@ -471,7 +486,7 @@ def _finish(code: Code, tokens: int, kinds: int):
             words = [np.frombuffer(zlib.decompress(x), np.int32) for x in some]
             sizes = np.array([int(lexicon.size[w].sum()) for w in words], np.int64)
             flat = np.concatenate(words)
-            streams = spread(lexicon.first[flat], lexicon.size[flat]).astype(np.int32)
+            streams = spread(lexicon.first[flat], lexicon.size[flat])
             begin, end, _ = cut(sizes)
             every = byte_scores(bits_of, streams, begin, end)
             bits = np.add.reduceat(every, np.cumsum(lexicon.size[flat]) - lexicon.size[flat])
