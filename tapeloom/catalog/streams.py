@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import query, with_
-from tapeloom.streaming import jobs
+from tapeloom.streaming import jobs, positions
 
 CLOSED = "w AS (SELECT max(ts) - INTERVAL 5 MINUTE AS wm FROM events)"
 
@@ -77,6 +77,44 @@ def _(t):
     return jobs.ledger_batch(jobs.drain(flows(t), "flows"))
 
 
+POSITIONS_SQL = "WITH RECURSIVE " + CLOSED + """,
+o AS (SELECT user_id AS account, event_id % 5 AS instrument, CAST(ts AS DATE) AS session, ts, event_id AS seq, CASE event_type WHEN 'click' THEN 'reserve' WHEN 'view' THEN 'fill' WHEN 'error' THEN 'release' ELSE 'buy' END AS kind, floor(value/10)::DOUBLE AS shares,
+  row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id) AS k FROM events, w WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= wm),
+g(account, instrument, session, seq, kind, shares, k, done, total, available, frozen, unsettled) AS (
+ SELECT DISTINCT account, instrument, CAST(NULL AS DATE), 0::BIGINT, '', 0.0::DOUBLE, 0::BIGINT, 0.0::DOUBLE, CASE WHEN account % 3 = 0 THEN 90.0 ELSE 0.0 END::DOUBLE, CASE WHEN account % 3 = 0 THEN 60.0 ELSE 0.0 END::DOUBLE, CASE WHEN account % 3 = 0 THEN 20.0 ELSE 0.0 END::DOUBLE, CASE WHEN account % 3 = 0 THEN 30.0 ELSE 0.0 END::DOUBLE FROM o
+ UNION ALL SELECT account, instrument, session, seq, kind, shares, k, done,
+  t + CASE kind WHEN 'buy' THEN done WHEN 'fill' THEN -done ELSE 0 END, a - CASE WHEN kind = 'fill' THEN done ELSE 0 END, f + CASE kind WHEN 'reserve' THEN done WHEN 'buy' THEN 0 ELSE -done END, u + CASE WHEN kind = 'buy' THEN done ELSE 0 END
+ FROM (SELECT *, CASE kind WHEN 'buy' THEN shares WHEN 'reserve' THEN least(shares, greatest(a-f, 0)) WHEN 'release' THEN least(shares, f) ELSE CASE WHEN shares > f + 1e-9 THEN 0 ELSE shares END END AS done
+  FROM (SELECT o.*, g.total AS t, g.frozen AS f, CASE WHEN o.session > g.session THEN least(g.total, g.available+g.unsettled) ELSE g.available END AS a, CASE WHEN o.session > g.session THEN 0 ELSE g.unsettled END AS u
+   FROM o JOIN g ON o.account = g.account AND o.instrument = g.instrument AND o.k = g.k+1)))
+SELECT account, instrument, session, seq, kind, shares, done, total, available, frozen, unsettled FROM g WHERE k > 0"""
+POSITIONS = "account:i instrument:i session:d seq:i kind:s shares:f done:f total:f available:f frozen:f unsettled:f"
+
+
+def order_events(t, stream=True):
+    e = jobs.read_events(t.spark, t.root) if stream else t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = F.when(F.col("event_type") == "click", "reserve").when(F.col("event_type") == "view", "fill").when(F.col("event_type") == "error", "release").otherwise("buy")
+    return e.select(F.col("user_id").alias("account"), (F.col("event_id") % 5).alias("instrument"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.floor(F.col("value") / 10).alias("shares"))
+
+
+def opening(t):
+    keys = t.raw("events").where("user_id % 3 = 0").select(F.col("user_id").alias("account"), (F.col("event_id") % 5).alias("instrument")).distinct()
+    return keys.withColumns({"total": F.lit(90.0), "available": F.lit(60.0), "frozen": F.lit(20.0), "unsettled": F.lit(30.0)})
+
+
+@query("H4_order_positions", POSITIONS, POSITIONS_SQL)
+def _(t):
+    return jobs.drain(positions.position_events(order_events(t), opening(t), overfill="refuse"), "positions")
+
+
+@query("H4_order_positions_batch", POSITIONS, POSITIONS_SQL)
+def _(t):
+    events = order_events(t, stream=False)
+    closed = events.agg((F.max("ts") - F.expr("INTERVAL 5 MINUTE")).alias("wm"))
+    events = events.join(F.broadcast(closed), F.date_add(F.col("ts").cast("date"), 1).cast("timestamp") <= F.col("wm")).drop("wm")
+    return positions.position_history(events, opening(t), overfill="refuse")
+
+
 @query("H5_stream_throttle", "instrument:s dt:d second:i price:f forced:b", "WITH RECURSIVE " + CLOSED + """,
 s AS (SELECT event_type AS instrument, CAST(m AS DATE) AS dt, extract(hour FROM m)*3600+extract(minute FROM m)*60+CAST(extract(second FROM m) AS BIGINT) AS sec, price FROM (SELECT event_type, date_trunc('second', ts) AS m, min_by(value, event_id) AS price FROM events GROUP BY ALL), w WHERE m + INTERVAL 1 SECOND <= wm),
 z AS (SELECT * FROM s WHERE sec BETWEEN 21600 AND 72000),
