@@ -258,7 +258,27 @@ def _(t):
     return evaluation.factor_stability(stats, "seg", "train", "valid")
 
 
-@query("D15_factor_whitelist", "factor:s position:i")
+def whitelist_sql(stability, pairs, threshold, least, most):
+    """The greedy walk over the rows of two SQL tables, as the last parts of a recursive WITH."""
+    return f"""
+en AS (SELECT factor, row_number() OVER (ORDER BY coalesce(-stability, 'inf'::DOUBLE), factor) AS k, coalesce(same_sign AND stable_ic > 0 AND coalesce(nullif(mean_shift, 0), 99) < 3 AND t_null_ratio < 0.25, false) AS sound FROM {stability}),
+cand AS (SELECT factor, row_number() OVER (ORDER BY k) AS k FROM en WHERE CASE WHEN (SELECT count(*) FROM en WHERE sound) >= {least} THEN sound ELSE k <= {least} END),
+near AS (SELECT a, b FROM {pairs} WHERE corr > {threshold} UNION ALL SELECT b, a FROM {pairs} WHERE corr > {threshold}),
+gr(k, chosen) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT gr.k + 1, CASE WHEN len(chosen) < {most} AND NOT list_has_any(chosen, coalesce((SELECT list(b) FROM near WHERE a = factor), []::VARCHAR[])) THEN list_append(chosen, factor) ELSE chosen END FROM gr JOIN cand ON cand.k = gr.k + 1),
+ch AS (SELECT chosen FROM gr ORDER BY k DESC LIMIT 1),
+fl(k, chosen) AS (SELECT 0::BIGINT, chosen FROM ch UNION ALL SELECT fl.k + 1, CASE WHEN len(chosen) < {least} AND NOT list_contains(chosen, factor) THEN list_append(chosen, factor) ELSE chosen END FROM fl JOIN en ON en.k = fl.k + 1),
+pick AS (SELECT chosen FROM fl ORDER BY k DESC LIMIT 1)"""
+
+
+STABLE = """
+z AS (SELECT a.factor, a.null_ratio AS t_null_ratio, sign(a.ic_mean) = sign(b.ic_mean) AS same_sign, CASE WHEN sign(a.ic_mean) = sign(b.ic_mean) THEN least(abs(a.ic_mean), abs(b.ic_mean)) ELSE 0 END AS stable_ic, abs(b.mean-a.mean)/nullif(a.std, 0) AS mean_shift, a.ic_positive
+  FROM st a JOIN st b USING (factor) WHERE a.seg='train' AND b.seg='valid'),
+sb AS (SELECT *, stable_ic*sqrt(least(1, greatest(0, coalesce(ic_positive, 0.5))))/(1+coalesce(mean_shift, 10)) AS stability FROM z)"""
+CORR = "co AS (SELECT 'f_ret' AS a, 'f_vol' AS b, abs(" + _sp("z0", "x", "y") + ") AS corr UNION ALL SELECT 'f_ret', 'f_range', abs(" + _sp("z0", "x", "w") + ") UNION ALL SELECT 'f_vol', 'f_range', abs(" + _sp("z0", "y", "w") + "))"
+
+
+@query("D15_factor_whitelist", "factor:s position:i", "WITH RECURSIVE " + ", ".join([BARS_W, FF, STABLE, "z0 AS (SELECT f_ret AS x, coalesce(f_vol, 0) AS y, f_range AS w FROM fx)", CORR, whitelist_sql("sb", "co", 0.9, 2, 3)]) + """
+SELECT unnest(chosen) AS factor, generate_subscripts(chosen, 1) - 1 AS position FROM pick""")
 def _(t):
     frame = factor_frame(t)
     names = ["f_ret", "f_vol", "f_range"]

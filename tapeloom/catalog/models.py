@@ -5,7 +5,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.aggregates import KW
+from tapeloom.catalog.aggregates import CORR, FF, KW, STABLE, factor_frame, whitelist_sql
 from tapeloom.catalog.base import BARS, BARS_W, SESS, query, with_
 from tapeloom.catalog.windows import W, scored_w
 from tapeloom.operators import evaluation, rolling, sessions
@@ -58,6 +58,30 @@ def _(t):
     return ml.oof_train_predict(training_frame(t), FOLDS, FEATURES, "label", lambda y: LogisticRegression(labelCol=y, maxIter=10))
 
 
+CHOICE = [{"fold": 1, "train_start": "1995-01-01", "valid_start": "1996-01-01", "train_end": "1996-12-31", "test_start": "1997-02-01", "test_end": "1997-12-31"},
+          {"fold": 2, "train_start": "1995-01-01", "valid_start": "1997-01-01", "train_end": "1997-12-31", "test_start": "1998-02-01", "test_end": "1998-12-31"},
+          {"fold": 3, "train_start": "1996-01-01", "valid_start": "1998-07-01", "train_end": "1998-12-31", "test_start": "1999-02-01", "test_end": "1999-12-31"}]
+
+
+def _fold_choice_sql(fold):
+    own = FF.replace("CASE WHEN year(dt) < 1997 THEN", f"CASE WHEN dt < DATE '{fold['valid_start']}' THEN", 1).replace(
+        "WHERE label IS NOT NULL)", f"WHERE label IS NOT NULL AND dt BETWEEN DATE '{fold['train_start']}' AND DATE '{fold['train_end']}')", 1)
+    parts = ", ".join([BARS_W, own, STABLE, "z0 AS (SELECT f_ret AS x, coalesce(f_vol, 0) AS y, f_range AS w FROM fx)", CORR, whitelist_sql("sb", "co", 0.9, 2, 3)])
+    return f"SELECT {fold['fold']} AS fold, * FROM (WITH RECURSIVE {parts} SELECT unnest(chosen) AS factor, generate_subscripts(chosen, 1) - 1 AS position FROM pick)"
+
+
+@query("I3_fold_factors", "fold:i factor:s position:i", " UNION ALL ".join(map(_fold_choice_sql, CHOICE)))
+def _(t):
+    return ml.fold_factors(factor_frame(t), CHOICE, ["f_ret", "f_vol", "f_range"], "label", threshold=0.9, min_features=2, max_features=3)
+
+
+@query("I3_oof_selected", "instrument:i dt:d fold:i score:f")
+def _(t):
+    frame = training_frame(t)
+    chosen = ml.fold_factors(frame, CHOICE, FEATURES, "edge", threshold=0.9, min_features=2, max_features=3)
+    return ml.oof_train_predict(frame, CHOICE, FEATURES, "label", lambda y: LogisticRegression(labelCol=y, maxIter=10), chosen)
+
+
 @query("I3_oof_regression", "instrument:i dt:d fold:i score:f")
 def _(t):
     return ml.oof_train_predict(training_frame(t), FOLDS, FEATURES, "edge", lambda y: LinearRegression(labelCol=y, regParam=0.1))

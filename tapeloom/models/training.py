@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.trading import expected_value
+from tapeloom.operators import evaluation
 from tapeloom.operators.folds import anchored_split
 from tapeloom.operators.rolling import session_decay_weights
 from tapeloom.operators.scoring import percentile_score
@@ -63,12 +64,42 @@ def apply_plugins(df: DataFrame, names: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- out-of-fold
 
 
-def oof_train_predict(df: DataFrame, folds: list[dict], features: list[str], label: str, make_estimator) -> DataFrame:
-    """Fit per fold on its train range and predict its test range."""
+def fold_factors(df: DataFrame, folds: list[dict], factors: list[str], label: str, *, threshold: float = 0.9, min_features: int = 20,
+                 max_features: int = 80, min_names: int = 20) -> DataFrame:
+    """The factors each fold may use, chosen on its own train range: `(fold, factor, position)`.
+
+    A fold's train range is cut at its `valid_start`: a factor must keep its sign
+    and level from the earlier to the later part (`factor_stability`), and is left
+    out if it runs along with a more stable one over the range
+    (`factor_whitelist`). Rows carry their fold, so all folds go through one set of
+    jobs; test rows take no part.
+    """
+    ranges = F.array(*[F.struct(F.lit(int(f["fold"])).alias("fold"), *[F.lit(str(f[c])).cast("date").alias(c) for c in ("train_start", "valid_start", "train_end")]) for f in folds])
+    rows = df.where(F.col(label).isNotNull()).select("dt", label, *factors, F.explode(ranges).alias("_f")).where("dt between _f.train_start and _f.train_end")
+    part = F.when(F.col("dt") < F.col("_f.valid_start"), "train").otherwise("valid")
+    rows = rows.select(F.col("_f.fold").alias("fold"), "dt", part.alias("_part"), label, *factors)
+    stats = evaluation.factor_segment_stats(rows, factors, label, "_part", min_names=min_names, extra=("fold",))
+    stability = evaluation.factor_stability(stats, "_part", "train", "valid", keys=("fold",))
+    pairs = evaluation.factor_correlations(rows, factors, by="fold").withColumn("fold", F.col("fold").cast("int"))
+    return evaluation.factor_whitelist(stability, pairs, threshold=threshold, min_features=min_features, max_features=max_features, keys=("fold",))
+
+
+def oof_train_predict(df: DataFrame, folds: list[dict], features: list[str], label: str, make_estimator, chosen: DataFrame | None = None) -> DataFrame:
+    """Fit per fold on its train range and predict its test range.
+
+    `chosen` (`fold_factors`) names each fold's features in order; a fold without
+    any is refused. Without it every fold uses them all.
+    """
+    own = {int(f["fold"]): features for f in folds}
+    if chosen is not None:
+        picked = chosen.where(F.col("fold").isin(list(own)) & F.col("factor").isin(features)).orderBy("fold", "position").collect()
+        own = {k: [r["factor"] for r in picked if r["fold"] == k] for k in own}
+        if empty := [k for k, names in own.items() if not names]:
+            raise ValueError(f"no factor is chosen for folds {empty}")
     parts = []
     for fold in folds:
         train = _between(df, fold["train_start"], fold["train_end"]).where(F.col(label).isNotNull())
-        model = Pipeline(stages=[*featurizer(features), make_estimator(label)]).fit(train)
+        model = Pipeline(stages=[*featurizer(own[int(fold["fold"])]), make_estimator(label)]).fit(train)
         test = model.transform(_between(df, fold["test_start"], fold["test_end"]))
         score = vector_to_array("probability")[1] if "probability" in test.columns else F.col("prediction")
         parts.append(_drop_helpers(test.withColumn("score", score)).withColumn("fold", F.lit(int(fold["fold"]))))

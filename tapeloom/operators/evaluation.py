@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,10 +133,10 @@ def alpha_scorecard(df: DataFrame, score: str, label: str, tops: list[int], per_
 
 
 def factor_segment_stats(df: DataFrame, factors: list[str], label: str, segment: str, *, min_names: int = 20,
-                         per_range: int = PER_RANGE) -> DataFrame:
-    """Per factor and segment: coefficient stats, pooled coefficient, moments, nulls."""
-    long = stage(df.select("dt", segment, label, *factors).unpivot(["dt", segment, label], factors, "factor", "value"), "seg")
-    keys = ["factor", segment]
+                         per_range: int = PER_RANGE, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Per factor, segment and extra keys: coefficient stats, pooled coefficient, moments, nulls."""
+    long = stage(df.select("dt", *extra, segment, label, *factors).unpivot(["dt", *extra, segment, label], factors, "factor", "value"), "seg")
+    keys = [*extra, "factor", segment]
     daily = rank_correlation(long, [*keys, "dt"], "value", label, min_names=min_names, per_range=per_range).where("ic is not null")
     ic = daily.groupBy(*keys).agg(
         F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"))
@@ -144,11 +147,11 @@ def factor_segment_stats(df: DataFrame, factors: list[str], label: str, segment:
     return out.withColumn("ic_ir", F.when(F.col("ic_std") > EPS, F.col("ic_mean") / F.col("ic_std")))
 
 
-def factor_stability(stats: DataFrame, segment: str, train, valid) -> DataFrame:
-    """Stability of each factor between two segments (one row per factor each)."""
-    a = stats.where(F.col(segment) == train).select("factor", *[F.col(c).alias(f"t_{c}") for c in ("ic_mean", "ic_positive", "mean", "std", "null_ratio")])
-    b = stats.where(F.col(segment) == valid).select("factor", *[F.col(c).alias(f"v_{c}") for c in ("ic_mean", "mean", "null_ratio")])
-    out = a.join(b, "factor").withColumn("same_sign", F.signum("t_ic_mean") == F.signum("v_ic_mean"))
+def factor_stability(stats: DataFrame, segment: str, train, valid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Stability of each factor between two segments (one row per keys and factor each)."""
+    a = stats.where(F.col(segment) == train).select(*keys, "factor", *[F.col(c).alias(f"t_{c}") for c in ("ic_mean", "ic_positive", "mean", "std", "null_ratio")])
+    b = stats.where(F.col(segment) == valid).select(*keys, "factor", *[F.col(c).alias(f"v_{c}") for c in ("ic_mean", "mean", "null_ratio")])
+    out = a.join(b, [*keys, "factor"]).withColumn("same_sign", F.signum("t_ic_mean") == F.signum("v_ic_mean"))
     stable = F.when(F.col("same_sign"), F.least(F.abs("t_ic_mean"), F.abs("v_ic_mean"))).otherwise(0.0)
     shift = ratio(F.abs(F.col("v_mean") - F.col("t_mean")), F.nullif("t_std", F.lit(0.0)))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("t_ic_positive", F.lit(0.5))))
@@ -156,24 +159,60 @@ def factor_stability(stats: DataFrame, segment: str, train, valid) -> DataFrame:
         "stability", F.col("stable_ic") * F.sqrt(share) / (1.0 + F.coalesce("mean_shift", F.lit(10.0))))
 
 
-def factor_correlations(df: DataFrame, factors: list[str], per_range: int = PER_RANGE) -> DataFrame:
-    """Absolute rank correlation of every factor pair (a < b) over all rows.
+def factor_correlations(df: DataFrame, factors: list[str], per_range: int = PER_RANGE, block: int = 64, by: str | None = None) -> DataFrame:
+    """Absolute rank correlation of every factor pair (a < b) over all rows, or over those of each `by`; null without spread.
 
-    Ranks are made per factor in long form, then every pair is one term of a
-    single wide aggregate; the factor list is fixed by the schema.
+    Ranks are made per factor in long form and come back as one array per row. Each
+    task multiplies its arrays into sums of products, cut into blocks of factors,
+    and the blocks of all tasks are added: the plan does not grow with the number
+    of factors, and a task holds one number per pair of them and value of `by`,
+    which is a fold or the like.
     """
-    base = df.select("instrument", "dt", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in factors])
-    long = stage(base.unpivot(["instrument", "dt"], factors, "factor", "value"), "fc")
-    ranked = average_rank(long, ["factor"], "value", "r", per_range=per_range, staged=True)
-    wide = ranked.groupBy("instrument", "dt").pivot("factor", factors).agg(F.first("r"))
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
-    one = wide.agg(*[F.abs(pair_corr(F.col(a), F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows))
-
-
-def factor_whitelist(stability: DataFrame, correlations: DataFrame, *, threshold: float, min_features: int, max_features: int) -> DataFrame:
-    """Chosen factors in order: `(factor, position)`.
+    n, size = len(factors), -(-len(factors) // block)
+    key = F.lit(0) if by is None else F.col(by)
+    base = df.select(key.cast("long").alias("_by"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in factors]).withColumn("_row", F.monotonically_increasing_id())
+    long = stage(base.unpivot(["_by", "_row"], factors, "factor", "value"), "fc")
+    ranked = average_rank(long, ["_by", "factor"], "value", "r", per_range=per_range, staged=True)
+    number = F.create_map(*[x for k, f in enumerate(factors) for x in (F.lit(f), F.lit(k))])
+    wide = ranked.groupBy("_row").agg(F.first("_by").alias("_by"), F.sort_array(F.collect_list(F.struct(number[F.col("factor")].alias("k"), "r"))).alias("x"))
+    wide = wide.select("_by", F.transform("x", lambda e: e["r"]).alias("x"))
+    # Average ranks of all rows have the same known mean.
+    counts = long.where(F.col("factor") == factors[0]).groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()
+    middle = {r["_by"]: (r["n"] + 1) / 2.0 for r in counts}
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own, every = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(-1, n)
+            for k in np.unique(own).tolist():
+                x = every[own == k] - middle[k]
+                total[k] = total.get(k, 0.0) + x.T @ x
+        cuts = [(k, i, j, g[i * block : (i + 1) * block, j * block : (j + 1) * block].tobytes()) for k, g in total.items() for i in range(size) for j in range(i, size)]
+        yield pa.RecordBatch.from_pylist([dict(zip("kijg", c, strict=True)) for c in cuts], pa.schema([("k", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("g", pa.binary())]))
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"k": table["k"][:1], "i": table["i"][:1], "j": table["j"][:1], "g": [sum(np.frombuffer(g) for g in table["g"].to_pylist()).tobytes()]})
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = np.frombuffer(row["g"]).reshape(min(block, n - row["i"] * block), -1)
+                a, b = np.indices(g.shape).reshape(2, -1)
+                columns = [pa.array([row["k"]] * g.size, pa.int64()), pa.array(a + row["i"] * block, pa.int32()), pa.array(b + row["j"] * block, pa.int32()), pa.array(g.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "a", "b", "s"])
+
+    gram = wide.mapInArrow(products, "k long, i int, j int, g binary").groupBy("k", "i", "j").applyInArrow(add, "k long, i int, j int, g binary")
+    sums = stage(gram.mapInArrow(entries, "k long, a int, b int, s double"), "gram")
+    own = sums.where("a = b")
+    names = F.array(*[F.lit(f) for f in factors])
+    pairs = sums.where("a < b").join(own.select("k", "a", F.col("s").alias("_aa")), ["k", "a"]).join(own.select("k", "b", F.col("s").alias("_bb")), ["k", "b"])
+    spread = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
+    corr = F.when(spread > EPS, F.least(F.lit(1.0), F.abs(F.col("s")) / spread)).alias("corr")
+    return pairs.select(*([F.col("k").alias(by)] if by else []), names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), corr)
+
+
+def factor_whitelist(stability: DataFrame, correlations: DataFrame, *, threshold: float, min_features: int, max_features: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Chosen factors in order, for each value of the keys: `(*keys, factor, position)`.
 
     Factors stand in an array from the most stable one down, each with the set of
     factors it is too close to. One fold takes a factor unless its set meets the
@@ -183,14 +222,14 @@ def factor_whitelist(stability: DataFrame, correlations: DataFrame, *, threshold
     a number fixed by the schema.
     """
     close = correlations.where(F.col("corr") > threshold)
-    both = close.select(F.col("a").alias("factor"), F.col("b").alias("other")).unionByName(
-        close.select(F.col("b").alias("factor"), F.col("a").alias("other")))
-    barred = both.groupBy("factor").agg(F.collect_set("other").alias("barred"))
+    both = close.select(*keys, F.col("a").alias("factor"), F.col("b").alias("other")).unionByName(
+        close.select(*keys, F.col("b").alias("factor"), F.col("a").alias("other")))
+    barred = both.groupBy(*keys, "factor").agg(F.collect_set("other").alias("barred"))
     none = F.expr("cast(array() as array<string>)")
     shift = F.coalesce(F.nullif("mean_shift", F.lit(0.0)), F.lit(99.0))
     sound = F.coalesce(F.col("same_sign") & (F.col("stable_ic") > 0) & (shift < 3) & (F.col("t_null_ratio") < 0.25), F.lit(False))
     entry = F.struct(F.coalesce(-F.col("stability"), F.lit(float("inf"))).alias("order"), "factor", sound.alias("sound"), F.coalesce("barred", none).alias("barred"))
-    ranked = stability.join(barred, "factor", "left").groupBy().agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    ranked = stability.join(barred, [*keys, "factor"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
     fit = F.filter("ranked", lambda f: f["sound"])
     walk = F.when(F.size(fit) >= min_features, fit).otherwise(F.slice("ranked", 1, min_features))
 
@@ -203,7 +242,7 @@ def factor_whitelist(stability: DataFrame, correlations: DataFrame, *, threshold
         return F.when(wanted, F.concat(chosen, F.array(f["factor"]))).otherwise(chosen)
 
     chosen = ranked.withColumn("chosen", F.aggregate(walk, none, unlike))
-    return chosen.select(F.posexplode(F.aggregate("ranked", F.col("chosen"), fill)).alias("position", "factor"))
+    return chosen.select(*keys, F.posexplode(F.aggregate("ranked", F.col("chosen"), fill)).alias("position", "factor"))
 
 
 def factor_overlap(factors: DataFrame) -> DataFrame:
