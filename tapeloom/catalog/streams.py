@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import query, with_
+from tapeloom.session import scratch_path
 from tapeloom.streaming import jobs, positions
 
 CLOSED = "w AS (SELECT max(ts) - INTERVAL 5 MINUTE AS wm FROM events)"
@@ -119,7 +120,9 @@ def _(t):
 s AS (SELECT event_type AS instrument, CAST(m AS DATE) AS dt, extract(hour FROM m)*3600+extract(minute FROM m)*60+CAST(extract(second FROM m) AS BIGINT) AS sec, price FROM (SELECT event_type, date_trunc('second', ts) AS m, min_by(value, event_id) AS price FROM events GROUP BY ALL), w WHERE m + INTERVAL 1 SECOND <= wm),
 z AS (SELECT * FROM s WHERE sec BETWEEN 21600 AND 72000),
 g(instrument, dt, sec) AS (SELECT instrument, dt, min(sec) FROM z GROUP BY 1, 2 UNION ALL SELECT z.instrument, z.dt, min(z.sec) FROM g JOIN z ON z.instrument = g.instrument AND z.dt = g.dt AND z.sec >= g.sec+3600 GROUP BY 1, 2)
-SELECT g.instrument, g.dt, g.sec AS second, price, g.sec >= 68400 AS forced FROM g JOIN z USING (instrument, dt, sec)""")
+SELECT g.instrument, g.dt, g.sec AS second, price, g.sec >= 68400 AS forced FROM g JOIN z USING (instrument, dt, sec)
+UNION ALL SELECT z.instrument, z.dt, 72000, max_by(price, z.sec), true FROM z WHERE z.dt + INTERVAL 72001 SECOND <= (SELECT max(dt + to_seconds(sec)) FROM s)
+ AND NOT EXISTS (SELECT 1 FROM g WHERE g.instrument = z.instrument AND g.dt = z.dt AND g.sec >= 68400) GROUP BY 1, 2""")
 def _(t):
     stream = jobs.second_ticks(ticks(t))
     seconds = jobs.follow(t.spark, jobs.drain_to_path(stream, "seconds"), stream.schema)
@@ -136,6 +139,32 @@ def _(t):
     return out.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
+@query("H6_late_counts", "batch:i rows:i late:i latest:s", """
+WITH a AS (SELECT event_id, ts, least(7, event_id * 8 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 10 = 3 THEN 2 ELSE 0 END) AS batch FROM events),
+m AS (SELECT batch, max(ts) AS top FROM a GROUP BY 1), w AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 5 MINUTE AS wm FROM m)
+SELECT batch, count(*) AS rows, count(*) FILTER (WHERE ts < wm) AS late, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM a JOIN w USING (batch) GROUP BY 1""")
+def _(t):
+    # The event table comes in eight files; every tenth event arrives two files after its time.
+    e = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    top = e.agg((F.max("event_id") + 1).alias("n"))
+    own = F.floor(F.col("event_id") * 8 / F.col("n")) + F.when(F.col("event_id") % 10 == 3, 2).otherwise(0)
+    parts = e.join(F.broadcast(top), how="cross").withColumn("part", F.least(F.lit(7), own).cast("int")).select("event_id", "ts", "part")
+    folder = scratch_path(t.spark, "arriving")
+    parts.repartition(1).sortWithinPartitions("part").write.partitionBy("part").parquet(folder)
+    stream = t.spark.readStream.schema("event_id bigint, ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(folder)
+    got = jobs.arrivals(stream, "arrivals")
+    return got.groupBy(F.col("part").alias("batch")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
+
+
+@query("H1_closed_bars", "instrument:s dt:d minute_of_day:i open:f high:f low:f close:f volume:f amount:f4", """
+SELECT event_type AS instrument, CAST(m AS DATE) AS dt, extract(hour FROM m)*60 + extract(minute FROM m) AS minute_of_day, open, high, low, close, volume, amount FROM (
+ SELECT event_type, date_trunc('minute', ts) AS m, min_by(value, event_id) AS open, max(value) AS high, min(value) AS low, max_by(value, event_id) AS close, sum(user_id) AS volume, sum(value*user_id) AS amount FROM events GROUP BY ALL)""")
+def _(t):
+    end = t.raw("events").agg(F.date_add(F.max("ts").cast("date"), 2)).first()[0]
+    bars = jobs.drain(jobs.minute_bars(jobs.with_close(ticks(t), str(end))), "closed-bars")
+    return bars.withColumn("dt", F.col("ts").cast("date")).withColumn("minute_of_day", F.hour("ts") * 60 + F.minute("ts"))
+
+
 @query("H7_session_summary", "dt:d events:i done:i missing:s blocked:i closed:b", with_(CLOSED, """
 d AS (SELECT CAST(ts AS DATE) AS dt, count(*) AS events, count(*) FILTER (WHERE event_type = 'signup' AND user_id < 4) AS a, count(*) FILTER (WHERE event_type = 'purchase') AS b, count(*) FILTER (WHERE event_type = 'error' AND value > 200) AS c,
  count(*) FILTER (WHERE value > 300) AS blocked, count(*) FILTER (WHERE extract(hour FROM ts) = 23) AS cl FROM events, w WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= wm GROUP BY 1)""") + """

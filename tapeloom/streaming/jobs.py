@@ -9,12 +9,15 @@ input already reduced to one row per session or per second.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime, time
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from tapeloom.operators.streamed import fold_columns
 from tapeloom.session import scratch_path
 
 DELAY = "5 minutes"
@@ -44,6 +47,46 @@ def drain_to_path(stream: DataFrame, label: str) -> str:
     return out
 
 
+def with_close(stream: DataFrame, end: str, on: str = "ts") -> DataFrame:
+    """The stream and a marker behind its last session, which lets the watermark pass every window.
+
+    The marker is a row of nulls at `end`, written to the shared folder and read as
+    a second source. `end` lies at least one window and the watermark's delay behind
+    the last event, so the marker's own window never closes and no result shows it.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, "close-marker")
+    values = [F.lit(end).cast(f.dataType).alias(f.name) if f.name == on else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*values).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def arrivals(events: DataFrame, label: str, delay: str = DELAY) -> DataFrame:
+    """Every row of a stream with the batch it came in and whether it came too late for the watermark.
+
+    A row is late if its time lies before the latest time of all earlier batches
+    minus the delay. A window behind the same watermark drops such a row without a
+    trace, at the latest from the batch after the next one on. Each batch is written
+    once, under its number, and the watermark is read back from the batches before,
+    so a restarted job gives the same verdicts.
+    """
+    spark = events.sparkSession
+    out = scratch_path(spark, label)
+    schema = StructType([*events.schema.fields, StructField("batch", LongType()), StructField("late", BooleanType())])
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+
+    def write(rows: DataFrame, number: int) -> None:
+        own = rows.sparkSession.read.schema(schema).parquet(*[f"{out}/batch={k}" for k in range(-1, number)])
+        mark = own.agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("_mark"))
+        flagged = rows.join(F.broadcast(mark), how="cross").withColumn("late", F.coalesce(F.col("ts") < F.col("_mark"), F.lit(False)))
+        flagged.drop("_mark").withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    job = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    last = job.lastProgress["batchId"] if job.lastProgress else -1
+    return spark.read.schema(schema).parquet(*[f"{out}/batch={k}" for k in range(-1, last + 1)])
+
+
 def follow(spark: SparkSession, path: str, schema) -> DataFrame:
     """Stream the finished files of an earlier job's folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
@@ -142,19 +185,18 @@ def position_ledger(flows: DataFrame) -> DataFrame:
 
 
 def ledger_batch(flows: DataFrame) -> DataFrame:
-    """Batch twin of the ledger: an ordered fold per account over its sessions."""
-    seq = flows.groupBy("account").agg(F.sort_array(F.collect_list(F.struct("dt", "bought", "offered"))).alias("ds"))
-    empty = F.expr("cast(array() as array<struct<dt:date,open_available:double,sold:double,refused:double,unsettled:double,total:double>>)")
+    """Batch twin of the ledger: an ordered walk per account over its sessions."""
 
-    def step(acc: Column, d: Column) -> Column:
-        prev = F.try_element_at(acc, F.lit(-1))
-        opened = F.coalesce(prev["open_available"] - prev["sold"] + prev["unsettled"], F.lit(0.0))
-        sold = F.least(d["offered"], opened)
-        total = F.coalesce(prev["total"], F.lit(0.0)) - sold + d["bought"]
-        return F.array_append(acc, F.struct(d["dt"].alias("dt"), opened.alias("open_available"), sold.alias("sold"), (d["offered"] - sold).alias("refused"),
-                                            d["bought"].alias("unsettled"), total.alias("total")))
+    def step(state: tuple[float, float, float], bought: float, offered: float) -> tuple[tuple, tuple]:
+        total, available, unsettled = state
+        opened = available + unsettled
+        sold = min(offered, opened)
+        total = total - sold + bought
+        return (total, opened - sold, bought), (opened, sold, offered - sold, bought, total)
 
-    return seq.select("account", F.inline(F.aggregate("ds", empty, step)))
+    added = "open_available double, sold double, refused double, unsettled double, total double"
+    out = fold_columns(flows, ["account"], ["dt"], ["bought", "offered"], added, lambda: (0.0, 0.0, 0.0), step)
+    return out.drop("bought", "offered")
 
 
 def second_ticks(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -168,38 +210,54 @@ THROTTLED = "instrument string, dt date, ts timestamp, price double, forced bool
 
 
 class ThrottleProcessor(StatefulProcessor):
-    """At most one action per interval inside a clock window, forced at its end."""
+    """At most one action per interval inside a clock window, and one by force at its end.
+
+    A timer behind the window's end ends the session: if nothing was done from
+    `force_from` on, the last price acts, also when no further tick arrives; then
+    the session's state is gone.
+    """
 
     def __init__(self, interval: int, start: int, end: int, force_from: int):
         self.interval, self.start, self.end, self.force_from = interval, start, end, force_from
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "second long")
+        self.handle = handle
+        self.state = handle.getValueState("state", "last long, price double, ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+        last, price, at = self.state.get() if self.state.exists() else (None, None, None)
+        ticks = pd.concat(list(rows)).sort_values("ts")
+        seconds = ticks["ts"].dt.hour * 3600 + ticks["ts"].dt.minute * 60 + ticks["ts"].dt.second
+        inside = seconds.between(self.start, self.end)
         out = []
-        for row in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
-            second = row.ts.hour * 3600 + row.ts.minute * 60 + row.ts.second
-            if not self.start <= second <= self.end:
-                continue
-            if last is not None and second - last < self.interval:
-                continue
-            last = second
-            out.append((key[0], key[1], row.ts, row.price, second >= self.force_from))
-        if last is not None:
-            self.last.update((int(last),))
+        if at is None and len(ticks):
+            day = datetime.combine(key[1], time(), UTC)
+            self.handle.registerTimer(int(day.timestamp() + self.end + 1) * 1000)
+        for second, ts, own in zip(seconds[inside].tolist(), ticks["ts"][inside], ticks["price"][inside].tolist(), strict=True):
+            price, at = own, ts
+            if last is None or second - last >= self.interval:
+                last = second
+                out.append((key[0], key[1], ts, own, second >= self.force_from))
+        if at is not None:
+            self.state.update((last, price, at))
         yield pd.DataFrame(out, columns=["instrument", "dt", "ts", "price", "forced"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, price, _ = self.state.get() if self.state.exists() else (None, None, None)
+        self.state.clear()
+        missed = price is not None and last < self.force_from
+        end = pd.Timestamp(datetime.combine(key[1], time(), UTC)).tz_localize(None) + pd.Timedelta(seconds=self.end)
+        yield pd.DataFrame([(key[0], key[1], end, price, True)] if missed else [], columns=["instrument", "dt", "ts", "price", "forced"])
+
     def close(self) -> None:
         pass
 
 
-def throttle(seconds: DataFrame, *, interval: int, start: int, end: int, force_from: int) -> DataFrame:
+def throttle(seconds: DataFrame, *, interval: int, start: int, end: int, force_from: int, delay: str = "0 seconds") -> DataFrame:
     """Throttled actions per (instrument, session): at most 86,400 input rows a key."""
-    keyed = seconds.withColumn("dt", F.col("ts").cast("date"))
+    keyed = seconds.withWatermark("ts", delay).withColumn("dt", F.col("ts").cast("date"))
     return keyed.groupBy("instrument", "dt").transformWithStateInPandas(
-        ThrottleProcessor(interval, start, end, force_from), outputStructType=THROTTLED, outputMode="append", timeMode="none")
+        ThrottleProcessor(interval, start, end, force_from), outputStructType=THROTTLED, outputMode="append", timeMode="EventTime")
 
 
 def flag_decisions(events: DataFrame, *, max_age: int, cutoff_second: int) -> DataFrame:
