@@ -561,12 +561,12 @@ def _(t):
 
 
 @query("D39_pool_candidate_score", "instrument:i held_days:i target_days:i unmapped_days:i allocated_days:i avg_rank:f score:f", with_(BARS, """
-h AS (SELECT instrument, count(*) AS held_days FROM bars WHERE volume > 60 GROUP BY 1), t AS (SELECT instrument, count(*) AS target_days, count(*) FILTER (WHERE day(dt) % 4 <> 1) AS unmapped_days, count(*) FILTER (WHERE volume > 15) AS allocated_days, avg(month(dt)) AS avg_rank FROM bars WHERE volume < 30 GROUP BY 1),
+h AS (SELECT instrument, count(*) AS held_days FROM bars WHERE volume > 25 GROUP BY 1), t AS (SELECT instrument, count(*) AS target_days, count(*) FILTER (WHERE day(dt) % 4 <> 1) AS unmapped_days, count(*) FILTER (WHERE volume > 15) AS allocated_days, avg(month(dt)) AS avg_rank FROM bars WHERE volume < 30 GROUP BY 1),
 z AS (SELECT instrument, coalesce(held_days, 0) AS held_days, coalesce(target_days, 0) AS target_days, coalesce(unmapped_days, 0) AS unmapped_days, coalesce(allocated_days, 0) AS allocated_days, coalesce(avg_rank, 999999) AS avg_rank FROM h FULL JOIN t USING (instrument))""") + """
 SELECT *, held_days*10+target_days*2+unmapped_days+allocated_days-avg_rank/10000 AS score FROM z""")
 def _(t):
     b = t.bars()
-    held = b.where("volume > 60").select("instrument", F.col("volume").alias("shares"))
+    held = b.where("volume > 25").select("instrument", F.col("volume").alias("shares"))
     targets = b.where("volume < 30").select("instrument", (F.day("dt") % 4).alias("mapped"), F.when(F.col("volume") > 15, F.col("volume")).otherwise(0.0).alias("shares"), F.month("dt").alias("rank"))
     return reconcile.pool_candidate_score(held, targets)
 

@@ -111,11 +111,11 @@ def _(t):
     return context(t)
 
 
-@query("C7_outer_merge_layers", "dt:d instrument:i a:f b:f c:f", with_(PRIMARY, FALLBACK, BARS) + """
-SELECT dt, instrument, p.close AS a, f.close AS b, w.close AS c FROM (SELECT * FROM prim WHERE volume > 20) p FULL JOIN (SELECT * FROM fall WHERE volume > 20) f USING (dt, instrument)
- FULL JOIN (SELECT * FROM bars WHERE volume < 10) w USING (dt, instrument)""")
+@query("C7_outer_merge_layers", "dt:d instrument:i a:f b:f c:f", with_(PRIMARY, FALLBACK, BARS_W) + """
+SELECT dt, instrument, p.close AS a, f.close AS b, w.close AS c FROM prim p FULL JOIN fall f USING (dt, instrument)
+ FULL JOIN barsw w USING (dt, instrument)""")
 def _(t):
-    tables = [t.primary().where("volume > 20"), t.fallback().where("volume > 20"), t.bars().where("volume < 10")]
+    tables = [t.primary(), t.fallback(), t.bars_w()]
     return reconcile.outer_merge([d.select("dt", "instrument", F.col("close").alias(n)) for d, n in zip(tables, "abc")], ["dt", "instrument"])
 
 
@@ -239,9 +239,9 @@ def _(t):
 
 @query("C18_key_contract_join", "matched:i left_only:i right_only:i close_unequal:i left_dup:i right_dup:i", with_(PRIMARY, BARS) + """
 SELECT count(p.close + b.close) AS matched, count(*) FILTER (WHERE b.close IS NULL) AS left_only, count(*) FILTER (WHERE p.close IS NULL) AS right_only, count(*) FILTER (WHERE p.close <> b.close) AS close_unequal, 0 AS left_dup, 0 AS right_dup
-FROM prim p FULL JOIN (SELECT * FROM bars WHERE volume > 10) b USING (instrument, dt)""")
+FROM prim p FULL JOIN bars b USING (instrument, dt)""")
 def _(t):
-    return reconcile.contract_report(t.primary(), t.bars().where("volume > 10"), ["instrument", "dt"], ["close"])
+    return reconcile.contract_report(t.primary(), t.bars(), ["instrument", "dt"], ["close"])
 
 
 @query("C19_conflict_keys", "mode:s side:s n:i", with_(PRIMARY, FALLBACK, "a AS (SELECT instrument, dt FROM prim)", "b AS (SELECT instrument, dt FROM fall)") + """

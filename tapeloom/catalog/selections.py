@@ -137,9 +137,9 @@ def _(t):
 
 
 @query("F9_topk_union_missing", "instrument:i", with_(BARS_W, X, PRIMARY) + """
-SELECT DISTINCT instrument FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY a DESC, instrument) AS rank FROM x) WHERE rank <= 10 AND instrument NOT IN (SELECT instrument FROM prim WHERE volume > 100)""")
+SELECT DISTINCT instrument FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY a DESC, instrument) AS rank FROM x) WHERE rank <= 10 AND instrument NOT IN (SELECT instrument FROM prim GROUP BY instrument HAVING max(volume) > 100)""")
 def _(t):
-    return selection.union_missing(selection.top_n(xw(t), ["dt"], "a", "instrument", 10), t.primary().where("volume > 100"))
+    return selection.union_missing(selection.top_n(xw(t), ["dt"], "a", "instrument", 10), t.primary().groupBy("instrument").agg(F.max("volume").alias("most")).where("most > 100"))
 
 
 @query("F10_stratified_sample", "lang:s n:i kept_first:b", """
@@ -180,11 +180,12 @@ def _(t):
     return out.groupBy(F.year("dt").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("G3_symbol_set_algebra", "part:s n:i first:i last:i", with_(PRIMARY, FALLBACK, "a AS (SELECT DISTINCT instrument FROM prim WHERE volume > 120)", "b AS (SELECT DISTINCT instrument FROM fall WHERE volume > 130)") + """
+@query("G3_symbol_set_algebra", "part:s n:i first:i last:i", with_(PRIMARY, FALLBACK, "a AS (SELECT instrument FROM prim GROUP BY 1 HAVING max(volume) > 120)", "b AS (SELECT instrument FROM fall GROUP BY 1 HAVING max(volume) > 130)") + """
 SELECT part, count(*) AS n, min(instrument) AS first, max(instrument) AS last FROM (SELECT 'union' AS part, instrument FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'both', instrument FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
  UNION ALL SELECT 'a_only', instrument FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b_only', instrument FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY 1""")
 def _(t):
-    sets = blending.symbol_sets(t.primary().where("volume > 120"), t.fallback().where("volume > 130"))
+    most = [x.groupBy("instrument").agg(F.max("volume").alias("most")).where(f"most > {n}") for x, n in ((t.primary(), 120), (t.fallback(), 130))]
+    sets = blending.symbol_sets(*most)
     return sets.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("instrument").alias("first"), F.max("instrument").alias("last"))
 
 
@@ -223,7 +224,7 @@ def _(t):
 
 
 @query("G6_assemble_layers", "layer:s fold:i rows:i", with_(BARS) + """
-SELECT 'outer' AS layer, year(dt) AS fold, count(*) AS rows FROM bars WHERE volume > 30 GROUP BY 2 UNION ALL SELECT 'inner', year(dt), count(*) FROM bars WHERE volume < 10 GROUP BY 2""")
+SELECT 'outer' AS layer, year(dt) AS fold, count(*) AS rows FROM bars WHERE volume >= 10 GROUP BY 2 UNION ALL SELECT 'inner', year(dt), count(*) FROM bars WHERE volume < 10 GROUP BY 2""")
 def _(t):
     b = t.bars().withColumn("fold", F.year("dt"))
-    return blending.assemble_layers({"outer": b.where("volume > 30"), "inner": b.where("volume < 10")}).groupBy("layer", "fold").agg(F.count(F.lit(1)).alias("rows"))
+    return blending.assemble_layers({"outer": b.where("volume >= 10"), "inner": b.where("volume < 10")}).groupBy("layer", "fold").agg(F.count(F.lit(1)).alias("rows"))

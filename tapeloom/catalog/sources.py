@@ -100,18 +100,18 @@ def _(t):
 
 
 @query("A9_upsert_bars", "instrument:i dt:d close:f batch_no:i", with_(PRIMARY, FALLBACK) + """
-SELECT instrument, dt, coalesce(f.close, p.close) AS close, CAST(f.close IS NOT NULL AS INT) AS batch_no FROM prim p FULL JOIN (SELECT * FROM fall WHERE volume > 20) f USING (instrument, dt)""")
+SELECT instrument, dt, coalesce(f.close, p.close) AS close, CAST(f.close IS NOT NULL AS INT) AS batch_no FROM prim p FULL JOIN fall f USING (instrument, dt)""")
 def _(t):
-    return sinks.upsert_rows(t.primary(), t.fallback().where("volume > 20"), ["instrument", "dt"])
+    return sinks.upsert_rows(t.primary(), t.fallback(), ["instrument", "dt"])
 
 
 @query("A9_upsert_table", "year:i rows:i close:f2", with_(PRIMARY, FALLBACK) + """
-SELECT year(dt) AS year, count(*) AS rows, sum(close) AS close FROM (SELECT instrument, dt, coalesce(f.close, p.close) AS close FROM prim p FULL JOIN (SELECT * FROM fall WHERE year(dt) = 1995) f USING (instrument, dt)) GROUP BY 1""")
+SELECT year(dt) AS year, count(*) AS rows, sum(close) AS close FROM (SELECT instrument, dt, coalesce(f.close, p.close) AS close FROM prim p FULL JOIN fall f USING (instrument, dt)) GROUP BY 1""")
 def _(t):
     path = scratch_path(t.spark, "table")
     cols = ["instrument", "dt", "close", "year"]
     t.primary().withColumn("year", F.year("dt")).select(*cols).write.partitionBy("year").parquet(path)
-    sinks.upsert_table(t.spark, path, t.fallback().withColumn("year", F.year("dt")).where("year = 1995").select(*cols), ["instrument", "dt"], "year")
+    sinks.upsert_table(t.spark, path, t.fallback().withColumn("year", F.year("dt")).select(*cols), ["instrument", "dt"], "year")
     return t.spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close"))
 
 
@@ -148,10 +148,11 @@ def _(t):
 
 
 @query("A13_materialize_minute", "mode:s instrument:s rows:i primary_rows:i fallback_rows:i", with_(MINUTES) + """
-SELECT 'both' AS mode, instrument, count(*) AS rows, count(*) FILTER (WHERE minute_of_day % 2 = 0) AS primary_rows, count(*) FILTER (WHERE minute_of_day % 3 = 0) AS fallback_rows FROM minutes WHERE minute_of_day % 2 = 0 OR minute_of_day % 3 = 0 GROUP BY 2
+SELECT 'both' AS mode, instrument, count(*) AS rows, count(*) FILTER (WHERE minute_of_day % 2 = 0) AS primary_rows, count(*) FILTER (WHERE minute_of_day % 2 = 1 OR minute_of_day % 3 = 0) AS fallback_rows FROM minutes GROUP BY 2
 UNION ALL SELECT 'primary', instrument, count(*), count(*), 0 FROM minutes WHERE minute_of_day % 2 = 0 GROUP BY 2""")
 def _(t):
     keys = ["instrument", "dt", "minute_of_day"]
-    p, f = t.minutes().where("minute_of_day % 2 = 0"), t.minutes().where("minute_of_day % 3 = 0")
+    # Every minute comes from one source, every sixth from both.
+    p, f = t.minutes().where("minute_of_day % 2 = 0"), t.minutes().where("minute_of_day % 2 = 1 or minute_of_day % 3 = 0")
     outs = [sinks.materialize_minute(p, x, keys)[1].withColumn("mode", F.lit(m)) for m, x in (("both", f), ("primary", None))]
     return outs[0].unionByName(outs[1])

@@ -35,6 +35,12 @@ def test_throttle_equals_walk(spark):
         if 3600 * 6 <= s <= 3600 * 20 and (key not in last or s - last[key] >= 7200):
             last[key] = s
             want.add((r.instrument, r.ts.to_pydatetime(), s >= 3600 * 19))
+    # A session that is over and had nothing from 19:00 on is forced at its end.
+    over = pdf["ts"].max()
+    inside = pdf[[6 * 3600 <= x.hour * 3600 + x.minute * 60 + x.second <= 20 * 3600 for x in pdf["ts"]]]
+    for name, day in {(r.instrument, r.ts.date()) for r in inside.itertuples()}:
+        if last[name, day] < 19 * 3600 and pd.Timestamp(day) + pd.Timedelta(hours=20, seconds=1) <= over:
+            want.add((name, dt.datetime.combine(day, dt.time(20)), True))
     out = jobs.drain(jobs.throttle(jobs.follow(spark, path, stream.schema), interval=7200, start=3600 * 6, end=3600 * 20, force_from=3600 * 19), "throttle")
     assert {(r["instrument"], r["ts"], r["forced"]) for r in out.collect()} == want
 
