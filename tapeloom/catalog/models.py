@@ -10,6 +10,7 @@ from tapeloom.catalog.base import BARS, BARS_W, SESS, query, with_
 from tapeloom.catalog.windows import W, scored_w
 from tapeloom.operators import evaluation, rolling, sessions
 from tapeloom.session import scratch_path, stage
+from tapeloom.models import isotonic
 from tapeloom.models import training as ml
 
 
@@ -118,11 +119,19 @@ def _(t):
     return ml.daily_logit_gate(stage(meta(t)), FOLDS, META, "positive")
 
 
-@query("I8_isotonic_calibrate", "doc_id:i calibrated:f")
+@query("I8_isotonic_calibrate", "doc_id:i calibrated:f", """
+WITH p AS (SELECT n_chars::DOUBLE AS x, sum(quality)::DOUBLE AS s, count(*)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+q AS (SELECT x, row_number() OVER (ORDER BY x) AS k, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn, s, n FROM p),
+m AS (SELECT a.k AS a, b.k AS b, (b.cs-a.cs+a.s)/(b.cn-a.cn+a.n) AS mean FROM q a JOIN q b ON a.k <= b.k),
+least AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m),
+g AS (SELECT x, v FROM (SELECT b, max(low) AS v FROM least GROUP BY b) JOIN q ON q.k = b),
+d AS (SELECT doc_id, n_chars::DOUBLE AS c FROM documents),
+l AS (SELECT doc_id, c, x AS x0, v AS v0 FROM d ASOF LEFT JOIN g ON d.c >= g.x), r AS (SELECT doc_id, x AS x1, v AS v1 FROM d ASOF LEFT JOIN g ON d.c <= g.x)
+SELECT doc_id, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x1 = x0 THEN v0 ELSE v0+(v1-v0)*(c-x0)/(x1-x0) END AS calibrated FROM l JOIN r USING (doc_id)""")
 def _(t):
     docs = t.raw("documents").select("doc_id", "n_chars")
-    model = ml.isotonic_fit(docs.join(t.raw("labels"), "doc_id"), "n_chars", "quality")
-    return ml.isotonic_transform(model, docs, "n_chars", "calibrated")
+    blocks = isotonic.fit_blocks(docs.join(t.raw("labels"), "doc_id"), "n_chars", "quality")
+    return isotonic.apply_blocks(blocks, docs, "n_chars", "calibrated")
 
 
 @query("I9_two_stage_and_hurdle", "mode:s instrument:i dt:d touch_p:f conditional:f score:f")

@@ -13,11 +13,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.trading import expected_value
+from tapeloom.models import isotonic
 from tapeloom.operators import evaluation
 from tapeloom.operators.folds import anchored_split
 from tapeloom.operators.rolling import session_decay_weights
@@ -276,23 +277,6 @@ def daily_logit_gate(daily: DataFrame, folds: list[dict], features: list[str], l
     return reduce(DataFrame.unionByName, parts).withColumn("enabled", F.col("gate_probability") >= 0.5)
 
 
-# ---------------------------------------------------------------- calibration
-
-
-def isotonic_fit(calibration: DataFrame, score: str, label: str, min_rows: int = 100, *, classes: bool = True):
-    """Increasing isotonic map of a calibration slice (enough rows, some spread)."""
-    rows = calibration.select(F.col(score).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")).dropna()
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d")).first()
-    if stats["n"] < min_rows or stats["a"] == stats["b"] or (classes and stats["c"] == stats["d"]):
-        raise ValueError(f"calibration is insufficient: {stats['n']} rows")
-    return IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="_iso").fit(rows)
-
-
-def isotonic_transform(model, df: DataFrame, score: str, out: str) -> DataFrame:
-    """Apply the map; scores outside the fitted range take its end values."""
-    return model.transform(df.withColumn("_x", F.col(score).cast("double"))).withColumnRenamed("_iso", out).drop("_x")
-
-
 # ---------------------------------------------------------------- two stages
 
 
@@ -322,7 +306,7 @@ def two_stage_fold(df: DataFrame, cal: DataFrame, fold: dict, features: list[str
     test = probability(_between(df, fold["test_start"], fold["test_end"]), "touch_p", touch)
     if calibrate:
         slice_ = probability(parts["calib"], "touch_p", touch)
-        test = isotonic_transform(isotonic_fit(slice_, "touch_p", touched), test, "touch_p", "touch_cal").withColumn("touch_p", F.col("touch_cal")).drop("touch_cal")
+        test = isotonic.apply_blocks(isotonic.fit_blocks(slice_, "touch_p", touched), test, "touch_p", "touch_cal").withColumn("touch_p", F.col("touch_cal")).drop("touch_cal")
     if mode == "hurdle":
         second = Pipeline(stages=[*stages, GBTRegressor(labelCol="_edge", maxIter=rounds, maxDepth=depth, seed=43)]).fit(hit_rows.withColumn("_edge", bounded))
         test = _drop_helpers(second.transform(test).withColumn("conditional", F.col("prediction")))
@@ -368,7 +352,7 @@ def anchored_fold(df: DataFrame, cal: DataFrame, fold: dict, features: list[str]
 
     scored, slice_ = raw(test), raw(parts["calib"])
     if calibration == "isotonic":
-        out = isotonic_transform(isotonic_fit(slice_, "raw_score", "_edge", classes=False), scored, "raw_score", "score")
+        out = isotonic.apply_blocks(isotonic.fit_blocks(slice_, "raw_score", "_edge", classes=False), scored, "raw_score", "score")
     else:
         out = percentile_score(scored, "raw_score", slice_, "raw_score", "score")
     return out.drop("_edge", "_target").withColumn("fold", F.lit(int(fold["fold"])))

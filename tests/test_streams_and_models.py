@@ -68,19 +68,6 @@ def test_sample_weights_match_pandas(spark):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy())
 
 
-def test_isotonic_needs_both_classes(spark):
-    df = spark.createDataFrame([(float(i), 1.0) for i in range(200)], "s double, y double")
-    with pytest.raises(ValueError, match="insufficient"):
-        ml.isotonic_fit(df, "s", "y")
-
-
-def test_isotonic_clips_and_rises(spark):
-    df = spark.createDataFrame([(float(i), float(i % 3 == 0 or i > 150)) for i in range(200)], "s double, y double")
-    model = ml.isotonic_fit(df, "s", "y")
-    got = [r["p"] for r in ml.isotonic_transform(model, spark.createDataFrame([(-5.0,), (0.0,), (60.0,), (199.0,), (500.0,)], "s double"), "s", "p").orderBy("s").collect()]
-    assert got == sorted(got) and got[0] == got[1] and got[3] == got[4]
-
-
 def test_frozen_period_must_follow_calibration(spark):
     with pytest.raises(ValueError, match="does not start after"):
         ml.frozen_scoring("nowhere", spark.range(1), spark.range(1), start="2024-01-01", end="2024-02-01", calibration_end="2024-01-01")
