@@ -1,13 +1,12 @@
 """I: labels, models and user functions."""
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.aggregates import CORR, FF, KW, STABLE, factor_frame, whitelist_sql
-from tapeloom.catalog.base import BARS, BARS_W, SESS, query, with_
-from tapeloom.catalog.windows import W, scored_w
+from tapeloom.catalog.base import BARS_W, PRIMARY, SESS, query, with_
+from tapeloom.catalog.windows import W, _avg_rank, scored_w
 from tapeloom.operators import evaluation, rolling, sessions
 from tapeloom.session import scratch_path, stage
 from tapeloom.models import isotonic
@@ -95,6 +94,30 @@ def _(t):
     return ml.ensemble_score(frame.where("year(dt) = 1996"), models, [1.0, 2.0])
 
 
+# Losses after three trees, made of the bars; weights need no fitted model.
+CURVE = ["abs(close-open)", "high-low", "abs(close-2*open)"]
+
+
+@query("I4_sample_weights", "instrument:i dt:d weight:f", with_(BARS_W, "l AS (SELECT instrument, dt, CAST(volume > 30 AS INT) AS loss, " + ", ".join(f"{c} AS c{k}" for k, c in enumerate(CURVE)) + " FROM barsw)", f"""
+r AS (SELECT *, {_avg_rank('c2', '1')}/count(*) OVER () AS b, {_avg_rank('c0', '1')}/count(*) OVER () AS a, (rank() OVER (ORDER BY -loss) + (count(*) OVER (PARTITION BY loss) - 1)/2.0)/count(*) OVER () AS h1 FROM l),
+q AS (SELECT *, b/a AS t FROM r), h AS (SELECT *, h1 + {_avg_rank('t', '1')}/count(*) OVER () AS h FROM q), s AS (SELECT min(h) AS lo, (max(h)-min(h))/6 AS width FROM h),
+n AS (SELECT *, greatest(0, least(5, ceil((h-lo)/width)-1)) AS bin FROM h, s)""") + "SELECT instrument, dt, 1/(0.81*avg(h) OVER (PARTITION BY bin)+0.1) AS weight FROM n")
+def _(t):
+    bars = t.bars_w().withColumn("key", F.struct("instrument", "dt"))
+    points = [F.struct(F.lit(k).alias("tree"), F.expr(c).alias("loss")) for k, c in enumerate(CURVE)]
+    curve = stage(bars.select("key", F.inline(F.array(*points))), "curve")
+    losses = bars.select("key", (F.col("volume") > 30).cast("double").alias("loss"))
+    out = ml.sample_weights(losses.join(ml.loss_ranks(curve, 3), "key"), k=2, decay=0.9)
+    return out.select("key.instrument", "key.dt", "weight")
+
+
+@query("I4_feature_choice", "model:i feature:s")
+def _(t):
+    models = ml.boosted_ensemble(training_frame(t).where("year(dt) < 1996"), FEATURES, "label", models=3, rounds=3, depth=2, ratios=[1.0, 0.5])
+    rows = [(k, f) for k, names in enumerate(ml.model_features(models)) for f in names]
+    return t.spark.createDataFrame(rows, "model int, feature string")
+
+
 @query("I5_permutation_importance", "feature:s importance:f")
 def _(t):
     frame = training_frame(t)
@@ -186,12 +209,20 @@ def _(t):
     return outs[0].unionByName(outs[1]).unionByName(outs[2])
 
 
-@query("I14_user_functions", "instrument:i n:i spread:f", with_(BARS_W) + "SELECT instrument, count(*) AS n, max(close)-min(close) AS spread FROM barsw GROUP BY 1")
+@query("I13_context_columns", "instrument:i dt:d held_date:b spread:f label:f", with_(BARS_W, PRIMARY) + """
+SELECT instrument, dt, b.volume > 60 AS held_date, p.high-p.low AS spread, p.close/p.open-1 AS label FROM barsw b LEFT JOIN prim p USING (instrument, dt)""")
 def _(t):
-    def spread(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], len(pdf), float(pdf["close"].max() - pdf["close"].min()))], columns=["instrument", "n", "spread"])
+    bars = t.bars_w()
+    held = bars.select("instrument", "dt", F.when(F.col("volume") > 60, F.col("volume")).alias("held_shares"), F.lit(0.1).alias("held_weight"))
+    context = t.primary().select("instrument", "dt", (F.col("high") - F.col("low")).alias("spread"), F.format_string("%s", F.col("close") / F.col("open") - 1).alias("edge"))
+    frame = bars.select("instrument", "dt", F.lit(9.0).alias("label"))
+    return ml.attach_held_context(frame, held, bars.select("instrument"), context, context_features=("spread", "absent"), context_label="edge")
 
-    return t.bars_w().select("instrument", "close").groupBy("instrument").applyInPandas(spread, "instrument long, n long, spread double")
+
+@query("I14_user_functions", "instrument:i n:i spread:f", with_(BARS_W) + "SELECT instrument, count(*) AS n, max(close)-min(close) AS spread FROM barsw GROUP BY 1")
+def _(t):
+    spread = F.max("close") - F.min("close")
+    return t.bars_w().groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), spread.alias("spread"))
 
 
 @query("I15_anchored_fold_train", "mode:s instrument:i dt:d raw_score:f score:f")

@@ -110,19 +110,32 @@ def oof_train_predict(df: DataFrame, folds: list[dict], features: list[str], lab
 # ---------------------------------------------------------------- ensemble
 
 
+def loss_ranks(curve: DataFrame, trees: int) -> DataFrame:
+    """Mean percent rank of each row's losses over the first and the last tenth of the trees.
+
+    Input: key, tree (from 0), loss; other trees take no part. A rank is among all
+    rows of its tree. Returns key, rank_start, rank_end.
+    """
+    part = max(trees // 10, 1)
+    first, last = F.col("tree") < part, F.col("tree") >= trees - part
+    ranked = average_rank(curve.where(first | last), ["tree"], "loss", "_r", pct=True)
+    return ranked.groupBy("key").agg(F.avg(F.when(first, F.col("_r"))).alias("rank_start"), F.avg(F.when(last, F.col("_r"))).alias("rank_end"))
+
+
 def sample_weights(scored: DataFrame, *, k: int, decay: float, bins: int = 6, alpha: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Weights from the loss rank and the loss trend of each row.
 
-    Input: key, loss, loss_start, loss_end. h mixes both ranks; rows share the
-    weight of their equal-width bin, 1 / (decay^k * mean(h) + 0.1).
+    Input: key, loss, and the trend's rank_start and rank_end (`loss_ranks`). h
+    mixes both ranks; rows share the weight of their equal-width bin,
+    1 / (decay^k * mean(h) + 0.1).
     """
-    rows = scored.withColumn("_neg", -F.col("loss"))
+    rows = scored.withColumn("_neg", -F.col("loss")).withColumn("_t", F.col("rank_end") / F.col("rank_start"))
     rows = average_rank(rows, [], "_neg", "_h1", pct=True)
-    rows = average_rank(rows, [], "loss_start", "_s", pct=True)
-    rows = average_rank(rows, [], "loss_end", "_e", pct=True)
-    rows = average_rank(rows.withColumn("_t", F.col("_e") / F.col("_s")), [], "_t", "_h2", pct=True)
+    rows = average_rank(rows, [], "_t", "_h2", pct=True)
     rows = stage(rows.withColumn("_h", alpha[0] * F.col("_h1") + alpha[1] * F.col("_h2")).select("key", "_h"), "sr")
     span = rows.agg(F.min("_h").alias("a"), F.max("_h").alias("b")).first()
+    if span["a"] is None:
+        return rows.select("key", F.lit(1.0).alias("weight"))
     width = (span["b"] - span["a"]) / bins or 1.0
     bin_no = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((F.col("_h") - span["a"]) / width) - 1))
     rows = rows.withColumn("_b", bin_no)
@@ -135,40 +148,108 @@ def _margin_loss(margin: Column, y: Column) -> Column:
     return F.log1p(F.exp(-2.0 * (2.0 * y - 1.0) * margin))
 
 
+def loss_curve(df: DataFrame, model: PipelineModel, label: str, key: str) -> DataFrame:
+    """`(key, tree, loss)` of a boosted model after each tree of its first and last tenth.
+
+    The first trees are added up, the last ones taken off the full margin, so only
+    a fifth of the trees is evaluated besides the model itself.
+    """
+    boosted = model.stages[-1]
+    weights, trees = list(boosted.treeWeights), len(boosted.trees)
+    part = max(trees // 10, 1)
+    scored = model.transform(df)
+    for i in {*range(part), *range(trees - part, trees)}:
+        tree = boosted.trees[i]
+        tree.setPredictionCol(f"_t{i}")
+        scored = tree.transform(scored)
+    margins, margin = {}, F.lit(0.0)
+    for i in range(part):
+        margin = margin + F.lit(float(weights[i])) * F.col(f"_t{i}")
+        margins[i] = margin
+    margin = vector_to_array("rawPrediction")[1]
+    for i in reversed(range(trees - part, trees)):
+        margins[i] = margin
+        margin = margin - F.lit(float(weights[i])) * F.col(f"_t{i}")
+    y = F.col(label).cast("double")
+    points = [F.struct(F.lit(i).alias("tree"), _margin_loss(m, y).alias("loss")) for i, m in sorted(margins.items())]
+    return scored.select(F.col(key).alias("key"), F.inline(F.array(*points)))
+
+
+def majority_vote(df: DataFrame, models: list[PipelineModel], out: str) -> DataFrame:
+    """The class most models predict; equal votes give class 0."""
+    for i, model in enumerate(models):
+        df = _drop_helpers(model.transform(df).withColumn(f"_v{i}", F.col("prediction")))
+    votes = reduce(lambda a, b: a + b, [F.col(f"_v{i}") for i in range(len(models))])
+    return df.withColumn(out, (votes * 2 > len(models)).cast("double")).drop(*[f"_v{i}" for i in range(len(models))])
+
+
+def shuffled_features(df: DataFrame, features: list[str], *, key: str, seed: int) -> DataFrame:
+    """Each row with `_donors`, an array of the values that a shuffle of each feature gives it.
+
+    Every feature has a shuffle of its own: its values in the order of a seeded
+    hash of (feature, key) go to the rows in key order. All features are ordered
+    in one job, as narrow rows, and meet their row again by position. Keys are
+    unique.
+    """
+    base = stage(df, "donors")
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    melted = base.select(key, F.posexplode(values).alias("_f", "_v")).withColumn("_hash", F.xxhash64(F.lit(seed), "_f", key))
+    placed = row_position(melted, ["_f"], "_hash", key, "_pos").groupBy("_pos").agg(F.array_sort(F.collect_list(F.struct("_f", "_v"))).alias("_d"))
+    placed = placed.select("_pos", F.transform("_d", lambda x: x["_v"]).alias("_donors"))
+    return row_position(base, [], key, key, "_pos").join(placed, "_pos").drop("_pos")
+
+
+def ensemble_importance(df: DataFrame, models: list[PipelineModel], label: str, features: list[str], *, key: str = "key", seed: int = 7) -> DataFrame:
+    """`(feature, importance)` of the models' majority vote: mean(change of loss) / std under a shuffle.
+
+    The loss is 1 for a wrong class. Rows with their donors become one row per
+    feature inside a task, so all features share one scoring and one aggregate.
+    A feature that no model uses has importance 0.
+    """
+    rows = shuffled_features(majority_vote(df.select(key, label, *features), models, "_plain"), features, key=key, seed=seed)
+    each = rows.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    for i, f in enumerate(features):
+        each = each.withColumn(f, F.when(F.col("_f") == i, F.col("_donors")[i]).otherwise(F.col(f).cast("double")))
+    y = F.col(label).cast("double")
+    change = (F.col("_vote") != y).cast("double") - (F.col("_plain") != y).cast("double")
+    out = majority_vote(each, models, "_vote").groupBy("_f").agg((F.avg(change) / (F.stddev_pop(change) + 1e-7)).alias("importance"))
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_f") + 1)
+    return out.select(name.alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 def boosted_ensemble(train: DataFrame, features: list[str], label: str, *, models: int = 3, rounds: int = 10, depth: int = 3,
-                     decay: float = 0.9, key: str = "key") -> list[PipelineModel]:
+                     decay: float = 0.9, key: str = "key", ratios: list[float] | None = None, seed: int = 7) -> list[PipelineModel]:
     """K boosted models; each later one reweights rows the ensemble finds hard.
 
-    The loss trend compares the margin after the first tenth of the trees with
-    the final one.
+    A row's loss is that of the models' majority vote, its trend follows the last
+    model's trees (`loss_ranks`). With `ratios` each later model also gets its own
+    features: of every importance bin of the ensemble so far the given share is
+    kept, best bin first (`sample_by_importance`).
     """
     base = stage(train, "ens")
-    weights, fitted = None, []
+    weights, fitted, own = None, [], features
     for k in range(models):
         rows = base.withColumn("weight", F.lit(1.0)) if weights is None else base.join(weights, key)
         gbt = GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, seed=42 + k)
-        fitted.append(Pipeline(stages=[*featurizer(features), gbt]).fit(rows))
+        fitted.append(Pipeline(stages=[*featurizer(own), gbt]).fit(rows))
         if k + 1 == models:
             break
-        scored = fitted[-1].transform(base)
-        tree_model = fitted[-1].stages[-1]
-        y = F.col(label).cast("double")
-        first = scored
-        margin = F.lit(0.0)
-        for i in range(max(1, rounds // 10)):
-            tree = tree_model.trees[i]
-            tree.setPredictionCol(f"_t{i}")
-            first = tree.transform(first)
-            margin = margin + F.lit(float(tree_model.treeWeights[i])) * F.col(f"_t{i}")
-        votes = ensemble_score(base, fitted, [1.0] * len(fitted)).select(key, F.col("signal"))
-        rows = first.select(F.col(key), y.alias("_y"), _margin_loss(margin, y).alias("loss_start"),
-                            _margin_loss(vector_to_array("rawPrediction")[1], y).alias("loss_end")).join(votes, key)
-        loss = ((F.col("signal") >= 0.5).cast("double") != F.col("_y")).cast("double")
-        weights = sample_weights(rows.select(F.col(key).alias("key"), loss.alias("loss"), "loss_start", "loss_end"), k=k + 1, decay=decay)
+        trend = loss_ranks(stage(loss_curve(base, fitted[-1], label, key), "curve"), rounds)
+        wrong = (F.col("_vote") != F.col(label).cast("double")).cast("double")
+        losses = majority_vote(base, fitted, "_vote").select(F.col(key).alias("key"), wrong.alias("loss"))
+        weights = sample_weights(losses.join(trend, "key"), k=k + 1, decay=decay)
         weights = stage(weights.withColumnRenamed("key", key), "sw")
+        if ratios:
+            importance = stage(ensemble_importance(base, fitted, label, features, key=key, seed=seed + k), "imp")
+            own = [r["feature"] for r in sample_by_importance(importance, ratios, seed + k).orderBy("feature").collect()]
     return fitted
 
 
+def model_features(models: list[PipelineModel]) -> list[list[str]]:
+    """The features each model of an ensemble was fitted on."""
+    return [list(m.stages[0].getInputCols()) for m in models]
+
+
 def ensemble_score(df: DataFrame, models: list[PipelineModel], weights: list[float]) -> DataFrame:
     """Weighted average of P(1) over the models as `signal`."""
     out, total = df, float(sum(weights))
@@ -179,42 +260,27 @@ def ensemble_score(df: DataFrame, models: list[PipelineModel], weights: list[flo
 
 
 def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], label: str, *, key: str = "key", seed: int = 7) -> DataFrame:
-    """mean(change of loss) / std after shuffling one feature at a time.
-
-    The shuffle pairs the i-th row by key with the i-th by a seeded hash; both
-    positions are exact and made without a single-task sort.
-    """
-    base = stage(df.select(key, label, *features), "perm")
-    y = F.col(label).cast("double")
-
-    def losses(frame: DataFrame) -> DataFrame:
-        return model.transform(frame).select(key, (F.col("prediction") != y).cast("double").alias("loss"))
-
-    plain = stage(losses(base).withColumnRenamed("loss", "_l0"), "perm")
-    order = stage(row_position(base, [], key, key, "_pos").select("*"), "perm")
-    parts = []
-    for i, f in enumerate(features):
-        mixed = base.select(F.xxhash64(F.lit(seed + i), key).alias("_hash"), key, F.col(f).alias("_v"))
-        donor = row_position(mixed, [], "_hash", key, "_pos").select("_pos", "_v")
-        shuffled = order.drop(f).join(donor.withColumnRenamed("_v", f), "_pos").drop("_pos")
-        diff = losses(shuffled).join(plain, key).select((F.col("loss") - F.col("_l0")).alias("d"))
-        parts.append(diff.agg((F.avg("d") / (F.stddev_pop("d") + 1e-7)).alias("importance")).withColumn("feature", F.lit(f)))
-    return reduce(DataFrame.unionByName, parts)
+    """`ensemble_importance` of one model."""
+    return ensemble_importance(df, [model], label, features, key=key, seed=seed)
 
 
 def sample_by_importance(importance: DataFrame, ratios: list[float], seed: int = 7) -> DataFrame:
-    """Keep a share of the features of each equal-width importance bin, best bin first."""
+    """Keep a share of the features of each equal-width importance bin.
+
+    There are as many bins as shares; the n-th share belongs to the n-th best bin
+    that holds any feature, and is rounded up. A bin's features are drawn by a
+    seeded hash. The table has one row per feature.
+    """
     from pyspark.sql import Window
 
     bins = len(ratios)
-    span = importance.select(F.struct(F.min("importance").over(Window.partitionBy(F.lit(0))).alias("a"),
-                                      F.max("importance").over(Window.partitionBy(F.lit(0))).alias("b")).alias("s"), "*")
-    width = F.nullif((F.col("s.b") - F.col("s.a")) / bins, F.lit(0.0))
-    no = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((F.col("importance") - F.col("s.a")) / width) - 1)), F.lit(0))
-    rows = span.withColumn("_b", F.lit(bins - 1) - no).drop("s")
+    span = importance.select("*", F.min("importance").over(Window.partitionBy()).alias("_a"), F.max("importance").over(Window.partitionBy()).alias("_z"))
+    width = F.nullif((F.col("_z") - F.col("_a")) / bins, F.lit(0.0))
+    no = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((F.col("importance") - F.col("_a")) / width) - 1)), F.lit(0))
+    rows = span.withColumn("_b", F.dense_rank().over(Window.orderBy(no.desc())))
     w = Window.partitionBy("_b")
     rank = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "feature")))
-    share = F.element_at(F.array(*[F.lit(float(r)) for r in ratios]), (F.col("_b") + 1).cast("int"))
+    share = F.element_at(F.array(*[F.lit(float(r)) for r in ratios]), F.col("_b"))
     return rows.withColumn("_k", rank).withColumn("_n", F.ceil(F.count(F.lit(1)).over(w) * share)).where("_k <= _n").select("feature", "importance")
 
 
@@ -375,12 +441,26 @@ def frozen_scoring(model_path: str, df: DataFrame, calibration: DataFrame, *, st
 # ---------------------------------------------------------------- held context
 
 
-def attach_held_context(features: DataFrame, held: DataFrame, universe: DataFrame) -> DataFrame:
-    """Feature rows with held shares and weight, and membership flags."""
+def attach_held_context(features: DataFrame, held: DataFrame, universe: DataFrame, context: DataFrame | None = None, *,
+                        context_features: tuple[str, ...] = (), context_label: str | None = None) -> DataFrame:
+    """Feature rows with held shares and weight, membership flags and asked columns of a context table.
+
+    `context` has one row per (instrument, dt) and is joined from the left; its
+    asked columns become doubles (null where they are no numbers) and replace
+    columns of the same name, those it lacks are left out. With `context_label`
+    the label is that column, also where it is null.
+    """
     names = universe.select("instrument").distinct().withColumn("_u", F.lit(True))
     out = features.join(names, "instrument", "left").join(held.select("instrument", "dt", "held_shares", "held_weight"), ["instrument", "dt"], "left")
     out = out.withColumn("held_universe", F.coalesce("_u", F.lit(False))).drop("_u").fillna(0.0, ["held_shares", "held_weight"])
-    return out.withColumn("held_date", F.col("held_shares") > 0)
+    out = out.withColumn("held_date", F.col("held_shares") > 0)
+    if context is None:
+        return out
+    asked = {c: c for c in context_features if c in context.columns}
+    if context_label in context.columns:
+        asked["label"] = context_label
+    numbers = [F.col(source).cast("string").try_cast("double").alias(name) for name, source in asked.items()]
+    return out.drop(*asked).join(context.select("instrument", "dt", *numbers), ["instrument", "dt"], "left")
 
 
 def context_weights(df: DataFrame, mode: str, universe_bonus: float, date_bonus: float) -> DataFrame:

@@ -57,17 +57,6 @@ def test_ridge_matches_closed_form(spark):
     assert fit["intercept"] == pytest.approx(y.mean())
 
 
-def test_sample_weights_match_pandas(spark):
-    rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"key": range(300), "loss": rng.integers(0, 2, 300).astype(float), "loss_start": rng.random(300), "loss_end": rng.random(300)})
-    got = ml.sample_weights(spark.createDataFrame(pdf), k=2, decay=0.8).toPandas().set_index("key")["weight"].sort_index()
-    h = (-pdf["loss"]).rank(pct=True) + (pdf["loss_end"].rank(pct=True) / pdf["loss_start"].rank(pct=True)).rank(pct=True)
-    width = (h.max() - h.min()) / 6
-    b = np.clip(np.ceil((h - h.min()) / width) - 1, 0, 5)
-    want = 1.0 / (0.8 ** 2 * h.groupby(b).transform("mean") + 0.1)
-    np.testing.assert_allclose(got.to_numpy(), want.to_numpy())
-
-
 def test_frozen_period_must_follow_calibration(spark):
     with pytest.raises(ValueError, match="does not start after"):
         ml.frozen_scoring("nowhere", spark.range(1), spark.range(1), start="2024-01-01", end="2024-02-01", calibration_end="2024-01-01")
