@@ -7,15 +7,17 @@ import io
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.symbols import normalize_symbol
 from tapeloom.operators.reconcile import latest_per_key
+from tapeloom.session import spread_by, stage
+from tapeloom.sources import files
 
 # Accepted header spellings per canonical column, and the canonical columns themselves.
 SYNONYMS = {
@@ -53,25 +55,48 @@ def canonical_columns(df: DataFrame, extra: list[str] | None = None) -> DataFram
     return df.select(*cols, *(extra or []))
 
 
-def file_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str]]:
-    """(file, first line, charset) of every file that has a line.
+def _first_line(stream, step: int = 1 << 16) -> bytes | None:
+    """The first line of an open file without its end, or None; reads no further than it must."""
+    head = b""
+    while b"\n" not in head and (piece := stream.read(step)):
+        head += piece
+    return head.split(b"\n", 1)[0].rstrip(b"\r") if head else None
+
+
+def _decoded(head: bytes) -> tuple[str, str]:
+    """A header and its charset: UTF-8 if it is valid, else GBK."""
+    for charset in ("UTF-8", "GBK"):
+        try:
+            return head.decode(charset).lstrip("\ufeff"), charset
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"header is neither UTF-8 nor GBK: {head[:80]!r}")
+
+
+def listed(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
+    """`path` of every file under the paths, from their listing alone."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths).select("path")
 
-    The first line of a file is that with the least row number of its first
-    block, found by a grouped minimum that combines before the shuffle. The
-    charset follows from that line alone: UTF-8 if it is valid, else GBK.
-    """
-    first = (
-        spark.read.option("recursiveFileLookup", "true").text(paths)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-        .where("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("head"))
-        .select("f", F.is_valid_utf8("head").alias("utf"), F.col("head").cast("binary").alias("head")).collect())
-    kinds = {True: "UTF-8", False: "GBK"}
-    return sorted((unquote(r["f"]), bytes(r["head"]).decode(kinds[r["utf"]]).lstrip("\ufeff"), kinds[r["utf"]]) for r in first)
+
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, head, charset) of every file that has a line; tasks read the first block of each file only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                with files.reader(path) as stream:
+                    head = _first_line(stream)
+                if head is not None:
+                    found.append((path, *_decoded(head)))
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in found], pa.string()) for k, c in enumerate(("path", "head", "charset"))})
+
+    return listed(spark, paths).mapInArrow(run, "path string, head string, charset string")
 
 
 def gbk_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files whose header is not valid UTF-8."""
-    return [f for f, _, charset in file_headers(spark, paths) if charset == "GBK"]
+    return [r["path"] for r in file_headers(spark, paths).where("charset = 'GBK'").orderBy("path").collect()]
 
 
 def _load_order() -> Column:
@@ -85,23 +110,32 @@ def allow_charset(spark: SparkSession, encoding: str) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
+def header_names(head: str) -> list[str]:
+    """Column names of a header line; a repeated one gets its position."""
+    names = next(csv.reader([head]), [])
+    return [n if n not in names[:k] else f"{n}#{k}" for k, n in enumerate(names)]
+
+
 def read_csv_text(spark: SparkSession, paths: list[str], encoding: str | None = None) -> list[DataFrame]:
     """The files as text columns, one frame per different header and charset.
 
     Each file is read under its own header, so files may order, name and omit
     columns differently. `encoding` overrides the charset found per file. Adds
     the load order `_o` and the path `_f`. The number of frames is that of the
-    layouts in use; without files there are none.
+    layouts in use; without files there are none. Only the layouts come to the
+    driver, and file names where there are several.
     """
-    layouts: dict[tuple[str, str], list[str]] = {}
-    for path, head, charset in file_headers(spark, paths):
-        layouts.setdefault((head, encoding or charset), []).append(path)
+    heads = stage(file_headers(spark, paths), "heads")
+    layouts = [(r["head"], r["charset"]) for r in heads.select("head", "charset").distinct().orderBy("head", "charset").collect()]
     frames = []
-    for (head, charset), files in layouts.items():
+    for head, found in layouts:
+        charset = encoding or found
         allow_charset(spark, charset)
-        names = next(csv.reader([head]))
-        schema = T.StructType([T.StructField(n if n not in names[:k] else f"{n}#{k}", T.StringType()) for k, n in enumerate(names)])
-        raw = spark.read.schema(schema).option("header", "true").option("encoding", charset).csv(files)
+        own = paths
+        if len(layouts) > 1:
+            own = [r["path"] for r in heads.where((F.col("head") == head) & (F.col("charset") == found)).orderBy("path").collect()]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in header_names(head)])
+        raw = spark.read.schema(schema).option("recursiveFileLookup", "true").option("header", "true").option("encoding", charset).csv(own)
         frames.append(raw.select("*", _load_order().alias("_o"), F.col("_metadata.file_path").alias("_f")))
     return frames
 
@@ -121,10 +155,10 @@ def parse_stamp(text: Column) -> Column:
     return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(p)) for p in STAMPS])
 
 
-def _bar_rows(spark: SparkSession, paths: list[str], encoding: str | None, instrument_from_path: str | None, minute: bool) -> DataFrame:
-    frames = [canonical_columns(f, ["_o", "_f"]) for f in read_csv_text(spark, paths, encoding)]
+def _bar_rows(texts: list[DataFrame], place: object, instrument_from_path: str | None, minute: bool) -> DataFrame:
+    frames = [canonical_columns(f, ["_o", "_f"]) for f in texts]
     if not frames:
-        raise ValueError(f"no file with a header under {paths}")
+        raise ValueError(f"no file with a header under {place}")
     out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
     if instrument_from_path:
         out = out.withColumn("instrument", F.regexp_extract("_f", instrument_from_path, 1))
@@ -139,14 +173,14 @@ def read_bars(spark: SparkSession, paths: list[str], *, encoding: str | None = N
     `instrument_from_path` is a pattern whose first group is the instrument, for
     layouts with one file per symbol. `dropped_rows` counts what bad dates cost.
     """
-    out = _bar_rows(spark, paths, encoding, instrument_from_path, minute).where("date is not null").drop("_f", "_text")
+    out = _bar_rows(read_csv_text(spark, paths, encoding), paths, instrument_from_path, minute).where("date is not null").drop("_f", "_text")
     return latest_per_key(out, ["instrument", "date"], F.col("_o")).drop("_o")
 
 
 def dropped_rows(spark: SparkSession, paths: list[str], *, encoding: str | None = None) -> DataFrame:
     """Per file its rows, those without a usable date, and one such text."""
     bad = F.col("date").isNull()
-    return _bar_rows(spark, paths, encoding, None, True).groupBy(F.col("_f").alias("file")).agg(
+    return _bar_rows(read_csv_text(spark, paths, encoding), paths, None, True).groupBy(F.col("_f").alias("file")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("dropped"), F.max(F.when(bad, F.col("_text"))).alias("example"))
 
 
@@ -167,39 +201,84 @@ def add_minute_columns(bars: DataFrame) -> DataFrame:
         "dt": F.col("ts").cast("date"), "minute_of_day": F.hour("ts") * 60 + F.minute("ts"), "factor": F.lit(1.0)})
 
 
-_ZIP_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ["member", "instrument", *REQUIRED]] + [T.StructField("ordinal", T.LongType())])
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, head, charset) of every member with a line of the ZIP files under a path.
 
+    A task reads an archive's directory, at its end, and the first line of each
+    member; nothing else of the archive is touched.
+    """
 
-def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of the CSV members of ZIP files, in chunks, as text."""
-    names = {w: c for c, words in SYNONYMS.items() for w in words}
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in sorted(archive.namelist()):
-                    for encoding in ("utf-8-sig", "gbk"):
-                        try:
-                            with archive.open(member) as head:
-                                head.readline().decode(encoding)
-                            break
-                        except UnicodeDecodeError:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in batch.column("path").to_pylist():
+                found = []
+                with files.reader(place) as stream, zipfile.ZipFile(stream) as archive:
+                    for item in archive.infolist():
+                        if item.is_dir():
                             continue
-                    done = 0
-                    with archive.open(member) as handle:
-                        for chunk in pd.read_csv(handle, dtype=str, encoding=encoding, chunksize=50_000):
-                            chunk = chunk.rename(columns=names).reindex(columns=["instrument", *REQUIRED])
-                            chunk.insert(0, "member", f"{path}!{member}")
-                            chunk["ordinal"] = range(done, done + len(chunk))
-                            done += len(chunk)
-                            yield chunk
-
-
-def read_zip_minute_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Minute bars from CSV members of ZIP files; each is read where it lies, in one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = files.mapInPandas(_zip_rows, _ZIP_SCHEMA)
-    out = rows.select(parse_stamp(F.col("date")).alias("date"), "instrument", *[F.col(c).try_cast("double").alias(c) for c in BAR_NUMBERS],
-                      F.struct("member", "ordinal").alias("_o")).where("date is not null")
+                        with archive.open(item) as handle:
+                            head = _first_line(handle)
+                        if head is not None:
+                            found.append((place, item.filename, *_decoded(head)))
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in found], pa.string()) for k, c in enumerate(("path", "member", "head", "charset"))})
+
+    return listed(spark, [path], "*.zip").mapInArrow(run, "path string, member string, head string, charset string")
+
+
+def _zip_lines(size: int):
+    """Lines after the header of each member, decoded, in batches of about `size` characters."""
+
+    def batch_of(name: str, first: int, lines: list[str]) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_pydict({"_f": pa.array([name] * n, pa.string()), "ordinal": pa.array(range(first, first + n), pa.int64()), "line": pa.array(lines, pa.string())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = sorted(batch.to_pylist(), key=lambda r: (r["path"], r["member"]))
+            for path, members in groupby(rows, key=lambda r: r["path"]):
+                with files.reader(path) as stream, zipfile.ZipFile(stream) as archive:
+                    for item in members:
+                        name, lines, held, done = f"{path}!{item['member']}", [], 0, 0
+                        with archive.open(item["member"]) as raw, io.TextIOWrapper(raw, item["charset"]) as text:
+                            next(text)
+                            for line in text:
+                                lines.append(line.rstrip("\r\n"))
+                                held += len(line)
+                                if held >= size:
+                                    yield batch_of(name, done, lines)
+                                    lines, held, done = [], 0, done + len(lines)
+                        if lines:
+                            yield batch_of(name, done, lines)
+
+    return run
+
+
+def read_zip_text(spark: SparkSession, path: str, batch_chars: int = 4_000_000) -> list[DataFrame]:
+    """CSV members of ZIP files as text columns, one frame per different header.
+
+    Members, not archives, are dealt to tasks; a task seeks its members in the
+    archive and streams their lines, which Spark parses. Adds `_o` and `_f`
+    (archive!member) as `read_csv_text` does.
+    """
+    members = stage(zip_members(spark, path), "members")
+    frames = []
+    for row in members.select("head").distinct().orderBy("head").collect():
+        own = spread_by(members.where(F.col("head") == row["head"]).select("path", "member", "charset"), "path", "member")
+        fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in header_names(row["head"]))
+        lines = own.mapInArrow(_zip_lines(batch_chars), "_f string, ordinal long, line string").where(F.trim("line") != "")
+        frames.append(lines.select(F.from_csv("line", fields).alias("_c"), F.struct("_f", "ordinal").alias("_o"), "_f").select("_c.*", "_o", "_f"))
+    return frames
+
+
+def read_zip_minute_bars(spark: SparkSession, path: str, instrument_from_path: str | None = None) -> DataFrame:
+    """Minute bars from CSV members of ZIP files; a member without a required column is refused.
+
+    Members without an instrument column have none, unless `instrument_from_path`
+    finds it in archive!member.
+    """
+    out = _bar_rows(read_zip_text(spark, path), path, instrument_from_path, True).where("date is not null").drop("_f", "_text")
+    if "instrument" not in out.columns:
+        out = out.withColumn("instrument", F.lit(None).cast("string"))
     return add_minute_columns(latest_per_key(out, ["instrument", "date"], F.col("_o")).drop("_o"))
 
 
