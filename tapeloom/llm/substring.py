@@ -199,16 +199,27 @@ def _gather(table: pa.Table) -> pa.Table:
     })
 
 
-def repeats(docs: DataFrame, size: int = 13, seed: int = 7, unit: int = 4_000_000) -> DataFrame:
+def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
+    """Buckets for the hashes of all texts: a receiver gets those of about `bucket_bytes` of text.
+
+    A word has a byte and a separator at least, so a bucket expects at most half
+    as many hashes, whatever the size of the table.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return max(4 * partitions, -(-size // bucket_bytes))
+
+
+def repeats(docs: DataFrame, size: int = 13, seed: int = 7, unit: int = 4_000_000, bucket_bytes: int = 24_000_000) -> DataFrame:
     """(doc_id, key, at): starts of windows that also start in a document with a smaller doc_id.
 
     `docs` has doc_id, key and text as bytes; `key` tells rows with the same
     doc_id and different texts apart. `at` holds 32-bit word numbers. Only
     documents with such windows have a row. A null doc_id counts as larger than
-    all others. `unit` is how many hashes a task compares at once.
+    all others. `unit` is how many hashes a task compares at once, `bucket_bytes`
+    the text whose hashes one receiver holds (`bucket_count`).
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(docs, bucket_bytes)
     found, before = None, None
     for length in lengths(size, seed):
         rows = docs if found is None else with_places(docs, found, "inner")

@@ -50,6 +50,20 @@ def test_removal_against_brute_force(docs_of, size, seed, unit, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, size)
 
 
+def test_buckets_follow_the_text_and_stay_small(docs_of, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 900}" for j in range(200))) for k in range(200)]
+    docs = docs_of(rows)
+    given = substring.keyed(docs)
+    some = substring.bucket_count(given, 2000)
+    assert substring.bucket_count(given.unionAll(given), 2000) in (2 * some - 1, 2 * some) and substring.bucket_count(given, 10**9) == 32
+    sent = substring._send(given, 13, 7, None, some, 1000).where(f"kind = {substring.ASK}")
+    held = [r[1] for r in sent.selectExpr("bucket", "length(hashes) / 8 AS n").groupBy("bucket").sum("n").collect()]
+    assert max(held) <= 1000 and len(held) > some // 2
+    found = substring.repeats
+    monkeypatch.setattr(substring, "repeats", lambda docs, a, b: found(docs, a, b, bucket_bytes=2000))
+    assert sorted((tuple(r) for r in substring.remove(docs, with_text=True).collect()), key=str) == brute(rows, 13)
+
+
 def test_nothing_repeated(docs_of):
     assert substring.remove(docs_of([])).count() == 0
     assert [r.n_removed for r in substring.remove(docs_of(["a b c", None, "d " * 5])).collect()] == [0, 0, 0]
