@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import text as T
+from tapeloom.llm.apart import set_apart
 from tapeloom.session import stage
 
 _WORD = re.compile(rb"\S+")
@@ -171,13 +172,14 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, *, columns: list[str
 def remove(docs: DataFrame, items: DataFrame, size: int = 10, *, most_hit: float = 0.5, block_windows: int = 100_000) -> DataFrame:
     """The documents without their hit words; those with more than `most_hit` of their words hit go.
 
-    Has the columns of `docs`, which must not be called n_words, hits or items;
-    `n_chars`, if there is one, follows the new text.
+    Has the columns of `docs`, whatever their names; `n_chars`, if there is one,
+    follows the new text.
     """
-    out = _scanned(docs, items, size, docs.columns, block_windows, most_hit)
+    given, restored = set_apart(docs)
+    out = _scanned(given, items, size, given.columns, block_windows, most_hit)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    return restored(out.select(given.columns))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import text as T
+from tapeloom.llm.apart import HELD, PLAIN, set_apart
 from tapeloom.session import stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -165,13 +166,17 @@ def judge(docs: DataFrame, labels: DataFrame, *columns: str, stratum: str = "lan
 
     A document is kept if it passes the base rules and stays under its stratum's
     cutoff. A null stratum is one of its own; a stratum without labels has no
-    cutoff. Repeated rows are judged alike; empty tables give no rows.
+    cutoff. Repeated rows are judged alike; empty tables give no rows. Asked
+    columns that are called like a result are replaced by it.
     """
     wanted = list(dict.fromkeys(["doc_id", stratum, *columns]))
-    measured = stage(measure(docs, *wanted), "measured")
+    names = [c for c in docs.columns if c in wanted or c == "text"]
+    given, restored = set_apart(docs.select(*[F.col(f"`{c}`") for c in names]), (*PLAIN, stratum))
+    carried = [c for c in given.columns if c in wanted or c == HELD]
+    measured = stage(measure(given, *dict.fromkeys(["doc_id", stratum, *carried])), "measured")
     cuts = cutoffs(measured, labels, stratum, risk, level)
     named = measured.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
     judged = named.withColumns({f"rule_{n}": c for n, c in rules().items()} | {"severity": severity()}).join(cuts, "_stratum", "left")
     over = F.col("severity") >= F.coalesce(F.col("_cut"), F.lit(1001))
     out = judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
-    return out.drop("_stratum", "_cut")
+    return restored(out.drop("_stratum", "_cut"))

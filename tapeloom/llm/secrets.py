@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.apart import set_apart
 from tapeloom.llm.text import slices, small_batches
 
 # The kinds in their order, each pattern, the group with the secret and its least length.
@@ -561,6 +562,7 @@ def masked(text: str | None, spans: str, mark: str = "[secret]") -> str | None:
 
 def mask(docs: DataFrame) -> DataFrame:
     """All documents, secrets and broken compressed parts replaced; `n_chars`, if there is one, follows a changed text."""
+    docs, restored = set_apart(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,4 +580,4 @@ def mask(docs: DataFrame) -> DataFrame:
     out = small_batches(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema).withColumn("text", F.col("text").cast("string"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(kinds["n_chars"]))
-    return out
+    return restored(out)

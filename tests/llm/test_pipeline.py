@@ -3,11 +3,12 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_filters import ALNUM, LOWER, brute_counts, brute_hits
 from test_neardup import brute
 from test_tokens import WORD, brute_ids
 
-from tapeloom.llm import secrets
+from tapeloom.llm import quality, secrets
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,29 @@ def test_an_empty_table_passes_all_stages(spark, root):
     for _, stage_of in corpus_pipeline.STAGES:
         docs = stage_of(spark, docs, root)
     assert docs.count() == 0
+
+
+CLASHING = ["n_words", "hits", "items", "_raw", "_stratum", "_cut", "cut_symbols", "kept", "rule_symbols", "severity", "base_failed", "_key", "key", "_held", "n_symbols", "a.b", "a b"]
+
+
+def test_columns_of_any_name_come_through_every_stage(spark, root):
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    wide = docs.select(*[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in CLASHING[:9]], *docs.columns,
+                       *[F.array(F.col("doc_id"), F.lit(k)).alias(c) for k, c in enumerate(CLASHING[9:])])
+    for name, stage_of in corpus_pipeline.STAGES[:-1]:
+        out = stage_of(spark, wide, root)
+        assert out.columns == wide.columns and out.dtypes == wide.dtypes
+        rows = out.collect()
+        assert rows_of(out.select(docs.columns)) == rows_of(stage_of(spark, docs, root)), name
+        for r in rows:
+            assert [r[c] for c in CLASHING[:9]] == [f"{c}-{r['doc_id']}" for c in CLASHING[:9]]
+            assert [r[c] for c in CLASHING[9:]] == [[r["doc_id"], k] for k in range(len(CLASHING[9:]))]
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, root).count() > 0
+
+
+def test_judge_replaces_asked_columns_by_its_results(spark, root):
+    docs, labels = (spark.read.parquet(f"{root}/{n}.parquet") for n in ("documents", "labels"))
+    wide = docs.withColumns({"kept": F.lit("x"), "_stratum": F.lit("y"), "_raw": F.lit("z")})
+    out = quality.judge(wide, labels, "kept", "_stratum", "_raw")
+    assert {(r["_stratum"], r["_raw"]) for r in out.collect()} == {("y", "z")}
+    assert rows_of(out.select("doc_id", "kept")) == rows_of(quality.judge(docs, labels).select("doc_id", "kept"))
