@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontam, neardup, packing, quality, secrets, tokens
+from tapeloom.llm.apart import set_apart
 from tapeloom.llm.registry import table
 from tapeloom.session import stage
 
@@ -20,16 +21,18 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a proven cutoff go."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"), *docs.columns)
-    return judged.where("kept").select(docs.columns)
+    given, restored = set_apart(docs)
+    judged = quality.judge(given, table(spark, sf_dir, "labels"), *given.columns)
+    return restored(judged.where("kept").select(given.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id", "key")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    given, restored = set_apart(docs)
+    gone = neardup.near_duplicates(given).where("not kept").select("doc_id", "key")
+    keyed = given.withColumn("_key", F.xxhash64("text"))
     same = (keyed["doc_id"] == gone["doc_id"]) & (keyed["_key"] == gone["key"])
-    return keyed.join(gone, same, "left_anti").select(docs.columns)
+    return restored(keyed.join(gone, same, "left_anti").select(given.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
