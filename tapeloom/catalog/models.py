@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tapeloom.catalog.aggregates import CORR, FF, KW, STABLE, factor_frame, whitelist_sql
 from tapeloom.catalog.base import BARS_W, PRIMARY, SESS, query, with_
 from tapeloom.catalog.windows import W, _avg_rank, scored_w
-from tapeloom.operators import evaluation, rolling, sessions
+from tapeloom.operators import evaluation, portfolio, rolling, sessions
 from tapeloom.session import scratch_path, stage
 from tapeloom.models import isotonic
 from tapeloom.models import training as ml
+from tapeloom.skew import quantiles
 
 
 @query("I1_label_expression", "instrument:i dt:d named:f expr:f", with_(BARS_W) + f"""
@@ -185,6 +186,38 @@ def _(t):
     return ml.search_bounds(rows, {"buy": ("score", 0.55, 0.9), "sell": ("score", 0.1, 0.45)})
 
 
+BUYS, SELLS = (0.55, 0.7, 0.9), (0.1, 0.3, 0.45)
+GRID = KW + ", " + ", ".join(f"{n}(i, cut) AS (" + " UNION ALL ".join(f"SELECT {i}, quantile_cont(score, {q}) FROM kw" for i, q in enumerate(qs)) + ")" for n, qs in (("buys", BUYS), ("sells", SELLS))) + """,
+sides AS (SELECT dt, b.i, b.cut, s.i AS j, s.cut AS sell, count(*) AS n, coalesce(avg(label) FILTER (WHERE score >= b.cut), 0) AS up, coalesce(avg(label) FILTER (WHERE score <= s.cut), 0) AS down,
+  count(*) FILTER (WHERE score >= b.cut) + count(*) FILTER (WHERE score <= s.cut) AS held FROM kw, buys b, sells s GROUP BY ALL),
+gd AS (SELECT i*3+j AS candidate, dt, year(dt) AS fold, up-down-0.002*held/n AS ret, held/n AS share FROM sides),
+run AS (SELECT *, sum(ret) OVER (PARTITION BY candidate, fold ORDER BY dt) AS total FROM gd),
+dd AS (SELECT *, greatest(0, max(total) OVER (PARTITION BY candidate, fold ORDER BY dt)) - total AS down FROM run),
+gm AS (SELECT candidate, fold, sum(ret) AS ret, coalesce(avg(ret)/nullif(stddev_samp(ret), 0)*sqrt(52), 0) AS sharpe, max(down) AS drawdown, avg(share) AS turnover FROM dd GROUP BY ALL)"""
+
+
+def grid_folds(t):
+    rows = stage(scored_w(t).dropna(subset=["score", "label"]).select("dt", "score", "label"), "grid")
+    named = {f"c{k}": q for k, q in enumerate((*BUYS, *SELLS))}
+    cuts = quantiles(rows.withColumn("g", F.lit(1)), ["g"], "score", named).first()
+    values = [float(cuts[c]) for c in named]
+    days = portfolio.grid_days(rows, "score", "label", values[: len(BUYS)], values[len(BUYS) :], cost=0.002)
+    return portfolio.grid_metrics(days, F.year("dt"), year=52.0)
+
+
+@query("I11_grid_folds", "candidate:i fold:i ret:f4 sharpe:f4 drawdown:f4 turnover:f", with_(BARS_W, GRID) + "SELECT * FROM gm")
+def _(t):
+    return grid_folds(t)
+
+
+@query("I11_grid_ranking", "candidate:i score:f4 median_return:f4 worst_return:f4 dominates:b rank:i", with_(BARS_W, GRID, """
+a AS (SELECT candidate, quantile_cont(ret, 0.5) AS median_return, min(ret) AS worst_return, quantile_cont(sharpe, 0.5) AS ms, quantile_cont(drawdown, 0.5) AS md, quantile_cont(turnover, 0.5) AS mt FROM gm GROUP BY 1),
+b AS (SELECT *, median_return+worst_return+0.02*ms-md-0.003*mt AS score FROM a)""") + """
+SELECT b.candidate, b.score, b.median_return, b.worst_return, b.median_return > z.median_return AND b.worst_return > z.worst_return AND b.md < z.md AS dominates, row_number() OVER (ORDER BY b.score DESC, b.candidate) AS rank FROM b, (SELECT * FROM b WHERE candidate = 0) z""")
+def _(t):
+    return portfolio.candidate_ranking(grid_folds(t), 0)
+
+
 @query("I11_time_split", "dt:d role:s", with_(SESS) + """
 SELECT dt, CASE WHEN session_no <= floor(n*0.6) THEN 'fit' WHEN session_no <= floor(n*(0.6+0.2)) THEN 'valid' ELSE 'test' END AS role FROM sess, (SELECT max(session_no) AS n FROM sess)""")
 def _(t):
