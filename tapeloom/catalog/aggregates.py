@@ -447,6 +447,39 @@ def _(t):
     return reconcile.coverage(b, ["close", "volume"])
 
 
+POOL = """b AS (SELECT instrument, 'close' AS field, dt, CASE WHEN volume > 30 THEN close END AS v FROM bars UNION ALL SELECT instrument, 'volume', dt, CASE WHEN volume < 20 THEN volume END FROM bars),
+c AS (SELECT instrument, field, count(v) AS n, min(dt) FILTER (WHERE v IS NOT NULL) AS f, max(dt) FILTER (WHERE v IS NOT NULL) AS l FROM b GROUP BY ALL)"""
+
+
+@query("D29_pool_coverage", "field:s instruments:i with_values:i earliest_first_dt:d latest_first_dt:d earliest_last_dt:d latest_last_dt:d", with_(BARS, POOL) + """
+SELECT field, count(*) AS instruments, count(*) FILTER (WHERE n > 0) AS with_values, min(f) AS earliest_first_dt, max(f) AS latest_first_dt, min(l) AS earliest_last_dt, max(l) AS latest_last_dt FROM c GROUP BY 1""")
+def _(t):
+    b = t.bars().select("instrument", "dt", F.when(F.col("volume") > 30, F.col("close")).alias("close"), F.when(F.col("volume") < 20, F.col("volume")).alias("volume"))
+    return reconcile.pool_coverage(reconcile.coverage(b, ["close", "volume"]))
+
+
+def moves(t):
+    """Move of the day, of the close within its range, and one with gaps and an infinity."""
+    odd = F.when(F.col("volume") > 40, float("inf")).when(F.col("volume") > 20, F.col("close") - F.col("low"))
+    return t.bars().select((F.col("close") / F.col("open") - 1).alias("move"), (F.col("close") * 2 - F.col("high") - F.col("low")).alias("place"), odd.alias("odd"))
+
+
+MOVES = "mv AS (SELECT close/open-1 AS move, close*2-high-low AS place, CASE WHEN volume > 40 THEN 'inf'::DOUBLE WHEN volume > 20 THEN close-low END AS odd FROM bars)"
+
+
+@query("D29_value_profile", "field:s n:i mean:f median:f std:f positive_ratio:f q05:f q25:f q75:f q95:f", with_(BARS, MOVES, "l AS (SELECT 'move' AS field, move AS v FROM mv UNION ALL SELECT 'place', place FROM mv UNION ALL SELECT 'odd', odd FROM mv)") + """
+SELECT field, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std, avg(CAST(v > 0 AS INT)) AS positive_ratio, quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, quantile_cont(v, 0.95) AS q95
+FROM l WHERE isfinite(v) GROUP BY 1""")
+def _(t):
+    return reconcile.value_profile(moves(t), ["move", "place", "odd"])
+
+
+@query("D29_direction_agreement", "a:s b:s rows:i agreement:f", with_(BARS, MOVES) + """
+SELECT 'move' AS a, 'place' AS b, count(*) AS rows, avg(CAST((move > 0) = (place > 0) AS INT)) AS agreement FROM mv UNION ALL SELECT 'place', 'odd', count(*), avg(CAST((place > 0) = (odd > 0) AS INT)) FROM mv WHERE odd IS NOT NULL""")
+def _(t):
+    return reconcile.direction_agreement(moves(t), [("move", "place"), ("place", "odd")])
+
+
 @query("D29_fold_coverage", "fold:i rows:i sessions:i names:i blocked:b", with_(BARS, SESS, FOLDS) + """
 SELECT fold, count(*) AS rows, count(DISTINCT dt) AS sessions, count(DISTINCT instrument) AS names, count(DISTINCT instrument) < 100 AS blocked FROM bars JOIN folds ON dt BETWEEN test_start AND test_end GROUP BY 1""")
 def _(t):

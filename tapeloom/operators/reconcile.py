@@ -15,6 +15,7 @@ from tapeloom.functions.guards import EPS, pair_corr, ratio
 from tapeloom.functions.trading import Costs, invalid_ohlc
 from tapeloom.operators.asof import asof_join
 from tapeloom.session import stage
+from tapeloom.skew import quantiles
 
 PRICE_COLUMNS = ["open", "high", "low", "close"]
 BAR_COLUMNS = [*PRICE_COLUMNS, "volume", "amount"]
@@ -326,6 +327,36 @@ def coverage(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.groupBy("instrument").agg(F.array(*stats).alias("s")).select("instrument", F.inline("s"))
 
 
+def pool_coverage(covered: DataFrame) -> DataFrame:
+    """Per field, from `coverage`: instruments, those with values, and the ranges of their first and last dates."""
+    dates = [f(c).alias(f"{name}_{c}") for c in ("first_dt", "last_dt") for name, f in (("earliest", F.min), ("latest", F.max))]
+    return covered.groupBy("field").agg(F.count(F.lit(1)).alias("instruments"), F.count_if(F.col("n") > 0).alias("with_values"), *dates)
+
+
+def value_profile(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Per field its finite values' count, mean, median, deviation, share above zero and quantiles.
+
+    Rows become one narrow row per field and value; quantiles are exact in groups
+    of any size. A field without finite values has count 0 and nulls.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields])))
+    clean = stage(long.where(F.abs("value") < float("inf")), "profile")
+    points = quantiles(clean, ["field"], "value", {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95})
+    sums = clean.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.avg((F.col("value") > 0).cast("double")).alias("positive_ratio"))
+    names = df.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    return names.join(sums, "field", "left").join(points, "field", "left").fillna(0, ["n"])
+
+
+def direction_agreement(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Per pair of fields the rows that have both and the share with the same sign (up or not)."""
+    stats = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        same = F.avg(F.when(both, ((F.col(a) > 0) == (F.col(b) > 0)).cast("double")))
+        stats.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("rows"), same.alias("agreement")))
+    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+
+
 def fold_coverage(folded: DataFrame, min_names: int) -> DataFrame:
     """Per fold: sessions, rows, names and whether the fold is blocked."""
     out = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("dt").alias("sessions"), F.count_distinct("instrument").alias("names"))

@@ -170,8 +170,12 @@ def union_missing(selected: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: list[str], n: int, keep_all: Column | None = None) -> DataFrame:
-    """At most n rows per class by a stable hash order; some rows always kept."""
-    order = [F.xxhash64(*key), *[F.col(c) for c in key]]
+    """At most n rows per class by a stable hash order; some rows always kept.
+
+    The order is that of the MD5 of the key's texts, joined by bars, so any engine
+    draws the same rows.
+    """
+    order = [F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key])), *[F.col(c) for c in key]]
     forced = F.lit(False) if keep_all is None else F.coalesce(keep_all, F.lit(False))
     rest = df.where(~forced).withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
     return rest if keep_all is None else rest.unionByName(df.where(forced))
