@@ -103,7 +103,8 @@ def apply_blocks(blocks: DataFrame, df: DataFrame, score: str, out: str, per_buc
     def bucket(x):
         return F.size(F.filter(F.array(*[F.lit(c) for c in sorted({*cuts})]), lambda c: c <= x)) if cuts else F.lit(0)
 
-    known = df.where(F.col(score).isNotNull()).withColumns({"_x": F.col(score).cast("double"), "_lane": F.pmod(F.monotonically_increasing_id(), F.lit(lanes))})
+    # Both sides need lanes of one type: equal numbers of two types hash apart.
+    known = df.where(F.col(score).isNotNull()).withColumns({"_x": F.col(score).cast("double"), "_lane": F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int")})
     known = known.withColumn("_bucket", bucket(F.col("_x")))
     at = bucket(F.col("first"))
     copies = edges.withColumn("_bucket", F.explode(F.array_distinct(F.array(at - 1, at, at + 1, bucket(F.col("last"))))))
