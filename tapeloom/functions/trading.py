@@ -159,7 +159,11 @@ def interpolate(score: Column, xs: list[float], ys: list[float]) -> Column:
 
 
 def price_gate(side: Column, price: Column, reference: Column, force: Column, buy_bps: float, sell_bps: float) -> Column:
-    """(allowed, reason) of one tick."""
+    """(allowed, reason) of one tick.
+
+    Basis points are added before the division: 1 + 30/10000 is a little below 1.003
+    as a double, which would refuse a price at its limit.
+    """
 
     def verdict(allowed, reason: str) -> Column:
         flag = allowed if isinstance(allowed, Column) else F.lit(allowed)
@@ -169,8 +173,8 @@ def price_gate(side: Column, price: Column, reference: Column, force: Column, bu
         F.when(force, verdict(True, "force_window"))
         .when(price.isNull(), verdict(False, "await_market_price"))
         .when(reference <= 0, verdict(True, "no_price_gate"))
-        .when(side == "BUY", verdict(price <= reference * (1.0 + buy_bps / 10000.0), "buy_limit"))
-        .otherwise(verdict(price >= reference * (1.0 - sell_bps / 10000.0), "sell_limit"))
+        .when(side == "BUY", verdict(price <= reference * (10000.0 + buy_bps) / 10000.0, "buy_limit"))
+        .otherwise(verdict(price >= reference * (10000.0 - sell_bps) / 10000.0, "sell_limit"))
     )
 
 

@@ -1,5 +1,7 @@
 """Faults that the small tables do not show: many tasks, borders, empty sides."""
 
+import datetime as dt
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def both(spark, name, **tables):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for table, path in tables.items():
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'")
     df = entry.queries()[name](spark, root)
     cur = con.execute(entry.oracle_sql()[name])
     at = [[d[0] for d in cur.description].index(c) for c in df.columns]
@@ -34,3 +36,15 @@ def test_every_lane_of_scores_meets_its_blocks(apart):
     rows = apart.range(0, 1000, 1, 4).select("id", (F.col("id") % 4).cast("double").alias("s"))
     got = isotonic.apply_blocks(blocks, rows, "s", "p")
     assert {(r["s"], r["p"]): r["count"] for r in got.groupBy("s", "p").count().collect()} == {(0.0, 0.25): 250, (1.0, 0.25): 250, (2.0, 0.5): 250, (3.0, 0.5): 250}
+
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def test_a_tick_at_its_limit_passes_the_gate(spark, tmp_path):
+    ticks = [(50.15, 2), (50.16, 2), (50.15, 3), (49.85, 3), (49.84, 3), (49.85, 2)]
+    rows = [(k, dt.datetime(2024, 1, 2, 10), user, "click", value, "") for k, (value, user) in enumerate(ticks)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(path)
+    got, want = both(spark, "B31_tick_price_gate", events=path)
+    assert got == want and len(got) == 6
