@@ -154,10 +154,10 @@ def final_holdings(holdings: DataFrame) -> DataFrame:
     return holdings.join(last, ["profile", "dt"]).groupBy("profile").agg(F.count_distinct("instrument").alias("final_names"))
 
 
-def executed_summary(trades: DataFrame) -> DataFrame:
-    """Round trips, pnl, profit factor, hit share, dates and symbols."""
+def executed_summary(trades: DataFrame, *keys: str) -> DataFrame:
+    """Round trips, pnl, profit factor, hit share, dates and symbols; with keys one row for each that has a trade."""
     gain, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.sum(F.when(F.col("pnl") < 0, F.col("pnl")))
-    return trades.agg(
+    return trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("round_trips"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("cum_pnl"),
         F.when(loss < 0, F.coalesce(gain, F.lit(0.0)) / F.abs(loss)).alias("profit_factor"),
         F.avg((F.col("pnl") > 0).cast("double")).alias("hit_ratio"), F.count_distinct("dt").alias("active_dates"), F.count_distinct("instrument").alias("symbols"))

@@ -57,3 +57,14 @@ def test_minutes_without_a_price_count_for_no_volume(spark, tmp_path):
     spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(path)
     got, want = both(spark, "B9_volume_unit_normalize", events=path)
     assert got == want and len(got) == 1
+
+
+def test_a_choice_that_accepts_nothing_has_no_row(spark, tmp_path):
+    # The five largest trades of the day all cost more than the budget; only a small one gains.
+    lines = [(k, 1, k, 1, 1.0, 200_000.0 + k, 0.04) for k in range(5)] + [(5, 1, 5, 1, 1.0, 30_000.0, 0.07)]
+    rows = [(*line, 0.0, "N", "O", dt.datetime(1996, 1, 2)) for line in lines]
+    fields = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(rows, fields).coalesce(1).write.parquet(path)
+    got, want = both(spark, "D42_opportunity_ceiling", lineitem=path)
+    assert got == want and len(got) == 1
