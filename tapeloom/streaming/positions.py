@@ -5,8 +5,9 @@ first, which freezes shares that are available; its fill takes them out of the
 reservation. Events of a session are applied in their order once the watermark
 has passed the session, so late arrivals inside it change nothing.
 
-The streaming job keeps the positions of one account as a map by instrument. A
-busy account is split into buckets of instruments, which never meet.
+The streaming job deals positions, which never meet, to buckets by a hash of account
+and instrument. A bucket keeps its positions as a map and its open sessions' events
+as one list with one timer, so neither small accounts nor long backlogs cost a call each.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SLACK = 1e-9
 Position = tuple[float, float, float, float, dt.date | None]  # total, available, frozen, unsettled, session
 EMPTY: Position = (0.0, 0.0, 0.0, 0.0, None)
 _STATE = "total double, available double, frozen double, unsettled double, session date"
-_EVENT = "instrument bigint, session date, ts timestamp, seq bigint, kind string, shares double"
+_EVENT = "account bigint, instrument bigint, session date, ts timestamp, seq bigint, kind string, shares double"
 RESULT = "account bigint, instrument bigint, session date, seq bigint, kind string, shares double, done double, total double, available double, frozen double, unsettled double"
 
 
@@ -84,66 +85,78 @@ def checked_positions(positions: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.hash("instrument"), F.lit(buckets)))
+    return df.withColumn("bucket", F.pmod(F.hash("account", "instrument"), F.lit(buckets)))
 
 
 class PositionProcessor(StatefulProcessor):
-    """Positions of one account and bucket; a session's events wait until the watermark has passed it."""
+    """Positions of one bucket; a session's events wait until the watermark has passed it."""
 
     def __init__(self, overfill: str):
         self.overfill = overfill
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.positions = handle.getMapState("positions", "instrument bigint", _STATE)
+        self.positions = handle.getMapState("positions", "account bigint, instrument bigint", _STATE)
         self.waiting = handle.getListState("waiting", _EVENT)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for row in initialState.itertuples(index=False):
-            self.positions.updateValue((int(row.instrument),), (row.total, row.available, row.frozen, row.unsettled, None))
+            self.positions.updateValue((int(row.account), int(row.instrument)), (row.total, row.available, row.frozen, row.unsettled, None))
+
+    def _wake(self, first: dt.date) -> None:
+        """A timer at the end of the earliest waiting session."""
+        end = dt.datetime.combine(first + dt.timedelta(days=1), dt.time(), dt.UTC)
+        self.handle.registerTimer(int(end.timestamp() * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            columns = (part[c].tolist() for c in ("instrument", "session", "ts", "seq", "kind", "shares"))
+            columns = (part[c].tolist() for c in ("account", "instrument", "session", "ts", "seq", "kind", "shares"))
             self.waiting.appendList(list(zip(*columns, strict=True)))
-            for session in part["session"].unique():
-                end = dt.datetime.combine(session + dt.timedelta(days=1), dt.time(), dt.UTC)
-                self.handle.registerTimer(int(end.timestamp() * 1000))
+            earliest = part["session"].min()
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self._wake(first)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = dt.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, dt.UTC).date()
+        # All sessions behind the watermark are over, also those after the timer's own.
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        limit = dt.datetime.fromtimestamp(passed / 1000, dt.UTC).date()
         events = [tuple(e) for e in self.waiting.get()]
-        ready, rest = [e for e in events if e[1] < limit], [e for e in events if e[1] >= limit]
-        if rest:
+        ready, rest = [e for e in events if e[2] < limit], [e for e in events if e[2] >= limit]
+        if rest and ready:
             self.waiting.put(rest)
-        else:
+        elif ready:
             self.waiting.clear()
+        if rest:
+            self._wake(min(e[2] for e in rest))
         out, held = [], {}
-        for instrument, session, _, seq, kind, shares in sorted(ready, key=lambda e: (e[2], e[3])):
-            if instrument not in held:
-                found = self.positions.containsKey((instrument,))
-                held[instrument] = tuple(self.positions.getValue((instrument,))) if found else EMPTY
-            state, done = apply_event(held[instrument], session, kind, shares, self.overfill)
-            held[instrument] = state
-            out.append((key[0], instrument, session, seq, kind, shares, done, *state[:4]))
-        for instrument, state in held.items():
-            self.positions.updateValue((instrument,), state)
+        for account, instrument, session, _, seq, kind, shares in sorted(ready, key=lambda e: (e[3], e[4])):
+            at = (account, instrument)
+            if at not in held:
+                held[at] = tuple(self.positions.getValue(at)) if self.positions.containsKey(at) else EMPTY
+            state, done = apply_event(held[at], session, kind, shares, self.overfill)
+            held[at] = state
+            out.append((account, instrument, session, seq, kind, shares, done, *state[:4]))
+        for at, state in held.items():
+            self.positions.updateValue(at, state)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def position_events(events: DataFrame, opening: DataFrame | None = None, *, delay: str = "5 minutes", overfill: str = "raise", buckets: int = 16) -> DataFrame:
+def position_events(events: DataFrame, opening: DataFrame | None = None, *, delay: str = "5 minutes", overfill: str = "raise", buckets: int = 1024) -> DataFrame:
     """The ledger of a stream of events, each with what it moved and the position after it.
 
     Input: account, instrument, ts, seq, kind (buy, reserve, release, fill), shares.
     `opening` holds positions from before the stream, checked by `checked_positions`.
+    A task holds the waiting events of one of the `buckets` at a time.
     """
     rows = events.withWatermark("ts", delay).select("account", "instrument", F.col("ts").cast("date").alias("session"), "ts", "seq", "kind", F.col("shares").cast("double").alias("shares"))
-    first = None if opening is None else _bucketed(checked_positions(opening), buckets).groupBy("account", "bucket")
-    return _bucketed(rows, buckets).groupBy("account", "bucket").transformWithStateInPandas(
+    first = None if opening is None else _bucketed(checked_positions(opening), buckets).groupBy("bucket")
+    return _bucketed(rows, buckets).groupBy("bucket").transformWithStateInPandas(
         PositionProcessor(overfill), outputStructType=RESULT, outputMode="append", timeMode="EventTime", initialState=first)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,41 @@ def test_stream_holds_events_until_their_session_is_over(spark, tmp_path):
     want = positions.position_history(closed, overfill="refuse")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 160
     assert got.where("frozen > available + 1e-9 or available + unsettled > total + 1e-9 or least(total, available, frozen, unsettled) < 0").count() == 0
+
+
+class Held:
+    """State of one bucket outside of a stream: a list, a map and timers, with the number of readings of the list."""
+
+    def __init__(self):
+        self.rows, self.map, self.timers, self.reads = [], {}, set(), 0
+        self.registerTimer, self.updateValue, self.containsKey, self.getValue = self.timers.add, self.map.__setitem__, self.map.__contains__, self.map.get
+        self.getMapState = self.getListState = lambda *_: self
+        self.appendList, self.clear = self.rows.extend, self.rows.clear
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows[:] = rows
+
+
+class At:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_backlog_of_sessions_is_read_once():
+    columns = ["account", "instrument", "session", "ts", "seq", "kind", "shares"]
+    rows = pd.DataFrame([(1, k % 3, DAY + dt.timedelta(days=k // 4), at(k // 4, 9 + k % 4), k, "buy", 1.0) for k in range(120)], columns=columns)
+    held, job = Held(), positions.PositionProcessor("raise")
+    job.init(held)
+    list(job.handleInputRows((1, 0), iter([rows[:50], rows[50:]]), None))
+    mark = int(at(20, 12).replace(tzinfo=dt.UTC).timestamp() * 1000)
+    out = []
+    while due := sorted(t for t in held.timers if t <= mark):
+        held.timers.discard(due[0])
+        fired = At(due[0])
+        out += [f for f in job.handleExpiredTimer((1, 0), At(mark), fired)]
+    assert sum(map(len, out)) == 80 and len(held.rows) == 40 and len(held.timers) == 1
+    assert held.reads == 1
