@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tapeloom import skew
 from tapeloom.models import isotonic
 
 
@@ -68,3 +69,15 @@ def test_a_choice_that_accepts_nothing_has_no_row(spark, tmp_path):
     spark.createDataFrame(rows, fields).coalesce(1).write.parquet(path)
     got, want = both(spark, "D42_opportunity_ceiling", lineitem=path)
     assert got == want and len(got) == 1
+
+
+def test_copies_of_one_value_are_ranked_by_many_tasks(apart, monkeypatch):
+    """Two values and nulls over 60,000 rows: no task of the join back holds most of one value."""
+    monkeypatch.setattr(skew, "COMMON", 2_000)
+    apart.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = apart.range(0, 60_000, 1, 4).select("id", F.when(F.col("id") % 3 < 2, F.when(F.col("id") % 3 == 0, -0.0).otherwise(1.0)).alias("v"))
+    ranked = skew.average_rank(rows, [], "v", "r", per_range=4_000)
+    got = ranked.withColumn("task", F.spark_partition_id()).groupBy("v", "r", "task").count().collect()
+    apart.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["v"], r["r"]) for r in got} == {(0.0, 10_000.5), (1.0, 30_000.5), (None, None)}
+    assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) < 16_000
