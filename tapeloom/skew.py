@@ -19,7 +19,8 @@ from tapeloom.session import stage
 
 PER_RANGE = 1_000_000
 SAMPLE = 8  # sampled values per range
-COMMON = PER_RANGE // 8  # rows from which a value's copies are dealt apart in a join
+LANES = 8  # lanes per range for the copies of a common value
+COMMON = PER_RANGE // LANES  # rows from which a value's copies are dealt apart in a join
 
 
 class Ranges(int):
@@ -62,16 +63,17 @@ def _common(df: DataFrame, value: str, ranges: int) -> tuple[Column, Column]:
     """Lanes for a join on the value: of a row, and all those of the value.
 
     Rows of values that a sample holds often, and rows without a value, get one of
-    `ranges` lanes, all others lane 0. The sample only steers the load.
+    `LANES` lanes a range, all others lane 0. The sample only steers the load.
     """
+    width = LANES * int(ranges)
     share = min(1.0, 64 / COMMON)
     often = df.select(value).where(F.col(value).isNotNull()).sample(share, 7).groupBy(value).count().where(F.col("count") >= 0.5 * share * COMMON).collect()
     kind = df.schema[value].dataType.simpleString()
     values = sorted({r[0] for r in often if r[0] == r[0]})
     found = F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")
     equal = F.coalesce(F.try_element_at(found, _range_no(F.col(value), found, len(values)) + 1) == F.col(value), F.lit(False)) if values else F.lit(False)
-    lane = F.pmod(F.monotonically_increasing_id(), F.lit(int(ranges))).cast("int")
-    return F.when(F.col(value).isNull() | equal, lane).otherwise(0), F.when(equal, F.sequence(F.lit(0), F.lit(int(ranges) - 1))).otherwise(F.array(F.lit(0)))
+    lane = F.pmod(F.monotonically_increasing_id(), F.lit(width)).cast("int")
+    return F.when(F.col(value).isNull() | equal, lane).otherwise(0), F.when(equal, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
 
 
 def _by(keys: list[str], *more: str):
