@@ -79,9 +79,10 @@ def fold_factors(df: DataFrame, folds: list[dict], factors: list[str], label: st
     rows = df.where(F.col(label).isNotNull()).select("dt", label, *factors, F.explode(ranges).alias("_f")).where("dt between _f.train_start and _f.train_end")
     part = F.when(F.col("dt") < F.col("_f.valid_start"), "train").otherwise("valid")
     rows = rows.select(F.col("_f.fold").alias("fold"), "dt", part.alias("_part"), label, *factors)
-    stats = evaluation.factor_segment_stats(rows, factors, label, "_part", min_names=min_names, extra=("fold",))
+    rows = stage(rows, "folds")
+    stats = evaluation.factor_segment_stats(rows, factors, label, "_part", min_names=min_names, extra=("fold",), staged=True)
     stability = evaluation.factor_stability(stats, "_part", "train", "valid", keys=("fold",))
-    pairs = evaluation.factor_correlations(rows, factors, by="fold").withColumn("fold", F.col("fold").cast("int"))
+    pairs = evaluation.factor_correlations(rows, factors, by="fold", staged=True).withColumn("fold", F.col("fold").cast("int"))
     return evaluation.factor_whitelist(stability, pairs, threshold=threshold, min_features=min_features, max_features=max_features, keys=("fold",))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.evaluation import daily_ic
-from tapeloom.skew import PER_RANGE, average_rank, check_groups
+from tapeloom.skew import PER_RANGE, average_ranks, check_groups
 
 KEYS = ["dt", "instrument"]
 
@@ -47,8 +47,7 @@ def rank_blend(baseline: DataFrame, candidate: DataFrame, weights: list[float],
     """
     both = baseline.select(*KEYS, F.col("score").alias("a")).join(candidate.select(*KEYS, F.col("score").alias("b")), KEYS)
     limit = check_groups(both, ["dt"], per_range)
-    out = average_rank(both, ["dt"], "a", "a_rank", pct=True, per_range=limit)
-    out = average_rank(out, ["dt"], "b", "b_rank", pct=True, per_range=limit)
+    out = average_ranks(both, ["dt"], {"a": "a_rank", "b": "b_rank"}, pct=True, per_range=limit)
     mix = F.array(*[F.struct(F.lit(float(w)).alias("weight"), ((1.0 - w) * F.col("a_rank") + w * F.col("b_rank")).alias("blend")) for w in weights])
     return out.select(*KEYS, "a_rank", "b_rank", F.inline(mix))
 
@@ -97,8 +96,7 @@ def weighted_blend(models: list[DataFrame], weights: list[float], per_range: int
     mix = reduce(lambda x, y: x + y, [F.col(f"s{i}") * (w / total) for i, w in enumerate(weights)])
     out = out.withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))})
     limit = check_groups(out, ["dt"], per_range)
-    for i in range(len(models)):
-        out = average_rank(out, ["dt"], f"_n{i}", f"r{i}", per_range=limit)
+    out = average_ranks(out, ["dt"], {f"_n{i}": f"r{i}" for i in range(len(models))}, per_range=limit)
     ranks = [F.col(f"r{i}") for i in range(len(models))]
     return out.withColumn("worst_rank", F.greatest(*ranks)).withColumn(
         "mean_rank", reduce(lambda x, y: x + y, ranks) / len(models)).drop(*[f"_n{i}" for i in range(len(models))])

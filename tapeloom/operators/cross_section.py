@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import ratio
 from tapeloom.session import stage
-from tapeloom.skew import FITS, PER_RANGE, average_rank, check_groups, quantiles, row_position
+from tapeloom.skew import FITS, PER_RANGE, average_rank, average_ranks, check_groups, quantiles, row_position
 
 
 def rank_pct(df: DataFrame, keys: list[str], value: str, tie: str, per_range: int = PER_RANGE) -> DataFrame:
@@ -41,10 +41,7 @@ def cross_sectional(df: DataFrame, keys: list[str], rank_cols: list[str], stat_c
     if limit != FITS:
         for c in medians:
             stats = stats.join(quantiles(frame, keys, c, {f"{c}_median": 0.5}, per_range=limit, staged=True), keys, "left")
-    out = frame
-    for c in rank_cols:
-        out = average_rank(out, keys, c, f"{c}_rank", pct=True, per_range=limit, staged=True)
-    out = out.join(stats, keys)
+    out = average_ranks(frame, keys, {c: f"{c}_rank" for c in rank_cols}, pct=True, per_range=limit, staged=True).join(stats, keys)
     return out.withColumns({f"{c}_rel": F.col(c) - F.col(f"{c}_median") for c in rank_cols})
 
 

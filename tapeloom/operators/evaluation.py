@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import EPS, pair_corr, ratio
 from tapeloom.session import stage
-from tapeloom.skew import FITS, PER_RANGE, average_rank, check_groups, quantiles, row_position, value_counts
+from tapeloom.skew import FITS, PER_RANGE, average_ranks, check_groups, quantiles, row_position, value_counts
 
 
 def market_breadth(panel: DataFrame, ret: str, eligible: Column | None = None) -> DataFrame:
@@ -71,14 +71,13 @@ def quantile_buckets(df: DataFrame, signal: str, tie: str, outcomes: list[str],
 
 
 def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, *, min_names: int = 3, min_distinct: int = 2,
-                     per_range: int = PER_RANGE) -> DataFrame:
+                     per_range: int = PER_RANGE, staged: bool = False) -> DataFrame:
     """Spearman per group over rows with both values: average ranks, then Pearson."""
     rows = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     limit = check_groups(rows, keys, per_range)
-    ranked = average_rank(rows, keys, x, "_rx", per_range=limit)
-    ranked = average_rank(ranked, keys, y, "_ry", per_range=limit)
+    ranked = average_ranks(rows, keys, {x: "_rx", y: "_ry"}, per_range=limit, staged=staged)
     aggs = [F.count(F.lit(1)).alias("n"), pair_corr(F.col("_rx"), F.col("_ry")).alias("ic")]
     if min_distinct > 2:
         aggs += [F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy")]
@@ -133,14 +132,19 @@ def alpha_scorecard(df: DataFrame, score: str, label: str, tops: list[int], per_
 
 
 def factor_segment_stats(df: DataFrame, factors: list[str], label: str, segment: str, *, min_names: int = 20,
-                         per_range: int = PER_RANGE, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per factor, segment and extra keys: coefficient stats, pooled coefficient, moments, nulls."""
-    long = stage(df.select("dt", *extra, segment, label, *factors).unpivot(["dt", *extra, segment, label], factors, "factor", "value"), "seg")
+                         per_range: int = PER_RANGE, extra: tuple[str, ...] = (), staged: bool = False) -> DataFrame:
+    """Per factor, segment and extra keys: coefficient stats, pooled coefficient, moments, nulls.
+
+    Rows are read several times, in long form that is made on reading; they are
+    written first unless the caller has done so (`staged`).
+    """
+    base = df.select("dt", *extra, segment, label, *factors)
+    long = (base if staged else stage(base, "seg")).unpivot(["dt", *extra, segment, label], factors, "factor", "value")
     keys = [*extra, "factor", segment]
-    daily = rank_correlation(long, [*keys, "dt"], "value", label, min_names=min_names, per_range=per_range).where("ic is not null")
+    daily = rank_correlation(long, [*keys, "dt"], "value", label, min_names=min_names, per_range=per_range, staged=True).where("ic is not null")
     ic = daily.groupBy(*keys).agg(
         F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"))
-    pooled = rank_correlation(long, keys, "value", label, min_names=20, per_range=per_range).select(*keys, F.col("ic").alias("pooled_ic"))
+    pooled = rank_correlation(long, keys, "value", label, min_names=20, per_range=per_range, staged=True).select(*keys, F.col("ic").alias("pooled_ic"))
     moments = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                       F.avg(F.col("value").isNull().cast("double")).alias("null_ratio"))
     out = moments.join(ic, keys, "left").join(pooled, keys, "left")
@@ -159,31 +163,37 @@ def factor_stability(stats: DataFrame, segment: str, train, valid, keys: tuple[s
         "stability", F.col("stable_ic") * F.sqrt(share) / (1.0 + F.coalesce("mean_shift", F.lit(10.0))))
 
 
-def factor_correlations(df: DataFrame, factors: list[str], per_range: int = PER_RANGE, block: int = 64, by: str | None = None) -> DataFrame:
+def factor_correlations(df: DataFrame, factors: list[str], per_range: int = PER_RANGE, block: int = 64, by: str | None = None,
+                        staged: bool = False) -> DataFrame:
     """Absolute rank correlation of every factor pair (a < b) over all rows, or over those of each `by`; null without spread.
 
-    Ranks are made per factor in long form and come back as one array per row. Each
-    task multiplies its arrays into sums of products, cut into blocks of factors,
-    and the blocks of all tasks are added: the plan does not grow with the number
-    of factors, and a task holds one number per pair of them and value of `by`,
-    which is a fold or the like.
+    Ranks are made per factor in long form and meet again row by row, sorted by row
+    and factor. Each task multiplies its rows into sums of products, cut into blocks
+    of factors, and the blocks of all tasks are added: the plan does not grow with
+    the number of factors, and a task holds one number per pair of them and value of
+    `by`, which is a fold or the like. Rows are read several times (`staged`: the
+    caller has written them).
     """
     n, size = len(factors), -(-len(factors) // block)
     key = F.lit(0) if by is None else F.col(by)
-    base = df.select(key.cast("long").alias("_by"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in factors]).withColumn("_row", F.monotonically_increasing_id())
-    long = stage(base.unpivot(["_by", "_row"], factors, "factor", "value"), "fc")
-    ranked = average_rank(long, ["_by", "factor"], "value", "r", per_range=per_range, staged=True)
-    number = F.create_map(*[x for k, f in enumerate(factors) for x in (F.lit(f), F.lit(k))])
-    wide = ranked.groupBy("_row").agg(F.first("_by").alias("_by"), F.sort_array(F.collect_list(F.struct(number[F.col("factor")].alias("k"), "r"))).alias("x"))
-    wide = wide.select("_by", F.transform("x", lambda e: e["r"]).alias("x"))
+    base = df.select(key.cast("long").alias("_by"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in factors])
+    base = base if staged else stage(base, "fc")
+    each = F.posexplode(F.array(*[F.col(f) for f in factors])).alias("k", "value")
+    long = base.withColumn("_row", F.monotonically_increasing_id()).select("_by", "_row", each)
+    ranked = average_ranks(long, ["_by", "k"], {"value": "r"}, per_range=per_range, staged=True)
+    wide = ranked.select("_by", "_row", "k", "r").repartition("_row").sortWithinPartitions("_row", "k").select("_by", "r")
     # Average ranks of all rows have the same known mean.
-    counts = long.where(F.col("factor") == factors[0]).groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()
-    middle = {r["_by"]: (r["n"] + 1) / 2.0 for r in counts}
+    middle = {r["_by"]: (r["n"] + 1) / 2.0 for r in base.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        rest = np.empty(0, np.int64), np.empty(0)
         for batch in batches:
-            own, every = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(-1, n)
+            # A row's n ranks stand together; a batch may end within a row.
+            keys, ranks = (np.concatenate([old, np.asarray(batch.column(c))]) for c, old in enumerate(rest))
+            whole = len(ranks) // n * n
+            rest = keys[whole:], ranks[whole:]
+            own, every = keys[:whole:n], ranks[:whole].reshape(-1, n)
             for k in np.unique(own).tolist():
                 x = every[own == k] - middle[k]
                 total[k] = total.get(k, 0.0) + x.T @ x

@@ -12,6 +12,9 @@ local counts into exact global ones.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ from tapeloom.session import stage
 
 PER_RANGE = 1_000_000
 SAMPLE = 8  # sampled values per range
-LANES = 8  # lanes per range for the copies of a common value
-COMMON = PER_RANGE // LANES  # rows from which a value's copies are dealt apart in a join
+CUTS = 64  # sampled rows per range
+LANES = 8  # lanes per range for rows without a value
+COMMON = PER_RANGE // LANES  # rows from which a value's copies are dealt apart
 
 
 class Ranges(int):
@@ -59,21 +63,30 @@ def _range_no(value: Column, points: Column, ranges: int) -> Column:
         (at + step <= F.size(points)) & (F.try_element_at(points, at + step) < value), at + step).otherwise(at))
 
 
-def _common(df: DataFrame, value: str, ranges: int) -> tuple[Column, Column]:
-    """Lanes for a join on the value: of a row, and all those of the value.
+def _cuts(df: DataFrame, value: str, ranges: int) -> tuple[Callable[[DataFrame], DataFrame], Column]:
+    """What adds the slot `_b` of the value to a frame, and the lanes of a slot.
 
-    Rows of values that a sample holds often, and rows without a value, get one of
-    `LANES` lanes a range, all others lane 0. The sample only steers the load.
+    Points cut a row sample of the value into equal parts, so one that many rows
+    share is a point itself. Slot 2k lies between two points, slot 2k + 1 holds the
+    copies of point k, null those without a value. Copies of a common value, and
+    rows without one, are dealt to lanes. The sample only steers the load.
     """
-    width = LANES * int(ranges)
-    share = min(1.0, 64 / COMMON)
-    often = df.select(value).where(F.col(value).isNotNull()).sample(share, 7).groupBy(value).count().where(F.col("count") >= 0.5 * share * COMMON).collect()
+    share = min(1.0, CUTS * ranges / max(1, df.count()))
     kind = df.schema[value].dataType.simpleString()
-    values = sorted({r[0] for r in often if r[0] == r[0]})
-    found = F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")
-    equal = F.coalesce(F.try_element_at(found, _range_no(F.col(value), found, len(values)) + 1) == F.col(value), F.lit(False)) if values else F.lit(False)
-    lane = F.pmod(F.monotonically_increasing_id(), F.lit(width)).cast("int")
-    return F.when(F.col(value).isNull() | equal, lane).otherwise(0), F.when(equal, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
+    picked = sorted(r[0] for r in df.select(value).where(F.col(value).isNotNull()).sample(share, 7).collect() if r[0] == r[0])
+    chosen = sorted({picked[k * len(picked) // ranges] for k in range(1, ranges)}) if picked else []
+    copies = [(bisect_right(picked, v) - bisect_left(picked, v)) / share for v in chosen]
+    points = F.array(*[F.lit(v).cast(kind) for v in chosen]).cast(f"array<{kind}>")
+    widths = F.array(*[F.lit(max(1, round(4 * n / COMMON))) for n in copies]).cast("array<int>")
+    below = _range_no(F.col(value), points, max(1, len(chosen)))
+    equal = F.coalesce(F.try_element_at(points, F.col("_b") + 1) == F.col(value), F.lit(False))
+    width = F.when(F.col("_b") % 2 == 1, F.try_element_at(widths, F.floor(F.col("_b") / 2).cast("int") + 1))
+    width = F.when(F.col("_b").isNull(), F.lit(LANES * int(ranges))).otherwise(F.coalesce(width, F.lit(1)))
+
+    def cut(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_b", F.when(F.col(value).isNotNull(), below)).withColumn("_b", F.col("_b") * 2 + equal.cast("int"))
+
+    return cut, width
 
 
 def _by(keys: list[str], *more: str):
@@ -129,25 +142,50 @@ def average_rank(
     per_range: int = PER_RANGE,
     staged: bool = False,
 ) -> DataFrame:
-    """Average rank of a value in its group (nulls get none), or rank / count.
+    """Average rank of a value in its group (nulls get none), or rank / count."""
+    return average_ranks(df, keys, {value: out}, pct=pct, per_range=per_range, staged=staged)
+
+
+def average_ranks(
+    df: DataFrame,
+    keys: list[str],
+    values: dict[str, str],
+    *,
+    pct: bool = False,
+    per_range: int = PER_RANGE,
+    staged: bool = False,
+) -> DataFrame:
+    """Average ranks of several values, `{value: out}`, as in `average_rank`.
 
-    A frame that needs several ranges is read twice and therefore written first,
-    unless the caller has done so (`staged`).
+    A frame that needs several ranges is read again for points and counts and
+    therefore written first, unless the caller has done so (`staged`). Its rows
+    then move once per value, to the window of their range; the counts of the
+    ranges come to them there. A value that is a point needs no more than counts.
     """
     ranges = check_groups(df, keys, per_range)
     if ranges == FITS:
-        up = _by(keys).orderBy(F.col(value).asc_nulls_last())
-        known = F.col(value).isNotNull()
-        # rank() is the first position of equal values, the running count their last.
-        rank = (F.rank().over(up) + F.count(value).over(up)) / 2.0
-        total = F.count(value).over(_by(keys))
-        return df.withColumn(out, F.when(known, rank / total if pct else rank))
-    frame = df if staged else stage(df, "rank")
-    ranks = value_counts(frame, keys, value, per_range=ranges)
-    rank = F.col("below") + (F.col("n") + 1) / 2.0
-    lane, lanes = _common(frame, value, ranges)
-    ranks = ranks.select(*keys, value, F.explode(lanes).alias("_lane"), (rank / F.col("total") if pct else rank).alias(out))
-    return frame.withColumn("_lane", lane).join(ranks, [*keys, value, "_lane"], "left").drop("_lane")
+        for value, out in values.items():
+            up = _by(keys).orderBy(F.col(value).asc_nulls_last())
+            known = F.col(value).isNotNull()
+            # rank() is the first position of equal values, the running count their last.
+            rank = (F.rank().over(up) + F.count(value).over(up)) / 2.0
+            total = F.count(value).over(_by(keys))
+            df = df.withColumn(out, F.when(known, rank / total if pct else rank))
+        return df
+    frame = ranked = df if staged else stage(df, "rank")
+    for value, out in values.items():
+        cut, lanes = _cuts(frame, value, ranges)
+        sizes = cut(frame.select(*dict.fromkeys([*keys, value]))).where("_b is not null").groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
+        before = _by(keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn("_total", F.sum("_m").over(_by(keys)))
+        # One row per group, slot and lane; as a file its size is known to the join.
+        offsets = stage(offsets.withColumn("_l", F.explode(F.sequence(F.lit(0), lanes - 1))), "offsets")
+        up = Window.partitionBy(*keys, "_b", "_l").orderBy(value)
+        ranked = cut(ranked).withColumn("_l", F.pmod(F.monotonically_increasing_id(), lanes).cast("int"))
+        ranked = ranked.withColumn("_at", (F.rank().over(up) + F.count(value).over(up)) / 2.0).join(offsets, [*keys, "_b", "_l"], "left")
+        rank = F.col("_off") + F.when(F.col("_b") % 2 == 1, (F.col("_m") + 1) / 2.0).otherwise(F.col("_at"))
+        ranked = ranked.withColumn(out, rank / F.col("_total") if pct else rank).drop("_b", "_l", "_at", "_m", "_off", "_total")
+    return ranked
 
 
 def row_position(
