@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.evaluation import daily_ic
-from tapeloom.skew import PER_RANGE, average_ranks, check_groups
+from tapeloom.session import stage
+from tapeloom.skew import PER_RANGE, average_ranks
 
 KEYS = ["dt", "instrument"]
 
@@ -45,9 +46,8 @@ def rank_blend(baseline: DataFrame, candidate: DataFrame, weights: list[float],
 
     Input: dt, instrument, score on both sides.
     """
-    both = baseline.select(*KEYS, F.col("score").alias("a")).join(candidate.select(*KEYS, F.col("score").alias("b")), KEYS)
-    limit = check_groups(both, ["dt"], per_range)
-    out = average_ranks(both, ["dt"], {"a": "a_rank", "b": "b_rank"}, pct=True, per_range=limit)
+    both = stage(baseline.select(*KEYS, F.col("score").alias("a")).join(candidate.select(*KEYS, F.col("score").alias("b")), KEYS), "blend")
+    out = average_ranks(both, ["dt"], {"a": "a_rank", "b": "b_rank"}, pct=True, per_range=per_range, staged=True)
     mix = F.array(*[F.struct(F.lit(float(w)).alias("weight"), ((1.0 - w) * F.col("a_rank") + w * F.col("b_rank")).alias("blend")) for w in weights])
     return out.select(*KEYS, "a_rank", "b_rank", F.inline(mix))
 
@@ -94,9 +94,9 @@ def weighted_blend(models: list[DataFrame], weights: list[float], per_range: int
     joined = equal_keys([m.select(*KEYS, "score", *same) for m in models], same)
     out = joined.select(*KEYS, *[F.col("t0")[c].alias(c) for c in same], *[F.col(f"t{i}")["score"].alias(f"s{i}") for i in range(len(models))])
     mix = reduce(lambda x, y: x + y, [F.col(f"s{i}") * (w / total) for i, w in enumerate(weights)])
-    out = out.withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))})
-    limit = check_groups(out, ["dt"], per_range)
-    out = average_ranks(out, ["dt"], {f"_n{i}": f"r{i}" for i in range(len(models))}, per_range=limit)
+    # Written once: counting the dates' rows would otherwise group all keys a second time.
+    out = stage(out, "blend").withColumn("score", mix).withColumns({f"_n{i}": -F.col(f"s{i}") for i in range(len(models))})
+    out = average_ranks(out, ["dt"], {f"_n{i}": f"r{i}" for i in range(len(models))}, per_range=per_range, staged=True)
     ranks = [F.col(f"r{i}") for i in range(len(models))]
     return out.withColumn("worst_rank", F.greatest(*ranks)).withColumn(
         "mean_rank", reduce(lambda x, y: x + y, ranks) / len(models)).drop(*[f"_n{i}" for i in range(len(models))])

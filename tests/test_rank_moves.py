@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom import skew
-from tapeloom.operators import evaluation
+from tapeloom.operators import blending, evaluation
 
 
 def test_rows_move_once_for_a_rank(spark):
@@ -29,3 +29,20 @@ def test_no_rank_is_joined_to_the_rows_of_factors(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = pdf.corr(method="spearman").abs()
     assert len(got) == 10 and all(np.isclose(r.corr, want.loc[r.a, r.b]) for r in got.itertuples())
+
+
+def test_a_blend_groups_its_keys_once(spark):
+    """The dates' rows are counted on what is written, not by a second grouping of the keys."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 400, 1, 4).selectExpr("date_add(date'2024-01-01', int(id % 8)) AS dt", "id AS instrument", "double(id * 37 % 101) AS score")
+    table = rows.mapInArrow(look, rows.schema)
+    out = blending.weighted_blend([table, rows], [3, 1], per_range=1_000).toPandas()
+    assert seen.value == 400
+    want = out.assign(score=out["s0"]).groupby("dt")["score"].rank(ascending=False)
+    np.testing.assert_allclose(out["r0"], want)
