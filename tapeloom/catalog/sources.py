@@ -44,7 +44,7 @@ def _(t):
 @query("A2_read_bar_panel", "instrument:i dt:d close:f amount:f2", with_(BARS) + "SELECT instrument, dt, close, amount FROM bars WHERE dt BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'")
 def _(t):
     root = scratch_path(t.spark, "panel")
-    t.bars().withColumnRenamed("dt", "date").repartition("instrument").write.option("header", "true").partitionBy("instrument").csv(root)
+    sinks.write_symbol_csv(t.bars().withColumnRenamed("dt", "date"), root, "instrument")
     return readers.read_bar_panel(t.spark, [root], "1994-01-01", "1996-12-31", r"instrument=(\d+)")
 
 

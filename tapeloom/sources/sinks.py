@@ -10,12 +10,16 @@ from collections.abc import Iterator
 from contextlib import ExitStack
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv as arrow_csv
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.reconcile import align_source_scale, apply_scale, latest_per_key, merge_sources
-from tapeloom.session import stage
+from tapeloom.session import spread_by, stage
+from tapeloom.sources import files
 
 
 def write_versioned(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
@@ -60,6 +64,35 @@ def write_zip_csv(df: DataFrame, folder: str, member: str) -> int:
     return sorted_rows.mapInArrow(run, "files long").agg(F.sum("files")).first()[0]
 
 
+def write_symbol_csv(df: DataFrame, folder: str, symbol: str) -> int:
+    """One CSV file per symbol, `symbol=<value>.csv`, in one folder per task, without the symbol's column.
+
+    Folders are as many as shuffle partitions, however many symbols there are, so
+    that listing them stays short. Rows are sorted by symbol inside each task and
+    streamed; a null symbol is written as `null`. Returns the number of files.
+    """
+    names = [c for c in df.columns if c != symbol]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = files.located(f"{folder}/{TaskContext.get().partitionId():05d}")
+        system.create_dir(root, recursive=True)
+        now, done, writer = None, 0, None
+        with ExitStack() as last:
+            for batch in batches:
+                rows, runs, first = batch.select(names), pc.run_end_encode(batch.column(symbol)), 0
+                for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    if writer is None or key != now:
+                        last.close()
+                        name = "null" if key is None else key
+                        stream = last.enter_context(system.open_output_stream(f"{root}/{symbol}={name}.csv", compression=None))
+                        writer, now, done = last.enter_context(arrow_csv.CSVWriter(stream, rows.schema)), key, done + 1
+                    writer.write_batch(rows.slice(first, end - first))
+                    first = end
+        yield pa.RecordBatch.from_pydict({"files": pa.array([done], pa.int64())})
+
+    return spread_by(df, symbol).sortWithinPartitions(symbol).mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def upsert_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Existing and incoming rows, the incoming one wins on an equal key."""
     both = existing.withColumn("batch_no", F.lit(0)).unionByName(incoming.withColumn("batch_no", F.lit(1)))
