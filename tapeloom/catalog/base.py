@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.sources.bindings import Tables
@@ -39,11 +39,17 @@ def _nudge(kind: str) -> str:
     return f"{0.0123 * 10.0 ** -_digits(kind):.3e}"
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """Round as DuckDB does, by scaling; large values, where that is coarse, by their decimal text, which takes far longer."""
+    scale = 10.0**digits
+    return F.when(F.abs(value) < 1e11 / scale, F.rint(value * scale) / scale + 0.0).otherwise(F.round(value, digits))
+
+
 def tidy(df: DataFrame, spec: str) -> DataFrame:
     cols = []
     for name, kind in _split(spec):
         if kind[0] == "f":
-            cols.append(F.round(F.col(name).cast("double") + float(_nudge(kind)), _digits(kind)).alias(name))
+            cols.append(_rounded(F.col(name).cast("double") + float(_nudge(kind)), _digits(kind)).alias(name))
         else:
             cols.append(F.col(name).cast(_SPARK[kind]).alias(name))
     return df.select(*cols)

@@ -6,8 +6,11 @@ builders over one window spec; those of any length are put together from blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -33,11 +36,33 @@ def candle_features() -> dict[str, Column]:
 OPERATORS = ("ma", "std", "beta", "rsqr", "rsv", "imxd", "corr", "vma", "vstd", "qtlu", "qtld", "roc", "cntd", "wvma", "sumd")
 
 
-def _rolled(bars: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-    """The operators of one instrument's rows over windows of n rows."""
-    p, v, high, low = (bars[c] for c in ("close", "volume", "high", "low"))
-    w, rows = blocks.Windows(len(p), n), np.arange(len(p), dtype=float)
+def _rolled(bars: dict[str, np.ndarray], firsts: np.ndarray, sizes: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """The operators over windows of n rows for instruments that lie one after another.
+
+    Each instrument with a full window begins a block of its own and is filled up
+    with unknown values, so no block holds rows of two. Windows that reach back
+    into another instrument end in its first rows, which get no result.
+    """
+    total, long = int(sizes.sum()), sizes >= n
+    firsts, sizes = firsts[long], sizes[long]
+    out = {f: np.full(total, np.nan) for f in OPERATORS}
+    if not len(sizes):
+        return out
+    padded = -(-sizes // n) * n
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a row in its instrument
+    given, at = np.repeat(firsts, sizes) + place, np.repeat(np.cumsum(padded) - padded, sizes) + place
+    length = int(padded.sum())
+
+    def laid(x: np.ndarray) -> np.ndarray:
+        apart = np.full(length, np.nan)
+        apart[at] = x[given]
+        return apart
+
+    p, v, high, low = (laid(bars[c]) for c in ("close", "volume", "high", "low"))
+    w, rows = blocks.Windows(length, n), np.zeros(length)
+    rows[at] = place
     before = blocks.lagged(p, 1)
+    before[at[place == 0]] = np.nan
     d = p - before
     with np.errstate(invalid="ignore", divide="ignore"):
         logs = np.log(v + 1.0)
@@ -51,7 +76,7 @@ def _rolled(bars: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
     bottom = -bottom
     with np.errstate(invalid="ignore", divide="ignore"):
         spread = np.sqrt(aa / pairs), np.sqrt(bb / pairs)
-        out = {
+        whole = {
             "ma": blocks.divided(mean, p), "std": blocks.divided(sd, p), "beta": blocks.divided(blocks.divided(kp, kk), p),
             "rsqr": np.where(sd > EPS, blocks.divided(kp * kp, kk * pp), np.nan), "rsv": blocks.divided(p - bottom, top - bottom + EPS),
             "imxd": (top_at - bottom_at) / n, "corr": np.where((spread[0] > EPS) & (spread[1] > EPS), blocks.divided(ab / pairs, spread[0] * spread[1]), np.nan),
@@ -63,16 +88,43 @@ def _rolled(bars: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
             "roc": blocks.divided(blocks.lagged(p, n), p), "cntd": blocks.divided(w.sum(np.sign(d)), w.count(d)),
             "wvma": blocks.divided(m_sd, m_mean), "sumd": blocks.divided(w.sum(d), w.sum(np.abs(d))),
         }
-    for need, part in ((n - 1, out), (n, changes)):
-        for x in part.values():
-            x[:need] = np.nan
-    return out | changes
+    for need, part in ((n - 1, whole), (n, changes)):
+        full = place >= need
+        for f, x in part.items():
+            out[f][given[full]] = x[at[full]]
+    return out
+
+
+def _whole_instruments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole instruments from rows in their order, and the first row of each instrument."""
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ends = pc.run_end_encode(table.column(key).chunk(0)).run_ends.to_numpy()
+        return table, np.concatenate([[0], ends[:-1]])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column(key)[-1].as_py() != batch.column(key)[0].as_py():
+            yield cut(held)
+            held = []
+        ends = pc.run_end_encode(batch.column(key)).run_ends
+        last = ends[-2].as_py() if len(ends) > 1 else 0
+        if last:
+            yield cut([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield cut(held)
 
 
 def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
     """15 rolling operators per window length; null until the window has all its rows.
 
-    One instrument's rows, a calendar at most, are one task's arrays; each window
+    Rows are dealt by instrument and sorted by date; a task takes a batch's worth of
+    whole instruments, a calendar each at most, as one set of arrays. Each window
     is put together from two partial aggregates (`blocks`), so the work per row does
     not depend on the length, and neither the level of earlier prices nor a flat
     stretch leaks in. A null inside a full window is left out: means, deviations,
@@ -85,17 +137,19 @@ def rolling_features(df: DataFrame, windows: list[int]) -> DataFrame:
     schema = StructType([*(df.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in names)])
     given = df.select(*kept, *[F.col(c).cast("double").alias(f"_{c}") for c in used])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("dt")
-        bars = {c: table.column(f"_{c}").to_numpy().astype(float) for c in used}
-        out = table.select(kept)
-        for n in windows:
-            made = _rolled(bars, n)
-            for o in OPERATORS:
-                out = out.append_column(f"{o}{n}", pa.array(made[o], pa.float64(), from_pandas=True))
-        return out
-
-    return given.groupBy("instrument").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, firsts in _whole_instruments(batches, "instrument"):
+            bars = {c: table.column(f"_{c}").to_numpy().astype(float) for c in used}
+            sizes = np.diff(firsts, append=table.num_rows)
+            made = []
+            for n in windows:
+                rolled = _rolled(bars, firsts, sizes, n)
+                made += [pa.array(rolled[o], pa.float64(), from_pandas=True) for o in OPERATORS]
+            own = [table.column(c).chunk(0) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, *made], [*kept, *names])
+
+    rows = spread_by(given, "instrument").sortWithinPartitions(F.col("instrument"), F.col("dt").asc_nulls_last())
+    return rows.mapInArrow(run, schema)
 
 
 def daily_proxies(df: DataFrame) -> DataFrame:

@@ -32,3 +32,38 @@ def test_symbols_longer_than_a_batch_keep_their_rows(spark, tmp_path):
     got = readers.read_bar_panel(spark, [str(tmp_path / "x")], "1900-01-01", "2100-01-01", r"instrument=(\d+)")
     assert got.count() == 25_000
     assert got.withColumn("instrument", F.col("instrument").cast("long")).withColumnRenamed("dt", "date").select(*rows.columns).exceptAll(rows).count() == 0
+
+
+def test_instruments_rolled_together_are_as_if_alone():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([40, 1, 5, 6, 4, 13])
+    firsts = np.cumsum(sizes) - sizes
+    bars = {c: np.round(rng.random(sizes.sum()) + 10, 2) for c in ("close", "volume", "high", "low")}
+    bars["close"][7] = bars["volume"][20] = np.nan
+    got = candles._rolled(bars, firsts, sizes, 5)
+    for first, size in zip(firsts, sizes, strict=True):
+        own = slice(first, first + size)
+        alone = candles._rolled({c: x[own] for c, x in bars.items()}, np.array([0]), np.array([size]), 5)
+        for o in candles.OPERATORS:
+            np.testing.assert_array_equal(got[o][own], alone[o])
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_batches_are_cut_between_instruments(size):
+    rows = pa.record_batch({"instrument": pa.array(["a"] * 5 + ["b"] * 3 + ["c"] * 9 + [None] * 4), "x": pa.array(range(21))})
+    cuts = [(t.column("x").to_pylist(), f.tolist()) for t, f in candles._whole_instruments((rows.slice(a, size) for a in range(0, 21, size)), "instrument")]
+    assert [x for xs, _ in cuts for x in xs] == list(range(21))
+    assert [xs[k] for xs, firsts in cuts for k in firsts] == [0, 5, 8, 17]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    from tapeloom.catalog.base import _rounded
+
+    values = [0.0, -0.0, 0.00000123, -0.00001, 1.00005, -2.5, 123456.7890123, 9.9e6, 1.1e7, 3.3e12, -1e300, 1e308, float("inf"), float("-inf")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(_rounded(F.col("v") + 1.23e-6, 4)).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE + 1.230e-06::DOUBLE, 4) + 0.0", [v]).fetchone()[0] for v in values]
+    assert list(map(repr, got)) == list(map(repr, want))
