@@ -61,30 +61,33 @@ def execution_labels(df: DataFrame, windows: dict[str, str], costs: Costs) -> Da
     `windows` maps a window name to its price column. The grid has 4 sizings,
     2 directions and the given windows, so each row grows by that fixed factor.
     """
-    shares, lot, price = F.col("shares"), min_lot(F.col("code")), F.col("decision_price")
-    sized = []
-    for pct in (10, 20, 30):
-        volume = F.floor(shares * (pct / 100.0) / lot) * lot
-        sized.append((f"{pct}pct", volume, (volume >= lot) & (volume <= shares)))
-    sized.append(("one_lot", lot, (shares >= lot) & (lot <= shares * 0.5)))
+    shares, lot, price = F.col("shares"), F.col("_lot"), F.col("decision_price")
+    sizings = [("10pct", 0.1), ("20pct", 0.2), ("30pct", 0.3), ("one_lot", None)]
+    # The grid is a constant; what it is made of is worked out once per row, not once per cell.
     grid = F.array(*[
-        F.struct(F.lit(s).alias("sizing"), v.alias("volume"), ok.alias("tradeable"),
-                 F.lit(w).alias("window"), F.col(c).alias("buyback"), F.lit(d).alias("direction"))
-        for s, v, ok in sized for w, c in windows.items() for d in ("sell_first", "buy_first")
+        F.struct(F.lit(s).alias("sizing"), F.lit(f).cast("double").alias("_f"), F.lit(w).alias("window"), F.lit(k).alias("_w"), F.lit(d).alias("direction"))
+        for s, f in sizings for k, w in enumerate(windows) for d in ("sell_first", "buy_first")
     ])
-    out = df.withColumn("g", F.explode(grid)).select(*df.columns, "g.*")
-    valid = F.col("tradeable") & (price > 0) & (F.col("buyback") > 0)
+    one = df.withColumn("_lot", min_lot(F.col("code")).cast("double"))
+    cells = one.withColumn("g", F.explode(grid)).select(*one.columns, "g.*")
+    part = F.col("_f")
+    cells = cells.withColumn("volume", F.when(part.isNull(), lot).otherwise(F.floor(shares * part / lot) * lot))
+    volume = F.col("volume")
+    fits = F.when(part.isNull(), (shares >= lot) & (lot <= shares * 0.5)).otherwise((volume >= lot) & (volume <= shares))
+    buyback = F.coalesce(*[F.when(F.col("_w") == k, F.col(c)) for k, c in enumerate(windows.values())])
+    out = cells.withColumns({"tradeable": fits, "_buyback": buyback})
+    valid = F.col("tradeable") & (price > 0) & (F.col("_buyback") > 0)
     sell_first = F.col("direction") == "sell_first"
     pnl = _leg_pnl(
-        F.col("volume"), F.when(sell_first, price).otherwise(F.col("buyback")),
-        F.when(sell_first, F.col("buyback")).otherwise(price), costs, costs.slippage, costs.slippage,
+        volume, F.when(sell_first, price).otherwise(F.col("_buyback")),
+        F.when(sell_first, F.col("_buyback")).otherwise(price), costs, costs.slippage, costs.slippage,
     )
     return (
         out.withColumn("pnl", F.when(valid, pnl))
-        .withColumn("edge", ratio(F.col("pnl"), F.col("volume") * price + EPS))
+        .withColumn("edge", ratio(F.col("pnl"), volume * price + EPS))
         .withColumn("hit", (F.col("pnl") > 0).cast("double"))
-        .withColumn("volume", F.when(F.col("tradeable"), F.col("volume")).otherwise(0.0))
-        .drop("buyback")
+        .withColumn("volume", F.when(F.col("tradeable"), volume).otherwise(0.0))
+        .select(*df.columns, "sizing", "volume", "tradeable", "window", "direction", "pnl", "edge", "hit")
     )
 
 

@@ -58,6 +58,17 @@ def test_batches_are_cut_between_instruments(size):
     assert [xs[k] for xs, firsts in cuts for k in firsts] == [0, 5, 8, 17]
 
 
+def test_the_lot_of_a_held_row_is_found_once(spark):
+    held = spark.createDataFrame([("688001", 1000.0, 10.0, 11.0), ("600001", 100.0, 10.0, None)], "code string, shares double, decision_price double, exit_price double")
+    out = labels.execution_labels(held, {"exit": "exit_price"}, trading.BASE_COSTS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("RLIKE") == 1
+    rows = {(r["code"], r["sizing"], r["direction"]): r for r in out.collect()}
+    assert len(rows) == 16
+    assert rows["688001", "30pct", "sell_first"]["volume"] == 200.0 and rows["688001", "10pct", "sell_first"]["volume"] == 0.0
+    assert rows["600001", "10pct", "buy_first"]["pnl"] is None and not rows["600001", "one_lot", "buy_first"]["tradeable"]
+
+
 def test_rounding_is_that_of_the_sql(spark):
     import duckdb
 
