@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tapeloom.catalog.base import BARS, FALLBACK, MINUTES, PRIMARY, SESS, query, with_
 from tapeloom.catalog.joins import SCALE
 from tapeloom.operators import sessions
-from tapeloom.session import scratch_path
+from tapeloom.session import scratch_path, stage
 from tapeloom.sources import readers, sinks
 
 ZH = {"dt": "日期", "instrument": "代码", "open": "开盘", "high": "最高", "low": "最低", "close": "收盘", "volume": "成交量", "amount": "成交额"}
@@ -25,7 +25,7 @@ def _csv(df, path, encoding="UTF-8"):
 SELECT CAST(instrument AS VARCHAR) AS instrument, dt, open, CASE WHEN month(dt) = 5 THEN close*2 WHEN day(dt) = 11 THEN NULL ELSE close END AS close, volume FROM bars WHERE day(dt) <> 13 OR month(dt) = 5""")
 def _(t):
     root = scratch_path(t.spark, "bars-zh")
-    b = t.bars()
+    b = stage(t.bars(), "bars")  # four files are written from it
     text = b.select(*[F.col(c).cast("string").alias(c) for c in ZH])
     dirty = text.withColumn("close", F.when(F.day(F.col("dt").cast("date")) == 11, "n/a").otherwise(F.col("close"))).withColumn(
         "dt", F.when(F.day(F.col("dt").cast("date")) == 13, "bad").otherwise(F.col("dt")))

@@ -152,7 +152,13 @@ def parse_stamp(text: Column) -> Column:
     """
     plain = F.trim(text)
     iso = F.when(~plain.rlike(r"^\d+$"), F.try_to_timestamp(plain))
-    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(p)) for p in STAMPS])
+
+    def tried(pattern: str) -> Column:
+        # A failed attempt costs an exception, so only patterns with the text's separators are tried.
+        fits = [plain.contains(c) if c in pattern else ~plain.contains(c) for c in "/ :"]
+        return F.when(reduce(Column.__and__, fits), F.try_to_timestamp(plain, F.lit(pattern)))
+
+    return F.coalesce(iso, *map(tried, STAMPS))
 
 
 def _bar_rows(texts: list[DataFrame], place: object, instrument_from_path: str | None, minute: bool) -> DataFrame:

@@ -69,6 +69,20 @@ def test_the_lot_of_a_held_row_is_found_once(spark):
     assert rows["600001", "10pct", "buy_first"]["pnl"] is None and not rows["600001", "one_lot", "buy_first"]["tradeable"]
 
 
+def test_bars_of_four_files_are_made_once(spark):
+    before = set(os.listdir(scratch_root(spark)))
+    entry.queries()["A1_read_bars"](spark, ROOT)
+    assert sum(n.startswith("bars-") and not n.startswith("bars-zh") for n in set(os.listdir(scratch_root(spark))) - before) == 1
+
+
+def test_stamps_of_every_shape(spark):
+    texts = ["2024-01-02", "20240102", "2024/1/2", "20240102093000", "20240102 09:30:00", "2024/1/2 9:30", "2024/1/2 9:30:00", " 2024-01-02 09:30:00", "bad", "2024/13/2", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r[1] for r in rows.select("k", readers.parse_stamp(F.col("t"))).orderBy("k").collect()]
+    day, open_ = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 9, 30)
+    assert got == [day, day, day, open_, open_, open_, open_, open_, None, None, None, None]
+
+
 def test_rounding_is_that_of_the_sql(spark):
     import duckdb
 
