@@ -7,6 +7,7 @@ from tapeloom.catalog.base import BARS, BARS_W, SESS, query, with_
 from tapeloom.functions import candles
 from tapeloom.functions.guards import ratio
 from tapeloom.operators import cross_section, evaluation, folds, ordered, rolling, sessions
+from tapeloom.session import stage
 
 W = "PARTITION BY instrument ORDER BY dt"
 ELIG = f"""elig AS (SELECT *, coalesce(listing_days >= 30 AND avg_amount >= 10000 AND suspend_ratio <= 0.2 AND open > 0 AND close > 0, false) AS eligible FROM (
@@ -337,12 +338,14 @@ a AS (SELECT any_value(mc) AS mc, any_value(mv) AS mv, quantile_cont(abs(close-m
 SELECT instrument, dt, least(3, greatest(-3, (close-mc)/(1.4826*dc))) AS close_z, least(3, greatest(-3, (volume-mv)/(1.4826*dv))) AS volume_z,
  {_avg_rank('label', 'dt')}/count(*) OVER (PARTITION BY dt) AS label_rank FROM l, a WHERE label IS NOT NULL""")
 def _(t):
-    bars = t.bars()
+    # The fit and the labels read the bars, the sizes of the dates and their ranks the labels.
+    bars = stage(t.bars().select("instrument", "dt", "close", "volume"), "bars")
     fitted = cross_section.fit_robust_scale(bars, ["close", "volume"], "1993-01-01", "1995-12-31")
-    labelled = bars.withColumn("label", rolling.past_return(1)).where("label is not null")
+    labelled = stage(bars.withColumn("label", rolling.past_return(1)).where("label is not null"), "labelled")
     from tapeloom.skew import average_rank
 
-    return average_rank(cross_section.apply_robust_scale(labelled, fitted, ["close", "volume"]), ["dt"], "label", "label_rank", pct=True)
+    scaled = cross_section.apply_robust_scale(labelled, fitted, ["close", "volume"])
+    return average_rank(scaled, ["dt"], "label", "label_rank", pct=True, staged=True)
 
 
 @query("E21_schedule_flags", "dt:d session_no:i by_modulus:b due:b", with_(SESS, "ev AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders WHERE o_totalprice > 400000)") + """

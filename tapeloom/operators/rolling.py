@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.guards import EPS, by_instrument, guarded, ratio, trailing
+from tapeloom.session import stage
 from tapeloom.skew import quantiles
 
 
@@ -119,8 +120,10 @@ def risk_thresholds(scores: DataFrame, *, window: int, gap_days: int, base: floa
     """Per date: median outer score to a clipped risk budget, inner quantiles.
 
     Input: dt, instrument, outer, inner, eligible. Only eligible names enter the
-    median; medians and quantiles are exact for cross-sections of any size.
+    median; medians and quantiles are exact for cross-sections of any size. The
+    scores are written first, as several passes read them.
     """
+    scores = stage(scores.select("dt", "outer", "inner", "eligible"), "scores")
     med = quantiles(scores.where("eligible"), ["dt"], "outer", {"outer_median": 0.5})
     inner = quantiles(scores, ["dt"], "inner", {"inner_low": q_low, "inner_high": q_high})
     days = scores.select("dt").distinct().join(med, "dt", "left")

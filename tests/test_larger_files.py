@@ -69,6 +69,11 @@ def test_the_lot_of_a_held_row_is_found_once(spark):
     assert rows["600001", "10pct", "buy_first"]["pnl"] is None and not rows["600001", "one_lot", "buy_first"]["tradeable"]
 
 
+@pytest.mark.parametrize("name", ["E20_normalizers", "E5_rolling_z_gap_reset"])
+def test_passes_over_bars_read_them_from_a_file(spark, name):
+    assert not [f for f in entry.queries()[name](spark, ROOT).inputFiles() if "lineitem" in f]
+
+
 def test_bars_of_four_files_are_made_once(spark):
     before = set(os.listdir(scratch_root(spark)))
     entry.queries()["A1_read_bars"](spark, ROOT)
