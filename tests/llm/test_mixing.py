@@ -126,6 +126,47 @@ def test_small_ranges_and_parts_give_the_same_scores(docs_of, texts, monkeypatch
     assert scores() == whole
 
 
+def test_a_pack_lists_each_hash_once_and_short(docs_of, texts):
+    rows = mixing.packs(docs_of(texts).repartition(1), 1 << 20).collect()
+    (pack,) = [r for r in rows if r.words is not None]
+    known = Counter(w for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 7 != 2 for w in words_of(t))
+    contexts, pairs = set(), set()
+    for w in {w for t in texts for w in words_of(t)}:
+        own = b" " + w + (b"" if w == b"\n" else b" ")
+        found = {(own[max(0, i - o) : i], own[i]) for i in range(1, len(own)) for o in mixing.ORDERS}
+        contexts |= {context for context, _ in found} | {(w,)}
+        pairs |= found | {((w,), 256)} if known[w] else set()
+    assert len(pack["keys"]) < 8 * len(contexts)
+    assert len(zlib.decompress(pack["values"])) == 2 * len(pairs)
+    key, size, value, n = mixing._read(pack["keys"], pack["sizes"], pack["values"], pack["counts"])
+    assert len(key) == len(contexts) and (key[1:] > key[:-1]).all()
+    assert size.sum() == len(value) == len(n) == len(pairs) and n[value == mixing.WORD].sum() == known.total()
+
+
+def test_hashes_and_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        assert (mixing.unstepped(mixing.steps(keys)) == keys).all()
+        numbers = rng.integers(-(2**62), 2**62, n)
+        assert (mixing.unsqueezed(mixing.squeezed(numbers), np.int64) == numbers).all()
+
+
+def test_words_of_odd_texts():
+    texts = [b"", b" ", b"A\x0bb\x1cC\xc2\x85d\xc2\xa0e", "Ä ä\u2003É".encode(), b"\xff\xfe Z\x00z", b"\t a a\r\n", b"".join(bytes([b, 32]) for b in range(256))]
+    words, ids = mixing.split(texts)
+    assert [[words[i - 1] for i in x[:-1]] for x in ids] == [t.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split() for t in texts]
+    assert [x[-1] for x in ids] == [0] * len(texts) and len(set(words)) == len(words)
+
+
+def test_bytes_of_the_same_contexts_are_kept_once():
+    lexicon = mixing.Lexicon([b"abcdefghij" + bytes([k]) for k in range(97, 122)])
+    code = mixing.Code(np.arange(256))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = mixing.Bits(lexicon, code, *mixing.log_odds(code, lexicon, *none))
+    assert len(bits.number) == int(lexicon.size.sum()) and len(bits.tables[0]) == int(bits.number.max()) + 1 == 1 + 10 + 2 * 25
+
+
 def test_edges(docs_of):
     assert mixing.score(docs_of([])).count() == 0
     held = next(k for k in range(100) if mixing.held_out(k))
