@@ -128,7 +128,11 @@ def unstepped(data: bytes) -> np.ndarray:
 
 
 class Lexicon:
-    """The distinct words of a pack, the end mark first, byte by byte with the contexts of each byte."""
+    """The distinct words of a pack, the end mark first, byte by byte with the contexts of each byte.
+
+    Per (context, byte) pair `key` has the context's hash and `value` the byte. `whole` has of each byte the pair of its
+    longest context, which fixes the shorter ones: for those pairs, `used`, `pairs` has per order the pair's number.
+    """
 
     def __init__(self, words: list[bytes]):
         data = b" \n" + b"".join([b" " + w + b" " for w in words])
@@ -136,36 +140,38 @@ class Lexicon:
         self.size = np.array([1, *[len(w) + 1 for w in words]], np.int64)  # bytes to predict
         begin = np.cumsum(self.size + 1) - self.size - 1
         self.first = np.cumsum(self.size) - self.size
-        at, depth = spread(begin + 1, self.size), spread(np.zeros_like(self.size), self.size + 1)
+        at, line_depth = spread(begin + 1, self.size), spread(np.zeros_like(self.size), self.size + 1)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [b"\n", *words]), np.uint64, len(words) + 1)
         self.word_key = T.mixed(hashes ^ _U(0xA5A5A5A5A5A5A5A5))
-        # Per order: the number of the (context, byte) pair of each byte, and the pairs' contexts and bytes.
         # Bytes count from 1; those before the word are 0. Six of them and their places fit 64 bits.
         line = x.astype(np.int64) + 1
-        packed = line.copy()
-        self.pair, keys, values, done, last = [], [], [], 0, 0
+        packed, depth = line.copy(), line_depth[at]
+        pairs, keys, values, done, last = [], [], [], 0, 0
         for order in ORDERS:
             for back in range(last + 1, order + 1):
-                packed[back:] |= (line[:-back] << 9 * back) * (depth[back:] >= back)
-            fresh = np.flatnonzero(depth[at] > last)
+                packed[back:] |= (line[:-back] << 9 * back) * (line_depth[back:] >= back)
+            fresh = np.flatnonzero(depth > last)
             number, kinds = pd.factorize(packed[at[fresh]])
-            own = self.pair[-1].copy() if self.pair else np.zeros(len(at), np.int32)
+            own = pairs[-1].copy() if pairs else np.zeros(len(at), np.int32)
             own[fresh] = number + done
-            self.pair.append(own)
+            pairs.append(own)
             keys.append(T.mixed(T.mixed((kinds >> 9).astype(_U) + _U(1))))
             values.append((kinds & 511) - 1)
             done, last = done + len(kinds), order
-        self.key, self.value = np.concatenate(keys), np.concatenate(values)
-        self.initial = depth[at] == 1
+        self.key, self.value, self.whole = np.concatenate(keys), np.concatenate(values), pairs[-1]
+        one = np.full(done, -1, np.int32)
+        one[self.whole] = np.arange(len(at), dtype=np.int32)
+        self.used = np.flatnonzero(one >= 0)
+        one = one[self.used]
+        self.pairs, self.initial = [pair[one] for pair in pairs], depth[one] == 1
 
     def counts(self, seen: np.ndarray) -> np.ndarray:
         """Of each pair, how often it is in the words, each taken `seen` times."""
-        per_byte, out, last = np.repeat(seen, self.size), np.zeros(len(self.key)), 0
-        depth = spread(np.ones_like(self.size), self.size)
-        for order, pair in zip(ORDERS, self.pair, strict=True):
-            fresh = depth > last
-            out += np.bincount(pair[fresh], per_byte[fresh], len(out))
-            last = order
+        out = np.bincount(self.whole, np.repeat(seen, self.size), len(self.key))
+        n = out[self.used]
+        for pair, longer in itertools.pairwise(self.pairs):
+            other = pair != longer
+            out += np.bincount(pair[other], n[other], len(out))
         return out.astype(np.int64)
 
     def listed(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -265,25 +271,28 @@ def _lexicon(words: bytes) -> Lexicon:
     return Lexicon(plain.split(b"\n") if plain else [])
 
 
-def asked(made: DataFrame, buckets: int) -> DataFrame:
-    """(pack, bucket, size, keys, sizes, values, counts): each pack's lists, cut into equal ranges of hashes."""
+def asked(made: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
+    """(pack, bucket, size) and the given columns of each pack's lists, cut into equal ranges of hashes."""
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                key, size, value, n = _read(*(row[c] for c in _COLUMNS))
-                cuts, ends = [0, *np.searchsorted(key, edges).tolist(), len(key)], np.concatenate([[0], np.cumsum(size)])
+                key, size = unstepped(row["keys"]), unsqueezed(row["sizes"], np.uint16)
+                cuts, ends = [0, *np.searchsorted(key, edges).tolist(), len(key)], np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
                 own = [(k, a, b, int(ends[a]), int(ends[b])) for k, (a, b) in enumerate(itertools.pairwise(cuts)) if b > a]
+                made_of = {"keys": lambda a, b, c, d, key=key: steps(key[a:b]), "sizes": lambda a, b, c, d, size=size: squeezed(size[a:b])}
+                if "values" in columns:
+                    value, n = unsqueezed(row["values"], np.uint16), unsqueezed(row["counts"], np.int64)
+                    made_of |= {"values": lambda a, b, c, d, value=value: squeezed(value[c:d]), "counts": lambda a, b, c, d, n=n: squeezed(n[c:d])}
                 for at in range(0, len(own), 100):
                     some = own[at : at + 100]
-                    lists = [_lists(key[a:b], size[a:b], value[c:d], n[c:d]) for _, a, b, c, d in some]
-                    columns = [[row["pack"]] * len(some), [k for k, *_ in some], [max(b - a, d - c) for _, a, b, c, d in some]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), *(pa.array(x, pa.binary()) for x in zip(*lists, strict=True))],
-                                                     ["pack", "bucket", "size", *_COLUMNS])
+                    numbers = [[row["pack"]] * len(some), [k for k, *_ in some], [max(b - a, d - c) for _, a, b, c, d in some]]
+                    lists = [[made_of[name](*x) for _, *x in some] for name in columns]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(x, pa.binary()) for x in lists)], ["pack", "bucket", "size", *columns])
 
-    rows = made.where("words IS NOT NULL").select("pack", *_COLUMNS)
-    return rows.mapInArrow(run, "pack long, bucket long, size long, keys binary, sizes binary, values binary, counts binary")
+    rows = made.where("size IS NOT NULL").select("pack", *(_COLUMNS if "values" in columns else _COLUMNS[:2]))
+    return rows.mapInArrow(run, ", ".join(["pack long, bucket long, size long", *(f"{c} binary" for c in columns)]))
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -320,13 +329,16 @@ def _answered(left: pa.Table, right: pa.Table) -> pa.Table:
 def knowledge(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(training lists by range of hashes, each pack's answers from them)."""
     size = made.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rows = asked(made, max(1, int(size) // RANGE))
-    parts = rows.groupBy("bucket").agg(F.ceil(F.sum("size") / (2 * RANGE)).alias("parts"))
-    salted = rows.join(parts, "bucket").withColumn("salt", F.pmod(F.hash("pack"), F.col("parts").cast("int")).cast("long"))
-    first = salted.groupBy("bucket", "salt").applyInArrow(_summed, _LISTS)
+    buckets = max(1, int(size) // RANGE)
+    parts = asked(made, buckets, []).groupBy("bucket").agg(F.ceil(F.sum("size") / (2 * RANGE)).alias("parts"))
+
+    def salted(columns: list[str]) -> DataFrame:
+        return asked(made, buckets, columns).join(parts, "bucket").withColumn("salt", F.pmod(F.hash("pack"), F.col("parts").cast("int")).cast("long"))
+
+    first = salted(_COLUMNS).groupBy("bucket", "salt").applyInArrow(_summed, _LISTS)
     total = stage(first.groupBy("bucket").applyInArrow(_summed, _LISTS), "lm-counts")
     copies = total.join(parts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    asking = salted.select("pack", "bucket", "salt", "keys")
+    asking = salted(["keys"]).select("pack", "bucket", "salt", "keys")
     answers = asking.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(
         _answered, "pack long, bucket long, sizes binary, values binary, counts binary")
     return total, answers
@@ -389,17 +401,13 @@ class Bits:
     """
 
     def __init__(self, lexicon: Lexicon, code: Code, odds: np.ndarray, hit: np.ndarray, firsts: np.ndarray):
-        whole = lexicon.pair[-1]  # The longest context and the byte fix the shorter ones.
-        one = np.full(len(lexicon.key), -1, np.int32)
-        one[whole] = np.arange(len(whole), dtype=np.int32)
-        used = np.flatnonzero(one >= 0)
-        used = used[np.argsort(-code.length[lexicon.value[used]], kind="stable")]
-        number = np.zeros(len(one), np.int32)
-        number[used] = np.arange(len(used), dtype=np.int32)
-        self.number, byte, one = number[whole], lexicon.value[used], one[used]
+        turn = np.argsort(-code.length[lexicon.value[lexicon.used]], kind="stable")
+        number = np.zeros(len(lexicon.key), np.int32)
+        number[lexicon.used[turn]] = np.arange(len(turn), dtype=np.int32)
+        self.number, byte = number[lexicon.whole], lexicon.value[lexicon.used[turn]]
         self.size = code.length[byte]
-        first = [firsts[pair[one]] for pair in lexicon.pair]
-        self.gate = sum((hit[f].astype(np.int32) for f in first), lexicon.initial[one] * np.int32(len(ORDERS) + 1))
+        first = [firsts[pair[turn]] for pair in lexicon.pairs]
+        self.gate = sum((hit[f].astype(np.int32) for f in first), lexicon.initial[turn] * np.int32(len(ORDERS) + 1))
         small = np.rint(odds * _SCALE).astype(np.int8)
         longest = int(self.size[0])
         having = np.searchsorted(-self.size, -np.arange(longest), "left").tolist()
